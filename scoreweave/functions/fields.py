@@ -183,3 +183,8 @@ def name_size(name: Column) -> Column:
     """First ``number B`` in a name, 0 when there is none."""
     number = F.regexp_extract(name, r"(?i)(\d+(?:\.\d+)?)\s*B", 1)
     return F.coalesce(number.try_cast("double"), F.lit(0.0))
+
+
+def fixed(c: Column, digits: int) -> Column:
+    """Text with a fixed number of decimals, rounded from the exact binary value (``%.2f`` of other tools)."""
+    return F.call_function("format_number", c, F.lit("0." + "0" * digits))

@@ -228,7 +228,7 @@ def family_text(families: DataFrame, entities: DataFrame, shown: int = 5) -> Dat
             mentions > 0,
             F.concat(
                 F.lit("\n[Community Feedback]\n  Sentiment score: "),
-                F.format_string("%.2f", "sentiment_score"),
+                fields.fixed(F.col("sentiment_score"), 2),
                 F.lit("\n  Hype level: "),
                 fields.hype_level(mentions),
                 F.lit("\n  Web mentions: "),

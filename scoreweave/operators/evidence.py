@@ -65,7 +65,7 @@ def family_score_pages(entities: DataFrame, scores: DataFrame, ranges: DataFrame
     rows = fields.with_range(family_scores(entities, scores), ranges)
     percent = fields.to_percent(F.col("score"), F.col("lo"), F.col("hi"))
     size = F.coalesce("parameters", F.lit("N/A"))
-    line = F.concat(F.lit("  "), "entity", F.lit(" ("), size, F.lit("): "), F.format_string("%.1f", percent))
+    line = F.concat(F.lit("  "), "entity", F.lit(" ("), size, F.lit("): "), fields.fixed(percent, 1))
     rows = ranked(rows.select("family", "item", "entity", line.alias("line")), ["family", "item"], [F.col("entity")])
     page = F.floor((F.col("rank") - 1) / _PAGE).cast("int")
     lines = F.transform(F.sort_array(F.collect_list(F.struct("rank", "line"))), lambda e: e["line"])
@@ -252,7 +252,7 @@ def evolution_table(entities: DataFrame, scores: DataFrame, ranges: DataFrame) -
     """Family members with their score on each item: ``(family, item, entity, line)``, 0 to 100, one decimal."""
     rows = fields.with_range(scores, ranges)
     percent = fields.to_percent(F.col("score"), F.col("lo"), F.col("hi"))
-    scored = F.concat("line", F.lit(", "), "item", F.lit("="), F.format_string("%.1f", percent))
+    scored = F.concat("line", F.lit(", "), "item", F.lit("="), fields.fixed(percent, 1))
     return rows.join(evolution_members(entities), "entity").select("family", "item", "entity", scored.alias("line"))
 
 
@@ -321,7 +321,7 @@ def evidence_summary(
         F.slice("peers", 1, 5),
         lambda p: F.concat(
             F.lit("    Rank "), p["rank"].cast("string"), F.lit(": "), p["entity"], F.lit(" = "),
-            F.format_string("%.1f", p["score"]),
+            fields.fixed(p["score"], 1),
         ),
     )
     ranks = F.when(
@@ -346,7 +346,7 @@ def evidence_summary(
             "\n",
             F.lit("  [Community Feedback]"),
             F.concat(
-                F.lit("    Sentiment Score: "), F.format_string("%.2f", "sentiment_score"), F.lit(" ("),
+                F.lit("    Sentiment Score: "), fields.fixed(F.col("sentiment_score"), 2), F.lit(" ("),
                 fields.sentiment_label(F.col("sentiment_score")), F.lit(")"),
             ),
             joined("Strengths", "positive_aspects"),
@@ -358,8 +358,8 @@ def evidence_summary(
         F.col("sibling_count") > 0,
         F.concat(
             F.lit("[Same-Family Performance] "), "item", F.lit(": "), F.col("sibling_count").cast("string"),
-            F.lit(" scores, "), F.format_string("%.1f", "sibling_min"), F.lit(" to "),
-            F.format_string("%.1f", "sibling_max"), F.lit(", mean "), F.format_string("%.1f", "sibling_mean"),
+            F.lit(" scores, "), fields.fixed(F.col("sibling_min"), 1), F.lit(" to "),
+            fields.fixed(F.col("sibling_max"), 1), F.lit(", mean "), fields.fixed(F.col("sibling_mean"), 1),
         ),
     )
     about = F.when(

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scoreweave.functions.fields import fixed
+
 # Metadata columns of a wide table, and the metadata keys of a leaderboard document.
 META_COLUMNS = ("Model", "Parameters", "Organization", "OpenSource", "Time")
 META_KEY = "META"
@@ -132,7 +134,7 @@ def format_cells(predictions: DataFrame) -> DataFrame:
     """``(entity, item, cell)`` with two decimals; without a truth the cell is ``-``."""
 
     def two(c):
-        return F.format_string("%.2f", F.col(c))
+        return fixed(F.col(c), 2)
 
     sure = F.concat(F.lit("["), two("prediction"), F.lit("]/["), two("truth"), F.lit("]"))
     both = F.concat(F.lit("["), two("prediction"), F.lit("±"), two("uncertainty"), F.lit("]/["), two("truth"), F.lit("]"))
@@ -169,14 +171,18 @@ def write_results(results: DataFrame, metrics: DataFrame, path: str, version: st
     about.write.mode("overwrite").json(f"{path}/metadata")
 
 
-def read_done_keys(spark: SparkSession, path: str) -> DataFrame:
-    """Keys of earlier results; empty when there is no table yet."""
+def read_done_keys(spark: SparkSession, path: str, before_batch: int | None = None) -> DataFrame:
+    """Keys of earlier results; empty when there is no table yet. ``before_batch`` leaves out that batch and
+    later ones of an incremental table."""
     try:
-        return spark.read.parquet(path).select("entity", "item").distinct()
+        done = spark.read.parquet(path)
     except AnalysisException as problem:
         if "PATH_NOT_FOUND" not in str(problem.getCondition()):
             raise
         return spark.createDataFrame([], "entity string, item string")
+    if before_batch is not None:
+        done = done.filter(F.col("batch") < before_batch)
+    return done.select("entity", "item").distinct()
 
 
 def read_cold_start(spark: SparkSession, path: str, meta: Sequence[str] = META_COLUMNS) -> tuple[DataFrame, DataFrame]:

@@ -22,13 +22,10 @@ def incremental_results(
     spark = new_targets.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        done = read_done_keys(spark, path) if batch_id == 0 else _done_before(batch_id)
+        done = read_done_keys(spark, path, before_batch=batch_id)
         fresh = resume(batch.dropDuplicates(["entity", "item"]), done)
         adjust(fresh).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    def _done_before(batch_id: int) -> DataFrame:
-        return spark.read.parquet(path).filter(f"batch < {batch_id}").select("entity", "item").distinct()
-
     return (
         new_targets.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
