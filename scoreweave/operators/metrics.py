@@ -44,7 +44,8 @@ def pooled_positions(results: DataFrame) -> DataFrame:
     x = ranked(rows, [], [F.col("prediction"), F.col("truth"), *cell], "px", ties=("prediction", "_lo", "_hi"))
     x = x.withColumn("rx", (F.col("_lo") + F.col("_hi")) / 2).drop("_lo", "_hi")
     y = ranked(x, [], [F.col("truth"), F.col("prediction"), *cell], "py", ties=("truth", "_lo", "_hi"))
-    return y.withColumn("ry", (F.col("_lo") + F.col("_hi")) / 2).drop("_lo", "_hi")
+    # Several aggregates read the positions, so they are fixed once.
+    return cut_lineage(y.withColumn("ry", (F.col("_lo") + F.col("_hi")) / 2).drop("_lo", "_hi"))
 
 
 def srcc(positions: DataFrame) -> DataFrame:

@@ -1 +1,133 @@
-"""Placeholder."""
+"""Factor models, predictions, cold start, incremental results."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from scoreweave.operators import dimensions, evidence, factorize, similar, stats
+from scoreweave.plans.aggregate_queries import _DRAWS_SQL, given_draws
+from scoreweave.plans.join_queries import SIMILAR, profile_vectors
+from scoreweave.plans.registry import query, rounded
+from scoreweave.session import cut_lineage, new_table_path
+from scoreweave.streaming.results import incremental_results
+
+_SETTINGS = {"dim": 4, "draws": 3, "tune": 2, "seed": 42}
+
+
+def _standardized(t):
+    st = cut_lineage(stats.item_stats(t.training))
+    z = (F.col("score") - F.col("mu")) / F.col("sigma")
+    return t.training.join(st, "item").select("entity", "item", z.alias("score")), st
+
+
+def _features(t):
+    entities = dimensions.entity_profiles(dimensions.profile_fields(t.entities, t.entities))
+    return entities, dimensions.item_profiles(t.items)
+
+
+def _summary(t, draws, st):
+    cells = t.held_out.select("entity", "item")
+    out = factorize.posterior_summary(factorize.predict_draws(cells, draws), st)
+    return out.select("entity", "item", rounded("prediction").alias("prediction"), rounded("uncertainty").alias("uncertainty"))
+
+
+@query("M1_fit_pmf")
+def _(t):
+    obs, st = _standardized(t)
+    return _summary(t, factorize.fit_pmf(obs, **_SETTINGS), st)
+
+
+@query("M2_fit_cpmf")
+def _(t):
+    obs, st = _standardized(t)
+    ids = t.entities.select("entity")
+    return _summary(t, factorize.fit_cpmf(obs, *_features(t), entity_ids=ids, **_SETTINGS), st)
+
+
+@query("M3_posterior_means", f"WITH {_DRAWS_SQL} SELECT 'u' AS side, id, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM du GROUP BY id UNION ALL SELECT 'v', id, round(avg(x), 6), round(avg(y), 6) FROM dv GROUP BY id")
+def _(t):
+    out = factorize.posterior_means(given_draws(t), 2)
+    return out.select("side", "id", rounded(F.col("vec")[0]).alias("x"), rounded(F.col("vec")[1]).alias("y"))
+
+
+_ALL_CELLS = "SELECT e.entity, i.item FROM entities e, items i"
+
+
+def _every_cell(t):
+    names = [r[0] for r in t.items.select("item").collect()]  # 25 items
+    return t.entities.select("entity", F.explode(F.lit(names)).alias("item"))
+
+
+@query(
+    "M4_global_mean",
+    f"SELECT c.entity, c.item, round(coalesce(s.score, (SELECT avg(score) FROM train)), 5) AS prediction FROM ({_ALL_CELLS}) c LEFT JOIN train s ON s.entity = c.entity AND s.item = c.item",
+)
+def _(t):
+    return factorize.global_mean(_every_cell(t), t.training).withColumn("prediction", rounded("prediction", 5))
+
+
+@query(
+    "M4_mean_of_means",
+    f"""SELECT c.entity, c.item, round(((SELECT avg(score) FROM train) + coalesce(a.m, 0) + coalesce(b.m, 0)) / (1 + CASE WHEN a.m IS NULL THEN 0 ELSE 1 END + CASE WHEN b.m IS NULL THEN 0 ELSE 1 END), 5) AS prediction
+    FROM ({_ALL_CELLS}) c LEFT JOIN (SELECT entity, avg(score) AS m FROM train GROUP BY entity) a ON a.entity = c.entity LEFT JOIN (SELECT item, avg(score) AS m FROM train GROUP BY item) b ON b.item = c.item""",
+)
+def _(t):
+    return factorize.mean_of_means(_every_cell(t), t.training).withColumn("prediction", rounded("prediction", 5))
+
+
+@query("M4_uniform_random")
+def _(t):
+    return factorize.uniform_random(_every_cell(t), t.training).withColumn("prediction", rounded("prediction", 5))
+
+
+@query("M5_predict", f"WITH {_DRAWS_SQL} SELECT entity, item, round(prediction, 4) AS prediction FROM pd WHERE draw = 2")
+def _(t):
+    draws = given_draws(t).filter("draw = 2")
+    u, v = draws.filter("side = 'u'").select("id", "vec"), draws.filter("side = 'v'").select("id", "vec")
+    return factorize.predict(t.scores.select("entity", "item"), u, v).withColumn("prediction", rounded("prediction", 4))
+
+
+@query(
+    "M6_cold_start",
+    f"""WITH {SIMILAR}, {_DRAWS_SQL.split("pd AS")[0].strip().rstrip(",")}, st AS (SELECT item, avg(score) AS mu, stddev_pop(score) AS sigma FROM scores GROUP BY item),
+    p AS (SELECT b.id, t.item, b.known_id, greatest(b.similarity, 0) + 1e-8 AS w, du.x * dv.x + du.y * dv.y AS p FROM best b JOIN test_cells t ON t.entity = b.id
+      JOIN du ON du.id = b.known_id AND du.draw = 0 JOIN dv ON dv.id = t.item AND dv.draw = 0 WHERE b.rank <= 5)
+    SELECT p.id, p.item, round(sum(w * p) / sum(w) * any_value(sigma) + any_value(mu), 3) AS prediction, round(stddev_pop(p) * any_value(sigma), 3) AS uncertainty, string_agg(known_id, ';' ORDER BY known_id) AS similar
+    FROM p JOIN st ON st.item = p.item GROUP BY 1, 2""",
+)
+def _(t):
+    near = similar.top_k_similar(*profile_vectors(t))
+    draws = given_draws(t).filter("draw = 0")
+    u, v = draws.filter("side = 'u'").select("id", "vec"), draws.filter("side = 'v'").select("id", "vec")
+    cells = t.held_out.select(F.col("entity").alias("id"), "item")
+    out = similar.cold_start(cells, near, u, v, stats.item_stats(t.scores))
+    return out.select("id", "item", rounded("prediction", 3).alias("prediction"), rounded("uncertainty", 3).alias("uncertainty"), "similar")
+
+
+@query("M7_train_and_compare")
+def _(t):
+    entities, items = _features(t)
+    return factorize.train_and_compare(t.training, t.held_out, t.ranges, entities, items, dim=4, draws=2, tune=1, seed=42)
+
+
+@query("M8_fit_map")
+def _(t):
+    obs, st = _standardized(t)
+    fit = factorize.fit_map(obs, dim=4, iterations=3)
+    u, v = fit.filter("side = 'u'").select("id", "vec"), fit.filter("side = 'v'").select("id", "vec")
+    return factorize.predict(t.held_out.select("entity", "item"), u, v).withColumn("prediction", rounded("prediction"))
+
+
+@query("T1_incremental_results", "SELECT entity, item, round(prediction, 4) AS baseline_prediction FROM predictions")
+def _(t):
+    source, sink = new_table_path(t.spark, "targets"), new_table_path(t.spark, "results")
+    t.predicted.repartition(3).write.parquet(source)
+    t.predicted.write.mode("append").parquet(source)  # every key arrives twice
+    stream = t.spark.readStream.schema(t.predicted.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    replies = evidence.parse_adjustments(t.replies)
+    query = incremental_results(
+        stream, lambda fresh: evidence.apply_adjustments(fresh, replies, t.ranges), sink, new_table_path(t.spark, "progress")
+    )
+    query.awaitTermination()
+    rows = t.spark.read.parquet(sink)
+    return rows.select("entity", "item", rounded("baseline_prediction", 4).alias("baseline_prediction"))
