@@ -19,6 +19,7 @@ from scoreweave.operators.spread import ranked
 from scoreweave.session import cut_lineage, new_table_path
 
 _SHARE = 1_000_000  # observations of one id that meet its vector in one task
+_FEW = 100_000  # hot ids that may be broadcast
 _MAX_FEATURES = 2000  # features of a side; their square is solved on the driver
 _VEC = "id string, vec array<double>"
 
@@ -63,39 +64,67 @@ def mean_of_means(cells: DataFrame, train: DataFrame) -> DataFrame:
 # ---- Gibbs sampler ---------------------------------------------------------------------------------------
 
 
-def _normals(dim: int, *key: Column) -> Column:
-    """Standard normals that depend on the key alone, never on partitioning."""
+def _normals(dim: int, key: str) -> str:
+    """SQL for an array of standard normals that depend on the key alone, never on partitioning."""
 
     def uniform(i, j):
-        return (F.shiftrightunsigned(F.xxhash64(*key, F.lit(i), F.lit(j)), 11).cast("double") + 0.5) / 2.0**53
+        return f"((shiftrightunsigned(xxhash64({key}, {i}, {j}), 11) + 0.5D) / {2**53}D)"
 
-    return F.array(
-        *[F.sqrt(-2 * F.log(uniform(i, 0))) * F.cos(2 * math.pi * uniform(i, 1)) for i in range(dim)]
+    return "array({})".format(
+        ", ".join(f"sqrt(-2 * ln({uniform(i, 0)})) * cos(2 * pi() * {uniform(i, 1)})" for i in range(dim))
     )
 
 
 def _shares(obs: DataFrame, key: str, share: int) -> DataFrame:
     """Ids with more observations than one task should take, and into how many shares they go."""
     counts = obs.groupBy(key).count().filter(F.col("count") > share)
-    return counts.select(key, F.ceil(F.col("count") / share).cast("int").alias("shares"))
-
-
-def _prepare(obs: DataFrame, share: int):
-    """Observations with the share each belongs to on either side, written once."""
-    hot_e, hot_i = cut_lineage(_shares(obs, "entity", share)), cut_lineage(_shares(obs, "item", share))
-    rows = obs.select("entity", "item", "score")
-    rows = rows.join(hot_e.withColumnRenamed("shares", "_e"), "entity", "left")
-    rows = rows.join(hot_i.withColumnRenamed("shares", "_i"), "item", "left")
-    spread = rows.select(
-        "entity",
-        "item",
-        "score",
-        F.pmod(F.xxhash64("item"), F.coalesce("_e", F.lit(1))).cast("int").alias("entity_share"),
-        F.pmod(F.xxhash64("entity"), F.coalesce("_i", F.lit(1))).cast("int").alias("item_share"),
-    )
-    path = new_table_path(obs.sparkSession, "observations")
-    spread.write.parquet(path)
-    return obs.sparkSession.read.parquet(path), hot_e, hot_i
+    return cut_lineage(counts.select(key, F.ceil(F.col("count") / share).cast("int").alias("shares")))
+
+
+class _Observations:
+    """The observations, laid out once per side: bucketed by the other side's id and by the share of a hot id,
+    so that no half-sweep shuffles them to meet the vectors."""
+
+    def __init__(self, obs: DataFrame, share: int):
+        self.spark = obs.sparkSession
+        self.hot = {"entity": _shares(obs, "entity", share), "item": _shares(obs, "item", share)}
+        self.n_hot = {key: hot.count() for key, hot in self.hot.items()}
+        rows = obs.select("entity", "item", "score")
+        for key, hot in self.hot.items():
+            rows = rows.join(hot.withColumnRenamed("shares", f"_{key}"), key, "left")
+        rows = rows.select(
+            "entity",
+            "item",
+            "score",
+            F.pmod(F.xxhash64("item"), F.coalesce("_entity", F.lit(1))).cast("int").alias("entity_share"),
+            F.pmod(F.xxhash64("entity"), F.coalesce("_item", F.lit(1))).cast("int").alias("item_share"),
+        )
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.names = {}
+        for key in ("entity", "item"):
+            path = new_table_path(self.spark, "observations")
+            self.names[key] = path.rsplit("/", 1)[1].replace("-", "_")
+            keys = (key, f"{key}_share")
+            # One file per bucket: rows are brought together by bucket before they are written.
+            spread = rows.repartition(buckets, *keys)
+            spread.write.bucketBy(buckets, *keys).option("path", path).saveAsTable(self.names[key])
+
+    def by(self, key: str) -> DataFrame:
+        return self.spark.table(self.names[key])
+
+    def spread(self, vectors: DataFrame, key: str) -> DataFrame:
+        """One copy of a vector per share of its id; a single one for all but the hot ids."""
+        rows = vectors.withColumnRenamed("id", key)
+        if self.n_hot[key] == 0:
+            return rows.select(key, "vec", F.lit(0).alias(f"{key}_share"))
+        hot = self.hot[key]
+        rows = rows.join(F.broadcast(hot) if self.n_hot[key] <= _FEW else hot, key, "left")
+        share = F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias(f"{key}_share")
+        return rows.select(key, "vec", share)
+
+    def forget(self) -> None:
+        for name in self.names.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def _solve(dim: int, alpha: float):
@@ -119,34 +148,30 @@ def _solve(dim: int, alpha: float):
     return run
 
 
-def _half_sweep(obs, ids, other, hot_other, mean, key, other_key, dim, alpha, lot) -> DataFrame:
-    """New vectors of one side given the other side's."""
-    share = F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias(f"{other_key}_share")
-    spread = other.withColumnRenamed("id", other_key).join(hot_other, other_key, "left").select(other_key, "vec", share)
-    rows = obs.join(spread, [other_key, f"{other_key}_share"])
-    v = [F.col("vec")[i] for i in range(dim)]
+def _half_sweep(obs: _Observations, ids, other, prior, key, other_key, dim, alpha, lot) -> DataFrame:
+    """New vectors of one side given the other side's.
+
+    Everything an id needs is a sum, so observations, prior terms and the bare ids go through one ``groupBy``
+    with partial aggregation; only the sums of an id are shuffled.
+    """
+    rows = obs.by(other_key).join(obs.spread(other, other_key), [other_key, f"{other_key}_share"])
+    terms = rows.selectExpr(f"{key} AS id", "vec", "score", "CAST(NULL AS ARRAY<DOUBLE>) AS w", "0.0D AS value")
+    if prior is not None:
+        terms = terms.unionByName(prior.selectExpr("id", "CAST(NULL AS ARRAY<DOUBLE>) AS vec", "0.0D AS score", "w", "value"))
+    bare = ids.selectExpr("id", "CAST(NULL AS ARRAY<DOUBLE>) AS vec", "0.0D AS score", "CAST(NULL AS ARRAY<DOUBLE>) AS w", "0.0D AS value")
+    terms = terms.unionByName(bare)
     pairs = [(i, j) for i in range(dim) for j in range(i, dim)]
-    sums = rows.groupBy(F.col(key).alias("id")).agg(
-        *[F.sum(v[i] * v[j]).alias(f"g{i}_{j}") for i, j in pairs],
-        *[F.sum(F.col("score") * v[i]).alias(f"p{i}") for i in range(dim)],
-    )
-    sums = sums.select(
-        "id",
-        F.array(*[f"g{i}_{j}" for i, j in pairs]).alias("gram"),
-        F.array(*[f"p{i}" for i in range(dim)]).alias("pull"),
+    sums = terms.groupBy("id").agg(
+        *[F.expr(f"coalesce(sum(vec[{i}] * vec[{j}]), 0.0D) AS g{i}_{j}") for i, j in pairs],
+        *[F.expr(f"coalesce(sum(score * vec[{i}]), 0.0D) AS p{i}") for i in range(dim)],
+        *[F.expr(f"coalesce(sum(value * w[{i}]), 0.0D) AS m{i}") for i in range(dim)],
     )
-    rows = ids.join(sums, "id", "left")
-    rows = rows.join(mean, "id", "left") if mean is not None else rows.withColumn("mean", F.lit(None).cast("array<double>"))
-
-    def zeros(n):
-        return F.array_repeat(F.lit(0.0), n)
-
-    filled = rows.select(
+    filled = sums.selectExpr(
         "id",
-        F.coalesce("gram", zeros(len(pairs))).alias("gram"),
-        F.coalesce("pull", zeros(dim)).alias("pull"),
-        F.coalesce("mean", zeros(dim)).alias("mean"),
-        _normals(dim, *lot, F.col("id")).alias("z"),
+        "array({}) AS gram".format(", ".join(f"g{i}_{j}" for i, j in pairs)),
+        "array({}) AS pull".format(", ".join(f"p{i}" for i in range(dim))),
+        "array({}) AS mean".format(", ".join(f"m{i}" for i in range(dim))),
+        f"{_normals(dim, lot + ', id')} AS z",
     )
     return filled.mapInPandas(_solve(dim, alpha), _VEC)
 
@@ -180,11 +205,11 @@ class _Side:
         noise = np.random.default_rng(list(seed)).standard_normal(target.shape)
         return np.linalg.solve(self.precision, target) + np.linalg.solve(root.T, noise)
 
-    def prior_mean(self, weights: np.ndarray) -> DataFrame:
+    def prior_terms(self, weights: np.ndarray) -> DataFrame:
+        """``(id, value, w)``: the products ``value * w`` of an id sum to its prior mean."""
         table = [(name, weights[i].tolist()) for name, i in self.at.items()]
         known = F.broadcast(self.spark.createDataFrame(table, "feature string, w array<double>"))  # at most 2,000 rows
-        terms = [F.sum(F.col("value") * F.col("w")[k]) for k in range(self.dim)]
-        return self.features.join(known, "feature").groupBy("id").agg(F.array(*terms).alias("mean"))
+        return self.features.join(known, "feature").select("id", "value", "w")
 
 
 def fit_factors(
@@ -211,33 +236,27 @@ def fit_factors(
     draw. Random numbers depend on (seed, sweep, side, id) only.
     """
     spark = obs.sparkSession
-    rows, hot_e, hot_i = _prepare(obs, share)
-
-    def all_ids(given, key):
-        found = rows.select(F.col(key).alias("id"))
-        listed = found if given is None else found.unionByName(given.toDF("id"))
-        return cut_lineage(listed.distinct())
-
-    ids = {"u": all_ids(entity_ids, "entity"), "v": all_ids(item_ids, "item")}
-    sides = {
-        "u": _Side(entity_features, dim) if entity_features is not None else None,
-        "v": _Side(item_features, dim) if item_features is not None else None,
-    }
-    means: dict[str, DataFrame | None] = {"u": None, "v": None}
+    laid = _Observations(obs, share)
+    ids, sides = {}, {}
+    for side, key, given, features in (("u", "entity", entity_ids, entity_features), ("v", "item", item_ids, item_features)):
+        found = laid.by(key).select(F.col(key).alias("id"))
+        ids[side] = cut_lineage((found if given is None else found.unionByName(given.toDF("id"))).distinct())
+        if features is not None:
+            sides[side] = _Side(features.join(ids[side], "id", "left_semi"), dim)
+    priors: dict[str, DataFrame] = {}
     path = new_table_path(spark, "draws")
-    start = _normals(dim, F.lit(seed), F.lit(-1), F.lit("v"), F.col("id"))
-    other = ids["v"].select("id", F.transform(start, lambda x: x * init_std).alias("vec"))
-    plan = (("u", "entity", "item", hot_i), ("v", "item", "entity", hot_e))
+    other = ids["v"].selectExpr("id", f"transform({_normals(dim, f'{seed}, -1, id')}, x -> x * {init_std}D) AS vec")
+    plan = (("u", "entity", "item"), ("v", "item", "entity"))
     for sweep in range(tune + draws):
-        for side, key, other_key, hot in plan:
-            lot = (F.lit(seed), F.lit(sweep), F.lit(side))
-            drawn = _half_sweep(rows, ids[side], other, hot, means[side], key, other_key, dim, alpha, lot)
+        for number, (side, key, other_key) in enumerate(plan):
+            lot = f"{seed}, {sweep}, {number}"
+            drawn = _half_sweep(laid, ids[side], other, priors.get(side), key, other_key, dim, alpha, lot)
             target = f"{path}/side={side}/draw={sweep}"
             drawn.write.parquet(target)
             other = spark.read.schema(_VEC).parquet(target)
-            if sides[side] is not None:
-                weights = sides[side].draw_weights(other, (seed, sweep, 0 if side == "u" else 1))
-                means[side] = sides[side].prior_mean(weights)
+            if side in sides:
+                priors[side] = sides[side].prior_terms(sides[side].draw_weights(other, (seed, sweep, number)))
+    laid.forget()
     table = spark.read.schema(_VEC + ", side string, draw int").parquet(path)
     return table.filter(F.col("draw") >= tune).select("side", (F.col("draw") - tune).alias("draw"), "id", "vec")
 

@@ -38,14 +38,16 @@ def masked_rmse(predictions: DataFrame, truth: DataFrame) -> DataFrame:
 
 def pooled_positions(results: DataFrame) -> DataFrame:
     """Positions by prediction and by truth. ``px`` and ``py`` number the rows without ties (each breaks its
-    ties by the other value, then by cell); ``rx`` and ``ry`` are average ranks."""
+    ties by the other value, then by cell); ``rx`` and ``ry`` are average ranks, ``x_ties`` and ``y_ties`` tell
+    how many other rows share the value."""
     cell = [F.col("entity"), F.col("item")]
     rows = results.select("entity", "item", "prediction", "truth")
+    lo, hi = F.col("_lo"), F.col("_hi")
     x = ranked(rows, [], [F.col("prediction"), F.col("truth"), *cell], "px", ties=("prediction", "_lo", "_hi"))
-    x = x.withColumn("rx", (F.col("_lo") + F.col("_hi")) / 2).drop("_lo", "_hi")
+    x = x.withColumn("rx", (lo + hi) / 2).withColumn("x_ties", hi - lo).drop("_lo", "_hi")
     y = ranked(x, [], [F.col("truth"), F.col("prediction"), *cell], "py", ties=("truth", "_lo", "_hi"))
-    # Several aggregates read the positions, so they are fixed once.
-    return cut_lineage(y.withColumn("ry", (F.col("_lo") + F.col("_hi")) / 2).drop("_lo", "_hi"))
+    y = y.withColumn("ry", (lo + hi) / 2).withColumn("y_ties", hi - lo).drop("_lo", "_hi")
+    return cut_lineage(y)  # several aggregates read the positions
 
 
 def srcc(positions: DataFrame) -> DataFrame:
@@ -106,20 +108,15 @@ def discordant_pairs(positions: DataFrame, block: int | None = None) -> DataFram
 def krcc(positions: DataFrame, block: int | None = None) -> DataFrame:
     """Kendall tau-b: concordant less discordant pairs over the pairs not tied on either side."""
 
-    def tied(*by):
-        groups = positions.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("c"))
-        return groups.agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.lit(0.0))).scalar()
-
-    n = positions.agg(F.count(F.lit(1)).cast("double")).scalar()
-    counts = discordant_pairs(positions, block).select(
-        F.col("discordant").cast("double").alias("d"),
-        (n * (n - 1) / 2).alias("n0"),
-        tied("prediction").alias("n1"),
-        tied("truth").alias("n2"),
-        tied("prediction", "truth").alias("n3"),
-    )
-    concordant = F.col("n0") - F.col("n1") - F.col("n2") + F.col("n3") - F.col("d")
-    scale = F.sqrt((F.col("n0") - F.col("n1")) * (F.col("n0") - F.col("n2")))
+    both = positions.groupBy("prediction", "truth").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    n3 = both.agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).scalar()
+    pairs = positions.agg(  # one row
+        F.count(F.lit(1)).alias("n"), F.sum("x_ties").alias("x"), F.sum("y_ties").alias("y")
+    ).first()
+    n0, n1, n2 = pairs["n"] * (pairs["n"] - 1) / 2, (pairs["x"] or 0) / 2, (pairs["y"] or 0) / 2
+    counts = discordant_pairs(positions, block).select(F.col("discordant").cast("double").alias("d"), n3.alias("n3"))
+    concordant = F.lit(n0 - n1 - n2) + F.coalesce("n3", F.lit(0.0)) - F.col("d")
+    scale = F.lit(math.sqrt((n0 - n1) * (n0 - n2)))
     return counts.select(F.try_divide(concordant - F.col("d"), scale).alias("krcc"))
 
 

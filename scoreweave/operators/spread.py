@@ -53,7 +53,9 @@ def ranked(
     columns = [*keys, "_part", offset.alias("_offset")]
     if total:
         columns.append(F.sum("_n").over(_whole(keys)).alias(total))
-    out = rows.join(spans.select(*columns), [*keys, "_part"])
+    spans = spans.select(*columns)
+    # Without keys there is one row per partition.
+    out = rows.join(spans if keys else F.broadcast(spans), [*keys, "_part"])
     out = out.withColumn(rank, F.col("_pos") + F.col("_offset"))
     if ties:
         value, first, last = ties

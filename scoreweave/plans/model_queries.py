@@ -80,11 +80,11 @@ def _(t):
     return factorize.uniform_random(_every_cell(t), t.training).withColumn("prediction", rounded("prediction", 5))
 
 
-@query("M5_predict", f"WITH {_DRAWS_SQL} SELECT entity, item, round(prediction, 4) AS prediction FROM pd WHERE draw = 2")
+@query("M5_predict", f"WITH {_DRAWS_SQL} SELECT entity, item, round(prediction, 10) AS prediction FROM pd WHERE draw = 2")
 def _(t):
     draws = given_draws(t).filter("draw = 2")
     u, v = draws.filter("side = 'u'").select("id", "vec"), draws.filter("side = 'v'").select("id", "vec")
-    return factorize.predict(t.scores.select("entity", "item"), u, v).withColumn("prediction", rounded("prediction", 4))
+    return factorize.predict(t.scores.select("entity", "item"), u, v).withColumn("prediction", rounded("prediction", 10))
 
 
 @query(
