@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scoreweave.operators import dimensions, evidence, metrics, split, stats
 from scoreweave.operators.factorize import predict_draws, running_rmse
 from scoreweave.operators.spread import ranked
+from scoreweave.plans.join_queries import NEIGHBOURS
 from scoreweave.plans.registry import query, rounded
 from scoreweave.plans.source_queries import board_docs
 from scoreweave.plans.views import CUTOFF, RATIO, SEED
@@ -184,7 +185,7 @@ def _(t):
       SELECT p.entity, p.item, min(q) AS peer_min, median(q) AS peer_median, max(q) AS peer_max FROM (
         SELECT peers.*, greatest(0, least(100, (peer_score - coalesce(lo, 0)) / (coalesce(hi, 100) - coalesce(lo, 0)) * 100)) AS q FROM peers LEFT JOIN ranges r ON peers.item = r.item) p GROUP BY 1, 2) x
     JOIN (SELECT p.entity, p.item, greatest(0, least(100, (prediction - coalesce(lo, 0)) / (coalesce(hi, 100) - coalesce(lo, 0)) * 100)) AS pp FROM predictions p LEFT JOIN ranges r ON p.item = r.item) y
-      ON x.entity = y.entity AND x.item = y.item""".replace("{0}", __import__("scoreweave.plans.join_queries", fromlist=["NEIGHBOURS"]).NEIGHBOURS),
+      ON x.entity = y.entity AND x.item = y.item""".replace("{0}", NEIGHBOURS),
 )
 def _(t):
     out = evidence.peer_summary(evidence.rank_neighbours(t.predicted, t.training), t.predicted, t.ranges)

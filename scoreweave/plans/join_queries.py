@@ -229,10 +229,10 @@ def _(t):
     return out.select("item", F.array_join("subcategories", ",").alias("subcategories"))
 
 
-NEIGHBOURS = """ranked AS (SELECT item, entity, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, entity) AS rank, count(*) OVER (PARTITION BY item) AS n FROM train),
-    near AS (SELECT p.entity, p.item, r.rank, r.n, row_number() OVER (PARTITION BY p.entity, p.item ORDER BY abs(r.score - p.prediction), r.rank) AS rn
+NEIGHBOURS = """ranked AS MATERIALIZED (SELECT item, entity, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, entity) AS rank, count(*) OVER (PARTITION BY item) AS n FROM train),
+    near AS MATERIALIZED (SELECT p.entity, p.item, r.rank, r.n, row_number() OVER (PARTITION BY p.entity, p.item ORDER BY abs(r.score - p.prediction), r.rank) AS rn
       FROM predictions p JOIN ranked r ON p.item = r.item WHERE r.n >= 3),
-    peers AS (SELECT q.entity, q.item, q.rank AS predicted_rank, q.n AS n_ranked, r.rank, r.entity AS peer, r.score AS peer_score
+    peers AS MATERIALIZED (SELECT q.entity, q.item, q.rank AS predicted_rank, q.n AS n_ranked, r.rank, r.entity AS peer, r.score AS peer_score
       FROM near q JOIN ranked r ON r.item = q.item AND r.rank BETWEEN q.rank - 4 AND q.rank + 4 WHERE q.rn = 1)"""
 
 

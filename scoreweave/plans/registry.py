@@ -38,7 +38,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def all_oracles() -> dict[str, str]:
     _load()
-    return {name: with_views(sql) for name, (_, sql) in _QUERIES.items() if sql}
+    return {name: with_views(sql, "MATERIALIZED") for name, (_, sql) in _QUERIES.items() if sql}
 
 
 def _load() -> None:

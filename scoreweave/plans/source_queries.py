@@ -159,11 +159,11 @@ def _vectors(t, side):
     return t.sql(f"WITH {_SIDES} SELECT id, array(cast(x AS double), cast(y AS double)) AS vec FROM {side}")
 
 
-@query("S10_write_raw_matrix", f"WITH {_SIDES} SELECT u.id AS entity, v.id AS item, round(u.x * v.x + u.y * v.y, 8) AS prediction FROM u, v")
+@query("S10_write_raw_matrix", f"WITH {_SIDES} SELECT u.id AS entity, v.id AS item, round(u.x * v.x + u.y * v.y, 10) AS prediction FROM u, v")
 def _(t):
     path = new_table_path(t.spark, "matrix")
     scores.write_matrix(full_matrix(_vectors(t, "u"), _vectors(t, "v")), path)
-    return t.spark.read.parquet(path).select("entity", "item", rounded("prediction", 8).alias("prediction"))
+    return t.spark.read.parquet(path).select("entity", "item", rounded("prediction", 10).alias("prediction"))
 
 
 @query("S11_write_results", "SELECT entity, item, truth, prediction, uncertainty FROM predictions")

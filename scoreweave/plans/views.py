@@ -99,11 +99,12 @@ def needed(text: str) -> list[str]:
     return sorted(wanted, key=list(VIEWS).index)
 
 
-def with_views(text: str) -> str:
+def with_views(text: str, keyword: str = "") -> str:
+    """The text with the views it uses in front; the checking engine evaluates each once (``MATERIALIZED``)."""
     names = needed(text)
     if not names:
         return text
-    heads = ",\n".join(f"{name} AS ({VIEWS[name]})" for name in names)
+    heads = ",\n".join(f"{name} AS {keyword} ({VIEWS[name]})" for name in names)
     body = text.strip()
     if body[:5].upper() == "WITH ":
         return f"WITH {heads},\n{body[5:]}"
