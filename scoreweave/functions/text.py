@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Markers of pages that hold an error instead of content.
 ERROR_MARKERS = (
@@ -108,6 +112,44 @@ def html_to_text(html: Column, limit: int | None = None) -> Column:
     return _cut(F.trim(F.regexp_replace(text, r"\s+", " ")), limit)
 
 
+class _PageText(HTMLParser):
+    """Text outside the dropped elements, which may be nested or never closed."""
+
+    _EMPTY = ("meta", "link")  # without content
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.pieces = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag in DROPPED_TAGS and tag not in self._EMPTY
+
+    def handle_endtag(self, tag):
+        if tag in DROPPED_TAGS and self.depth:
+            self.depth -= 1
+
+    def handle_data(self, data):
+        if not self.depth and data.strip():
+            self.pieces.append(data.strip())
+
+
+def _lenient(html: pd.Series) -> pd.Series:
+    def text(page):
+        if page is None:
+            return None
+        parser = _PageText()
+        parser.feed(page)
+        parser.close()
+        return " ".join(" ".join(parser.pieces).split())
+
+    return html.map(text)
+
+
+def html_to_text_lenient(html: Column) -> Column:
+    """As ``html_to_text`` for broken pages: nested dropped elements and every character reference."""
+    return F.pandas_udf(_lenient, StringType())(html)
+
+
 def word_count(text: Column) -> Column:
     trimmed = F.trim(F.regexp_replace(text, r"\s+", " "))
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, " ")))

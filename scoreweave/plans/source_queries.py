@@ -152,7 +152,7 @@ def _(t):
 
 _SIDES = """
 u AS (SELECT c_name AS id, c_acctbal / 1000 AS x, 1.0 * c_nationkey AS y FROM customer),
-v AS (SELECT p_brand AS id, avg(p_size) AS x, avg(p_retailprice) / 1000 AS y FROM part GROUP BY p_brand)"""
+v AS (SELECT p_brand AS id, sum(p_size) / 1000 AS x, count(*) / 10 AS y FROM part GROUP BY p_brand)"""
 
 
 def _vectors(t, side):

@@ -22,9 +22,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably, so that later plans see one fixed set of rows even after executor loss."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` to a table in the shared folder and read it back.
+
+    Later plans then see one fixed set of rows, even after executor loss, and read only the columns they use,
+    with the table's size known to the optimizer.
+    """
+    spark = df.sparkSession
+    path = new_table_path(spark, "rows")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:

@@ -72,14 +72,19 @@ def read_wide_scores(
 ) -> tuple[DataFrame, DataFrame]:
     """Scores and entities of a wide CSV; every column that is not metadata is an item."""
     wide = spark.read.csv(path, header=True)
-    return unpivot_scores(wide, meta), wide.select(*[c for c in meta if c in wide.columns])
+    return unpivot_scores(wide, meta), wide.select(*[_column(c) for c in meta if c in wide.columns])
+
+
+def _column(name: str):
+    """A column by its very name, which may hold dots and backticks."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def unpivot_scores(wide: DataFrame, meta: Sequence[str] = META_COLUMNS) -> DataFrame:
     key = meta[0]
     items = [c for c in wide.columns if c not in meta]
-    texts = wide.select(F.col(key).alias("entity"), *[F.col(f"`{c}`").cast("string").alias(c) for c in items])
-    rows = texts.unpivot(["entity"], items, "item", "text")
+    texts = wide.select(_column(key).alias("entity"), *[_column(c).cast("string").alias(c) for c in items])
+    rows = texts.unpivot(["entity"], [_column(c) for c in items], "item", "text")
     score = F.col("text").try_cast("double")
     return rows.select("entity", "item", score.alias("score")).filter("score IS NOT NULL AND NOT isnan(score)")
 
@@ -118,8 +123,8 @@ def parse_prediction_table(wide: DataFrame, key: str = META_COLUMNS[0]) -> DataF
     """Cells ``[prediction±uncertainty]/[truth]`` as rows. The uncertainty may be missing and numbers may be
     negative; cells of any other form are dropped."""
     items = [c for c in wide.columns if c != key]
-    rows = wide.select(F.col(key).alias("entity"), *[F.col(f"`{c}`") for c in items])
-    rows = rows.unpivot(["entity"], items, "item", "cell").filter(F.col("cell").rlike(CELL))
+    rows = wide.select(_column(key).alias("entity"), *[_column(c) for c in items])
+    rows = rows.unpivot(["entity"], [_column(c) for c in items], "item", "cell").filter(F.col("cell").rlike(CELL))
 
     def number(group):
         return F.regexp_extract("cell", CELL, group).try_cast("double")
@@ -147,7 +152,8 @@ def format_prediction_table(predictions: DataFrame, items: Sequence[str] | None
     having = predictions.filter("truth IS NOT NULL").select("entity").distinct()
     cells = format_cells(predictions).join(having, "entity", "left_semi")
     items = list(items or item_list(predictions))
-    return pivot_scores(cells, items, "cell").fillna("-", items).withColumnRenamed("entity", META_COLUMNS[0])
+    filled = [F.coalesce(_column(i), F.lit("-")).alias(i) for i in items]
+    return pivot_scores(cells, items, "cell").select(F.col("entity").alias(META_COLUMNS[0]), *filled)
 
 
 def write_matrix(predictions: DataFrame, path: str, wide: bool = False, items: Sequence[str] | None = None) -> None:
