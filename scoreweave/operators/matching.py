@@ -37,7 +37,9 @@ def contained_pairs(needles: DataFrame, hay: DataFrame) -> DataFrame:
         .agg(F.collect_set("len").alias("lens"))
     )
     spots = h.select("hay", F.explode(F.sequence(F.lit(1), F.length("hay"))).alias("at"))
-    spots = spots.select("hay", "at", F.explode(F.sequence(F.lit(1), F.lit(_ANCHOR))).alias("width"))
+    # Anchors shorter than the usual length are needed only if there are such needles.
+    shortest = F.least(n.select(F.min(F.length("needle"))).scalar(), F.lit(_ANCHOR))
+    spots = spots.select("hay", "at", F.explode(F.sequence(shortest, F.lit(_ANCHOR))).alias("width"))
     spots = spots.filter(F.col("at") + F.col("width") - 1 <= F.length("hay"))
     spots = spots.select("hay", "at", F.substr("hay", "at", "width").alias("anchor"))
     pieces = spots.join(lengths, "anchor").select("hay", "at", F.explode("lens").alias("len"))

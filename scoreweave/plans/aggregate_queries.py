@@ -211,8 +211,10 @@ def _(t):
 
 
 # Draws derived from the tables: three vectors per entity and item that move with the draw number.
-_DRAWS = """SELECT 'u' AS side, d AS draw, c_name AS id, array(cast(c_acctbal / 1000 + d AS double), cast(c_nationkey AS double)) AS vec FROM customer, (SELECT explode(sequence(0, 2)) AS d) x
-UNION ALL SELECT 'v', d, p_brand, array(cast(sum(p_size) / 1000 AS double), cast(d * 0.5 + 0.25 AS double)) FROM part, (SELECT explode(sequence(0, 2)) AS d) x GROUP BY d, p_brand"""
+_DRAWS = """SELECT 'u' AS side, d AS draw, id, array(cast(x + d AS double), cast(y AS double)) AS vec
+  FROM (SELECT c_name AS id, c_acctbal / 1000 AS x, c_nationkey AS y, explode(sequence(0, 2)) AS d FROM customer) a
+UNION ALL SELECT 'v', d, id, array(cast(x AS double), cast(d * 0.5 + 0.25 AS double))
+  FROM (SELECT id, x, explode(sequence(0, 2)) AS d FROM (SELECT p_brand AS id, sum(p_size) / 1000 AS x FROM part GROUP BY p_brand) b) c"""
 _DRAWS_SQL = """du AS (SELECT d AS draw, c_name AS id, c_acctbal / 1000 + d AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer, (SELECT unnest(range(0, 3)) AS d) x),
     dv AS (SELECT d AS draw, p_brand AS id, sum(p_size) / 1000 AS x, d * 0.5 + 0.25 AS y FROM part, (SELECT unnest(range(0, 3)) AS d) x GROUP BY d, p_brand),
     pd AS (SELECT s.entity, s.item, du.draw, du.x * dv.x + du.y * dv.y AS prediction FROM scores s JOIN du ON s.entity = du.id JOIN dv ON s.item = dv.id AND dv.draw = du.draw)"""

@@ -156,13 +156,13 @@ def _(t):
 
 @query(
     "E10_community_feedback",
-    """SELECT conv_id AS subject, CASE WHEN conv_id % 3 = 0 THEN 0.5 ELSE round(n / 20.0, 4) END::DOUBLE AS sentiment_score, CASE WHEN conv_id % 3 = 0 THEN NULL ELSE 5 END::INT AS n_positive, n AS web_mentions_count,
+    """SELECT conv_id AS subject, CASE WHEN n < 5 THEN 0.5 ELSE round(n / 20.0, 4) END::DOUBLE AS sentiment_score, CASE WHEN n < 5 THEN NULL ELSE 5 END::INT AS n_positive, n AS web_mentions_count,
     round(least(n / 30.0, 1.0), 6) AS confidence, CASE WHEN n < 5 THEN 'low' WHEN n < 20 THEN 'medium' ELSE 'high' END AS hype_level FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) x""",
 )
 def _(t):
     mentions = t.conversations.select(F.col("conv_id").alias("subject"), "text")
     replies = t.sql("""SELECT conv_id AS subject, concat('``` {"sentiment": ', cast(count(*) / 20 AS string), ', "positive": ["a","b","c","d","e","f"], "summary": "s"} ```') AS text
-        FROM conversations WHERE conv_id % 3 <> 0 GROUP BY conv_id""")
+        FROM conversations GROUP BY conv_id HAVING count(*) >= 5""")
     out = evidence.community_feedback(replies, mentions)
     return out.select(
         "subject", rounded("sentiment_score", 4).alias("sentiment_score"), F.when(F.col("positive_aspects").isNotNull(), F.size("positive_aspects")).alias("n_positive"),

@@ -27,12 +27,13 @@ def _(t):
 
 @query(
     "J2_entity_profile_lookup",
-    """SELECT entity, try_cast(regexp_extract(parameters, '([0-9.]+)', 1) AS DOUBLE) + CASE WHEN ord % 5 < 3 THEN 0 ELSE 1000 END AS size,
-    CASE WHEN ord % 5 >= 3 THEN organization END AS organization FROM entities""",
+    """SELECT entity, try_cast(regexp_extract(parameters, '([0-9.]+)', 1) AS DOUBLE) + CASE WHEN open_source THEN 1000 ELSE 0 END AS size,
+    CASE WHEN open_source THEN organization END AS organization FROM entities""",
 )
 def _(t):
-    # The feature table knows some entities, under another size than the entities' own rows.
-    known = t.entities.filter("ord % 5 >= 3").withColumn("parameters", F.concat((F.substring_index(F.substring_index("parameters", "B", 1), "M", 1).cast("int") + 1000).cast("string"), F.lit("B")))
+    # The feature table knows the open entities, under another size than the entities' own rows.
+    bare = F.regexp_replace("parameters", "[BM]", "").cast("int")
+    known = t.entities.filter("open_source").withColumn("parameters", F.concat((bare + 1000).cast("string"), F.lit("B")))
     return dimensions.profile_fields(t.entities, known)
 
 
@@ -66,7 +67,7 @@ SELECT n.name, h.key, CAST(h.tier AS INT) AS tier FROM names n LEFT JOIN (SELECT
 
 _COMPONENT_NAMES = """SELECT DISTINCT split_part(language_model, '<br>', 1) AS name FROM entities
   UNION SELECT DISTINCT lower(vision_model) FROM entities UNION SELECT DISTINCT organization FROM entities UNION SELECT DISTINCT substr(organization, 2, 3) FROM entities"""
-_COMPONENT_KEYS = """SELECT key, row_number() OVER (ORDER BY key DESC) AS ord FROM (SELECT DISTINCT language_model AS key FROM entities
+_COMPONENT_KEYS = """SELECT key, -length(key) AS ord FROM (SELECT DISTINCT language_model AS key FROM entities
   UNION SELECT DISTINCT vision_model FROM entities UNION SELECT DISTINCT family FROM entities) x"""
 
 
@@ -83,7 +84,7 @@ def _(t):
 
 
 _ITEM_NAMES = "SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT lower(p_brand) FROM part UNION SELECT DISTINCT concat(p_type, ' v2') FROM part"
-_ITEM_KEYS = "SELECT key, row_number() OVER (ORDER BY key) AS ord FROM (SELECT DISTINCT p_brand AS key FROM part UNION SELECT DISTINCT p_type FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part) x"
+_ITEM_KEYS = "SELECT key, length(key) AS ord FROM (SELECT DISTINCT p_brand AS key FROM part UNION SELECT DISTINCT p_type FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part) x"
 
 
 @query(
@@ -96,7 +97,7 @@ def _(t):
 
 _ENTITY_NAMES = """SELECT DISTINCT lower(replace(p_name, ' ', '_')) AS name FROM part UNION SELECT DISTINCT p_type FROM part
   UNION SELECT DISTINCT concat('the ', p_name, ' one') FROM part UNION SELECT DISTINCT substr(p_name, 3, 5) FROM part"""
-_ENTITY_KEYS = "SELECT key, row_number() OVER (ORDER BY key DESC) AS ord FROM (SELECT DISTINCT p_name AS key FROM part) x"
+_ENTITY_KEYS = "SELECT key, -length(key) AS ord FROM (SELECT DISTINCT p_name AS key FROM part) x"
 _NORM = "translate(lower({0}), ' _-.', '')"
 
 
