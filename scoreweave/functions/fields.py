@@ -13,6 +13,11 @@ CODE_HOST = "github.com"
 HUB_URL = "https://huggingface.co/"
 RAW_README = "https://raw.githubusercontent.com/{owner}/{repo}/main/README.md"
 
+# The number in a size text, the size in a name, owner and repository in an address.
+SIZE_NUMBER = r"([\d.]+)"
+NAME_SIZE = r"(?i)(\d+(?:\.\d+)?)\s*B"
+CODE_REPOSITORY = r"github\.com/([^/]+)/([^/]+)"
+
 # Scales of the profile vectors.
 SIZE_SCALE = 100.0
 SAMPLES_SCALE = 50000.0
@@ -25,7 +30,7 @@ def _blank_to_null(c: Column) -> Column:
 
 def parse_parameters(c: Column) -> Column:
     """First number of the text, whatever the unit; 0 when there is none."""
-    number = F.regexp_extract(c, r"([\d.]+)", 1)
+    number = F.regexp_extract(c, SIZE_NUMBER, 1)
     return F.coalesce(number.try_cast("double"), F.lit(0.0))
 
 
@@ -127,9 +132,8 @@ def entity_links(url: Column, open_source: Column) -> Column:
 
 
 def readme_raw_url(url: Column) -> Column:
-    pattern = r"github\.com/([^/]+)/([^/]+)"
-    owner = F.regexp_extract(url, pattern, 1)
-    repo = F.replace(F.regexp_extract(url, pattern, 2), F.lit(".git"), F.lit(""))
+    owner = F.regexp_extract(url, CODE_REPOSITORY, 1)
+    repo = F.replace(F.regexp_extract(url, CODE_REPOSITORY, 2), F.lit(".git"), F.lit(""))
     head, middle, tail = RAW_README.replace("{owner}", "\0").replace("{repo}", "\0").split("\0")
     return F.when(owner != "", F.concat(F.lit(head), owner, F.lit(middle), repo, F.lit(tail)))
 
@@ -181,7 +185,7 @@ def unstandardize(score: Column, mu: Column, sigma: Column) -> Column:
 
 def name_size(name: Column) -> Column:
     """First ``number B`` in a name, 0 when there is none."""
-    number = F.regexp_extract(name, r"(?i)(\d+(?:\.\d+)?)\s*B", 1)
+    number = F.regexp_extract(name, NAME_SIZE, 1)
     return F.coalesce(number.try_cast("double"), F.lit(0.0))
 
 

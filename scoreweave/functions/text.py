@@ -43,9 +43,25 @@ README_PAPER_PATTERNS = (
     r"(?i)https?://arxiv\.org/(?:abs|pdf)/(\d{4}\.\d{4,5}(?:v\d+)?)",
     r"\[(\d{4}\.\d{4,5})\]",
 )
+PAPER_NUMBER = r"(\d{4}\.\d{4,5})"
 PAPER_KEYS = ("paper_url", "arxiv", "paper")
 
-# The reference lengths, in characters, for those who want texts cut.
+# What is taken off a name before names are compared, and the version in a name.
+REMARK = r"\s*\([^)]*\)"
+SEPARATORS = r"[-_.\s]+"
+VERSION = r"(?i)[-_]?v?\d+\.?\d*[-_]?"
+TRAILING_SIZE = r"\d+b?$"
+
+# Link targets and runs that are shortened in marked-up text.
+LINK_TARGETS = r"\(https?:.*?\)|\[https?:.*?\]"
+RUNS = (("---", "-"), ("===", "="), ("   ", " "))
+
+# Where a reply holds its JSON, in order of preference.
+JSON_FENCE = r"```json\s*([\s\S]*?)\s*```"
+ANY_FENCE = r"```\s*([\s\S]*?)\s*```"
+BRACES = r"\{[\s\S]*\}"
+
+# The usual lengths, in characters, for those who want texts cut.
 PAGE_LIMIT = 15000
 MENTION_LIMIT = 2000
 CONTEXT_LIMIT = 10000
@@ -63,7 +79,7 @@ def _cut(c: Column, limit: int | None) -> Column:
 def normalize_name(c: Column, strip_parens: bool = False) -> Column:
     """Lower case without blanks, ``_``, ``-`` and ``.``; optionally without bracketed remarks."""
     if strip_parens:
-        return F.regexp_replace(F.lower(F.regexp_replace(c, r"\s*\([^)]*\)", "")), r"[-_.\s]+", "")
+        return F.regexp_replace(F.lower(F.regexp_replace(c, REMARK, "")), SEPARATORS, "")
     return F.translate(F.lower(c), " _-.", "")
 
 
@@ -74,7 +90,7 @@ def search_terms(name: Column) -> Column:
         base,
         F.replace(base, F.lit(" "), F.lit("-")),
         F.replace(base, F.lit("-"), F.lit(" ")),
-        F.regexp_replace(base, r"(?i)[-_]?v?\d+\.?\d*[-_]?", ""),
+        F.regexp_replace(base, VERSION, ""),
     )
     first = F.transform(F.slice(F.array_distinct(spellings), 1, 3), lambda t: F.trim(t))
     return F.filter(first, lambda t: t != "")
@@ -86,17 +102,16 @@ def paper_id(text: Column, patterns: tuple[str, ...] = README_PAPER_PATTERNS) ->
 
 def paper_ids(text: Column) -> Column:
     """Every paper id of the text, in order of first mention."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\d{4}\.\d{4,5})"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(PAPER_NUMBER), F.lit(1)))
 
 
 def paper_id_from_card(card: Column) -> Column:
     """Paper id from a stored hub reply: the card's own keys first, then the tags."""
-    number = r"(\d{4}\.\d{4,5})"
     values = [F.get_json_object(card, f"$.cardData.{key}") for key in PAPER_KEYS]
-    from_keys = [F.when(F.lower(v).contains("arxiv"), _matched(v, number)) for v in values]
+    from_keys = [F.when(F.lower(v).contains("arxiv"), _matched(v, PAPER_NUMBER)) for v in values]
     tags = F.from_json(F.get_json_object(card, "$.tags"), "ARRAY<STRING>")
     tag_ids = F.filter(
-        F.transform(tags, lambda t: F.when(F.lower(t).contains("arxiv"), F.regexp_extract(t, number, 1))),
+        F.transform(tags, lambda t: F.when(F.lower(t).contains("arxiv"), F.regexp_extract(t, PAPER_NUMBER, 1))),
         lambda t: t != "",
     )
     return F.coalesce(*from_keys, F.try_element_at(tag_ids, F.lit(1)))
@@ -166,8 +181,8 @@ def is_error_page(text: Column) -> Column:
 
 def clean_markdown(text: Column) -> Column:
     """Drop link targets, then shorten rules and runs of three blanks."""
-    out = F.regexp_replace(text, r"\(https?:.*?\)|\[https?:.*?\]", "")
-    for run, short in (("---", "-"), ("===", "="), ("   ", " ")):
+    out = F.regexp_replace(text, LINK_TARGETS, "")
+    for run, short in RUNS:
         out = F.replace(out, F.lit(run), F.lit(short))
     return out
 
@@ -188,9 +203,9 @@ def usable_content(fetched: Column, snippet: Column, limit: int | None = None) -
 
 def json_block(text: Column) -> Column:
     """The JSON text of a reply: a fence marked json, else any fence, else first to last brace."""
-    marked = F.when(text.contains("```json"), _matched(text, r"```json\s*([\s\S]*?)\s*```"))
-    fenced = F.when(~text.contains("```json"), _matched(text, r"```\s*([\s\S]*?)\s*```"))
-    return F.coalesce(marked, fenced, _matched(text, r"\{[\s\S]*\}", 0))
+    marked = F.when(text.contains("```json"), _matched(text, JSON_FENCE))
+    fenced = F.when(~text.contains("```json"), _matched(text, ANY_FENCE))
+    return F.coalesce(marked, fenced, _matched(text, BRACES, 0))
 
 
 def json_field(block: Column, name: str) -> Column:

@@ -196,14 +196,22 @@ def neighbour_details(
     )
 
 
-def peer_summary(neighbours: DataFrame, targets: DataFrame, ranges: DataFrame, margin: float = 0.0) -> DataFrame:
-    """Lowest, median and highest peer score per target (0 to 100), the prediction's distance from the
-    median, and whether the prediction lies above, below or inside the peers' range."""
-    rows = fields.with_range(neighbours.select("entity", "item", "peer_score"), ranges)
+def _peer_figures(neighbours: DataFrame, ranges: DataFrame, *more: Column) -> DataFrame:
+    """Lowest, median and highest peer score per target (0 to 100); a target has at most 2k + 1 peers."""
     percent = fields.to_percent(F.col("peer_score"), F.col("lo"), F.col("hi"))
-    out = rows.groupBy("entity", "item").agg(
-        F.min(percent).alias("peer_min"), F.median(percent).alias("peer_median"), F.max(percent).alias("peer_max")
+    return (
+        fields.with_range(neighbours, ranges)
+        .groupBy("entity", "item")
+        .agg(
+            F.min(percent).alias("peer_min"),
+            F.median(percent).alias("peer_median"),
+            F.max(percent).alias("peer_max"),
+            *more,
+        )
     )
+
+
+def _with_flag(figures: DataFrame, targets: DataFrame, ranges: DataFrame, margin: float) -> DataFrame:
     asked = fields.with_range(targets.select("entity", "item", "prediction"), ranges)
     asked = asked.select(
         "entity", "item", fields.to_percent(F.col("prediction"), F.col("lo"), F.col("hi")).alias("prediction_percent")
@@ -211,20 +219,31 @@ def peer_summary(neighbours: DataFrame, targets: DataFrame, ranges: DataFrame, m
     p = F.col("prediction_percent")
     flag = F.when(p > F.col("peer_max") + margin, "overestimate").when(p < F.col("peer_min") - margin, "underestimate")
     return (
-        out.join(asked, ["entity", "item"])
+        figures.join(asked, ["entity", "item"])
         .withColumn("deviation", p - F.col("peer_median"))
         .withColumn("flag", flag.otherwise("consistent"))
     )
 
 
-def rank_evidence(targets: DataFrame, scores: DataFrame, ranges: DataFrame, k: int = 4) -> DataFrame:
-    """Per target: predicted rank, ranked entities, peers in order (at most 2k+1) and their summary."""
-    peers = rank_neighbours(targets, scores, k)
+def peer_summary(neighbours: DataFrame, targets: DataFrame, ranges: DataFrame, margin: float = 0.0) -> DataFrame:
+    """Lowest, median and highest peer score per target (0 to 100), the prediction's distance from the
+    median, and whether the prediction lies above, below or inside the peers' range."""
+    return _with_flag(_peer_figures(neighbours, ranges), targets, ranges, margin)
+
+
+def rank_evidence(
+    targets: DataFrame, scores: DataFrame, ranges: DataFrame, k: int = 4, margin: float = 0.0
+) -> DataFrame:
+    """Per target: predicted rank, ranked entities, peers in order (at most 2k + 1) and their summary."""
     member = F.struct("rank", F.col("peer").alias("entity"), F.col("peer_score").alias("score"))
-    grouped = peers.groupBy("entity", "item", "predicted_rank", "n_ranked").agg(
-        F.sort_array(F.collect_list(member)).alias("peers")
+    figures = _peer_figures(
+        rank_neighbours(targets, scores, k),
+        ranges,
+        F.first("predicted_rank").alias("predicted_rank"),
+        F.first("n_ranked").alias("n_ranked"),
+        F.sort_array(F.collect_list(member)).alias("peers"),
     )
-    return grouped.join(peer_summary(peers, targets, ranges), ["entity", "item"])
+    return _with_flag(figures, targets, ranges, margin)
 
 
 def evolution_members(entities: DataFrame) -> DataFrame:

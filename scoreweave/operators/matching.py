@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreweave.functions.fields import family_fallback
-from scoreweave.functions.text import normalize_name
+from scoreweave.functions.text import TRAILING_SIZE, normalize_name
 
 _ANCHOR = 3  # characters of a needle looked up before the needle itself
 _MAX_RULES = 2000
@@ -144,7 +144,7 @@ def match_repository(names: DataFrame, repositories: DataFrame) -> DataFrame:
     """
 
     def bare(c):
-        return F.regexp_replace(c, r"\d+b?$", "")
+        return F.regexp_replace(c, TRAILING_SIZE, "")
 
     def either_way(left, right, a, b):
         one = contained_pairs(left.select(a), right.select(b)).toDF(a, b)
