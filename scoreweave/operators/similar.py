@@ -34,9 +34,10 @@ def top_k_similar(new: DataFrame, known: DataFrame, k: int = 5, cells: int | Non
     """The ``k`` most similar rows of ``known(id, vec)`` for each row of ``new(id, vec)``:
     ``(id, known_id, similarity, rank)``. The result is exact.
 
-    Known vectors are grouped around pivot directions. From the angle to a pivot and the cell's radius follow
-    bounds on every similarity inside; cells that cannot hold one of the best ``k`` are skipped. What is left
-    is compared block by block (both sides packed to at most a few thousand vectors), and only ``k`` rows per
+    Known vectors are grouped around pivot directions. Each new vector is first compared with its nearest
+    cell; the ``k``-th best similarity found there is a floor. From the angle to a pivot and the cell's radius
+    follow bounds on every similarity inside, and cells that cannot reach the floor are skipped. What is left is
+    compared block by block (both sides packed to at most a few thousand vectors), and only ``k`` rows per
     block leave it. Copies are searched once: of equal known vectors only the first ``k`` ids can matter.
     """
     as_double = F.col("vec").cast("array<double>").alias("vec")
@@ -73,43 +74,45 @@ def top_k_similar(new: DataFrame, known: DataFrame, k: int = 5, cells: int | Non
         return wanted.limit(0).select("id", F.lit("").alias("known_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("rank"))
     ids, radius, sizes, least, blocks = (np.array(c) for c in zip(*table))
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def bounds(vectors: np.ndarray):
+        """Per vector and cell: the highest and lowest similarity possible, up to the vector's own padding."""
+        angles = np.zeros((len(vectors), len(ids)))
+        real = ids >= 0
+        if len(pivots):
+            angles[:, real] = np.arccos(np.clip(_units(vectors) @ pivots[ids[real]].T, -1, 1))
+        nearest = np.cos(np.clip(angles - radius, 0, math.pi))
+        farthest = np.cos(np.clip(angles + radius, 0, math.pi))
+        upper, lower = np.maximum(nearest, 0), np.minimum(farthest, farthest * least)
+        upper[:, ~real], lower[:, ~real] = 0.0, 0.0
+        return upper, lower, np.where(real, angles, math.pi + 1).argmin(axis=1)
+
+    def cells_of(pdf: pd.DataFrame, rows: np.ndarray, cols: np.ndarray) -> pd.DataFrame:
+        picked = {c: pdf[c].to_numpy()[rows] for c in ("key", "vec")}
+        return pd.DataFrame({**picked, "cell": ids[cols], "blocks": blocks[cols]})
+
+    def route_first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            _, _, first = bounds(np.stack(pdf["vec"].to_numpy()))
+            yield cells_of(pdf, np.arange(len(pdf)), first)
+
+    def route_rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             vectors = np.stack(pdf["vec"].to_numpy())
-            angles = np.zeros((len(pdf), len(ids)))
-            real = ids >= 0
-            if len(pivots):
-                angles[:, real] = np.arccos(np.clip(_units(vectors) @ pivots[ids[real]].T, -1, 1))
-            nearest = np.cos(np.clip(angles - radius, 0, math.pi))
-            farthest = np.cos(np.clip(angles + radius, 0, math.pi))
-            upper, lower = np.maximum(nearest, 0), np.minimum(farthest, farthest * least)
-            upper[:, ~real], lower[:, ~real] = 0.0, 0.0
+            upper, lower, first = bounds(vectors)
             order = np.argsort(-lower, axis=1, kind="stable")
             reached = np.cumsum(sizes[order], axis=1) >= k
             last = np.where(reached.any(axis=1), reached.argmax(axis=1), len(ids) - 1)
-            bound = np.take_along_axis(np.take_along_axis(lower, order, 1), last[:, None], 1)
-            # With fewer than k known, or for a zero vector (all similarities 0), nothing can be skipped.
-            open_end = ~reached.any(axis=1) | ~vectors.any(axis=1)
-            bound = np.where(open_end[:, None], -np.inf, bound)
-            rows, cols = np.nonzero(upper >= bound - 1e-6)
-            yield pd.DataFrame(
-                {
-                    "key": pdf["key"].to_numpy()[rows],
-                    "vec": pdf["vec"].to_numpy()[rows],
-                    "cell": ids[cols],
-                    "blocks": blocks[cols],
-                }
-            )
-
-    routed = asked.mapInPandas(route, "key string, vec array<double>, cell int, blocks int")
-    # Packs of new vectors: a cell's share of them is cut by hash, about one block each.
-    per_cell = max(1, -(-asked.count() // block))
-    packs = (
-        routed.withColumn("pack", F.pmod(F.xxhash64("key"), F.lit(per_cell)).cast("int"))
-        .groupBy("cell", "pack")
-        .agg(F.collect_list(F.struct("key", "vec")).alias("news"), F.max("blocks").alias("blocks"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    )
+            bound = np.take_along_axis(np.take_along_axis(lower, order, 1), last[:, None], 1)[:, 0]
+            shrink = _shrink(vectors)
+            found = pdf["floor"].to_numpy(dtype=float) / np.where(shrink == 0, 1.0, shrink)
+            # A vector without a floor relies on the bounds alone; with fewer than k known, or for a zero vector
+            # (all similarities 0), nothing can be skipped.
+            bound = np.where(reached.any(axis=1), np.fmax(bound, found), -np.inf)
+            bound[shrink == 0] = -np.inf
+            wanted_cells = upper >= bound[:, None] - 1e-6
+            wanted_cells[np.arange(len(pdf)), first] = False
+            yield cells_of(pdf, *np.nonzero(wanted_cells))
+
     shelves = (
         placed.join(F.broadcast(stats.select("cell", "blocks")), "cell")  # at most 1,025 rows
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -137,8 +140,25 @@ def top_k_similar(new: DataFrame, known: DataFrame, k: int = 5, cells: int | Non
                     }
                 )
 
-    pairs = packs.join(shelves, ["cell", "block"]).select("news", "olds")
-    near = pairs.mapInPandas(compare, "key string, known_id string, similarity double")
+    # Packs of new vectors: a cell's share of them is cut by hash, about one block each.
+    per_cell = max(1, -(-asked.count() // block))
+
+    def search(routed: DataFrame) -> DataFrame:
+        packs = (
+            routed.withColumn("pack", F.pmod(F.xxhash64("key"), F.lit(per_cell)).cast("int"))
+            .groupBy("cell", "pack")
+            .agg(F.collect_list(F.struct("key", "vec")).alias("news"), F.max("blocks").alias("blocks"))
+            .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        )
+        pairs = packs.join(shelves, ["cell", "block"]).select("news", "olds")
+        return pairs.mapInPandas(compare, "key string, known_id string, similarity double")
+
+    routed = "key string, vec array<double>, cell int, blocks int"
+    near = cut_lineage(search(asked.mapInPandas(route_first, routed)))
+    floors = first_per_key(near, ["key"], [F.col("similarity").desc(), F.col("known_id")], k).groupBy("key")
+    floors = floors.agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("floor")).filter(F.col("n") == k)
+    rest = asked.join(floors.select("key", "floor"), "key", "left")
+    near = near.unionByName(search(rest.mapInPandas(route_rest, routed)))
     top = first_per_key(near, ["key"], [F.col("similarity").desc(), F.col("known_id")], k)
     lists = top.groupBy("key").agg(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "known_id")).alias("best"))
     answer = asked.join(lists, "key").select("vec", F.posexplode(F.sort_array("best")).alias("at", "hit"))

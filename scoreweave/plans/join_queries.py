@@ -170,26 +170,26 @@ def _(t):
 
 @query(
     "J11_family_scores",
-    """SELECT t.entity, t.item, e.family, count(s.score) AS sibling_count, round(avg(s.score), 6) AS sibling_mean, min(s.score) AS sibling_min, max(s.score) AS sibling_max
+    """SELECT t.entity, t.item, e.family, count(s.score) AS sibling_count, round(avg(s.score), 10) AS sibling_mean, min(s.score) AS sibling_min, max(s.score) AS sibling_max
     FROM test_cells t JOIN entities e ON t.entity = e.entity
     LEFT JOIN (SELECT tr.entity, tr.item, tr.score, m.family FROM train tr JOIN entities m ON tr.entity = m.entity) s
       ON s.family = e.family AND s.item = t.item AND s.entity <> t.entity GROUP BY 1, 2, 3""",
 )
 def _(t):
     out = evidence.sibling_summary(t.held_out.select("entity", "item"), t.entities, t.training)
-    return out.withColumn("sibling_mean", rounded("sibling_mean", 6))
+    return out.withColumn("sibling_mean", rounded("sibling_mean", 10))
 
 
 @query(
     "J11_family_members_all_cells",
-    """SELECT s.entity, s.item, e.family, count(o.score) AS sibling_count, round(avg(o.score), 6) AS sibling_mean, min(o.score) AS sibling_min, max(o.score) AS sibling_max
+    """SELECT s.entity, s.item, e.family, count(o.score) AS sibling_count, round(avg(o.score), 10) AS sibling_mean, min(o.score) AS sibling_min, max(o.score) AS sibling_max
     FROM scores s JOIN entities e ON s.entity = e.entity
     LEFT JOIN (SELECT x.entity, x.item, x.score, m.family FROM scores x JOIN entities m ON x.entity = m.entity) o
       ON o.family = e.family AND o.item = s.item AND o.entity <> s.entity GROUP BY 1, 2, 3""",
 )
 def _(t):
     out = evidence.sibling_summary(t.scores.select("entity", "item"), t.entities, t.scores)
-    return out.withColumn("sibling_mean", rounded("sibling_mean", 6))
+    return out.withColumn("sibling_mean", rounded("sibling_mean", 10))
 
 
 @query("J12_restrict_to_leaderboard", "SELECT entity, family FROM entities WHERE entity IN (SELECT entity FROM scores)")
