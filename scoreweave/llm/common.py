@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word rule: space, and tab to carriage return.
@@ -89,3 +90,11 @@ def running(values: Column, block: int = 256) -> Column:
         return let(F.transform(numbers, lambda k: plain(F.slice(v, k * block + 1, F.lit(block)))), joined)
 
     return let(values, lambda v: F.when(F.size(v) <= block, plain(v)).otherwise(blocks(v)))
+
+
+def tasks_find_library(spark: SparkSession) -> None:
+    """Let Python tasks import this library from where the driver has it, whatever folder the driver started in."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])

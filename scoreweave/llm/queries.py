@@ -7,14 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreweave.llm import packing, quality, sharding, token_counts
+from scoreweave.llm import decontamination, jaccard, packing, quality, sharding, token_counts
+from scoreweave.llm.common import tasks_find_library
 from scoreweave.session import new_table_path
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
+    tasks_find_library(spark)
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.leaks(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as flat token streams, then the scan; the writer's list of ids names the documents again."""
     path = new_table_path(spark, "stream")
@@ -40,11 +46,17 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder))
 
 
+def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
     "op3_sharding": op3_sharding,
     "op4_quality_rules": op4_quality_rules,
     "op8_packing": op8_packing,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 ORACLES: dict[str, str] = {}
