@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreweave.llm import decontamination, jaccard, packing, quality, sharding, token_counts
-from scoreweave.llm.common import tasks_find_library
+from scoreweave.llm import decontamination, jaccard, packing, pii, quality, secrets, sharding, token_counts
+from scoreweave.llm.common import span_list, tasks_find_library
 from scoreweave.session import new_table_path
 
 
@@ -42,6 +42,22 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", *[F.col(f"quality.{n}").alias(n) for n in names])
 
 
+def _kinds(found: DataFrame, column: str, kinds: tuple[str, ...]) -> DataFrame:
+    base = F.col(f"{column}.base")
+    counts = {f"n_{k}": F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long") for k in kinds}
+    out = found.withColumns(counts | {"base_sha256": secrets.digest(base), "spans": span_list(F.col(f"{column}.spans"))})
+    return out.select("doc_id", *counts, "base_sha256", "spans")
+
+
+def op5_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    return _kinds(secrets.find_secrets(docs), "secrets", secrets.KINDS)
+
+
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return _kinds(pii.find_pii(documents(spark, folder).select("doc_id", "text")), "pii", pii.KINDS)
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder))
 
@@ -55,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_sharding": op3_sharding,
     "op4_quality_rules": op4_quality_rules,
+    "op5_secret_scans": op5_secret_scans,
+    "op7_pii": op7_pii,
     "op8_packing": op8_packing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
