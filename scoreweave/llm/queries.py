@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreweave.llm import decontamination, jaccard, packing, pii, quality, secrets, sharding, token_counts
+from scoreweave.llm import decontamination, jaccard, licenses, packing, pii, quality, secrets, sharding, suffixes, token_counts
 from scoreweave.llm.common import span_list, tasks_find_library
 from scoreweave.session import new_table_path
 
@@ -54,6 +54,13 @@ def op5_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return _kinds(secrets.find_secrets(docs), "secrets", secrets.KINDS)
 
 
+def op6_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    out = licenses.scan_licenses(documents(spark, folder).select("doc_id", "text"))
+    names = ["n_words", "n_base", "first_word", "last_word", "score"]
+    lists = [F.array_join(f"license.{n}", ",").alias(n) for n in ("base_labels", "labels")]
+    return out.select("doc_id", *[F.col(f"license.{n}").alias(n) for n in names], *lists)
+
+
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return _kinds(pii.find_pii(documents(spark, folder).select("doc_id", "text")), "pii", pii.KINDS)
 
@@ -62,6 +69,11 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder))
 
 
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = suffixes.remove_repeats(documents(spark, folder))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, folder))
 
@@ -72,8 +84,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_quality_rules": op4_quality_rules,
     "op5_secret_scans": op5_secret_scans,
+    "op6_license_scans": op6_license_scans,
     "op7_pii": op7_pii,
     "op8_packing": op8_packing,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
