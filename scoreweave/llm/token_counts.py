@@ -112,8 +112,8 @@ def count_tokens(blocks: DataFrame, end_id: int = 50256, width: int = 2) -> Data
         "_at": F.coalesce(F.sum("n").over(before), first), "_docs": F.coalesce(F.sum(F.size("seps")).over(before), first),
         "_last_block": F.lead("block_no").over(inner).isNull(),
     })
-    local = local.withColumn("_end", F.max(F.col("_at") + F.element_at("seps", -1)).over(before))
-    own = F.when(F.size("seps") > 0, F.col("_at") + F.element_at("seps", -1))
+    local = local.withColumn("_end", F.max(F.col("_at") + F.try_element_at("seps", F.lit(-1))).over(before))
+    own = F.when(F.size("seps") > 0, F.col("_at") + F.try_element_at("seps", F.lit(-1)))
     spans = local.groupBy("file", "_span").agg(
         F.sum("n").alias("_n"), F.sum(F.size("seps")).alias("_d"), F.max(own).alias("_e")
     )
@@ -125,7 +125,7 @@ def count_tokens(blocks: DataFrame, end_id: int = 50256, width: int = 2) -> Data
     placed = local.join(spans.select("file", "_span", "_at0", "_docs0", "_end0", "_final"), ["file", "_span"])
     at = F.col("_at0") + F.col("_at")
     placed = placed.withColumn("_prev", F.coalesce(F.col("_at0") + F.col("_end"), F.col("_end0")))
-    last = F.coalesce(at + F.element_at("seps", -1), F.col("_prev"))
+    last = F.coalesce(at + F.try_element_at("seps", F.lit(-1)), F.col("_prev"))
     total = at + F.col("n")
     closing = F.when(F.col("_last_block") & F.col("_final") & (last < total - 1), F.array(total)).otherwise(F.array().cast("array<long>"))
     ends = F.concat(F.transform("seps", lambda s: at + s), closing)
