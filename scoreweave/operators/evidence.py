@@ -6,6 +6,7 @@ and summary figures. Pairing every target with every relative would square a lar
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from scoreweave.functions import fields, text
 from scoreweave.operators.matching import organization_profile
-from scoreweave.operators.spread import first_per_key, ranked, running_counts
+from scoreweave.operators.spread import first_per_key, ranked, running_sums
 
 _PAGE = 1000  # lines in one page of family scores
 _MIN_RANKED = 3  # items with fewer scores have no neighbours
@@ -130,13 +131,15 @@ def predicted_ranks(targets: DataFrame, ranks: DataFrame) -> DataFrame:
     prediction, ties to the better rank. Items with fewer than three scores give no row.
 
     Only the two scores on either side can be nearest, and their ranks follow from how many scores lie above.
+    Equal scores of an item are one mark with a count, so a frequent value is one row.
     """
     known = ranks.filter(F.col("n_ranked") >= _MIN_RANKED)
-    marks = known.select("item", F.col("score").alias("value"), F.lit(None).cast("string").alias("target"))
-    asked = targets.select("item", F.col("prediction").alias("value"), F.col("entity").alias("target"))
+    none = F.lit(None).cast("string").alias("target")
+    marks = known.groupBy("item", F.col("score").alias("value")).agg(F.count(F.lit(1)).alias("times")).withColumn("target", none)
+    asked = targets.select("item", F.col("prediction").alias("value"), F.lit(0).cast("long").alias("times"), F.col("entity").alias("target"))
     # A target precedes equal scores, so that those count as "not above".
     order = [F.col("value").desc(), F.col("target").desc_nulls_last()]
-    placed = running_counts(marks.unionByName(asked), ["item"], order, {"above": F.col("target").isNull()})
+    placed = running_sums(marks.unionByName(asked), ["item"], order, {"above": F.col("times")})
     placed = placed.filter("target IS NOT NULL").select("item", F.col("target").alias("entity"), "value", "above")
     sides = placed.withColumn("rank", F.explode(F.array("above", F.col("above") + 1)))
     near = sides.join(known.select("item", "rank", "score", "best_rank", "n_ranked"), ["item", "rank"])
@@ -164,8 +167,9 @@ def neighbour_details(
     profiles: Sequence[tuple],
     vision_organizations: DataFrame | None = None,
     language_organizations: DataFrame | None = None,
+    summary_limit: int | None = None,
 ) -> DataFrame:
-    """Neighbours with organization profile, components, size, date and a short summary; unknown defaults.
+    """Neighbours with organization profile, components, size, date and summary; unknown defaults.
 
     ``tree(entity, organization, parameters, language_model, vision_model, release_date, technical_summary)``
     is prepared per entity first, then joined once. The two component tables map a component to its maker.
@@ -184,6 +188,7 @@ def neighbour_details(
     def known(c):
         return F.coalesce(c, F.lit(_UNKNOWN)).alias(c)
 
+    summary = F.col("technical_summary")
     return neighbours.join(info, "peer", "left").select(
         *neighbours.columns,
         known("organization"),
@@ -192,7 +197,7 @@ def neighbour_details(
         F.coalesce("_p.local_focus", F.lit(False)).alias("local_focus"),
         *[known(c) for c in ("vision_model", "vision_model_organization", "language_model")],
         *[known(c) for c in ("language_model_organization", "parameters", "release_date")],
-        F.coalesce(F.substring("technical_summary", 1, 200), F.lit("")).alias("technical_summary"),
+        F.coalesce(summary if summary_limit is None else F.substring(summary, 1, summary_limit), F.lit("")).alias("technical_summary"),
     )
 
 
@@ -401,43 +406,40 @@ def request_table(evidence: DataFrame, templates: Mapping[str, str], keys: Seque
     The user writes the templates; the result is a table, nothing is sent.
     """
     steps = []
+    names = "|".join(re.escape(c) for c in sorted(evidence.columns, key=len, reverse=True))
     for step, template in templates.items():
-        body = F.lit(template)
-        for c in evidence.columns:
-            if "{" + c + "}" in template:
-                body = F.replace(body, F.lit("{" + c + "}"), F.coalesce(F.col(c).cast("string"), F.lit("N/A")))
-        steps.append(F.struct(F.lit(step).alias("step"), body.alias("request")))
+        # Cut once: text that comes from a column is not looked at again. Odd pieces are column names.
+        pieces = re.split("{(" + names + ")}", template)
+        parts = [F.coalesce(F.col(p).cast("string"), F.lit("N/A")) if k % 2 else F.lit(p) for k, p in enumerate(pieces)]
+        steps.append(F.struct(F.lit(step).alias("step"), F.concat(*parts).alias("request")))
     return evidence.select(*keys, F.explode(F.array(*steps)).alias("r")).select(*keys, "r.*")
 
 
 def parse_adjustments(replies: DataFrame) -> DataFrame:
-    """Correction, weight, confidence and explanation from ``replies(entity, item, text)``. A reply without
-    a JSON object gives no row."""
-    block = text.json_block(F.col("text"))
-    valid = replies.withColumn("_json", F.when(F.try_parse_json(block).isNotNull(), block)).filter("_json IS NOT NULL")
+    """Correction, weight, confidence and explanation from ``replies(entity, item, text)``.
 
-    def number(c, missing):
-        return F.coalesce(F.expr(f"try_cast({c} AS double)"), F.lit(missing))
+    A reply without a JSON object (none, an array, a scalar) gives no row. A key that is present decides, even if it
+    holds no finite number: a correction is then 0, a weight 1. Each reply is parsed once.
+    """
+    valid = replies.withColumn("_v", F.try_parse_json(text.json_block(F.col("text"))))
+    valid = valid.filter(F.schema_of_variant("_v").startswith("OBJECT"))
 
-    raw = valid.select(
-        "entity",
-        "item",
-        F.coalesce(text.json_field(F.col("_json"), "delta"), text.json_field(F.col("_json"), "adjustment")).alias("_d"),
-        text.json_field(F.col("_json"), "credibility_weight").alias("_w"),
-        F.coalesce(text.json_field(F.col("_json"), "confidence"), F.lit("medium")).alias("confidence"),
-        F.coalesce(
-            text.json_field(F.col("_json"), "explanation"), text.json_field(F.col("_json"), "analysis"), F.lit("")
-        ).alias("analysis"),
-        text.json_array(F.col("_json"), "evidence_summary").alias("evidence_summary"),
-    )
-    return raw.select(
+    def string(name):
+        return F.try_variant_get("_v", f"$.{name}", "string")
+
+    def number(name, missing):
+        value = string(name).try_cast("double")
+        return F.when(F.abs(value) < float("inf"), value).otherwise(missing)  # NaN is above every number
+
+    has_delta = F.try_variant_get("_v", "$.delta", "variant").isNotNull()
+    return valid.select(
         "entity",
         "item",
-        number("_d", 0.0).alias("delta"),
-        fields.clip(number("_w", 1.0), 0.0, 1.0).alias("credibility_weight"),
-        "confidence",
-        "analysis",
-        "evidence_summary",
+        F.when(has_delta, number("delta", 0.0)).otherwise(number("adjustment", 0.0)).alias("delta"),
+        fields.clip(number("credibility_weight", 1.0), 0.0, 1.0).alias("credibility_weight"),
+        F.coalesce(string("confidence"), F.lit("medium")).alias("confidence"),
+        F.coalesce(string("explanation"), string("analysis"), F.lit("")).alias("analysis"),
+        F.try_variant_get("_v", "$.evidence_summary", "array<string>").alias("evidence_summary"),
     )
 
 
@@ -490,21 +492,22 @@ def run_evaluation(results: DataFrame, ranges: DataFrame) -> dict[str, DataFrame
     }
 
 
-def community_feedback(replies: DataFrame, mentions: DataFrame, enough: int = 30) -> DataFrame:
-    """Per subject: sentiment, up to five positive and negative aspects and issues, summary; mention count,
-    confidence and hype level. ``replies(subject, text)``, ``mentions(subject, ...)``."""
+def community_feedback(replies: DataFrame, mentions: DataFrame, enough: int = 30, shown: int | None = None) -> DataFrame:
+    """Per subject: sentiment, positive and negative aspects and issues (the first ``shown``, if given), summary;
+    mention count, confidence and hype level. ``replies(subject, text)``, ``mentions(subject, ...)``."""
     counts = mentions.groupBy("subject").agg(F.count(F.lit(1)).alias("web_mentions_count"))
     block = replies.select("subject", text.json_block(F.col("text")).alias("_j"))
 
-    def first_five(name):
-        return F.slice(F.coalesce(text.json_array(F.col("_j"), name), F.array().cast("array<string>")), 1, 5)
+    def aspects(name):
+        found = F.coalesce(text.json_array(F.col("_j"), name), F.array().cast("array<string>"))
+        return found if shown is None else F.slice(found, 1, shown)
 
     parsed = block.select(
         "subject",
         text.json_field(F.col("_j"), "sentiment").try_cast("double").alias("_sentiment"),
-        first_five("positive").alias("positive_aspects"),
-        first_five("negative").alias("negative_aspects"),
-        first_five("issues").alias("reported_issues"),
+        aspects("positive").alias("positive_aspects"),
+        aspects("negative").alias("negative_aspects"),
+        aspects("issues").alias("reported_issues"),
         F.coalesce(text.json_field(F.col("_j"), "summary"), F.lit("")).alias("community_summary"),
     )
     n = F.col("web_mentions_count")
@@ -535,14 +538,21 @@ def component_knowledge(usage: DataFrame, replies: DataFrame, repositories: Data
     return out.withColumn("type", F.lit(kind)).withColumn("summary", F.coalesce("summary", F.lit("N/A")))
 
 
-def assemble_context(docs: DataFrame, at_most: int = 30, limit: int | None = text.CONTEXT_LIMIT) -> DataFrame:
-    """Per subject: the first documents as ``[source] title``, text; cut at ``limit`` characters if given."""
-    first = first_per_key(docs, ["subject"], [F.col("pos"), F.col("title")], at_most)
+def assemble_context(docs: DataFrame, at_most: int | None = None, limit: int | None = None, per_page: int = 1000) -> DataFrame:
+    """Per subject and page of ``per_page`` documents: their number, and each as ``[source] title``, text, in order.
+
+    Pages keep the text of a large subject from becoming one row; a subject within ``per_page`` has page 0 only.
+    ``at_most`` takes the first documents only, ``limit`` cuts each page to so many characters, both if given.
+    """
+    order = [F.col("pos"), F.col("title")]
+    docs = docs if at_most is None else first_per_key(docs, ["subject"], order, at_most)
+    first = ranked(docs, ["subject"], order, "_place")
+    first = first.withColumn("page", F.floor((F.col("_place") - 1) / F.lit(per_page)).cast("int"))
     one = F.concat(
         F.lit("\n["), F.coalesce("source", F.lit("")), F.lit("] "), F.coalesce("title", F.lit("")), F.lit("\n"),
         F.coalesce("text", F.lit("")), F.lit("\n"),
     )
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "title", one.alias("piece"))))
+    ordered = F.sort_array(F.collect_list(F.struct("_place", one.alias("piece"))))
     whole = F.array_join(F.transform(ordered, lambda e: e["piece"]), "")
-    out = first.groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"), whole.alias("context"))
+    out = first.groupBy("subject", "page").agg(F.count(F.lit(1)).alias("n_docs"), whole.alias("context"))
     return out if limit is None else out.withColumn("context", F.substring("context", 1, limit))

@@ -73,9 +73,16 @@ def running_counts(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], counts: Mapping[str, Column]
 ) -> DataFrame:
     """Add, per name in ``counts``, how many rows up to and including this one satisfy the condition."""
+    return running_sums(df, keys, order, {name: F.when(c, 1).otherwise(0) for name, c in counts.items()})
+
+
+def running_sums(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column]
+) -> DataFrame:
+    """Add, per name in ``sums``, the sum of a whole number over the rows up to and including this one."""
     keys = list(keys)
     rows = _numbered(df, keys, order)
-    flags = {name: F.when(condition, 1).otherwise(0).cast("long") for name, condition in counts.items()}
+    flags = {name: number.cast("long") for name, number in sums.items()}
     sums = rows.groupBy(*keys, "_part").agg(*[F.sum(flag).alias(f"_s_{name}") for name, flag in flags.items()])
     carried = sums.select(
         *keys, "_part", *[F.coalesce(F.sum(f"_s_{n}").over(_before(keys)), F.lit(0)).alias(f"_b_{n}") for n in flags]

@@ -112,9 +112,11 @@ def _(t):
     return evidence.request_table(rows, {"family": "Place {entity} on {item}", "rank": "Compare {entity} on {item} at {prior}"})
 
 
-_PARSED = """adj AS (SELECT entity, item, coalesce(try_cast(coalesce(json_extract_string(j, '$.delta'), json_extract_string(j, '$.adjustment')) AS DOUBLE), 0) AS delta,
-    greatest(0, least(1, coalesce(try_cast(json_extract_string(j, '$.credibility_weight') AS DOUBLE), 1))) AS credibility_weight, coalesce(json_extract_string(j, '$.confidence'), 'medium') AS confidence
-    FROM (SELECT entity, item, coalesce(nullif(regexp_extract(text, '```json\\s*([\\s\\S]*?)\\s*```', 1), ''), nullif(regexp_extract(text, '\\{[\\s\\S]*\\}', 0), '')) AS j FROM replies) x WHERE j IS NOT NULL)"""
+_PARSED = """adj AS (SELECT entity, item, CASE WHEN isfinite(d) THEN d ELSE 0 END AS delta,
+    greatest(0, least(1, CASE WHEN isfinite(w) THEN w ELSE 1 END)) AS credibility_weight, confidence FROM (SELECT entity, item,
+    try_cast(CASE WHEN json_exists(j, '$.delta') THEN json_extract_string(j, '$.delta') ELSE json_extract_string(j, '$.adjustment') END AS DOUBLE) AS d,
+    try_cast(json_extract_string(j, '$.credibility_weight') AS DOUBLE) AS w, coalesce(json_extract_string(j, '$.confidence'), 'medium') AS confidence
+    FROM (SELECT entity, item, coalesce(nullif(regexp_extract(text, '```json\\s*([\\s\\S]*?)\\s*```', 1), ''), nullif(regexp_extract(text, '\\{[\\s\\S]*\\}', 0), '')) AS j FROM replies) x WHERE json_type(CASE WHEN json_valid(j) THEN j END) = 'OBJECT') y)"""
 _APPLIED = f"""{_PARSED}, res AS (SELECT entity, item, truth, prediction AS baseline_prediction, CASE WHEN delta IS NULL THEN prediction WHEN own THEN (pp + w) / 100 * (hi - lo) + lo ELSE pp + w END AS predicted_score,
       CASE WHEN delta IS NULL THEN 0 WHEN own THEN (pp + w) / 100 * (hi - lo) + lo - prediction ELSE w END AS adjustment, delta, confidence FROM (
         SELECT p.entity, p.item, truth, prediction, coalesce(lo, 0) AS lo, coalesce(hi, 100) AS hi, r.item IS NOT NULL AS own, a.delta, a.confidence, a.delta * a.credibility_weight AS w,
@@ -156,16 +158,17 @@ def _(t):
 
 @query(
     "E10_community_feedback",
-    """SELECT conv_id AS subject, CASE WHEN n < 5 THEN 0.5 ELSE round(n / 20.0, 4) END::DOUBLE AS sentiment_score, CASE WHEN n < 5 THEN NULL ELSE 5 END::INT AS n_positive, n AS web_mentions_count,
+    """SELECT conv_id AS subject, CASE WHEN n < 5 THEN 0.5 ELSE round(n / 20.0, 4) END::DOUBLE AS sentiment_score, CASE WHEN n < 5 THEN NULL ELSE 'a,b,c,d,e,f' END AS positive, CASE WHEN n < 5 THEN NULL ELSE 'slow' END AS negative, CASE WHEN n < 5 THEN NULL ELSE '' END AS issues, CASE WHEN n < 5 THEN NULL ELSE 's' END AS summary, n AS web_mentions_count,
     round(least(n / 30.0, 1.0), 6) AS confidence, CASE WHEN n < 5 THEN 'low' WHEN n < 20 THEN 'medium' ELSE 'high' END AS hype_level FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) x""",
 )
 def _(t):
     mentions = t.conversations.select(F.col("conv_id").alias("subject"), "text")
-    replies = t.sql("""SELECT conv_id AS subject, concat('``` {"sentiment": ', cast(count(*) / 20 AS string), ', "positive": ["a","b","c","d","e","f"], "summary": "s"} ```') AS text
+    replies = t.sql("""SELECT conv_id AS subject, concat('``` {"sentiment": ', cast(count(*) / 20 AS string), ', "positive": ["a","b","c","d","e","f"], "negative": ["slow"], "summary": "s"} ```') AS text
         FROM conversations GROUP BY conv_id HAVING count(*) >= 5""")
     out = evidence.community_feedback(replies, mentions)
     return out.select(
-        "subject", rounded("sentiment_score", 4).alias("sentiment_score"), F.when(F.col("positive_aspects").isNotNull(), F.size("positive_aspects")).alias("n_positive"),
+        "subject", rounded("sentiment_score", 4).alias("sentiment_score"), *[F.array_join(c, ",").alias(n) for c, n in (("positive_aspects", "positive"), ("negative_aspects", "negative"), ("reported_issues", "issues"))],
+        F.col("community_summary").alias("summary"),
         "web_mentions_count", rounded("confidence").alias("confidence"), "hype_level",
     )
 

@@ -253,7 +253,7 @@ def details(t):
     f"""WITH {NEIGHBOURS} SELECT p.entity, p.item, p.rank, p.peer, e.organization,
     {REGION.format("e.organization")} AS region,
     CASE WHEN e.vision_model > 'VM-B' THEN 'maker' ELSE 'Unknown' END AS vision_model_organization,
-    coalesce(e.release_date, 'Unknown') AS release_date, substr(repeat(e.family, 20), 1, 200) AS technical_summary
+    coalesce(e.release_date, 'Unknown') AS release_date, repeat(e.family, 20) AS technical_summary
     FROM peers p JOIN entities e ON p.peer = e.entity""",
 )
 def _(t):

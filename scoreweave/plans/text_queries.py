@@ -142,14 +142,14 @@ def _(t):
 @query(
     "F12_assemble_context",
     """WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS rn FROM conversations)
-    SELECT conv_id AS subject, count(*) AS n_docs, md5(string_agg(concat(chr(10), '[', coalesce(role, ''), '] ', coalesce(role, ''), chr(10), coalesce(text, ''), chr(10)), '' ORDER BY turn, role)) AS digest FROM r WHERE rn <= 30 GROUP BY conv_id""",
+    SELECT conv_id AS subject, 0 AS page, count(*) AS n_docs, md5(string_agg(concat(chr(10), '[', coalesce(role, ''), '] ', coalesce(role, ''), chr(10), coalesce(text, ''), chr(10)), '' ORDER BY turn, role)) AS digest FROM r GROUP BY conv_id""",
 )
 def _(t):
     docs = t.conversations.select(
         F.col("conv_id").alias("subject"), F.col("turn").alias("pos"), F.col("role").alias("title"), F.col("role").alias("source"), "text"
     )
-    out = evidence.assemble_context(docs, limit=None)
-    return out.select("subject", "n_docs", F.md5(F.col("context").cast("binary")).alias("digest"))
+    out = evidence.assemble_context(docs)
+    return out.select("subject", "page", "n_docs", F.md5(F.col("context").cast("binary")).alias("digest"))
 
 
 @query(
@@ -193,11 +193,11 @@ def _(t):
     return knowledge.search_hits(docs).select("subject", "position", "title", "url")
 
 
-@query("F14_discussion_hits", "SELECT doc_id AS subject, 0 AS position, source AS title, substr(text, 1, 500) AS text FROM documents")
+@query("F14_discussion_hits", "SELECT doc_id AS subject, 0 AS position, source AS title, text FROM documents UNION ALL SELECT doc_id, 1, '', concat('more ', source) FROM documents")
 def _(t):
     docs = t.documents.select(
         F.col("doc_id").alias("subject"),
-        F.to_json(F.struct(F.array(F.struct(F.col("source").alias("title"), F.col("text").alias("content"))).alias("discussions"))).alias("doc"),
+        F.to_json(F.struct(F.array(F.struct(F.col("source").alias("title"), F.col("text").alias("content")), F.struct(F.lit(None).cast("string").alias("title"), F.concat(F.lit("more "), "source").alias("content"))).alias("discussions"))).alias("doc"),
     )
     return knowledge.discussion_hits(docs).select("subject", "position", "title", "text")
 

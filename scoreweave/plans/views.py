@@ -59,6 +59,9 @@ LEFT JOIN (SELECT entity, avg(score) AS m FROM train GROUP BY entity) e ON e.ent
 LEFT JOIN (SELECT item, avg(score) AS m, stddev_pop(score) AS s FROM train GROUP BY item) i ON i.item = t.item""",
     "replies": """
 SELECT entity, item, CASE WHEN k % 17 = 0 THEN 'no answer'
+  WHEN k % 23 = 0 THEN 'Result ```json [1, 2] ``` end' WHEN k % 23 = 1 THEN 'Result ```json 5 ``` end'
+  WHEN k % 23 = 2 THEN 'Result ```json {"delta": "NaN", "credibility_weight": "Infinity"} ``` end'
+  WHEN k % 23 = 3 THEN 'Result ```json {"delta": null, "adjustment": 4} ``` end'
   WHEN k % 5 = 0 THEN concat('Result: {"adjustment": ', cast(k % 11 - 5 AS string), '} end')
   ELSE concat('Result ```json {"delta": ', cast(k % 11 - 5 AS string), ', "credibility_weight": ', cast(k % 13 AS string),
               'e-1, "confidence": "low"} ``` end') END AS text

@@ -112,19 +112,19 @@ def search_hits(replies: DataFrame) -> DataFrame:
     )
 
 
-def discussion_hits(replies: DataFrame, at_most: int = 20, text_limit: int = 500) -> DataFrame:
-    """The first discussions of stored replies ``(subject, doc)``, texts cut for display."""
+def discussion_hits(replies: DataFrame, at_most: int | None = None, text_limit: int | None = None) -> DataFrame:
+    """Discussions of stored replies ``(subject, doc)``; the first ``at_most``, and texts cut, only if asked for."""
     parsed = replies.select(
         "subject",
         F.from_json("doc", "discussions ARRAY<STRUCT<title: STRING, content: STRING, status: STRING>>").alias("d"),
     )
-    rows = parsed.select("subject", F.posexplode(F.slice("d.discussions", 1, at_most)).alias("position", "i"))
+    rows = parsed.select("subject", F.posexplode(F.col("d.discussions") if at_most is None else F.slice("d.discussions", 1, at_most)).alias("position", "i"))
     empty = F.lit("")
     return rows.select(
         "subject",
         "position",
         F.coalesce("i.title", empty).alias("title"),
-        F.coalesce(F.substring("i.content", 1, text_limit), empty).alias("text"),
+        F.coalesce(F.col("i.content") if text_limit is None else F.substring("i.content", 1, text_limit), empty).alias("text"),
         F.coalesce("i.status", empty).alias("status"),
         F.lit("huggingface").alias("source"),
     )

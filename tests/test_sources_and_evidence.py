@@ -123,10 +123,33 @@ def test_pages_of_a_large_family(spark):
     assert sorted(r["n"] for r in tree.select(F.size("models").alias("n")).collect()) == [500, 1000, 1000]
 
 
-def test_context_keeps_thirty_documents(spark):
+def test_context_keeps_all_documents_in_pages(spark):
     docs = spark.range(40).select(F.lit("s").alias("subject"), F.col("id").alias("pos"), F.lit("t").alias("title"), F.lit("web").alias("source"), F.col("id").cast("string").alias("text"))
     r = evidence.assemble_context(docs).first()
-    assert r["n_docs"] == 30 and r["context"].startswith("\n[web] t\n0\n") and r["context"].endswith("\n29\n")
+    assert r["n_docs"] == 40 and r["context"].startswith("\n[web] t\n0\n") and r["context"].endswith("\n39\n")
+    pages = {r["page"]: r for r in evidence.assemble_context(docs, per_page=16).collect()}
+    assert {p: r["n_docs"] for p, r in pages.items()} == {0: 16, 1: 16, 2: 8} and pages[1]["context"].startswith("\n[web] t\n16\n")
+    assert evidence.assemble_context(docs, at_most=30, limit=20).first()["context"] == "\n[web] t\n0\n\n[web] t\n"
+
+
+def test_replies_must_be_objects_with_finite_numbers(spark):
+    texts = ['```json [1, 2] ```', '```json 5 ```', '{"delta": "NaN"}', '{"delta": null, "adjustment": 4}', '{"adjustment": 4, "credibility_weight": "x"}', "none", '{"delta": 1e999}']
+    rows = spark.createDataFrame([("e", str(k), t) for k, t in enumerate(texts)], "entity string, item string, text string")
+    got = {r["item"]: (r["delta"], r["credibility_weight"]) for r in evidence.parse_adjustments(rows).collect()}
+    assert got == {"2": (0.0, 1.0), "3": (0.0, 1.0), "4": (4.0, 1.0), "6": (0.0, 1.0)}
+
+
+def test_request_text_is_not_substituted_again(spark):
+    rows = spark.createDataFrame([("{item}", "i", None)], "entity string, item string, more string")
+    got = evidence.request_table(rows, {"a": "{entity} {item} {more} {other}"}).first()
+    assert got["request"] == "{item} i N/A {other}"
+
+
+def test_a_frequent_score_is_one_mark(spark):
+    scores = spark.range(400).select(F.lit("x").alias("item"), F.format_string("e%03d", "id").alias("entity"), F.when(F.col("id") < 360, 5.0).otherwise(F.col("id") * 1.0).alias("score"))
+    targets = spark.createDataFrame([("a", "x", 5.2), ("b", "x", 380.4), ("c", "x", -1.0)], "entity string, item string, prediction double")
+    got = {r["entity"]: r["predicted_rank"] for r in evidence.predicted_ranks(targets, evidence.score_ranks(scores)).collect()}
+    assert got == {"a": 41, "b": 20, "c": 41}
 
 
 def test_incremental_results_write_each_key_once(spark, tmp_path):
