@@ -44,7 +44,8 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 def _kinds(found: DataFrame, column: str, kinds: tuple[str, ...]) -> DataFrame:
     base = F.col(f"{column}.base")
-    counts = {f"n_{k}": F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long") for k in kinds}
+    kind = F.transform(base, lambda s: s["kind"])
+    counts = {f"n_{k}": (F.size(kind) - F.size(F.array_remove(kind, k))).cast("long") for k in kinds}
     out = found.withColumns(counts | {"base_sha256": secrets.digest(base), "spans": span_list(F.col(f"{column}.spans"))})
     return out.select("doc_id", *counts, "base_sha256", "spans")
 
