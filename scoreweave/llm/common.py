@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scoreweave.session import new_table_path
+
 #: White space of the word rule: space, and tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -98,3 +100,15 @@ def tasks_find_library(spark: SparkSession) -> None:
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
+def scratch(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` written to the shared folder and read back, and what deletes it when no later job needs it."""
+    spark, path = df.sparkSession, new_table_path(df.sparkSession, "scratch")
+    df.write.parquet(path)
+
+    def forget() -> None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    return spark.read.schema(df.schema).parquet(path), forget

@@ -22,12 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreweave.llm.common import text_key
+from scoreweave.llm.common import scratch, text_key
 from scoreweave.llm.components import components
 from scoreweave.session import cut_lineage
 
 #: Parts of the name space whose counts bound an overlap (the suffix filter).
 PARTS = 16
+#: Tokens of the sets that are counted together.
+LOT = 1_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -91,12 +93,14 @@ def near_duplicates(
     kind = dict(docs.dtypes)[doc_id]
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), text_key(text).alias("key"))
     fields = f"doc_id {kind}, n long, cid long, key binary, batch long, at long, hits long, cell long, names binary, owners binary"
-    summary = cut_lineage(source.mapInArrow(lambda b: _summaries(b, width, percent, extra, cell_bits, kind), fields))
-    rows = summary.filter("cell is null").select("doc_id", "n", "cid", "key", "batch", "at", "hits")
-    wanted = _with_partners(rows, summary.filter("cell is not null"), percent, extra)
-    texts = source.select("key", "text").join(wanted, "key").select("cid", "text").dropDuplicates(["cid"])
-    sets = cut_lineage(texts.mapInArrow(lambda b: _sets(b, width), "cid long, names array<long>, parts array<long>"))
-    labels = components(_links(sets, percent))
+    summary, forget = scratch(source.mapInArrow(lambda b: _summaries(b, width, percent, extra, cell_bits, kind), fields))
+    rows = cut_lineage(summary.filter("cell is null").select("doc_id", "n", "cid", "key", "batch", "at", "hits"))
+    wanted = cut_lineage(_with_partners(rows, summary.filter("cell is not null"), percent, extra))
+    forget()
+    texts = _perhaps_in(source.select("key", "text"), wanted, "key")
+    texts = texts.join(wanted, "key").select("cid", "text").dropDuplicates(["cid"])
+    sets = cut_lineage(texts.mapInArrow(lambda b: _sets(b, width), "cid long, lot long, names array<long>, parts array<long>"))
+    labels = components(_links(sets, percent, cell_bits))
     members = rows.select("doc_id", "n", "cid").join(labels, F.col("cid") == F.col("node"), "left")
     members = members.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "cid").alias("_class"))
     least = members.filter("_class is not null").groupBy("_class").agg(F.min("doc_id").alias("_least"))
@@ -171,28 +175,107 @@ def _with_partners(rows: DataFrame, cells: DataFrame, percent: int, extra: int)
     return both.groupBy("cid").agg(F.min("key").alias("key"))
 
 
+def _perhaps_in(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 24) -> DataFrame:
+    """Rows whose key may be among the wanted ones: a filter of 2^bits bits, sent to all tasks as 2^bits / 2^15 rows.
+
+    It keeps most texts that aren't wanted from being shuffled for the join that follows; its size never grows.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    marks = wanted.select(place.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket"))
+    marks = marks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_map"))
+    rows = rows.withColumn("_p", place).join(F.broadcast(marks), F.bitmap_bucket_number("_p") == F.col("_bucket"))
+    at = F.bitmap_bit_position("_p")
+    byte = F.conv(F.hex(F.substring("_map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.filter(F.getbit(byte, (at % 8).cast("int")) == 1).drop("_p", "_bucket", "_map")
+
+
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    """The arrays of a list column."""
+    sizes = np.diff(column.offsets.to_numpy())
+    return np.split(column.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)[:-1]) if len(column) else []
+
+
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Sets with the counts of their parts, and a lot number: a lot holds about ``LOT`` tokens, or one set."""
+    lot, held = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
-        sets = [shingles(value, width) for value in batch.column(1).to_pylist()]
+        sets, lots = [shingles(value, width) for value in batch.column(1).to_pylist()], []
+        for s in sets:
+            if held and held + len(s) > LOT:
+                lot, held = lot + 1, 0
+            held += len(s)
+            lots.append(lot)
         parts = [np.bincount(s & (PARTS - 1), minlength=PARTS).astype(np.int64) for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets), _lists(parts)], names=["cid", "names", "parts"])
+        columns = [batch.column(0), pa.array(lots, pa.int64()), _lists(sets), _lists(parts)]
+        yield pa.RecordBatch.from_arrays(columns, names=["cid", "lot", "names", "parts"])
 
 
-def _postings(sets: DataFrame, percent: int) -> DataFrame:
-    """(h, cid, n, at): tokens of the rare-first prefixes that occur in several sets, with their places."""
-    each = sets.select("cid", F.size("names").cast("long").alias("n"), F.explode("names").alias("h"))
-    counted = each.groupBy("h").count().filter("count > 1")
-    listed = each.join(counted, "h").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("count", "h"))).alias("often"))
-    alone = F.col("n") - F.size("often")  # tokens of frequency 1 come first
-    prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-    joinable = F.slice("often", F.lit(1), F.greatest(F.lit(0), prefix - alone).cast("int"))
-    posts = listed.select("cid", "n", alone.alias("alone"), F.posexplode(joinable).alias("at", "token"))
-    return posts.select(F.col("token.h").alias("h"), "cid", "n", (F.col("alone") + F.col("at")).alias("at"))
+def _count_lots(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """(cell, lot, names, counts): how often the tokens of a cell occur in what was read of a lot."""
+    for batch in batches:
+        lots, sets = batch.column(0).to_numpy(), _arrays(batch.column(1))
+        rows = []
+        for lot in np.unique(lots).tolist():
+            names, counts = np.unique(np.concatenate([s for s, k in zip(sets, lots, strict=True) if k == lot]), return_counts=True)
+            cell = (names.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(64 - bits)
+            cuts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])).tolist()
+            for i, j in zip(cuts, [*cuts[1:], len(cell)], strict=True):
+                rows.append((int(cell[i]), lot, names[i:j].tobytes(), counts[i:j].astype(np.int64).tobytes()))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["cell", "lot", "names", "counts"])
+
+
+def _frequencies(cell: pa.Table) -> pa.Table:
+    """Of one cell: (lot, names, counts) with the counts of all lots, for names that occur more than once."""
+    names = [np.frombuffer(x, np.int64) for x in cell["names"].to_pylist()]
+    counts = np.concatenate([np.frombuffer(x, np.int64) for x in cell["counts"].to_pylist()])
+    _, place = np.unique(np.concatenate(names), return_inverse=True)
+    total = np.bincount(place, counts).astype(np.int64)[place]
+    out, at = [], 0
+    for lot, own in zip(cell["lot"].to_pylist(), names, strict=True):
+        t = total[at : at + len(own)]
+        at += len(own)
+        if (t > 1).any():
+            out.append((lot, own[t > 1].tobytes(), t[t > 1].tobytes()))
+    columns = list(zip(*out, strict=True)) if out else [()] * 3
+    return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.binary(), pa.binary()], strict=True)], names=["lot", "names", "counts"])
+
+
+def _prefixes(sets: pa.Table, found: pa.Table, percent: int) -> pa.Table:
+    """Of one lot: (h, cid, n, at) of the joinable tokens of its sets' rare-first prefixes."""
+    read = lambda c: np.concatenate([np.frombuffer(x, np.int64) for x in found[c].to_pylist()] or [np.zeros(0, np.int64)])
+    names, counts = read("names"), read("counts")
+    order = np.argsort(names, kind="stable")
+    names, counts, out = names[order], counts[order], []
+    for chunk in sets.to_batches() if len(names) else []:
+        for cid, own in zip(chunk.column("cid").to_pylist(), _arrays(chunk.column("names")), strict=True):
+            at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+            often = names[at] == own
+            alone = len(own) - int(often.sum())  # tokens of frequency 1 come first
+            joinable = max(0, len(own) - _ceil(len(own), percent) + 1 - alone)
+            own, times = own[often], counts[at[often]]
+            first = own[np.lexsort((own, times))[:joinable]]
+            out.append((first, np.full(len(first), cid), np.full(len(first), len(often)), alone + np.arange(len(first))))
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+    return pa.table([pa.array(c, pa.int64()) for c in columns], names=["h", "cid", "n", "at"])
+
+
+def _postings(sets: DataFrame, percent: int, bits: int) -> DataFrame:
+    """(h, cid, n, at): tokens of the rare-first prefixes that occur in several sets, with their places.
+
+    Counting takes two rounds of packed names: lots send each of their names once, with its count, and get the counts
+    of all lots back for those that occur again.
+    """
+    dealt = sets.select("lot", "names").mapInArrow(lambda b: _count_lots(b, bits), "cell long, lot long, names binary, counts binary")
+    found = dealt.groupBy("cell").applyInArrow(_frequencies, "lot long, names binary, counts binary")
+    lots = sets.select("lot", "cid", "names").groupBy("lot").cogroup(found.groupBy("lot"))
+    return lots.applyInArrow(lambda a, b: _prefixes(a, b, percent), "h long, cid long, n long, at long")
 
 
-def _links(sets: DataFrame, percent: int) -> DataFrame:
+def _links(sets: DataFrame, percent: int, bits: int) -> DataFrame:
     """Links (u, v) whose components are those of all links."""
-    posts = cut_lineage(_postings(sets, percent))
+    posts = cut_lineage(_postings(sets, percent, bits))
 
     def passes() -> Column:
         n, m = F.col("x.n"), F.col("y.n")

@@ -9,7 +9,10 @@ byte would move many times the input, so the rounds run where they can matter:
 * h = 50, at sampled places: the smallest name of each stretch of 151 places. Any 200 bytes hold such a place, chosen
   by these bytes alone, so a window whose sample is unique is itself unique and leaves.
 * Windows with one sample form a run. Runs are named whole; equal runs are past the threshold at once.
-* h = 100 and 200, at every place of the runs left over, against one example of each settled run with their sample.
+* Runs left over, and one example of each settled run with their sample, are cut at fixed distances from the sample
+  into blocks of 16 windows. All windows of a block hold its core of 185 bytes: where that is unique, they leave. All
+  lie in 215 bytes: where these repeat, they are settled.
+* h = 100 and 200, at every place of the blocks left over.
 
 Equal texts are one text of weight 2. Hot strings leave a batch once, so a cell never receives a row for each copy.
 """
@@ -26,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreweave.llm.common import filled, text_key
+from scoreweave.llm.common import filled, scratch, text_key
 from scoreweave.session import cut_lineage, new_table_path
 
 #: Places of one pass over a text, and the owner that stands for a name known to repeat.
@@ -75,6 +78,17 @@ def _runs(data: bytes, length: int, h: int) -> Iterator[tuple[int, int, int, int
         yield from zip((first + base).tolist(), (last + base).tolist(), (chosen + base).tolist(), name[chosen].tolist(), strict=True)
 
 
+def _blocks(runs: list, size: int) -> Iterator[tuple[int, int, int, bool, bytes]]:
+    """(first place, first and last window in the run, example or not, way to the sample) of the blocks of runs.
+
+    The way to the sample is part of a block's names: blocks of two samples can hold the same bytes of one text.
+    """
+    for run in runs:
+        place, first, last = run["place"], run["first"], run["last"]
+        for start in range(place + (first - place) // size * size, last + 1, size):
+            yield start, max(first, start), min(last, start + size - 1), run["heavy"], (place - start).to_bytes(8, "little", signed=True)
+
+
 def _repeats(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order of the names (a, b), and the number of each one's group in that order."""
     order = np.lexsort((b, a))
@@ -113,6 +127,25 @@ class _Deal:
         return pa.RecordBatch.from_arrays(columns, names=["batch", "at", "place", "cell", "a", "b", "owner", "places"])
 
 
+def _dealt(deal: _Deal, keys: pa.Array, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What ``deal`` makes of the columns, then a row (batch, at, key) with cell -1 for every text of the batch."""
+    number, n, none = deal.number, len(keys), lambda t: pa.nulls(len(keys), t)
+    out = deal.batch(*columns)
+    yield out.append_column("key", pa.nulls(out.num_rows, pa.binary()))
+    whole = [pa.array(x, pa.int64()) for x in ([number] * n, range(n))] + [none(pa.int64()), pa.array([-1] * n, pa.int64())]
+    yield pa.RecordBatch.from_arrays([*whole, *[none(pa.binary())] * 4, keys], names=[*out.schema.names, "key"])
+
+
+def _found(dealt: DataFrame, places: str) -> DataFrame:
+    """(key, array of places) of the names of each text that are not unique."""
+    dealt, forget = scratch(dealt)
+    found = _survivors(dealt.filter("cell is null or cell >= 0")).groupBy("batch", "at").agg(F.collect_set("place").alias(places))
+    found = found.join(dealt.filter("cell = -1").select("batch", "at", "key"), ["batch", "at"]).select("key", places)
+    found = cut_lineage(found)
+    forget()
+    return found
+
+
 def _meet(cell: pa.Table) -> pa.Table:
     """Of one cell: (batch, at, place) of the names that occur in more than one batch, or repeat in one."""
     read = lambda c, kind: [np.frombuffer(x, kind) for x in cell[c].to_pylist()]
@@ -150,7 +183,7 @@ def _texts(docs: DataFrame, text: str) -> DataFrame:
 
 
 def remove_repeats(
-    docs: DataFrame, length: int = 200, h: int = 50, cell_bits: int = 10, doc_id: str = "doc_id", text: str = "text",
+    docs: DataFrame, length: int = 200, h: int = 50, size: int = 16, cell_bits: int = 10, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """One row (doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) per row of ``docs``.
 
@@ -159,8 +192,8 @@ def remove_repeats(
     under ``length`` bytes lose nothing unless a string overlaps itself; an empty table gives no rows; other columns
     are left out. Names have 64 bits where they only preselect, and 128 bits where they decide.
     """
-    if not 2 * h <= length or length % 2:
-        raise ValueError("length must be even, and h at most half of it")
+    if not 2 * h <= length or length % 2 or not 0 < size <= length:
+        raise ValueError("length must be even, h at most half of it, and size at most length")
     texts = _texts(docs, text)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,22 +207,12 @@ def remove_repeats(
                 place += [p for p, _ in found]
                 owner += [k] * len(found)
                 heavy += [twice] * len(found)
-            at = deal.number
-            out = deal.batch(np.array(a, np.uint64), np.zeros(len(a), np.uint64), np.array(owner, np.int64), np.array(place, np.int64), np.array(heavy, bool))
-            yield out.append_column("key", pa.nulls(out.num_rows, pa.binary()))
-            n = batch.num_rows
-            none = lambda t: pa.nulls(n, t)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([at] * n, pa.int64()), pa.array(range(n), pa.int64()), none(pa.int64()), pa.array([-1] * n, pa.int64()), *[none(pa.binary())] * 4, batch.column(0)],
-                names=out.schema.names + ["key"],
-            )
-
-    dealt = cut_lineage(texts.select("key", "text", "heavy").mapInArrow(sample, _CELLS + ", key binary"))
-    owners = dealt.filter("cell = -1").select("batch", "at", "key")
-    marks = _survivors(dealt.filter("cell is null or cell >= 0"))
-    marks = marks.groupBy("batch", "at").agg(F.collect_set("place").alias("marks")).join(owners, ["batch", "at"])
+            columns = (np.array(c, t) for c, t in ((a, np.uint64), ([0] * len(a), np.uint64), (owner, np.int64), (place, np.int64), (heavy, bool)))
+            yield from _dealt(deal, batch.column(0), *columns)
+
+    marks = _found(texts.select("key", "text", "heavy").mapInArrow(sample, _CELLS + ", key binary"), "marks")
     heavy = texts.filter("heavy").select("key", F.lit(None).cast("array<long>").alias("marks"))
-    marked = texts.join(marks.select("key", "marks").unionByName(heavy), "key").select("key", "text", "heavy", "marks")
+    marked = texts.join(marks.unionByName(heavy), "key").select("key", "text", "heavy", "marks")
 
     def name_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,60 +222,77 @@ def remove_repeats(
                 for first, last, place, name in _runs(data, length, h):
                     if twice or place in known:
                         part = hashlib.blake2b(data[first : last + length], digest_size=16).digest()
-                        out.append((key, first, last, name - (1 << 63), part, twice))
-            columns = list(zip(*out, strict=True)) if out else [()] * 6
-            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "first", "last", "name", "part", "heavy"])
+                        out.append((key, first, last, place, name - (1 << 63), part, twice))
+            columns = list(zip(*out, strict=True)) if out else [()] * 7
+            kinds = [pa.binary(), *[pa.int64()] * 4, pa.binary(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "first", "last", "place", "name", "part", "heavy"])
 
-    runs = cut_lineage(marked.mapInArrow(name_runs, "key binary, first long, last long, name long, part binary, heavy boolean"))
+    runs = cut_lineage(marked.mapInArrow(name_runs, "key binary, first long, last long, place long, name long, part binary, heavy boolean"))
     settled = runs.groupBy("part").agg(
-        F.sum(F.when(F.col("heavy"), 2).otherwise(1)).alias("times"), F.min(F.struct("key", "first", "last", "name")).alias("run")
+        F.sum(F.when(F.col("heavy"), 2).otherwise(1)).alias("times"), F.min(F.struct("key", "first", "last", "place", "name")).alias("run")
     )
     settled = cut_lineage(settled)
     open_runs = settled.filter("times = 1").select("run.*", F.lit(False).alias("heavy"))
     asked = open_runs.select("name").distinct()
     examples = settled.filter("times > 1").select("run.*", F.lit(True).alias("heavy")).join(asked, "name", "left_semi")
     both = open_runs.unionByName(examples.select(*open_runs.columns))
-    both = both.groupBy("key").agg(F.collect_list(F.struct("first", "last", "heavy")).alias("runs"))
+    both = both.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("first", "last", "place", "heavy"))).alias("runs"))
+    both = cut_lineage(both)
     left = texts.select("key", "text").join(both, "key").select("key", "text", "runs")
 
+    def name_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deal = _Deal(cell_bits)
+        for batch in batches:
+            digests, owner, place, heavy = [], [], [], []
+            for k, (value, found) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                data = _bytes(value)
+                for number, (start, first, last, example, way) in enumerate(_blocks(found, size)):
+                    stop = start + size - 1 + length
+                    parts = [(2 * number, data[start + size - 1 : start + length], False)]
+                    # A settled run repeats what lies inside it; a block at its end may reach further.
+                    inside = example and last - first == size - 1
+                    parts += [(2 * number + 1, data[start:stop], inside)] if start >= 0 and stop <= len(data) else []
+                    for n, part, twice in parts:
+                        digests.append(hashlib.blake2b(part, digest_size=16, salt=way).digest())
+                        owner.append(k)
+                        place.append(n)
+                        heavy.append(twice)
+            names_ = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+            yield from _dealt(deal, batch.column(0), names_[:, 0], names_[:, 1], np.array(owner, np.int64), np.array(place, np.int64), np.array(heavy, bool))
+
+    blocks = _found(left.mapInArrow(name_blocks, _CELLS + ", key binary"), "blocks")
+    left = left.join(blocks, "key").select("key", "text", "runs", "blocks")
+
     def pair_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         deal, half = _Deal(cell_bits), length // 2
         for batch in batches:
             parts = []
-            for k, (value, found) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                view = np.frombuffer(_bytes(value), np.uint8)
-                for run in found:
-                    for first in range(run["first"], run["last"] + 1, _CHUNK):
-                        last = min(run["last"], first + _CHUNK - 1)
-                        name = names(view[first : last + length], half)
-                        n = last - first + 1
-                        parts.append((name[:n], name[half : half + n], np.full(n, k), np.arange(first, last + 1), np.full(n, run["heavy"])))
+            for k, (value, found, alive) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+                view, alive = np.frombuffer(_bytes(value), np.uint8), set(alive)
+                for number, (_, first, last, example, _) in enumerate(_blocks(found, size)):
+                    if 2 * number in alive:  # settled ones too, as witnesses of what others share with them
+                        name, n = names(view[first : last + length], half), last - first + 1
+                        twice = example or 2 * number + 1 in alive
+                        parts.append((name[:n], name[half : half + n], np.full(n, k), np.arange(first, last + 1), np.full(n, twice)))
             empty = (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),)
-            at, columns = deal.number, [np.concatenate(c) for c in zip(*(parts or [empty]), strict=True)]
-            out = deal.batch(*columns)
-            yield out.append_column("key", pa.nulls(out.num_rows, pa.binary()))
-            n = batch.num_rows
-            none = lambda t: pa.nulls(n, t)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([at] * n, pa.int64()), pa.array(range(n), pa.int64()), none(pa.int64()), pa.array([-1] * n, pa.int64()), *[none(pa.binary())] * 4, batch.column(0)],
-                names=out.schema.names + ["key"],
-            )
-
-    paired = cut_lineage(left.mapInArrow(pair_places, _CELLS + ", key binary"))
-    places = _survivors(paired.filter("cell is null or cell >= 0")).groupBy("batch", "at").agg(F.collect_set("place").alias("places"))
-    places = places.join(paired.filter("cell = -1").select("batch", "at", "key"), ["batch", "at"]).select("key", "places")
+            yield from _dealt(deal, batch.column(0), *[np.concatenate(c) for c in zip(*(parts or [empty]), strict=True)])
+
+    places = _found(left.mapInArrow(pair_places, _CELLS + ", key binary"), "places")
     whole = runs.filter("not heavy").join(settled.filter("times > 1").select("part"), "part", "left_semi")
     whole = whole.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    covered = places.join(whole, "key", "full")
-    covered = texts.join(covered, "key", "left").select("key", "text", "heavy", "places", "runs")
+    whole = whole.select("key", F.col("runs").alias("whole"))
+    covered = places.join(whole, "key", "full").join(both.join(blocks, "key"), "key", "full")
+    covered = texts.join(covered, "key", "left").select("key", "text", "heavy", "places", "whole", "runs", "blocks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, value, twice, places, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = _bytes(value)
-                found = [(p, p + length) for p in places or ()] + [(r["first"], r["last"] + length) for r in runs or ()]
+            for key, value, twice, places, whole, runs, alive in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data, alive = _bytes(value), set(alive or ())
+                found = [(p, p + length) for p in places or ()] + [(r["first"], r["last"] + length) for r in whole or ()]
+                for number, (_, first, last, example, _) in enumerate(_blocks(runs or [], size)):
+                    if 2 * number + 1 in alive and not example:
+                        found.append((first, last + length))
                 found += [(0, len(data))] if twice and len(data) >= length else []
                 spans: list[list[int]] = []
                 for a, b in sorted(found):
