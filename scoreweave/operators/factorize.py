@@ -40,9 +40,10 @@ def global_mean(cells: DataFrame, train: DataFrame) -> DataFrame:
 
 def uniform_random(cells: DataFrame, train: DataFrame, seed: int = 42) -> DataFrame:
     """Observed cells keep their score, the others get a draw between the lowest and highest score. The draw
-    is a hash of (seed, entity, item): it does not depend on partitioning."""
+    is made of 13 hex digits of md5(seed:entity:item): it does not depend on partitioning."""
     low, high = train.select(F.min("score")).scalar(), train.select(F.max("score")).scalar()
-    lot = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "entity", "item"), 11).cast("double") + 0.5) / 2.0**53
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "entity", "item").cast("binary")), 1, 13)
+    lot = (F.conv(digits, 16, 10).cast("double") + 0.5) / 2.0**52
     seen = train.select("entity", "item", "score")
     rows = cells.join(seen, ["entity", "item"], "left").select("entity", "item", "score", lot.alias("_u"))
     rows = rows.withColumn("_low", low).withColumn("_high", high)

@@ -13,9 +13,9 @@ def holdout_split(scores: DataFrame, entities: DataFrame, cutoff: str, ratio: fl
     """Add ``part``: for recent entities, ``max(1, floor(n * ratio))`` of their scores are ``test``.
 
     The draw is a hash of (seed, entity, item), so it does not depend on partitioning. Scores of old
-    entities, and of entities without a release date, are ``train``.
+    entities, and of entities without a release date, are ``train``. A repeated row of ``entities`` changes nothing.
     """
-    recent = entities.filter(is_recent(F.col("release_date"), cutoff)).select("entity", F.lit(True).alias("recent"))
+    recent = entities.filter(is_recent(F.col("release_date"), cutoff)).select("entity", F.lit(True).alias("recent")).distinct()
     flagged = scores.join(recent, "entity", "left")
     old = flagged.filter("recent IS NULL").select("entity", "item", "score", F.lit("train").alias("part"))
     lot = F.md5(F.concat_ws(":", F.lit(str(seed)), "entity", "item").cast("binary"))

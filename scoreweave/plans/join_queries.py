@@ -310,17 +310,17 @@ def _(t):
 
 @query(
     "J18_listings",
-    """SELECT 'in organization' AS kind, entity AS name, CAST(1 AS BIGINT) AS n FROM entities WHERE lower(organization) LIKE '%united%'
+    """SELECT 'in organization' AS kind, entity AS name, CAST(1 AS BIGINT) AS n FROM entities WHERE contains(lower(organization), 'nation_1')
     UNION ALL SELECT 'open', entity, 1 FROM entities WHERE open_source
     UNION ALL SELECT 'family', family, count(*) FROM entities GROUP BY family, organization
-    UNION ALL SELECT 'family here', family, count(*) FROM entities WHERE lower(organization) LIKE '%an%' GROUP BY family, organization""",
+    UNION ALL SELECT 'family here', family, count(*) FROM entities WHERE contains(lower(organization), 'ion_2') GROUP BY family, organization""",
 )
 def _(t):
     def rows(df, kind, name, n=F.lit(1).cast("long")):
         return df.select(F.lit(kind).alias("kind"), F.col(name).alias("name"), n.alias("n"))
 
     e, n = t.entities, F.col("n_entities")
-    out = rows(dimensions.org_entities(e, "United"), "in organization", "entity")
+    out = rows(dimensions.org_entities(e, "Nation_1"), "in organization", "entity")
     out = out.unionByName(rows(dimensions.open_source_entities(e), "open", "entity"))
     out = out.unionByName(rows(dimensions.list_families(e), "family", "family", n))
-    return out.unionByName(rows(dimensions.list_families(e, "AN"), "family here", "family", n))
+    return out.unionByName(rows(dimensions.list_families(e, "ION_2"), "family here", "family", n))
