@@ -43,7 +43,7 @@ def _(t):
 @query("S2_read_wide_scores", "SELECT entity, item, score FROM scores")
 def _(t):
     path = new_table_path(t.spark, "wide")
-    scores.write_wide_scores(t.scores, path, items=_ITEMS)
+    scores.write_wide_scores(t.scores, path)
     return scores.read_wide_scores(t.spark, path)[0]
 
 
@@ -136,7 +136,7 @@ FROM (SELECT DISTINCT {column} AS c FROM entities) x"""
     cast(printf('%.2f', truth) AS DOUBLE) AS truth FROM predictions""",
 )
 def _(t):
-    return scores.parse_prediction_table(scores.format_prediction_table(t.predicted, _ITEMS))
+    return scores.parse_prediction_table(scores.format_prediction_table(t.predicted, scores.item_list(t.predicted)))
 
 
 _CELLS = ", ".join(
@@ -192,7 +192,7 @@ def _(t):
 
     path = new_table_path(t.spark, "new")
     new = t.entities.filter(is_recent(F.col("release_date"), CUTOFF)).select("entity", F.col("parameters").alias("Parameters"))
-    scores.write_wide_scores(t.scores, path, new, _ITEMS)
+    scores.write_wide_scores(t.scores, path, new)
     return scores.read_cold_start(t.spark, path)[1]
 
 
