@@ -38,7 +38,7 @@ RULES = (
     Rule("word_length", 2.0, 14.0),
     Rule("symbol_ratio", high=0.1),
     Rule("stop_ratio", low=0.02),
-    Rule("dup_line_ratio", high=0.3),
+    Rule("dup_line_ratio", high=0.5),
     Rule("capital_ratio", high=0.5),
     Rule("ellipsis_line_ratio", high=0.3),
     Rule("bullet_line_ratio", high=0.9),
