@@ -92,4 +92,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
-ORACLES: dict[str, str] = {}
+
+
+def _quality_sql() -> str:
+    """The counts and the default threshold table of the quality rules."""
+    ratio = lambda part, whole: f"CASE WHEN {whole} > 0 THEN {part}::DOUBLE / {whole} ELSE 0 END"
+    stop = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
+    metrics = {
+        "word_length": ratio("word_chars", "n_words"), "symbol_ratio": ratio("n_symbols", "n_words"),
+        "stop_ratio": ratio(f"len(list_filter(w, lambda x: lower(x) IN ({stop})))", "n_words"),
+        "dup_line_ratio": ratio("n_dup_lines", "len(l)"),
+        "capital_ratio": ratio("(length(t) - length(regexp_replace(t, '[A-Z]+', '', 'g')))", "word_chars"),
+        "ellipsis_line_ratio": ratio("len(list_filter(l, lambda x: ends_with(x, '...') OR ends_with(x, '…')))", "len(l)"),
+        "bullet_line_ratio": ratio("len(list_filter(l, lambda x: substr(x, 1, 2) IN ('- ', '* ', '• ')))", "len(l)"),
+    }
+    rules = [f"{metrics[r.metric]} {sign} {float(b)}" for r in quality.RULES for sign, b in ((">=", r.low), ("<=", r.high)) if b is not None]
+    return rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    s AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+    g AS (SELECT r, i, concat(w[i], ' ', w[i + 1], ' ', w[i + 2]) AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM s WHERE len(w) > 2) x),
+    c AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g),
+    n AS (SELECT r, count(DISTINCT i + j) AS n FROM c, (SELECT unnest([0, 1, 2]) AS j) y WHERE c > 1 GROUP BY r),
+    m AS (SELECT s.*, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+      length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+      coalesce(n.n, 0) AS n_repeat_words FROM s LEFT JOIN n ON n.r = s.r),
+    f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(rules)} AS kept FROM f"""
+
+
+#: The other operators can't be said in SQL, or only by pairing all rows; tests hold them against brute force.
+ORACLES: dict[str, str] = {"op4_quality_rules": _quality_sql()}

@@ -56,7 +56,7 @@ def write_stream(
                     names = []
                     del held[:size]
                 held += end
-                names = [*names, name] if len(names) < 64 else (names.append(name) or names)
+                names.append(name)
                 if len(held) >= size:
                     out.append(row(held[:size], names))
                     names = []
