@@ -47,7 +47,7 @@ def base(text: str | Column = "text") -> Column:
     """A struct of n_words, n_base, first_word, last_word and base_labels (an array) of one text."""
     t = filled(text)
     patterns = [(label, rf"(?i)(?<!{_LETTER})" + f"{_OTHER}+".join(p.split()) + rf"(?!{_LETTER})") for label, p in PHRASES]
-    count = lambda c: F.regexp_count(c, F.lit(_LETTER + "+"))
+    count = lambda c: let(_words(c), lambda w: F.size(w) - F.when(F.element_at(w, -1) == "", 1).otherwise(0))
     hit = lambda label, p: F.transform(
         matches(t, p), lambda m: F.struct(m["start"].alias("at"), F.lit(label).alias("label"))
     )
@@ -69,9 +69,15 @@ def base(text: str | Column = "text") -> Column:
     return let(hits, summary)
 
 
+def _words(text: Column) -> Column:
+    """Words of a text in their order; an empty string may follow the last."""
+    parts = F.split(text, _OTHER + "+")
+    return let(parts, lambda p: F.when((F.get(p, F.lit(0)) == "") & (F.size(p) > 1), F.slice(p, 2, F.size(p))).otherwise(p))
+
+
 def _known_words(text: Column, known: Sequence[str]) -> Column:
     """(place, word) of the words of a text that are among ``known``."""
-    found = F.regexp_extract_all(F.lower(filled(text)), F.lit(f"({_LETTER}+)"), F.lit(1))
+    found = _words(F.lower(filled(text)))
     pair = lambda w, i: F.when(w.isin(*known), F.struct(i.alias("at"), w.alias("word")))
     return F.filter(F.transform(found, pair), lambda x: x.isNotNull())
 
