@@ -68,14 +68,27 @@ def _passes(data: bytes, length: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _runs(data: bytes, length: int, h: int) -> Iterator[tuple[int, int, int, int]]:
-    """(first window, last window, place of the sample, name of the sample) of each run of windows."""
+    """(first window, last window, place of the sample, name of the sample) of each run of windows.
+
+    A run that goes on in the next pass is one run: two parts would name the block between them twice.
+    """
+    kept = None
     for base, part in _passes(data, length):
         name = names(part, h)
         place = samples(name, length - h + 1)
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         last = np.concatenate([first[1:] - 1, [len(place) - 1]])
         chosen = place[first]
-        yield from zip((first + base).tolist(), (last + base).tolist(), (chosen + base).tolist(), name[chosen].tolist(), strict=True)
+        found = list(zip((first + base).tolist(), (last + base).tolist(), (chosen + base).tolist(), name[chosen].tolist(), strict=True))
+        if kept:
+            if kept[2] == found[0][2]:
+                found[0] = (kept[0], *found[0][1:])
+            else:
+                yield kept
+        kept = found.pop()
+        yield from found
+    if kept:
+        yield kept
 
 
 def _blocks(runs: list, size: int) -> Iterator[tuple[int, int, int, bool, bytes]]:

@@ -112,6 +112,32 @@ def test_passes_of_long_texts_cover_each_window_once(monkeypatch):
     assert windows == list(range(481))
 
 
+def test_runs_go_on_across_passes(monkeypatch):
+    data = bytes(random.Random(1).choices(b"ab", k=500))
+    whole = list(suffixes._runs(data, 20, 5))
+    monkeypatch.setattr(suffixes, "_CHUNK", 1 << 6)
+    places = [p for _, _, p, _ in suffixes._runs(data, 20, 5)]
+    assert len(places) == len(set(places)) and len(whole) > 1
+
+
+def test_a_repeated_sample_between_two_passes_removes_nothing(docs_of):
+    draw = random.Random(5)
+    letters = bytes(range(97, 123))
+    edge = suffixes._CHUNK - 200
+    middle, first, place = b"", 500, 500
+    while first == 500 or (500 - place) % 16 == 0:  # the sample's run must go over the edge, and so must a block
+        middle = bytes(draw.choices(letters, k=1000))
+        first, _, place, name = next(r for r in suffixes._runs(middle, 200, 50) if r[0] <= 500 <= r[1])
+    body, place = bytes(draw.choices(letters, k=edge - 500)) + middle + bytes(draw.choices(letters, k=2000)), place + edge - 500
+    other = b""
+    while name not in {r[3] for r in suffixes._runs(other, 200, 50)}:
+        other = bytes(draw.choices(letters, k=300)) + body[place : place + 50] + bytes(draw.choices(letters, k=300))
+    twice = body[700_000:700_300]
+    texts = [(body + twice).decode(), other.decode()]
+    out = suffixes.remove_repeats(docs_of(texts), cell_bits=3).collect()
+    assert {r["doc_id"]: tuple(r)[1:5] for r in out} == dict(enumerate(brute_repeats(texts, 200)))
+
+
 def test_no_repeats_in_nothing(docs_of):
     assert suffixes.remove_repeats(docs_of([])).count() == 0
 
