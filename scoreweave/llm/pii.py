@@ -3,8 +3,8 @@
 Strict patterns give the base spans. Broad generators propose further spans: digit groups and address-like strings
 that the strict rules turn down. Candidates that coincide with a base span are positive examples, the others negative;
 gradient-boosted trees learn from the form of the span and the characters and words before it, never from the checks
-(checksums, ranges) themselves. The examples are a sample of at most ``sample`` candidates, by hash; part of them is
-held out, and there each kind's threshold is set to the least score whose precision reaches the target. Candidates
+(checksums, ranges) themselves. The trees learn from a part of a sample of at most ``sample`` candidates, by hash; on
+all other candidates each kind's threshold is set to the least score whose precision reaches the target. Candidates
 above it are added. Column functions, joins and Spark's own trees only; all candidates are scored.
 """
 
@@ -105,33 +105,51 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def scored(found: DataFrame, sample: int, trees: int, depth: int) -> DataFrame | None:
-    """Candidates with the model's ``score``; None if the sample has one class only, or nothing is held out."""
-    part = F.pmod(F.xxhash64("key", "span.start", "span.end", F.lit(17)), F.lit(10))
+    """Candidates with the model's ``score`` and their kind's ``least``; None if the sample has one class only.
+
+    The trees learn from the sample; the thresholds come from all candidates that the trees did not learn from.
+    """
+    place = [F.col("key"), F.col("span.start"), F.col("span.end"), F.col("span.place")]
     vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    rows = vector.transform(found).withColumn("label", F.col("strict").cast("double")).withColumn("_part", part)
-    examples = cut_lineage(rows.orderBy(F.xxhash64("key", "span.start", "span.end"), "key", "span").limit(sample))
-    fit = examples.filter("_part < 7")
+    rows = vector.transform(found).withColumn("label", F.col("strict").cast("double")).withColumn("_order", F.xxhash64(*place))
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(*place, F.lit(17)), F.lit(10)))
+    last = rows.select("_order").orderBy("_order").limit(sample).agg(F.max("_order")).first()[0]
+    if last is None:
+        return None
+    learnt = (F.col("_order") <= last) & (F.col("_part") < 7)
+    fit = cut_lineage(rows.filter(learnt))
     classes = {r[0] for r in fit.select("label").distinct().collect()}
     if len(classes) < 2:
         return None
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7, cacheNodeIds=False).fit(fit)
     out = model.transform(rows).withColumn("score", vector_to_array("probability")[1])
-    held = model.transform(examples.filter("_part >= 7")).withColumn("score", vector_to_array("probability")[1])
+    out = cut_lineage(out.select("key", "span", "strict", "label", "score", learnt.alias("learnt")))
+    held = out.filter("not learnt and label is not null")
     held = held.groupBy("span.kind", F.floor(F.col("score") * 100).alias("bin")).agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n"))
     return out.join(F.broadcast(_thresholds(held)), F.col("span.kind") == F.col("kind"), "left")
 
 
-def _thresholds(held: DataFrame, target: float = 0.9) -> DataFrame:
-    """Per kind the least hundredth of score at and above which ``target`` of the held-out candidates are good.
+def _thresholds(held: DataFrame, target: float = 0.9, few: int = 20) -> DataFrame:
+    """For each of the generators' kinds the least hundredth of score at and above which ``target`` of the held-out
+    candidates are good. A kind with less than ``few`` of them, or none, takes the threshold of all kinds together; 2
+    means that no score is enough.
 
-    ``held`` has at most 101 rows for each of the generators' kinds.
+    ``held`` has at most 101 rows for each kind.
     """
-    limits: dict[str, tuple[float, float, float]] = {}
-    for kind, bin_, good, n in sorted(held.collect(), key=lambda r: -r[1]):
-        best, right, total = limits.get(kind, (2.0, 0.0, 0.0))
-        right, total = right + good, total + n
-        limits[kind] = (bin_ / 100 if right >= target * total else best, right, total)
-    rows = [(kind, best) for kind, (best, _, _) in limits.items()]
+    bins: dict[str, dict[int, tuple[float, int]]] = {kind: {} for kind, _ in BROAD}
+    every: dict[int, tuple[float, int]] = {}
+    for kind, bin_, good, n in held.collect():
+        bins[kind][bin_] = (good, n)
+        every[bin_] = tuple(map(sum, zip(every.get(bin_, (0.0, 0)), (good, n), strict=True)))
+
+    def least(counts: dict[int, tuple[float, int]]) -> float:
+        best, right, total = 2.0, 0.0, 0
+        for bin_, (good, n) in sorted(counts.items(), reverse=True):
+            right, total = right + good, total + n
+            best = bin_ / 100 if right >= target * total else best
+        return best
+
+    rows = [(kind, least(own if sum(n for _, n in own.values()) >= few else every)) for kind, own in bins.items()]
     return held.sparkSession.createDataFrame(rows, "kind string, least double")
 
 

@@ -96,3 +96,15 @@ def test_trees_reject_most_noise_and_keep_like_spans(docs_of):
     out = pii.find_pii(docs_of(good + bad + ["mail: some.one @ site3.example.com now"]))
     extra = {r[0]: set(r[1]) - {"email"} for r in out.select("doc_id", "pii.spans.kind").collect()}
     assert sum(bool(extra[k] & {"number"}) for k in range(300, 600)) < 15
+
+
+def test_thresholds_come_from_all_candidates_and_exist_for_every_kind(docs_of):
+    numbers = [f"box {k}12{k}4567 and +1 (017) 555-{1000 + k}" for k in range(300)]
+    found = pii.candidates(docs_of(numbers + [f"mail: user{k}@site.example.com" for k in range(60)])).localCheckpoint()
+    out = pii.scored(found, sample=50, trees=3, depth=2)
+    rows = out.groupBy("span.kind").agg(F.count("least"), F.count(F.lit(1))).collect()
+    assert {r[0]: r[1] for r in rows} == {r[0]: r[2] for r in rows} and {r[0] for r in rows} >= {"contact", "number"}
+    assert out.count() == found.count() and out.filter("learnt").count() <= 50
+    bins = [("number", 99, 30.0, 30), ("number", 40, 0.0, 90), ("contact", 80, 1.0, 1)]
+    held = found.sparkSession.createDataFrame(bins, "kind string, bin long, good double, n long")
+    assert {r[0]: r[1] for r in pii._thresholds(held).collect()} == {"number": 0.99, "contact": 0.8, "address": 0.8}
