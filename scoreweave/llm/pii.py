@@ -1,11 +1,13 @@
 """Personal data: overlapping candidates, boosted trees over format and context, calibrated thresholds.
 
 Strict patterns give the base spans. Broad generators propose further spans: digit groups and address-like strings
-that the strict rules turn down. Candidates that coincide with a base span are positive examples, the others negative;
-gradient-boosted trees learn from the form of the span and the characters and words before it, never from the checks
-(checksums, ranges) themselves. The trees learn from a part of a sample of at most ``sample`` candidates, by hash; on
-all other candidates each kind's threshold is set to the least score whose precision reaches the target. Candidates
-above it are added. Column functions, joins and Spark's own trees only; all candidates are scored.
+that the strict rules turn down. Candidates that coincide with a base span are positive examples. Of the others, those
+that fail a checkable rule and have no cue before them are negative (``_WRONG``); the rest have no label: they are what
+is looked for, so neither the trees nor the thresholds take them as errors. Gradient-boosted trees learn from the form
+of the span and the characters and words before it. They learn from a part of a sample of at most ``sample`` candidates
+with a label, by hash; on all others with a label each kind's threshold is set to the least score whose precision
+reaches the target. Candidates above it are added. Column functions, joins and Spark's own trees only; all candidates
+are scored.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ BROAD = (
     ("address", r"(?<![0-9.])[0-9]{1,5}+(?:\.[0-9]{1,5}+){3,}+"),
 )
 CUES = r"(?i)(?:mail|phone|tel|call|fax|card|visa|account|address|contact|host|ip)[^A-Za-z0-9]*$"
+#: Written-out signs of an address, and what they stand for.
+SIGNS = ((r"\x20?(?:\(at\)|\[at\])\x20?", "@"), (r"\x20?(?:\(dot\)|\[dot\])\x20?", "."))
 _ORDER = (*KINDS, *(k for k, _ in BROAD))
 _SPAN = "array<struct<start:int,place:int,end:int,kind:string>>"
 
@@ -76,11 +80,29 @@ def base_spans(text: str | Column = "text") -> Column:
     return F.array_sort(F.concat(*[_spans(t, k, PATTERNS[k], _HOLDS[k]) for k in KINDS]))
 
 
+def _plain(word: Column) -> Column:
+    """A candidate with its written-out signs as signs."""
+    for pattern, sign in SIGNS:
+        word = F.regexp_replace(word, pattern, sign)
+    return word
+
+
+#: What no span of the kind can be: no domain with a name at its end; digits of no telephone and no card; parts over 255.
+_WRONG = {
+    "contact": lambda w: ~w.rlike(r"@\x20?[A-Za-z0-9-]+(?:\x20?\.\x20?[A-Za-z0-9-]+)*\x20?\.\x20?[A-Za-z]{2,}$"),
+    "number": lambda w: ~F.length(_digits(w)).between(9, 19) | ((F.length(_digits(w)) > 11) & ~w.rlike(r"^[+(]") & ~_luhn(w)),
+    "address": lambda w: ~_small_parts(w),
+}
+
+
 FEATURES = ("length", "digits", "blanks", "dots", "dashes", "plus", "at", "letters", "groups", "longest", "cue", "before_word", "after_word", "before_dot")
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(key, span, strict, features) of all spans that the broad generators propose, once per text."""
+    """(key, span, strict, label, features) of all spans that the broad generators propose, once per text.
+
+    ``label`` is 1 for strict candidates, 0 for those that can't be right, and null for the others.
+    """
     t = F.col("t")
     rows = docs.select(text_key(text).alias("key"), filled(text).alias("t"))
     rows = rows.withColumn("broad", F.concat(*[_spans(t, k, p) for k, p in BROAD])).filter(F.size("broad") > 0)
@@ -92,31 +114,35 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
         t.substr(s["end"] + 1, F.lit(2)).alias("after"),
     ))
     rows = rows.select("key", F.explode(one).alias("c")).select("key", "c.*").distinct()
+    rows = rows.withColumn("word", _plain(F.col("word")))
     w, n = F.col("word"), lambda p: (F.length("word") - F.length(F.regexp_replace("word", p, ""))).cast("double")
     groups = F.filter(F.split(w, "[^0-9]+"), lambda g: g != "")
     values = {
-        "length": F.length(w), "digits": n("[0-9]"), "blanks": n(r"\x20"), "dots": n(r"\."), "dashes": n("-"), "plus": n(r"\+"),
+        "length": F.length(w), "digits": n("[0-9]"), "blanks": n(r"\x20"), "dots": n(r"\."), "dashes": n("-"), "plus": n(r"[+(]"),
         "at": n("@"), "letters": n("[A-Za-z]"), "groups": F.size(groups),
         "longest": F.coalesce(F.array_max(F.transform(groups, lambda g: F.length(g))), F.lit(0)),
         "cue": F.col("before").rlike(CUES), "before_word": F.col("before").rlike(r"[A-Za-z0-9]$"),
         "after_word": F.col("after").rlike("^[A-Za-z0-9]"), "before_dot": F.col("before").rlike(r"[.:/-]$"),
     }
-    return rows.select("key", "span", "strict", *[F.coalesce(values[f].cast("double"), F.lit(0.0)).alias(f) for f in FEATURES])
+    wrong = F.coalesce(*[F.when(F.col("span.kind") == k, bad(w)) for k, bad in _WRONG.items()])
+    label = F.when(F.col("strict"), 1.0).when(wrong & ~values["cue"], 0.0)
+    return rows.select("key", "span", "strict", label.alias("label"), *[F.coalesce(values[f].cast("double"), F.lit(0.0)).alias(f) for f in FEATURES])
 
 
 def scored(found: DataFrame, sample: int, trees: int, depth: int) -> DataFrame | None:
     """Candidates with the model's ``score`` and their kind's ``least``; None if the sample has one class only.
 
-    The trees learn from the sample; the thresholds come from all candidates that the trees did not learn from.
+    The trees learn from the sample; the thresholds come from all candidates with a label that the trees did not learn from.
     """
     place = [F.col("key"), F.col("span.start"), F.col("span.end"), F.col("span.place")]
     vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    rows = vector.transform(found).withColumn("label", F.col("strict").cast("double")).withColumn("_order", F.xxhash64(*place))
+    rows = vector.transform(found).withColumn("_order", F.xxhash64(*place))
     rows = rows.withColumn("_part", F.pmod(F.xxhash64(*place, F.lit(17)), F.lit(10)))
-    last = rows.select("_order").orderBy("_order").limit(sample).agg(F.max("_order")).first()[0]
+    last = rows.filter("label is not null").select("_order").orderBy("_order").limit(sample).agg(F.max("_order")).first()[0]
     if last is None:
         return None
     learnt = (F.col("_order") <= last) & (F.col("_part") < 7)
+    learnt &= F.col("label").isNotNull()
     fit = cut_lineage(rows.filter(learnt))
     classes = {r[0] for r in fit.select("label").distinct().collect()}
     if len(classes) < 2:

@@ -108,3 +108,17 @@ def test_thresholds_come_from_all_candidates_and_exist_for_every_kind(docs_of):
     bins = [("number", 99, 30.0, 30), ("number", 40, 0.0, 90), ("contact", 80, 1.0, 1)]
     held = found.sparkSession.createDataFrame(bins, "kind string, bin long, good double, n long")
     assert {r[0]: r[1] for r in pii._thresholds(held).collect()} == {"number": 0.99, "contact": 0.8, "address": 0.8}
+
+
+def test_forms_that_the_strict_rules_miss_are_added(docs_of):
+    texts = [f"please mail user{k}.name@site{k % 7}.example.com today" if k % 2 else f"and kim{k}@example.org too" for k in range(150)]
+    texts += [f"call +1 (415) 555-{1000 + k} or phone: +44 207 946 {1000 + k} soon" for k in range(150)]
+    texts += [f"row {k}12{k}45671234 box {k * 7919 + 1000000} and value @property{k} of 300.1.{k}.9" for k in range(150)]
+    hidden = [f"please mail user{k}.name (at) site{k % 7} (dot) example (dot) com today" for k in range(200)]
+    hidden += [f"or jane{k}[at]example[dot]org" for k in range(200)]
+    plain = [f"call (415) 555-{1000 + k} soon" for k in range(200)]
+    rows = pii.find_pii(docs_of(texts + hidden + plain)).select("doc_id", "pii.spans").collect()
+    kinds = {r[0]: {s["kind"] for s in r[1]} for r in rows}
+    of = lambda kind, first, n: sum(kind in kinds[k] for k in range(first, first + n))
+    assert of("contact", 450, 400) == 400 and of("number", 850, 200) == 200
+    assert of("contact", 300, 150) == of("address", 300, 150) == 0 and of("number", 300, 150) < 20
