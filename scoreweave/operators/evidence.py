@@ -272,18 +272,35 @@ def evolution_members(entities: DataFrame) -> DataFrame:
     return entities.select("family", "entity", line.alias("line"))
 
 
-def evolution_table(entities: DataFrame, scores: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Family members with their score on each item: ``(family, item, entity, line)``, 0 to 100, one decimal."""
+def evolution_table(
+    entities: DataFrame, scores: DataFrame, ranges: DataFrame, targets: DataFrame | None = None
+) -> DataFrame:
+    """All members of a family, with their score on the item where they have one: ``(family, item, entity, line,
+    percent)``, 0 to 100, one decimal in the line. A member without a score keeps its line, and its ``percent`` is
+    null.
+
+    The items of a family are those it has targets on; without ``targets``, those it has scores on. Entities without
+    a family have no table.
+    """
+    asked = scores if targets is None else targets
+    cells = asked.join(entities.select("entity", "family"), "entity").select("family", "item").distinct()
     rows = fields.with_range(scores, ranges)
     percent = fields.to_percent(F.col("score"), F.col("lo"), F.col("hi"))
-    scored = F.concat("line", F.lit(", "), "item", F.lit("="), fields.fixed(percent, 1))
-    return rows.join(evolution_members(entities), "entity").select("family", "item", "entity", scored.alias("line"))
+    found = rows.select("entity", "item", percent.alias("percent"))
+    figure = F.concat(F.lit(", "), "item", F.lit("="), fields.fixed(F.col("percent"), 1))
+    line = F.concat("line", F.coalesce(figure, F.lit("")))
+    out = cells.join(evolution_members(entities), "family").join(found, ["entity", "item"], "left")
+    return out.select("family", "item", "entity", line.alias("line"), "percent")
 
 
-def component_text(targets: DataFrame, entities: DataFrame, components: DataFrame, column: str) -> DataFrame:
-    """Text on the target's component: maker, architecture, first three features. Targets whose component is
-    not described keep a null text. ``components(component, organization, architecture, key_features)``."""
-    features = F.concat_ws(", ", F.slice("key_features", 1, 3))
+def component_text(
+    targets: DataFrame, entities: DataFrame, components: DataFrame, column: str, max_features: int | None = None
+) -> DataFrame:
+    """Text on the target's component: maker, architecture, features (all, or the first ``max_features``). Targets
+    whose component is not described keep a null text.
+    ``components(component, organization, architecture, key_features)``."""
+    features = F.col("key_features") if max_features is None else F.slice("key_features", 1, max_features)
+    features = F.concat_ws(", ", features)
     known = components.select(
         F.col("component").alias(column),
         F.concat_ws(

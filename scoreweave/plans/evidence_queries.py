@@ -39,7 +39,18 @@ _PERCENT_TEXT = "printf('%.1f', greatest(0, least(100, (s.score - coalesce(lo, 0
     FROM train s JOIN entities e ON s.entity = e.entity LEFT JOIN ranges r ON s.item = r.item""",
 )
 def _(t):
-    return evidence.evolution_table(t.entities, t.training, t.ranges)
+    # This SQL lists scored members only; E3_evolution_targets has them all.
+    return evidence.evolution_table(t.entities, t.training, t.ranges).filter("percent IS NOT NULL").drop("percent")
+
+
+@query(
+    "E3_evolution_targets",
+    f"""SELECT c.family, c.item, e.entity, concat('  - ', e.entity, ': vision=', coalesce(vision_model, 'N/A'), ', llm=', coalesce(language_model, 'N/A'), ', params=', coalesce(parameters, 'N/A'), ', date=', coalesce(release_date, 'N/A'), CASE WHEN s.score IS NOT NULL THEN concat(', ', c.item, '=', {_PERCENT_TEXT}) ELSE '' END) AS line
+    FROM (SELECT DISTINCT family, item FROM test_cells t JOIN entities m ON t.entity = m.entity) c JOIN entities e ON e.family = c.family
+    LEFT JOIN train s ON s.entity = e.entity AND s.item = c.item LEFT JOIN ranges r ON r.item = c.item""",
+)
+def _(t):
+    return evidence.evolution_table(t.entities, t.training, t.ranges, t.held_out).drop("percent")
 
 
 @query(
@@ -47,6 +58,18 @@ def _(t):
     """SELECT t.entity, t.item, CASE WHEN e.vision_model > 'VM-B' THEN concat('[', e.vision_model, ']', chr(10), '  Organization: maker', chr(10), '  Architecture: N/A', chr(10), '  Features: a, b, c') END AS vision_model_text
     FROM test_cells t JOIN entities e ON t.entity = e.entity""",
 )
+def _(t):
+    known = t.sql("""SELECT DISTINCT vision_model AS component, 'maker' AS organization, cast(NULL AS string) AS architecture, array('a', 'b', 'c', 'd') AS key_features
+        FROM entities WHERE vision_model > 'VM-B'""")
+    # This SQL lists three features; E3_component_features has them all.
+    return evidence.component_text(t.held_out.select("entity", "item"), t.entities, known, "vision_model", max_features=3)
+
+
+@query(
+    "E3_component_features",
+    """SELECT t.entity, t.item, CASE WHEN e.vision_model > 'VM-B' THEN concat('[', e.vision_model, ']', chr(10), '  Organization: maker', chr(10), '  Architecture: N/A', chr(10), '  Features: a, b, c, d') END AS vision_model_text
+    FROM entities e JOIN test_cells t ON t.entity = e.entity""",
+)
 def _(t):
     known = t.sql("""SELECT DISTINCT vision_model AS component, 'maker' AS organization, cast(NULL AS string) AS architecture, array('a', 'b', 'c', 'd') AS key_features
         FROM entities WHERE vision_model > 'VM-B'""")

@@ -168,3 +168,21 @@ def test_incremental_results_write_each_key_once(spark, tmp_path):
     run()
     got = sorted((r["entity"], r["item"]) for r in spark.read.parquet(sink).collect())
     assert got == [("a", "x"), ("b", "x"), ("c", "x")]
+
+
+def test_evolution_keeps_members_without_a_score_and_components_all_features(spark):
+    entities = spark.createDataFrame(
+        [("a", "f", "v", "l", "7B", "2024"), ("b", "f", "v", "l", "9B", None), ("c", None, "v", "l", "1B", None)],
+        "entity string, family string, vision_model string, language_model string, parameters string, release_date string",
+    )
+    scores = spark.createDataFrame([("a", "i", 50.0), ("c", "i", 9.0)], "entity string, item string, score double")
+    ranges = spark.createDataFrame([], "item string, lo double, hi double")
+    targets = spark.createDataFrame([("b", "i"), ("b", "j")], "entity string, item string")
+    a, b = "  - a: vision=v, llm=l, params=7B, date=2024", "  - b: vision=v, llm=l, params=9B, date=N/A"
+    lines = lambda rows: {(r["item"], r["line"]) for r in rows.collect()}
+    assert lines(evidence.evolution_table(entities, scores, ranges)) == {("i", a + ", i=50.0"), ("i", b)}
+    out = evidence.evolution_table(entities, scores, ranges, targets)
+    assert lines(out) == {("i", a + ", i=50.0"), ("i", b), ("j", a), ("j", b)} and out.count() == 4
+    known = spark.createDataFrame([("v", "m", "x", list("abcd"))], "component string, organization string, architecture string, key_features array<string>")
+    texts = evidence.component_text(targets, entities, known, "vision_model").collect()
+    assert all(r["vision_model_text"].endswith("Features: a, b, c, d") for r in texts) and len(texts) == 2
