@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreweave.llm import chat, decontamination, jaccard, licenses, packing, pii, quality, secrets, sharding, suffixes, token_counts
+from scoreweave.llm import chat, decontamination, jaccard, licenses, packing, pii, quality, secrets, sharding, suffixes, token_counts, vector_codes
 from scoreweave.llm.common import let, span_list, tasks_find_library
 from scoreweave.session import new_table_path
 
@@ -102,6 +102,17 @@ def op11_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    tasks_find_library(spark)
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding", "label")
+    books = vector_codes.fit_codebooks(vectors)
+    coded = vector_codes.encode(vectors, books, keep=["label"])
+    # One row per label; adaptive execution splits a label that holds many rows.
+    total = coded.groupBy(F.col("label").alias("_label")).agg(F.sum(F.col("error").cast("decimal(38,0)")).cast("long").alias("label_error"))
+    out = coded.join(total, F.col("label").eqNullSafe(F.col("_label")), "left")
+    return out.select("vec_id", "code", "error", "label_error", F.lit(books.sha256() if books else "").alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -114,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_chat_formatting": op11_chat_formatting,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 
