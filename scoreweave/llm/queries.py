@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreweave.llm import chat, decontamination, jaccard, licenses, packing, pii, quality, secrets, sharding, suffixes, token_counts, vector_codes
+from scoreweave.llm import alignment, chat, decontamination, jaccard, licenses, packing, pii, quality, secrets, sharding, suffixes, token_counts, vector_codes
 from scoreweave.llm.common import let, span_list, tasks_find_library
 from scoreweave.session import new_table_path
 
@@ -113,6 +113,10 @@ def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("vec_id", "code", "error", "label_error", F.lit(books.sha256() if books else "").alias("codebooks_sha256"))
 
 
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -126,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_chat_formatting": op11_chat_formatting,
     "op12_vector_codes": op12_vector_codes,
+    "op13_alignment": op13_alignment,
 }
 
 
