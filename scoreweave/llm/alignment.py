@@ -16,12 +16,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,8 +34,11 @@ from scoreweave.session import cut_lineage
 
 #: White space as the rule of tokenizer A has it.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACES = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{_SPACE}]", c))
 #: The character that stands for a space in the pieces of tokenizer B.
 _MARK = "\u2581"
+#: Documents whose new pieces are aligned together.
+_SLICE = 128
 #: Bits of an id in a pair of ids.
 _BITS = 32
 _FIGURES = ("n_a", "n_b", "n_groups", "n_links")
@@ -58,6 +63,7 @@ class ByteLevel:
             self.bytes = {i: b for b, i in ranks.items()}
             encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
             self.encode = lambda texts: [encoding.encode_ordinary(t) for t in texts]
+            self.whole = encoding.encode_ordinary
             return
         from tokenizers import Tokenizer
 
@@ -67,6 +73,7 @@ class ByteLevel:
         byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
         self.bytes = {i: bytes(byte_of[c] for c in t) for t, i in tokenizer.get_vocab().items() if all(c in byte_of for c in t)}
         self.encode = lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.whole = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
 class PieceModel:
@@ -83,8 +90,7 @@ class PieceModel:
         self._encode = lambda texts: model.encode(texts, num_threads=1)
         # A text may be cut before white space that no piece holds behind another character.
         inner = {c for name in names for k, c in enumerate(name) if k and name[k - 1] != c}
-        spaces = re.compile(f"[{_SPACE}]")
-        self.cuts = "".join(c for c in map(chr, range(0x3001)) if spaces.match(c) and (_MARK if c == " " else c) not in inner)
+        self.cuts = "".join(sorted(c for c in _SPACES if (_MARK if c == " " else c) not in inner))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of pieces of a text, the first of which begins with the space that the model would put there itself."""
@@ -127,10 +133,11 @@ class Aligner:
     """Groups and links of texts. What is known of pieces is kept until ``keep`` of them are, which bounds memory and
     changes no result."""
 
-    def __init__(self, a_file: str, b_file: str, keep: int = 500_000):
+    def __init__(self, a_file: str, b_file: str, keep: int = 150_000):
         self.a, self.b, self._keep = ByteLevel(a_file), PieceModel(b_file), keep
         self._a_len = _lengths(self.a.bytes)
         self._b_len = _lengths(self.b.bytes)
+        self._names = [f"{i}{sign}" for size, signs in ((len(self._a_len), ",|"), (len(self._b_len), ",;")) for sign in signs for i in range(size)]
         cuts = re.escape(self.b.cuts)
         # Before white space that may be cut at, if what stands before it is no white space.
         self._cut = re.compile(rf"(?<=[^{_SPACE}])(?=[{cuts}])") if cuts else None
@@ -147,7 +154,7 @@ class Aligner:
             return [" " + first, *[p if p[0] == "\n" else " " + p for p in rest]]
         return self._cut.split(" " + text) if self._cut else [" " + text]
 
-    def learn(self, parts: list[str]) -> None:
+    def learn(self, parts: Iterable[str]) -> None:
         """Align pieces that are not known yet."""
         known = self.known
         new = [p for p in dict.fromkeys(parts) if p not in known.number]
@@ -155,40 +162,49 @@ class Aligner:
             self._learn(new[k : k + 20_000])
 
     def _learn(self, new: list[str]) -> None:
-        if not new:
-            return
-        a_ids, b_ids = self.a.encode(new), self.b.encode(new)
+        # Pieces that don't end in white space are encoded by A in one go: it cuts before the next piece.
+        tails = [p for p in new if p[-1] in _SPACES]
+        new = [p for p in new if p[-1] not in _SPACES] + tails
         raw = [p.encode() for p in new]
-        fits = [b"".join(map(self.b.bytes.__getitem__, b)) == r == b"".join(map(self.a.bytes.__getitem__, a)) for a, b, r in zip(a_ids, b_ids, raw, strict=True)]
-        used = [k for k, f in enumerate(fits) if f]
-        figures = np.zeros((len(new), 5), np.int64)
-        texts, number = [""] * len(new), self.known.number
-        if used:
-            na, nb = np.array([len(a_ids[k]) for k in used]), np.array([len(b_ids[k]) for k in used])
-            a = np.fromiter((i for k in used for i in a_ids[k]), np.int64, na.sum())
-            b = np.fromiter((i for k in used for i in b_ids[k]), np.int64, nb.sum())
+        a = np.array(self.a.whole("".join(new[: len(new) - len(tails)])), np.int64)
+        a = np.concatenate([a, *[np.array(ids, np.int64) for ids in self.a.encode(tails)]])
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        na = np.diff(np.searchsorted(np.cumsum(self._a_len[a]), ends, "right"), prepend=0)
+        b_ids = self.b.encode(new)
+        nb = np.fromiter(map(len, b_ids), np.int64, len(new))
+        b = np.fromiter(chain.from_iterable(b_ids), np.int64, nb.sum())
+        fits, used = np.ones(len(new), bool), np.arange(len(new))
+        b_ends = np.cumsum(self._b_len[b])
+        same = len(b_ends) and np.array_equal(b_ends[np.cumsum(nb) - 1], ends) and b"".join(map(self.b.bytes.__getitem__, b.tolist())) == b"".join(raw)
+        if not same:  # rare: a piece that B doesn't give back
+            fits = np.array([b"".join(map(self.b.bytes.__getitem__, ids)) == r for ids, r in zip(b_ids, raw, strict=True)], bool)
+            a, b, used = a[np.repeat(fits, na)], b[np.repeat(fits, nb)], np.flatnonzero(fits)
+        figures, texts = np.zeros((len(new), 5), np.int64), [""] * len(new)
+        if len(used):
             group, at, bt = coalesce(np.cumsum(self._a_len[a]), np.cumsum(self._b_len[b]))
-            owner = np.repeat(np.arange(len(used)), na)[at]  # pieces end with a token of each, so groups never span two
-            links = np.bincount(owner, minlength=len(used))
+            owner = np.repeat(np.arange(len(used)), na[fits])[at]  # pieces end with a token of each: no group spans two
             first = np.concatenate([[True], group[1:] != group[:-1]])
-            figures[used] = np.stack([na, nb, np.bincount(owner[first], minlength=len(used)), links, np.ones(len(used), np.int64)], 1)
+            count = lambda x: np.bincount(x, minlength=len(used))
+            figures[used] = np.stack([na[fits], nb[fits], count(owner[first]), count(owner), np.ones(len(used), np.int64)], 1)
             self.known.pairs.append(a[at] << _BITS | b[bt])
-            for k, text in zip(used, self._shown(a, b, group, at, bt, owner, first), strict=True):
+            for k, text in zip(used.tolist(), self._shown(a, b, group, at, bt, na[fits] + nb[fits]), strict=True):
                 texts[k] = text
+        number = self.known.number
         number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
         self.known.text += texts
         self.known.figures.append(figures)
 
-    @staticmethod
-    def _shown(a, b, group, at, bt, owner, first) -> list[str]:
-        """Groups of each piece as ``a1,a2|b1;a3|b2``."""
-        begins = np.flatnonzero(first)
-        stops = np.concatenate([begins[1:], [len(group)]]) - 1
-        a_names, b_names = a.astype(str).tolist(), b.astype(str).tolist()
-        spans = zip(at[begins].tolist(), (at[stops] + 1).tolist(), bt[begins].tolist(), (bt[stops] + 1).tolist(), strict=True)
-        groups = [",".join(a_names[i:j]) + "|" + ",".join(b_names[k:m]) for i, j, k, m in spans]
-        edges = np.searchsorted(owner[begins], np.arange(owner[-1] + 2)).tolist()
-        return [";".join(groups[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+    def _shown(self, a, b, group, at, bt, tokens) -> list[str]:
+        """Groups of each piece as ``a1,a2|b1;a3|b2``: each token's number with the sign that follows it."""
+        a_group, b_group = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        a_group[at], b_group[bt] = group, group
+        closes = lambda g: np.concatenate([g[1:] != g[:-1], [True]])
+        n = len(self._a_len)
+        names = np.concatenate([a + n * closes(a_group), 2 * n + b + len(self._b_len) * closes(b_group)])
+        order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+        signed = list(map(self._names.__getitem__, names[order].tolist()))
+        ends = np.cumsum(tokens).tolist()
+        return ["".join(signed[i:j])[:-1] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
 
     def room(self) -> bool:
         return len(self.known.number) < self._keep
@@ -220,7 +236,12 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _packed(numbers: np.ndarray) -> bytes:
-    return numbers.astype("<u4").tobytes()
+    """Whole numbers as differences to the one before: those of a document's sorted pieces are small."""
+    return zstandard.compress(np.diff(numbers, prepend=0).astype("<i4").tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(data), "<i4").astype(np.int64))
 
 
 class _Block:
@@ -304,29 +325,25 @@ def _blocks(docs: DataFrame, a_file: str, b_file: str, most: int) -> DataFrame:
             number += 1
             return pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
 
-        for batch in batches:
-            ids.append(batch.column(0))
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                parts = tool.pieces(text) if text and _MARK not in text else []
-                if parts:
-                    try:
-                        numbers = list(map(tool.known.number.__getitem__, parts))
-                    except KeyError:
-                        if not tool.room() and held:
-                            yield out()
-                            ids, held, size, rows = [batch.column(0).slice(k)], [], 0, -k
-                        if not tool.room():
-                            tool.forget()
-                        tool.learn(parts)
-                        numbers = list(map(tool.known.number.__getitem__, parts))
-                else:
-                    numbers = []
-                held.append((rows + k, numbers))
-                size += len(text or "")
-                if size >= most:
-                    yield out()
-                    ids, held, size, rows = [batch.column(0).slice(k + 1)], [], 0, -k - 1
-            rows += batch.num_rows
+        for whole in batches:
+            for start in range(0, whole.num_rows, _SLICE):
+                batch = whole.slice(start, _SLICE)
+                texts = [t if t and _MARK not in t else "" for t in batch.column(1).to_pylist()]
+                parts = [tool.pieces(t) if t else [] for t in texts]
+                if not tool.room():
+                    if held:
+                        yield out()
+                        ids, held, size, rows = [], [], 0, 0
+                    tool.forget()
+                tool.learn(chain.from_iterable(parts))
+                ids.append(batch.column(0))
+                for k, own in enumerate(parts):
+                    held.append((rows + k, list(map(tool.known.number.__getitem__, own))))
+                    size += len(texts[k])
+                    if size >= most:
+                        yield out()
+                        ids, held, size, rows = [batch.column(0).slice(k + 1)], [], 0, -k - 1
+                rows += batch.num_rows
         if held:
             yield out()
 
@@ -334,7 +351,7 @@ def _blocks(docs: DataFrame, a_file: str, b_file: str, most: int) -> DataFrame:
 
 
 def align(
-    docs: DataFrame, a_file: str | None = None, b_file: str | None = None, block_chars: int = 8_000_000,
+    docs: DataFrame, a_file: str | None = None, b_file: str | None = None, block_chars: int = 4_000_000,
     doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """One row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
@@ -371,7 +388,7 @@ def align(
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
                 of = dict(zip(columns, row.columns, strict=True))
-                numbers = {n: np.frombuffer(of[n][0].as_py(), "<u4").astype(np.int64) for n in columns[1:6]}
+                numbers = {n: _unpacked(of[n][0].as_py()) for n in columns[1:6]}
                 found = of["docs"].flatten()
                 n_best = count_sum = np.zeros(len(found), np.int64)
                 if len(numbers["pieces"]):
