@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -15,8 +17,22 @@ from scoreweave.session import cut_lineage
 
 _PAD = 1e-8  # added to every norm, and to every weight
 _DIGITS = 9  # similarities that agree to nine digits are ties and go to the id
-_MAX_CELLS = 1024
+_PIVOT_BYTES = 64 << 20  # of pivot directions that every task gets: 131,072 cells of 64 dimensions
 _BLOCK = 2048  # vectors in one block
+_AT_ONCE = 1 << 22  # angles that a task holds at a time
+
+
+@dataclass(frozen=True)
+class Hashing:
+    """Random hyperplanes for an approximate search: in each of ``tables`` a vector's bucket is the signs of its
+    products with that table's planes. A new vector looks into its own bucket and the ``probes`` next likely ones,
+    those on the other side of the planes it is nearest to. ``bucket`` is how many known vectors a bucket should
+    hold, from which follows the number of planes."""
+
+    tables: int = 8
+    probes: int = 8
+    bucket: int = 256
+    seed: int = 42
 
 
 def _units(vectors: np.ndarray) -> np.ndarray:
@@ -30,26 +46,85 @@ def _shrink(vectors: np.ndarray) -> np.ndarray:
     return norms / (norms + _PAD)
 
 
-def top_k_similar(new: DataFrame, known: DataFrame, k: int = 5, cells: int | None = None, block: int = _BLOCK) -> DataFrame:
+def _slices(n: int, width: int) -> Iterator[slice]:
+    """Parts of ``n`` rows whose table with ``width`` columns stays small."""
+    step = max(1, _AT_ONCE // max(1, width))
+    return (slice(i, min(i + step, n)) for i in range(0, n, step))
+
+
+def _named(new: DataFrame, known: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Known vectors (of equal ones the first ``k`` ids: no other can matter), new ones, and distinct new ones with a key."""
+    as_double = F.col("vec").cast("array<double>").alias("vec")
+    known = first_per_key(known.select(F.col("id").cast("string").alias("id"), as_double), ["vec"], [F.col("id")], k)
+    wanted = new.select(F.col("id").cast("string").alias("id"), as_double)
+    # Two hashes name a vector: with 128 bits, different vectors do not meet.
+    key = F.concat_ws(":", F.xxhash64("vec").cast("string"), F.xxhash64(F.lit(1), "vec").cast("string"))
+    return cut_lineage(known), wanted, wanted.select("vec").distinct().select(key.alias("key"), "vec")
+
+
+def _comparer(k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for news, olds in zip(pdf["news"], pdf["olds"]):
+                a = np.stack([r["vec"] for r in news])
+                b = np.stack([r["vec"] for r in olds])
+                names = np.array([r["id"] for r in olds], dtype=object)
+                a = a / (np.linalg.norm(a, axis=1, keepdims=True) + _PAD)
+                b = b / (np.linalg.norm(b, axis=1, keepdims=True) + _PAD)
+                similar = np.round(a @ b.T, _DIGITS)
+                by_name = np.argsort(names, kind="stable")
+                best = np.argsort(-similar[:, by_name], axis=1, kind="stable")[:, :k]
+                picked = by_name[best]
+                yield pd.DataFrame(
+                    {
+                        "key": np.repeat([r["key"] for r in news], picked.shape[1]),
+                        "known_id": names[picked].ravel(),
+                        "similarity": np.take_along_axis(similar, picked, 1).ravel(),
+                    }
+                )
+
+    return compare
+
+
+def _answer(wanted: DataFrame, asked: DataFrame, near: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` of ``near(key, known_id, similarity)`` for every row of ``wanted``."""
+    top = first_per_key(near, ["key"], [F.col("similarity").desc(), F.col("known_id")], k)
+    lists = top.groupBy("key").agg(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "known_id")).alias("best"))
+    answer = asked.join(lists, "key").select("vec", F.posexplode(F.sort_array("best")).alias("at", "hit"))
+    return wanted.join(answer, "vec").select(
+        "id", F.col("hit.known_id").alias("known_id"), (-F.col("hit.s")).alias("similarity"), (F.col("at") + 1).alias("rank")
+    )
+
+
+def top_k_similar(
+    new: DataFrame, known: DataFrame, k: int = 5, cells: int | None = None, block: int = _BLOCK, hashing: Hashing | None = None
+) -> DataFrame:
     """The ``k`` most similar rows of ``known(id, vec)`` for each row of ``new(id, vec)``:
-    ``(id, known_id, similarity, rank)``. The result is exact.
+    ``(id, known_id, similarity, rank)``. The result is exact unless ``hashing`` is given.
 
-    Known vectors are grouped around pivot directions. Each new vector is first compared with its nearest
+    Known vectors are grouped around pivot directions, as many as the root of their number (or what fits into 64 MB,
+    which every task gets). Each new vector is first compared with its nearest
     cell; the ``k``-th best similarity found there is a floor. From the angle to a pivot and the cell's radius
     follow bounds on every similarity inside, and cells that cannot reach the floor are skipped. What is left is
     compared block by block (both sides packed to at most a few thousand vectors), and only ``k`` rows per
     block leave it. Copies are searched once: of equal known vectors only the first ``k`` ids can matter.
+
+    With ``hashing`` a new vector meets only the buckets it looks into, see ``Hashing``: a neighbour in none of them is
+    missed. Similarities are exact, and a vector that finds fewer than ``k`` in its buckets is searched exactly.
     """
-    as_double = F.col("vec").cast("array<double>").alias("vec")
-    known = first_per_key(known.select(F.col("id").cast("string").alias("id"), as_double), ["vec"], [F.col("id")], k)
-    known = cut_lineage(known)
-    wanted = new.select(F.col("id").cast("string").alias("id"), as_double)
-    # Two hashes name a vector: with 128 bits, different vectors do not meet.
-    key = F.concat_ws(":", F.xxhash64("vec").cast("string"), F.xxhash64(F.lit(1), "vec").cast("string"))
-    asked = wanted.select("vec").distinct().select(key.alias("key"), "vec")
+    known, wanted, asked = _named(new, known, k)
+    if hashing is not None:
+        return _answer(wanted, asked, _hashed(asked, known, k, block, hashing), k)
+    return _answer(wanted, asked, _exact(asked, known, k, cells, block), k)
+
 
+def _exact(asked: DataFrame, known: DataFrame, k: int, cells: int | None, block: int) -> DataFrame:
+    """``(key, known_id, similarity)`` with at least the ``k`` best of each key of ``asked(key, vec)``."""
     n_known = known.count()
-    n_cells = cells or min(_MAX_CELLS, max(1, math.isqrt(n_known)))
+    first = known.select("vec").first()
+    if first is None:
+        return asked.limit(0).select("key", F.lit("").alias("known_id"), F.lit(0.0).alias("similarity"))
+    n_cells = cells or max(1, min(math.isqrt(n_known), _PIVOT_BYTES // (8 * max(1, len(first["vec"])))))
     nonzero = known.filter(F.exists("vec", lambda x: x != 0))
     chosen = nonzero.select("vec").distinct().orderBy(F.xxhash64("vec"), "vec").limit(n_cells).collect()
     pivots = _units(np.array([row["vec"] for row in chosen])) if chosen else np.zeros((0, 1))
@@ -58,11 +133,10 @@ def top_k_similar(new: DataFrame, known: DataFrame, k: int = 5, cells: int | Non
         for pdf in batches:
             vectors = np.stack(pdf["vec"].to_numpy())
             shrink = _shrink(vectors)
-            if len(pivots):
-                angles = np.arccos(np.clip(_units(vectors) @ pivots.T, -1, 1))
-                cell, angle = angles.argmin(axis=1), angles.min(axis=1)
-            else:
-                cell, angle = np.zeros(len(pdf), int), np.zeros(len(pdf))
+            cell, angle = np.zeros(len(pdf), int), np.zeros(len(pdf))
+            for part in _slices(len(pdf), len(pivots)) if len(pivots) else ():
+                angles = np.arccos(np.clip(_units(vectors[part]) @ pivots.T, -1, 1))
+                cell[part], angle[part] = angles.argmin(axis=1), angles.min(axis=1)
             cell = np.where(shrink == 0, -1, cell)  # a zero vector has no direction: a cell of its own
             yield pd.DataFrame({"id": pdf["id"], "vec": pdf["vec"], "cell": cell, "angle": angle, "shrink": shrink})
 
@@ -70,8 +144,6 @@ def top_k_similar(new: DataFrame, known: DataFrame, k: int = 5, cells: int | Non
     stats = placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n"), F.min("shrink").alias("shrink"))
     stats = stats.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     table = sorted((r["cell"], r["radius"], r["n"], r["shrink"], r["blocks"]) for r in stats.collect())
-    if not table:
-        return wanted.limit(0).select("id", F.lit("").alias("known_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("rank"))
     ids, radius, sizes, least, blocks = (np.array(c) for c in zip(*table))
 
     def bounds(vectors: np.ndarray):
@@ -91,12 +163,12 @@ def top_k_similar(new: DataFrame, known: DataFrame, k: int = 5, cells: int | Non
         return pd.DataFrame({**picked, "cell": ids[cols], "blocks": blocks[cols]})
 
     def route_first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (whole.iloc[part] for whole in batches for part in _slices(len(whole), len(ids))):
             _, _, first = bounds(np.stack(pdf["vec"].to_numpy()))
             yield cells_of(pdf, np.arange(len(pdf)), first)
 
     def route_rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (whole.iloc[part] for whole in batches for part in _slices(len(whole), len(ids))):
             vectors = np.stack(pdf["vec"].to_numpy())
             upper, lower, first = bounds(vectors)
             order = np.argsort(-lower, axis=1, kind="stable")
@@ -114,32 +186,12 @@ def top_k_similar(new: DataFrame, known: DataFrame, k: int = 5, cells: int | Non
             yield cells_of(pdf, *np.nonzero(wanted_cells))
 
     shelves = (
-        placed.join(F.broadcast(stats.select("cell", "blocks")), "cell")  # at most 1,025 rows
+        placed.join(F.broadcast(stats.select("cell", "blocks")), "cell")  # as many rows as pivots, and one
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .groupBy("cell", "block")
         .agg(F.collect_list(F.struct("id", "vec")).alias("olds"))
     )
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for news, olds in zip(pdf["news"], pdf["olds"]):
-                a = np.stack([r["vec"] for r in news])
-                b = np.stack([r["vec"] for r in olds])
-                names = np.array([r["id"] for r in olds], dtype=object)
-                a = a / (np.linalg.norm(a, axis=1, keepdims=True) + _PAD)
-                b = b / (np.linalg.norm(b, axis=1, keepdims=True) + _PAD)
-                similar = np.round(a @ b.T, _DIGITS)
-                by_name = np.argsort(names, kind="stable")
-                best = np.argsort(-similar[:, by_name], axis=1, kind="stable")[:, :k]
-                picked = by_name[best]
-                yield pd.DataFrame(
-                    {
-                        "key": np.repeat([r["key"] for r in news], picked.shape[1]),
-                        "known_id": names[picked].ravel(),
-                        "similarity": np.take_along_axis(similar, picked, 1).ravel(),
-                    }
-                )
-
     # Packs of new vectors: a cell's share of them is cut by hash, about one block each.
     per_cell = max(1, -(-asked.count() // block))
 
@@ -151,20 +203,75 @@ def top_k_similar(new: DataFrame, known: DataFrame, k: int = 5, cells: int | Non
             .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         )
         pairs = packs.join(shelves, ["cell", "block"]).select("news", "olds")
-        return pairs.mapInPandas(compare, "key string, known_id string, similarity double")
+        return pairs.mapInPandas(_comparer(k), "key string, known_id string, similarity double")
 
     routed = "key string, vec array<double>, cell int, blocks int"
     near = cut_lineage(search(asked.mapInPandas(route_first, routed)))
     floors = first_per_key(near, ["key"], [F.col("similarity").desc(), F.col("known_id")], k).groupBy("key")
     floors = floors.agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("floor")).filter(F.col("n") == k)
     rest = asked.join(floors.select("key", "floor"), "key", "left")
-    near = near.unionByName(search(rest.mapInPandas(route_rest, routed)))
-    top = first_per_key(near, ["key"], [F.col("similarity").desc(), F.col("known_id")], k)
-    lists = top.groupBy("key").agg(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "known_id")).alias("best"))
-    answer = asked.join(lists, "key").select("vec", F.posexplode(F.sort_array("best")).alias("at", "hit"))
-    return wanted.join(answer, "vec").select(
-        "id", F.col("hit.known_id").alias("known_id"), (-F.col("hit.s")).alias("similarity"), (F.col("at") + 1).alias("rank")
-    )
+    return near.unionByName(search(rest.mapInPandas(route_rest, routed)))
+
+
+def _flips(margins: np.ndarray, probes: int) -> np.ndarray:
+    """Per row the ``probes`` sets of planes to cross first, as numbers whose bits are planes: those with the least sum
+    of squared margins. Only the planes nearest to the vector are tried."""
+    near = min(margins.shape[1], max(1, probes).bit_length() + 2)
+    order = np.argsort(np.abs(margins), axis=1, kind="stable")[:, :near]
+    cost = np.take_along_axis(margins, order, 1) ** 2
+    sets = [c for size in range(1, near + 1) for c in combinations(range(near), size)]
+    total = np.stack([cost[:, list(c)].sum(axis=1) for c in sets], axis=1)
+    bits = np.left_shift(np.int64(1), order.astype(np.int64))
+    masks = np.stack([bits[:, list(c)].sum(axis=1) for c in sets], axis=1)
+    return np.take_along_axis(masks, np.argsort(total, axis=1, kind="stable")[:, :probes], 1)
+
+
+def _hashed(asked: DataFrame, known: DataFrame, k: int, block: int, hashing: Hashing) -> DataFrame:
+    """As ``_exact``, but from buckets of random hyperplanes; keys that find fewer than ``k`` there are searched exactly."""
+    n_known, first = known.count(), known.select("vec").first()
+    if first is None:
+        return _exact(asked, known, k, None, block)
+    n_bits = min(40, max(1, math.ceil(math.log2(max(2, n_known / hashing.bucket)))))
+    planes = np.random.default_rng(hashing.seed).standard_normal((hashing.tables, n_bits, len(first["vec"])))
+    powers = np.left_shift(np.int64(1), np.arange(n_bits, dtype=np.int64))
+
+    def bucketed(name: str, probes: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                vectors = _units(np.stack(pdf["vec"].to_numpy()))
+                for table, own in enumerate(planes):
+                    margins = vectors @ own.T
+                    code = (margins > 0) @ powers
+                    codes = code[:, None]
+                    if probes:
+                        codes = np.concatenate([codes, code[:, None] ^ _flips(margins, probes)], axis=1)
+                    rows = np.repeat(np.arange(len(pdf)), codes.shape[1])
+                    yield pd.DataFrame({
+                        name: pdf[name].to_numpy()[rows], "vec": pdf["vec"].to_numpy()[rows], "bucket": table << 41 | codes.ravel()
+                    })
+
+        return run
+
+    def packed(rows: DataFrame, name: str, column: str, number: str) -> DataFrame:
+        """The vectors of a bucket in blocks: most buckets are one, a hot one is cut by hash."""
+        many = rows.groupBy("bucket").count().filter(F.col("count") > block)
+        many = many.select("bucket", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+        cut = F.pmod(F.xxhash64(name), F.coalesce("blocks", F.lit(1))).cast("int").alias(number)
+        rows = rows.join(many, "bucket", "left").select("bucket", cut, F.struct(name, "vec").alias("row"))
+        return rows.groupBy("bucket", number).agg(F.collect_list("row").alias(column))
+
+    olds = known.mapInPandas(bucketed("id", 0), "id string, vec array<double>, bucket long")
+    news = asked.mapInPandas(bucketed("key", hashing.probes), "key string, vec array<double>, bucket long")
+    pairs = packed(news, "key", "news", "pack").join(packed(olds, "id", "olds", "shelf"), "bucket").select("news", "olds")
+    near = pairs.mapInPandas(_comparer(k), "key string, known_id string, similarity double")
+    # The same neighbour may be found in several tables.
+    near = cut_lineage(near.groupBy("key", "known_id").agg(F.max("similarity").alias("similarity")))
+    found = near.groupBy("key").count().filter(F.col("count") >= min(k, n_known)).select("key")
+    short = cut_lineage(asked.join(found, "key", "left_anti"))
+    if short.isEmpty():
+        return near
+    rest = _exact(short, known, k, None, block)
+    return near.join(short.select("key"), "key", "left_anti").unionByName(rest)
 
 
 def cold_start(cells: DataFrame, neighbours: DataFrame, u: DataFrame, v: DataFrame, stats: DataFrame) -> DataFrame:

@@ -308,6 +308,18 @@ def _(t):
     return similar.top_k_similar(centres, known).withColumn("similarity", rounded("similarity", 5))
 
 
+@query("J17_hashed_recall", "SELECT 5 * count(*) AS asked, count(*) AS vectors, true AS reached FROM embeddings")
+def _(t):
+    """Neighbours from hashed buckets against the exact ones, for every vector: at least nine tenths are found."""
+    vectors = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    exact = similar.top_k_similar(vectors, vectors, 5)
+    hashed = similar.top_k_similar(vectors, vectors, 5, hashing=similar.Hashing(bucket=32))
+    both = exact.join(hashed.select("id", "known_id", F.lit(1).alias("hit")), ["id", "known_id"], "left")
+    return both.agg(
+        F.count(F.lit(1)).alias("asked"), F.count_distinct("id").alias("vectors"), (F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count(F.lit(1))).alias("reached")
+    )
+
+
 @query(
     "J18_listings",
     """SELECT 'in organization' AS kind, entity AS name, CAST(1 AS BIGINT) AS n FROM entities WHERE contains(lower(organization), 'nation_1')

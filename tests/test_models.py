@@ -106,6 +106,37 @@ def test_top_k_is_exact(spark, cells, block):
     assert got == _brute(new, known, 7)
 
 
+def test_hashed_search_finds_nine_tenths(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 24))
+    known = {f"k{i:04d}": (centres[i % 40] + rng.normal(scale=0.5, size=24)).tolist() for i in range(3000)}
+    known |= {f"c{i:03d}": known["k0000"] for i in range(300)} | {"z": [0.0] * 24}  # a hot bucket, and no direction
+    new = {f"n{i}": (centres[i % 40] + rng.normal(scale=0.5, size=24)).tolist() for i in range(60)} | {"copy": known["k0000"], "zero": [0.0] * 24}
+    n = spark.createDataFrame(list(new.items()), "id string, vec array<double>")
+    h = spark.createDataFrame(list(known.items()), "id string, vec array<double>")
+    rows = similar.top_k_similar(n, h, 10, block=64, hashing=similar.Hashing(bucket=40)).collect()
+    want, got = _brute(new, known, 10), {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        got.setdefault(r["id"], []).append(r["known_id"])
+    assert all(len(v) == 10 == len(set(v)) for v in got.values()) and got.keys() == want.keys()
+    assert sum(len(set(got[i]) & set(want[i])) for i in want) >= 0.9 * sum(map(len, want.values()))
+    assert got["copy"] == want["copy"]
+
+
+def test_hashed_search_of_few_vectors_is_exact(spark):
+    n = spark.createDataFrame([("a", [1.0, 0.0])], "id string, vec array<double>")
+    h = spark.createDataFrame([("x", [0.0, 1.0]), ("y", [1.0, 0.1])], "id string, vec array<double>")
+    rows = similar.top_k_similar(n, h, 5, hashing=similar.Hashing(bucket=1)).orderBy("rank").collect()
+    assert [r["known_id"] for r in rows] == ["y", "x"]
+    assert similar.top_k_similar(n, h.limit(0), 5, hashing=similar.Hashing()).count() == 0
+    assert similar.top_k_similar(n, h.limit(0), 5).count() == 0
+
+
+def test_probes_cross_the_nearest_planes():
+    margins = np.array([[0.1, -3.0, 0.2, 5.0], [-9.0, 0.5, 8.0, 0.4]])
+    assert similar._flips(margins, 3).tolist() == [[1, 4, 5], [8, 2, 10]]
+
+
 def test_fewer_known_than_k(spark):
     n = spark.createDataFrame([("a", [1.0, 0.0])], "id string, vec array<double>")
     h = spark.createDataFrame([("x", [0.0, 1.0]), ("y", [1.0, 0.1])], "id string, vec array<double>")
