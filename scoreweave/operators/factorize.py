@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreweave.operators.spread import ranked
-from scoreweave.session import cut_lineage, new_table_path
+from scoreweave.session import cut_lineage, delete_table, new_table_path, written
 
 _SHARE = 1_000_000  # observations of one id that meet its vector in one task
-_FEW = 100_000  # hot ids that may be broadcast
-_MAX_FEATURES = 2000  # features of a side; their square is solved on the driver
+_BUCKET_ROWS = 2_000_000  # observations of one bucket of the laid-out table
+_DENSE = 1000  # features of a side whose weights are solved for in one place (8 MB); more go through a distributed solver
+_TOLERANCE = 1e-11  # residual of the distributed solver, as a share of the right-hand side
 _VEC = "id string, vec array<double>"
 
 
@@ -66,14 +67,17 @@ def mean_of_means(cells: DataFrame, train: DataFrame) -> DataFrame:
 
 
 def _normals(dim: int, key: str) -> str:
-    """SQL for an array of standard normals that depend on the key alone, never on partitioning."""
+    """SQL for an array of standard normals that depend on the text ``key`` alone, never on partitioning.
 
-    def uniform(i, j):
-        return f"((shiftrightunsigned(xxhash64({key}, {i}, {j}), 11) + 0.5D) / {2**53}D)"
+    Normal ``i`` is made (Box and Muller) of two 52-bit numbers, the hex digits 1-13 and 14-26 of md5(key:i), so that
+    any engine can repeat the draws.
+    """
 
-    return "array({})".format(
-        ", ".join(f"sqrt(-2 * ln({uniform(i, 0)})) * cos(2 * pi() * {uniform(i, 1)})" for i in range(dim))
-    )
+    def uniform(first: int) -> str:
+        return f"((cast(conv(substr(h, {first}, 13), 16, 10) AS DOUBLE) + 0.5D) / {2**52}D)"
+
+    hashes = f"transform(sequence(0, {dim - 1}), i -> md5(cast(concat_ws(':', {key}, i) AS BINARY)))"
+    return f"transform({hashes}, h -> sqrt(-2 * ln({uniform(1)})) * cos(2 * pi() * {uniform(14)}))"
 
 
 def _shares(obs: DataFrame, key: str, share: int) -> DataFrame:
@@ -88,6 +92,8 @@ class _Observations:
 
     def __init__(self, obs: DataFrame, share: int):
         self.spark = obs.sparkSession
+        self.paths: dict[str, str] = {}
+        self.names: dict[str, str] = {}
         self.hot = {"entity": _shares(obs, "entity", share), "item": _shares(obs, "item", share)}
         self.n_hot = {key: hot.count() for key, hot in self.hot.items()}
         rows = obs.select("entity", "item", "score")
@@ -100,10 +106,12 @@ class _Observations:
             F.pmod(F.xxhash64("item"), F.coalesce("_entity", F.lit(1))).cast("int").alias("entity_share"),
             F.pmod(F.xxhash64("entity"), F.coalesce("_item", F.lit(1))).cast("int").alias("item_share"),
         )
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.names = {}
+        # As many buckets as the rows need, and no more than the session's partitions while these do.
+        n = obs.count()
+        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(1, min(partitions, -(-n // 10_000)), -(-n // _BUCKET_ROWS))
         for key in ("entity", "item"):
-            path = new_table_path(self.spark, "observations")
+            path = self.paths[key] = new_table_path(self.spark, "observations")
             self.names[key] = path.rsplit("/", 1)[1].replace("-", "_")
             keys = (key, f"{key}_share")
             # One file per bucket: rows are brought together by bucket before they are written.
@@ -119,13 +127,14 @@ class _Observations:
         if self.n_hot[key] == 0:
             return rows.select(key, "vec", F.lit(0).alias(f"{key}_share"))
         hot = self.hot[key]
-        rows = rows.join(F.broadcast(hot) if self.n_hot[key] <= _FEW else hot, key, "left")
+        rows = rows.join(hot, key, "left")  # a written table: its size is known to the optimizer
         share = F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias(f"{key}_share")
         return rows.select(key, "vec", share)
 
     def forget(self) -> None:
-        for name in self.names.values():
+        for key, name in self.names.items():
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            delete_table(self.spark, self.paths[key])
 
 
 def _solve(dim: int, alpha: float):
@@ -172,44 +181,100 @@ def _half_sweep(obs: _Observations, ids, other, prior, key, other_key, dim, alph
         "array({}) AS gram".format(", ".join(f"g{i}_{j}" for i, j in pairs)),
         "array({}) AS pull".format(", ".join(f"p{i}" for i in range(dim))),
         "array({}) AS mean".format(", ".join(f"m{i}" for i in range(dim))),
-        f"{_normals(dim, lot + ', id')} AS z",
+        f"{_normals(dim, f"'{lot}', id")} AS z",
     )
     return filled.mapInPandas(_solve(dim, alpha), _VEC)
 
 
 class _Side:
-    """Side features of one side in long form, and the draw of their weights."""
+    """Side features of one side in long form, and the draw of their weights.
+
+    Weights have unit normal priors, so given the vectors they are normal with precision ``A = I + X'X``. A draw is the
+    solution of ``A w = X'(vec + e) + d`` with standard normals ``e`` per id and ``d`` per feature: its mean and its
+    covariance are those of the posterior. Up to ``_DENSE`` features ``A`` is solved in one place; beyond, by conjugate
+    gradients over the long table, with nothing as long as the features outside executors.
+    """
 
-    def __init__(self, features: DataFrame, dim: int):
+    def __init__(self, features: DataFrame, dim: int, dense: int):
         self.spark, self.dim = features.sparkSession, dim
-        names = [r[0] for r in features.select("feature").distinct().limit(_MAX_FEATURES + 1).collect()]
-        if len(names) > _MAX_FEATURES:
-            raise ValueError(f"more than {_MAX_FEATURES} features; group rare values first")
-        self.names = sorted(names)
+        rows = features.select(F.col("id").cast("string").alias("id"), "feature", F.col("value").cast("double").alias("value"))
+        # A feature that an id has twice counts as their sum.
+        self.features = cut_lineage(rows.groupBy("id", "feature").agg(F.sum("value").alias("value")))
+        names = [r[0] for r in self.features.select("feature").distinct().limit(dense + 1).collect()]
+        self.names = sorted(names) if len(names) <= dense else None
+        if self.names is None:
+            diagonal = self.features.groupBy("feature").agg((F.sum(F.col("value") * F.col("value")) + 1).alias("diag"))
+            self.diagonal = cut_lineage(diagonal)
+            return
         self.at = {name: i for i, name in enumerate(self.names)}
-        self.features = cut_lineage(features.select(F.col("id").cast("string").alias("id"), "feature", F.col("value").cast("double").alias("value")))
-        left = self.features.toDF("id", "f", "x")
-        right = self.features.toDF("id", "g", "y")
+        left, right = self.features.toDF("id", "f", "x"), self.features.toDF("id", "g", "y")
         # An id has a handful of features (a size and one value per category), so this stays small per id.
         cross = left.join(right, "id").groupBy("f", "g").agg(F.sum(F.col("x") * F.col("y")).alias("s")).collect()
         self.precision = np.eye(len(self.names))
         for row in cross:
             self.precision[self.at[row["f"]], self.at[row["g"]]] += row["s"]
 
-    def draw_weights(self, vectors: DataFrame, seed: Sequence[int]) -> np.ndarray:
-        terms = [F.sum(F.col("value") * F.col("vec")[k]) for k in range(self.dim)]
-        rows = self.features.join(vectors, "id").groupBy("feature").agg(F.array(*terms).alias("t")).collect()
+    def _by_feature(self, per_id: DataFrame, column: str) -> DataFrame:
+        """``X' column``: per feature the sum of its values times the ids' arrays."""
+        terms = [F.sum(F.col("value") * F.col(column)[k]) for k in range(self.dim)]
+        return self.features.join(per_id, "id").groupBy("feature").agg(F.array(*terms).alias("total"))
+
+    def _by_id(self, weights: DataFrame, column: str) -> DataFrame:
+        """``X column``: per id the sum of its values times the features' arrays."""
+        terms = [F.sum(F.col("value") * F.col(column)[k]) for k in range(self.dim)]
+        return self.features.join(weights, "feature").groupBy("id").agg(F.array(*terms).alias("total"))
+
+    def draw_weights(self, vectors: DataFrame, lot: str) -> DataFrame:
+        """``(feature, w)`` given ``vectors(id, vec)``; ``lot`` names the draw."""
+        shaken = vectors.selectExpr("id", "zip_with(vec, {}, (x, z) -> x + z) AS vec".format(_normals(self.dim, f"'{lot}', 'noise', id")))
+        right = self._by_feature(shaken, "vec")
+        right = right.selectExpr("feature", "zip_with(total, {}, (x, z) -> x + z) AS r".format(_normals(self.dim, f"'{lot}', 'feature', feature")))
+        if self.names is None:
+            return self._conjugate(right)
         target = np.zeros((len(self.names), self.dim))
-        for row in rows:
-            target[self.at[row["feature"]]] = row["t"]
-        root = np.linalg.cholesky(self.precision)
-        noise = np.random.default_rng(list(seed)).standard_normal(target.shape)
-        return np.linalg.solve(self.precision, target) + np.linalg.solve(root.T, noise)
-
-    def prior_terms(self, weights: np.ndarray) -> DataFrame:
+        for row in right.collect():
+            target[self.at[row["feature"]]] = row["r"]
+        solved = np.linalg.solve(self.precision, target)
+        return self.spark.createDataFrame([(name, solved[i].tolist()) for name, i in self.at.items()], "feature string, w array<double>")
+
+    def _conjugate(self, right: DataFrame) -> DataFrame:
+        """``A w = right`` for all columns at once, preconditioned by the diagonal. One small row of products leaves
+        the executors in each step; tables of earlier steps are deleted."""
+        dim = self.dim
+
+        def scaled(column: str, by: list[float], plus: str = "") -> str:
+            """SQL for ``column * by + plus``, component by component."""
+            parts = [f"{column}[{k}] * {by[k]!r}D" + (f" + {plus}[{k}]" if plus else "") for k in range(dim)]
+            return f"array({', '.join(parts)})"
+
+        def products(rows: DataFrame, *pairs: tuple[str, str]) -> list[np.ndarray]:
+            sums = [F.coalesce(F.sum(F.expr(f"{a}[{k}] * {b}[{k}]")), F.lit(0.0)) for a, b in pairs for k in range(dim)]
+            return np.array(rows.agg(F.array(*sums)).first()[0]).reshape(len(pairs), dim)
+
+        zeros = f"array_repeat(0.0D, {dim})"
+        over = "transform(r, x -> x / diag)"
+        table = self.diagonal.join(right, "feature").selectExpr("feature", "diag", f"{zeros} AS x", "r", f"{over} AS p")
+        state, old = written(table)
+        (rz, size) = products(state.selectExpr("r", f"{over} AS z"), ("r", "z"), ("r", "r"))
+        while (size > 0).any():
+            image = self._by_feature(self._by_id(state.select("feature", "p"), "p").withColumnRenamed("total", "t"), "t")
+            applied, path = written(state.join(image, "feature").selectExpr("*", "zip_with(total, p, (a, b) -> a + b) AS q"))
+            delete_table(self.spark, old)
+            (bend,) = products(applied, ("p", "q"))
+            step = np.divide(rz, bend, out=np.zeros(dim), where=bend > 0).tolist()
+            back = [-x for x in step]
+            moved = applied.selectExpr("feature", "diag", f"{scaled('p', step, 'x')} AS x", f"{scaled('q', back, 'r')} AS r", "p")
+            (new_rz, left) = products(moved.selectExpr("r", f"{over} AS z"), ("r", "z"), ("r", "r"))
+            turn = np.divide(new_rz, rz, out=np.zeros(dim), where=rz > 0).tolist()
+            state, old = moved.selectExpr("feature", "diag", "x", "r", f"zip_with({scaled('p', turn)}, {over}, (a, b) -> a + b) AS p"), path
+            rz = new_rz
+            if (left <= _TOLERANCE**2 * size).all():
+                break
+        return state.selectExpr("feature", "x AS w")
+
+    def prior_terms(self, weights: DataFrame) -> DataFrame:
         """``(id, value, w)``: the products ``value * w`` of an id sum to its prior mean."""
-        table = [(name, weights[i].tolist()) for name, i in self.at.items()]
-        known = F.broadcast(self.spark.createDataFrame(table, "feature string, w array<double>"))  # at most 2,000 rows
+        known = F.broadcast(weights) if self.names is not None else weights  # at most _DENSE rows
         return self.features.join(known, "feature").select("id", "value", "w")
 
 
@@ -226,6 +291,7 @@ def fit_factors(
     entity_ids: DataFrame | None = None,
     item_ids: DataFrame | None = None,
     share: int = _SHARE,
+    dense: int = _DENSE,
 ) -> DataFrame:
     """Posterior draws ``(side, draw, id, vec)`` of the model on ``obs(entity, item, score)``.
 
@@ -234,30 +300,40 @@ def fit_factors(
     Ids without observations, if listed in ``entity_ids`` or ``item_ids``, are drawn from their prior.
 
     Each half-sweep is written to a table in the shared folder, which both ends its lineage and keeps it as a
-    draw. Random numbers depend on (seed, sweep, side, id) only.
+    draw; those of the warm-up are deleted when nothing needs them any more. Random numbers depend on
+    (seed, sweep, side, id) only. Weights of up to ``dense`` features are solved for in one place, see ``_Side``.
     """
-    spark = obs.sparkSession
     laid = _Observations(obs, share)
-    ids, sides = {}, {}
+    try:
+        return _sampled(laid, dim, alpha, init_std, draws, tune, seed, entity_features, item_features, entity_ids, item_ids, dense)
+    finally:
+        laid.forget()
+
+
+def _sampled(laid, dim, alpha, init_std, draws, tune, seed, entity_features, item_features, entity_ids, item_ids, dense) -> DataFrame:
+    spark, ids, sides = laid.spark, {}, {}
     for side, key, given, features in (("u", "entity", entity_ids, entity_features), ("v", "item", item_ids, item_features)):
         found = laid.by(key).select(F.col(key).alias("id"))
         ids[side] = cut_lineage((found if given is None else found.unionByName(given.toDF("id"))).distinct())
         if features is not None:
-            sides[side] = _Side(features.join(ids[side], "id", "left_semi"), dim)
+            sides[side] = _Side(features.join(ids[side], "id", "left_semi"), dim, dense)
     priors: dict[str, DataFrame] = {}
     path = new_table_path(spark, "draws")
-    other = ids["v"].selectExpr("id", f"transform({_normals(dim, f'{seed}, -1, id')}, x -> x * {init_std}D) AS vec")
+    start = _normals(dim, f"'{seed}:-1:v', id")
+    other = ids["v"].selectExpr("id", f"transform({start}, x -> x * {init_std}D) AS vec")
     plan = (("u", "entity", "item"), ("v", "item", "entity"))
     for sweep in range(tune + draws):
-        for number, (side, key, other_key) in enumerate(plan):
-            lot = f"{seed}, {sweep}, {number}"
+        for side, key, other_key in plan:
+            lot = f"{seed}:{sweep}:{side}"
             drawn = _half_sweep(laid, ids[side], other, priors.get(side), key, other_key, dim, alpha, lot)
             target = f"{path}/side={side}/draw={sweep}"
             drawn.write.parquet(target)
             other = spark.read.schema(_VEC).parquet(target)
-            if side in sides:
-                priors[side] = sides[side].prior_terms(sides[side].draw_weights(other, (seed, sweep, number)))
-    laid.forget()
+            # The last sweep needs no weights of its own.
+            if side in sides and sweep + 1 < tune + draws:
+                priors[side] = sides[side].prior_terms(sides[side].draw_weights(other, lot))
+            if 0 < sweep <= tune:  # the vectors of the sweep before it have served
+                delete_table(spark, f"{path}/side={side}/draw={sweep - 1}")
     table = spark.read.schema(_VEC + ", side string, draw int").parquet(path)
     return table.filter(F.col("draw") >= tune).select("side", (F.col("draw") - tune).alias("draw"), "id", "vec")
 
@@ -298,51 +374,90 @@ def posterior_means(draws: DataFrame, dim: int) -> DataFrame:
 
 
 def predict(cells: DataFrame, u: DataFrame, v: DataFrame) -> DataFrame:
-    """Dot product for each requested cell ``(entity, item)``; never the whole matrix."""
-    rows = cells.join(u.select(F.col("id").alias("entity"), F.col("vec").alias("_u")), "entity")
-    rows = rows.join(v.select(F.col("id").alias("item"), F.col("vec").alias("_v")), "item")
+    """Dot product for each requested cell ``(entity, item)``; never the whole matrix. A cell whose entity or item has
+    no vector stays, with a null prediction."""
+    rows = cells.join(u.select(F.col("id").alias("entity"), F.col("vec").alias("_u")), "entity", "left")
+    rows = rows.join(v.select(F.col("id").alias("item"), F.col("vec").alias("_v")), "item", "left")
     return rows.withColumn("prediction", _dot("_u", "_v")).drop("_u", "_v")
 
 
+def predict_packed(cells: DataFrame, draws: DataFrame) -> DataFrame:
+    """``cells`` with ``draws`` (numbers, ascending) and ``predictions``, one for each draw that both sides have.
+
+    All draws of an id travel in one row, so each cell is joined once per side however many draws there are. A cell
+    whose entity or item has no vector stays, with empty arrays.
+    """
+    packed = draws.groupBy("side", "id").agg(F.sort_array(F.collect_list(F.struct("draw", "vec"))).alias("all"))
+
+    def side(name: str, key: str, column: str) -> DataFrame:
+        return packed.filter(F.col("side") == name).select(F.col("id").alias(key), F.col("all").alias(column))
+
+    rows = cells.join(side("u", "entity", "_u"), "entity", "left").join(side("v", "item", "_v"), "item", "left")
+    # Usually both sides have the same draws; else those they share.
+    mine = lambda own, other: F.filter(own, lambda d: F.array_contains(F.transform(other, lambda o: o["draw"]), d["draw"]))
+    same = F.transform("_u", lambda d: d["draw"]) == F.transform("_v", lambda d: d["draw"])
+    kept = F.when(same, F.struct(F.col("_u").alias("u"), F.col("_v").alias("v"))).otherwise(
+        F.struct(mine(F.col("_u"), F.col("_v")).alias("u"), mine(F.col("_v"), F.col("_u")).alias("v"))
+    )
+    dot = lambda a, b: F.aggregate(F.zip_with(a["vec"], b["vec"], lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    rows = rows.withColumn("_kept", kept)
+    numbers = F.transform(F.col("_kept.u"), lambda d: d["draw"].cast("int"))
+    rows = rows.withColumns({
+        "draws": F.coalesce(numbers, F.array().cast("array<int>")),
+        "predictions": F.coalesce(F.zip_with("_kept.u", "_kept.v", dot), F.array().cast("array<double>")),
+    })
+    return rows.drop("_u", "_v", "_kept")
+
+
 def predict_draws(cells: DataFrame, draws: DataFrame) -> DataFrame:
-    """Prediction per cell and draw."""
-    u = draws.filter("side = 'u'").select("draw", F.col("id").alias("entity"), F.col("vec").alias("_u"))
-    v = draws.filter("side = 'v'").select("draw", F.col("id").alias("item"), F.col("vec").alias("_v"))
-    rows = cells.join(u, "entity").join(v, ["item", "draw"])
-    return rows.withColumn("prediction", _dot("_u", "_v")).drop("_u", "_v")
+    """Prediction per cell and draw; a cell without vectors has none."""
+    rows = predict_packed(cells, draws).withColumn("_d", F.explode(F.arrays_zip("draws", "predictions")))
+    return rows.withColumns({"draw": F.col("_d.draws"), "prediction": F.col("_d.predictions")}).drop("_d", "draws", "predictions")
 
 
 def posterior_summary(predicted: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    """Mean and population deviation over the draws of each cell, on the items' own scale if ``stats`` given."""
-    out = predicted.groupBy("entity", "item").agg(
-        F.avg("prediction").alias("prediction"), F.stddev_pop("prediction").alias("uncertainty")
-    )
+    """Mean and population deviation over the ``predictions`` of each row of ``predict_packed``, on the items' own scale
+    if ``stats`` given, and ``n_draws``. Without predictions both are null; so they are for an item without stats."""
+    n, all_ = F.size("predictions"), F.col("predictions")
+    mean = F.aggregate(all_, F.lit(0.0), lambda s, x: s + x) / F.when(n > 0, n)
+    rows = predicted.select("entity", "item", n.cast("long").alias("n_draws"), mean.alias("_mean"), "predictions")
+    square = F.aggregate("predictions", F.lit(0.0), lambda s, x: s + (x - F.col("_mean")) * (x - F.col("_mean")))
+    spread = F.sqrt(square / F.when(F.col("n_draws") > 0, F.col("n_draws")))
+    out = rows.select("entity", "item", F.col("_mean").alias("prediction"), spread.alias("uncertainty"), "n_draws")
     if stats is None:
         return out
-    return out.join(stats.select("item", "mu", "sigma"), "item").select(
+    return out.join(stats.select("item", "mu", "sigma"), "item", "left").select(
         "entity",
         "item",
         (F.col("prediction") * F.col("sigma") + F.col("mu")).alias("prediction"),
         (F.col("uncertainty") * F.col("sigma")).alias("uncertainty"),
+        "n_draws",
     )
 
 
 def running_rmse(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """Per draw and part: RMSE of that draw and of the running mean over the draws so far.
 
-    ``predicted(entity, item, draw, prediction)``, ``truth(entity, item, score, part)``. The window is one
-    cell's draws, whose number is a setting.
+    ``predicted`` is that of ``predict_packed``, ``truth(entity, item, score, part)``. Running means are taken inside a
+    row; what is shuffled for the last step is one row per task, draw and part.
     """
-    from pyspark.sql import Window
-
-    so_far = Window.partitionBy("entity", "item").orderBy("draw").rowsBetween(Window.unboundedPreceding, 0)
-    rows = predicted.join(truth, ["entity", "item"]).withColumn("_mean", F.avg("prediction").over(so_far))
+    rows = predicted.join(truth, ["entity", "item"])
+    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("means"))
+    means = F.aggregate(
+        "predictions",
+        start,
+        lambda a, x: F.struct(
+            (a["sum"] + x).alias("sum"), F.concat(a["means"], F.array((a["sum"] + x) / (F.size(a["means"]) + 1))).alias("means")
+        ),
+        lambda a: a["means"],
+    )
+    each = rows.select("part", "score", F.explode(F.arrays_zip(F.col("draws").alias("draw"), F.col("predictions").alias("p"), means.alias("m"))).alias("d"))
 
     def rmse(c):
-        d = F.col(c) - F.col("score")
+        d = F.col(f"d.{c}") - F.col("score")
         return F.sqrt(F.avg(d * d))
 
-    return rows.groupBy("draw", "part").agg(rmse("prediction").alias("step_rmse"), rmse("_mean").alias("running_rmse"))
+    return each.groupBy(F.col("d.draw").alias("draw"), "part").agg(rmse("p").alias("step_rmse"), rmse("m").alias("running_rmse"))
 
 
 def full_matrix(u: DataFrame, v: DataFrame, max_items: int = 10_000) -> DataFrame:
@@ -372,7 +487,7 @@ def train_and_compare(
     truth = test.select("entity", "item", F.col("score").alias("truth"))
 
     def report(draws):
-        summary = posterior_summary(predict_draws(cells, draws), stats)
+        summary = posterior_summary(predict_packed(cells, draws), stats)
         return metrics_long(summary.join(truth, ["entity", "item"]), ranges)
 
     items = item_features.select("id").distinct()

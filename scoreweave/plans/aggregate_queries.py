@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scoreweave.operators import dimensions, evidence, metrics, split, stats
-from scoreweave.operators.factorize import predict_draws, running_rmse
+from scoreweave.operators.factorize import predict_packed, running_rmse
 from scoreweave.operators.spread import ranked
 from scoreweave.plans.join_queries import NEIGHBOURS
 from scoreweave.plans.registry import query, rounded
@@ -233,7 +233,7 @@ def given_draws(t):
 def _(t):
     from scoreweave.operators.factorize import posterior_summary
 
-    out = posterior_summary(predict_draws(t.scores.select("entity", "item"), given_draws(t)), stats.item_stats(t.scores))
+    out = posterior_summary(predict_packed(t.scores.select("entity", "item"), given_draws(t)), stats.item_stats(t.scores))
     return out.select("entity", "item", rounded("prediction", 3).alias("prediction"), rounded("uncertainty", 3).alias("uncertainty"))
 
 
@@ -245,7 +245,7 @@ def _(t):
     FROM run JOIN lab ON run.entity = lab.entity AND run.item = lab.item GROUP BY 1, 2""",
 )
 def _(t):
-    out = running_rmse(predict_draws(t.scores.select("entity", "item"), given_draws(t)), t.parts)
+    out = running_rmse(predict_packed(t.scores.select("entity", "item"), given_draws(t)), t.parts)
     return out.select("draw", "part", rounded("step_rmse", 4).alias("step_rmse"), rounded("running_rmse", 4).alias("running_rmse"))
 
 

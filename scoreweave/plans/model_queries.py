@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scoreweave.operators import dimensions, evidence, factorize, similar, stats
-from scoreweave.plans.aggregate_queries import _DRAWS_SQL, given_draws
+from scoreweave.plans import gibbs_sql
+from scoreweave.plans.aggregate_queries import _DRAWS_SQL, _ERRORS, _KRCC, _MAE3, _RANKS, _SRCC, given_draws
 from scoreweave.plans.join_queries import SIMILAR, profile_vectors
 from scoreweave.plans.registry import query, rounded
 from scoreweave.session import cut_lineage, new_table_path
@@ -27,17 +28,33 @@ def _features(t):
 
 def _summary(t, draws, st):
     cells = t.held_out.select("entity", "item")
-    out = factorize.posterior_summary(factorize.predict_draws(cells, draws), st)
+    out = factorize.posterior_summary(factorize.predict_packed(cells, draws), st)
     return out.select("entity", "item", rounded("prediction").alias("prediction"), rounded("uncertainty").alias("uncertainty"))
 
 
-@query("M1_fit_pmf")
+def _summary_sql(tag: str) -> str:
+    return f"""SELECT c.entity, c.item, round(s.prediction, 6) AS prediction, round(s.uncertainty, 6) AS uncertainty
+    FROM test_cells c LEFT JOIN ({gibbs_sql.summary(tag)}) s ON s.entity = c.entity AND s.item = c.item"""
+
+
+_WANTED = "wanted AS (SELECT entity, item FROM test_cells)"
+
+
+@query(
+    "M1_fit_pmf",
+    f"""WITH {gibbs_sql.STANDARD}, {_WANTED}, p_u_ids AS (SELECT DISTINCT entity AS id FROM train), p_v_ids AS (SELECT DISTINCT item AS id FROM train),
+    {gibbs_sql.sampler("p", **_SETTINGS)} {_summary_sql("p")}""",
+)
 def _(t):
     obs, st = _standardized(t)
     return _summary(t, factorize.fit_pmf(obs, **_SETTINGS), st)
 
 
-@query("M2_fit_cpmf")
+@query(
+    "M2_fit_cpmf",
+    f"""WITH {gibbs_sql.STANDARD}, {gibbs_sql.FEATURES}, {_WANTED}, c_u_ids AS (SELECT entity AS id FROM entities), c_v_ids AS (SELECT DISTINCT item AS id FROM train),
+    gv AS (SELECT f.* FROM fv f JOIN c_v_ids i ON i.id = f.id), {gibbs_sql.sampler("c", features=("fu", "gv"), **_SETTINGS)} {_summary_sql("c")}""",
+)
 def _(t):
     obs, st = _standardized(t)
     ids = t.entities.select("entity")
@@ -108,10 +125,34 @@ def _(t):
     return out.select("id", "item", rounded("prediction", 3).alias("prediction"), rounded("uncertainty", 3).alias("uncertainty"), "similar")
 
 
-@query("M7_train_and_compare")
+_COMPARED = {"dim": 4, "draws": 2, "tune": 1, "seed": 42}
+
+
+def _report_sql(tag: str) -> str:
+    """Long report of the metrics over the predictions of a sampler."""
+    ctes = ", ".join((_ERRORS, _SRCC, _KRCC, _RANKS, _MAE3)).replace("predictions", f"{tag}_predictions")
+    return f"""SELECT unnest(['mae', 'rmse', 'srcc', 'krcc', 'mae3']) AS metric, unnest([mae, rmse, srcc, krcc, mae3]) AS value FROM (
+      WITH {ctes} SELECT avg(abs(d)) AS mae, sqrt(avg(d * d)) AS rmse, (SELECT srcc FROM sp) AS srcc, (SELECT krcc FROM kd) AS krcc, (SELECT mae3 FROM m3) AS mae3 FROM pct) x"""
+
+
+def _predictions_sql(tag: str) -> str:
+    return f"""{tag}_predictions AS MATERIALIZED (SELECT s.entity, s.item, s.prediction, c.score AS truth FROM ({gibbs_sql.summary(tag)}) s JOIN test_cells c ON c.entity = s.entity AND c.item = s.item)"""
+
+
+@query(
+    "M7_train_and_compare",
+    f"""WITH {gibbs_sql.STANDARD}, {gibbs_sql.FEATURES}, wanted AS (SELECT c.entity, c.item FROM test_cells c WHERE c.entity IN (SELECT entity FROM train)),
+    ids_u AS (SELECT DISTINCT entity AS id FROM train), ids_v AS (SELECT item AS id FROM items),
+    p_u_ids AS (FROM ids_u), p_v_ids AS (FROM ids_v), c_u_ids AS (FROM ids_u), c_v_ids AS (FROM ids_v), gu AS (SELECT f.* FROM fu f JOIN ids_u i ON i.id = f.id),
+    {gibbs_sql.sampler("p", **_COMPARED)}, {gibbs_sql.sampler("c", features=("gu", "fv"), **_COMPARED)}, {_predictions_sql("p")}, {_predictions_sql("c")}
+    SELECT p.metric, round(p.value, 6) AS base, round(c.value, 6) AS new,
+      round(CASE WHEN abs(p.value) < 1e-9 THEN 0 ELSE CASE WHEN p.metric IN ('mae', 'rmse') THEN -1 ELSE 1 END * (c.value - p.value) / abs(p.value) * 100 END, 4) AS gain
+    FROM ({_report_sql("p")}) p JOIN ({_report_sql("c")}) c ON c.metric = p.metric""",
+)
 def _(t):
     entities, items = _features(t)
-    return factorize.train_and_compare(t.training, t.held_out, t.ranges, entities, items, dim=4, draws=2, tune=1, seed=42)
+    out = factorize.train_and_compare(t.training, t.held_out, t.ranges, entities, items, **_COMPARED)
+    return out.select("metric", rounded("base").alias("base"), rounded("new").alias("new"), rounded("gain", 4).alias("gain"))
 
 
 @query("M8_fit_map")

@@ -21,16 +21,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as ``cut_lineage`` returns it, and the folder of its table, for ``delete_table``."""
+    path = new_table_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def delete_table(spark: SparkSession, path: str) -> None:
+    """Delete a written table that no plan reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back.
 
     Later plans then see one fixed set of rows, even after executor loss, and read only the columns they use,
     with the table's size known to the optimizer.
     """
-    spark = df.sparkSession
-    path = new_table_path(spark, "rows")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df)[0]
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:

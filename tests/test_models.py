@@ -20,7 +20,7 @@ def planted(spark):
 def test_factors_beat_the_means(spark, planted):
     train, test = planted.filter("seen").drop("seen"), planted.filter("NOT seen").drop("seen")
     draws = factorize.fit_pmf(train, dim=2, draws=8, tune=6, seed=1)
-    got = factorize.posterior_summary(factorize.predict_draws(test.select("entity", "item"), draws))
+    got = factorize.posterior_summary(factorize.predict_packed(test.select("entity", "item"), draws))
     base = factorize.mean_of_means(test.select("entity", "item"), train)
 
     def rmse(p):
@@ -64,7 +64,7 @@ def test_features_reach_ids_without_observations(spark):
     ids = spark.createDataFrame([(e,) for e in groups], "id string")
     draws = factorize.fit_cpmf(train, feats, items, dim=2, draws=10, tune=8, seed=5, entity_ids=ids)
     cells = spark.createDataFrame([("e00", "i1"), ("e01", "i1")], "entity string, item string")
-    got = {r["entity"]: r["prediction"] for r in factorize.posterior_summary(factorize.predict_draws(cells, draws)).collect()}
+    got = {r["entity"]: r["prediction"] for r in factorize.posterior_summary(factorize.predict_packed(cells, draws)).collect()}
     assert got["e00"] < -0.5 and got["e01"] > 0.5
 
 
@@ -79,6 +79,69 @@ def test_more_observations_less_uncertainty(spark):
     assert few > many
 
 
+def _side(spark, rows, dense):
+    return factorize._Side(spark.createDataFrame(rows, "id string, feature string, value double"), 3, dense)
+
+
+def test_weights_by_steps_are_those_solved_in_one_place(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f"e{i}", f"g={rng.integers(12)}", 1.0) for i in range(80)] + [(f"e{i}", "size", float(rng.normal())) for i in range(80)]
+    rows += [(f"e{i}", "twice", 0.5) for i in range(9) for _ in range(2)]
+    vectors = spark.createDataFrame([(f"e{i}", rng.normal(size=3).tolist()) for i in range(80)], "id string, vec array<double>")
+    one, many = _side(spark, rows, 1000), _side(spark, rows, 5)
+    assert one.names and many.names is None
+    a = {r["feature"]: np.array(r["w"]) for r in one.draw_weights(vectors, "1:0:u").collect()}
+    b = {r["feature"]: np.array(r["w"]) for r in many.draw_weights(vectors, "1:0:u").collect()}
+    assert a.keys() == b.keys() and max(np.abs(a[k] - b[k]).max() for k in a) < 1e-8
+
+
+def test_weights_have_the_posterior_mean_and_spread(spark):
+    rows = [(f"e{i}", f"g={i % 2}", 1.0) for i in range(40)]
+    vectors = spark.createDataFrame([(f"e{i}", [float(i % 2), 2.0, -1.0]) for i in range(40)], "id string, vec array<double>")
+    side = _side(spark, rows, 1000)
+    drawn = np.array([[r["w"] for r in sorted(side.draw_weights(vectors, f"1:{k}:u").collect())] for k in range(60)])
+    want = np.array([[0.0, 40.0, -20.0], [20.0, 40.0, -20.0]]) / 21
+    assert np.abs(drawn.mean(axis=0) - want).max() < 0.12 and np.abs(drawn.std(axis=0) - 21**-0.5).max() < 0.09
+
+
+def test_twenty_thousand_features(spark):
+    """More features than are solved for in one place: an id of its own for each entity, and its group."""
+    train = spark.range(20000).selectExpr("concat('e', id) AS entity", "concat('i', id % 7) AS item", "IF(id % 2 = 0, 2.0D, -2.0D) AS score")
+    features = train.selectExpr("entity AS id", "explode(array(entity, IF(score > 0, 'even', 'odd'))) AS feature", "1.0D AS value")
+    items = spark.createDataFrame([(f"i{j}", "all", 1.0) for j in range(7)], "id string, feature string, value double")
+    draws = factorize.fit_cpmf(train, features, items, dim=1, draws=1, tune=1, seed=2)
+    got = factorize.posterior_summary(factorize.predict_packed(train.select("entity", "item"), draws)).join(train, ["entity", "item"])
+    assert got.filter("prediction IS NOT NULL").count() == 20000
+    assert got.select(F.corr("prediction", "score")).first()[0] > 0.5
+
+
+def test_cells_without_vectors_stay(spark):
+    draws = spark.createDataFrame(
+        [("u", d, "a", [1.0 + d, 0.0]) for d in range(3)] + [("v", d, "x", [2.0, 1.0]) for d in range(1, 4)], "side string, draw int, id string, vec array<double>"
+    )
+    cells = spark.createDataFrame([("a", "x"), ("b", "x"), ("a", "y")], "entity string, item string")
+    got = {(r["entity"], r["item"]): r for r in factorize.posterior_summary(factorize.predict_packed(cells, draws)).collect()}
+    assert got["a", "x"]["prediction"] == 5.0 and got["a", "x"]["n_draws"] == 2 and got["a", "x"]["uncertainty"] == 1.0  # draws 1 and 2
+    assert got["b", "x"]["prediction"] is None and got["a", "y"]["n_draws"] == 0
+    assert {(r["draw"], r["prediction"]) for r in factorize.predict_draws(cells, draws).collect()} == {(1, 4.0), (2, 6.0)}
+    u, v = (draws.filter(f"side = '{s}' AND draw = 1").select("id", "vec") for s in "uv")
+    assert sorted(factorize.predict(cells, u, v).collect(), key=str)[1]["prediction"] is None
+
+
+def test_the_sampler_leaves_only_its_draws(spark, planted):
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    train = planted.filter("seen").drop("seen")
+    before, tables = set(os.listdir(folder)), spark.catalog.listTables()
+    draws = factorize.fit_pmf(train, dim=1, draws=2, tune=3, seed=1)
+    new = {d for d in os.listdir(folder) if d not in before}
+    kept = next(d for d in new if d.startswith("draws"))
+    assert sorted(os.listdir(f"{folder}/{kept}/side=u")) == ["draw=3", "draw=4"]
+    assert not any(d.startswith("observations") for d in new) and spark.catalog.listTables() == tables
+    assert draws.select("draw").distinct().count() == 2
+
+
 def _brute(new, known, k):
     out = {}
     for i, a in new.items():

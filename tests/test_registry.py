@@ -9,7 +9,7 @@ from scoreweave.plans.registry import all_oracles, all_queries
 from scoreweave.plans.views import VIEWS, needed, with_views
 
 FOLDER = "/root/testdata/sf0.001"
-NO_SQL = {"M1_fit_pmf", "M2_fit_cpmf", "M7_train_and_compare", "M8_fit_map"}
+NO_SQL = {"M8_fit_map"}
 
 
 def test_every_query_has_sql_but_the_sampled_ones():
