@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scoreweave.operators import evidence, matching, metrics, stats
+from scoreweave.plans.aggregate_queries import _ERRORS, _KRCC, _MAE3, _RANKS, _SRCC
 from scoreweave.plans.join_queries import NEIGHBOURS
 from scoreweave.plans.registry import query, rounded
 
@@ -166,19 +167,35 @@ def _(t):
     return applied(t).select("entity", "item", rounded("predicted_score", 4).alias("predicted_score"), rounded("adjustment", 4).alias("adjustment"), "direction", "confidence")
 
 
+def _report_sql(column: str) -> str:
+    """The five metrics of one column of predictions."""
+    ctes = ", ".join((_ERRORS, _SRCC, _KRCC, _RANKS, _MAE3)).replace("predictions", f"scored_{column}")
+    return f"""SELECT unnest(['mae', 'rmse', 'srcc', 'krcc', 'mae3']) AS metric, unnest([mae, rmse, srcc, krcc, mae3]) AS value FROM (
+      WITH scored_{column} AS MATERIALIZED (SELECT entity, item, truth, {column} AS prediction FROM res), {ctes}
+      SELECT avg(abs(d)) AS mae, sqrt(avg(d * d)) AS rmse, (SELECT srcc FROM sp) AS srcc, (SELECT krcc FROM kd) AS krcc, (SELECT mae3 FROM m3) AS mae3 FROM pct) x"""
+
+
 @query(
     "E9_run_evaluation",
-    f"""WITH {_APPLIED}, d AS (SELECT greatest(0, least(100, (predicted_score - lo) / (hi - lo) * 100)) - greatest(0, least(100, (truth - lo) / (hi - lo) * 100)) AS dn,
-      greatest(0, least(100, (baseline_prediction - lo) / (hi - lo) * 100)) - greatest(0, least(100, (truth - lo) / (hi - lo) * 100)) AS db
-      FROM (SELECT res.*, coalesce(r.lo, 0) AS lo, coalesce(r.hi, 100) AS hi FROM res LEFT JOIN ranges r ON res.item = r.item) x)
-    SELECT 'mae' AS metric, round(avg(abs(db)), 4) AS base, round(avg(abs(dn)), 4) AS new, round((avg(abs(db)) - avg(abs(dn))) / avg(abs(db)) * 100, 3) AS gain FROM d
-    UNION ALL SELECT 'rmse', round(sqrt(avg(db * db)), 4), round(sqrt(avg(dn * dn)), 4), round((sqrt(avg(db * db)) - sqrt(avg(dn * dn))) / sqrt(avg(db * db)) * 100, 3) FROM d""",
+    f"""WITH {_APPLIED} SELECT b.metric, round(b.value, 4) AS base, round(n.value, 4) AS new,
+      round(CASE WHEN b.metric IN ('mae', 'rmse') THEN -1 ELSE 1 END * (n.value - b.value) / abs(b.value) * 100, 3) AS gain
+    FROM ({_report_sql("baseline_prediction")}) b JOIN ({_report_sql("predicted_score")}) n ON n.metric = b.metric""",
 )
 def _(t):
-    out = evidence.run_evaluation(applied(t), t.ranges)["improvement"].filter("metric IN ('mae', 'rmse')")
+    out = evidence.run_evaluation(applied(t), t.ranges)["improvement"]
     return out.select("metric", rounded("base", 4).alias("base"), rounded("new", 4).alias("new"), rounded("gain", 3).alias("gain"))
 
 
+@query(
+    "E9_directions",
+    f"""WITH {_APPLIED}, moved AS (SELECT CASE WHEN adjustment > 0.5 THEN 'up' WHEN adjustment < -0.5 THEN 'down' ELSE 'keep' END AS direction FROM res WHERE delta IS NOT NULL)
+    SELECT direction, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM moved), 5) AS share FROM moved GROUP BY direction""",
+)
+def _(t):
+    out = evidence.run_evaluation(applied(t), t.ranges)["directions"]
+    return out.select("direction", "n", rounded("share", 5).alias("share"))
+
+
 @query(
     "E10_community_feedback",
     """SELECT conv_id AS subject, CASE WHEN n < 5 THEN 0.5 ELSE round(n / 20.0, 4) END::DOUBLE AS sentiment_score, CASE WHEN n < 5 THEN NULL ELSE 'a,b,c,d,e,f' END AS positive, CASE WHEN n < 5 THEN NULL ELSE 'slow' END AS negative, CASE WHEN n < 5 THEN NULL ELSE '' END AS issues, CASE WHEN n < 5 THEN NULL ELSE 's' END AS summary, n AS web_mentions_count,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scoreweave.operators import dimensions, evidence, factorize, similar, stats
 from scoreweave.plans import gibbs_sql
 from scoreweave.plans.aggregate_queries import _DRAWS_SQL, _ERRORS, _KRCC, _MAE3, _RANKS, _SRCC, given_draws
+from scoreweave.plans.evidence_queries import _APPLIED
 from scoreweave.plans.join_queries import SIMILAR, profile_vectors
 from scoreweave.plans.registry import query, rounded
 from scoreweave.session import cut_lineage, new_table_path
@@ -163,7 +164,11 @@ def _(t):
     return factorize.predict(t.held_out.select("entity", "item"), u, v).withColumn("prediction", rounded("prediction"))
 
 
-@query("T1_incremental_results", "SELECT entity, item, round(prediction, 4) AS baseline_prediction FROM predictions")
+@query(
+    "T1_incremental_results",
+    f"""WITH {_APPLIED} SELECT entity, item, round(baseline_prediction, 4) AS baseline_prediction, round(predicted_score, 4) AS predicted_score, round(adjustment, 4) AS adjustment,
+    CASE WHEN delta IS NULL THEN 'fallback' WHEN adjustment > 0.5 THEN 'up' WHEN adjustment < -0.5 THEN 'down' ELSE 'keep' END AS direction FROM res""",
+)
 def _(t):
     source, sink = new_table_path(t.spark, "targets"), new_table_path(t.spark, "results")
     t.predicted.repartition(3).write.parquet(source)
@@ -175,4 +180,5 @@ def _(t):
     )
     query.awaitTermination()
     rows = t.spark.read.parquet(sink)
-    return rows.select("entity", "item", rounded("baseline_prediction", 4).alias("baseline_prediction"))
+    numbers = [rounded(c, 4).alias(c) for c in ("baseline_prediction", "predicted_score", "adjustment")]
+    return rows.select("entity", "item", *numbers, "direction")

@@ -170,6 +170,44 @@ def test_incremental_results_write_each_key_once(spark, tmp_path):
     assert got == [("a", "x"), ("b", "x"), ("c", "x")]
 
 
+def _stream(spark, tmp_path, schema, **options):
+    source, sink, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        incremental_results(stream, lambda t: t, sink, progress, **options).awaitTermination()
+
+    return run, sink
+
+
+def test_later_batches_open_no_earlier_results(spark, tmp_path):
+    import glob
+
+    run, sink = _stream(spark, tmp_path, "entity string, item string, n int")
+    run([("a", "x", 1), ("b", "x", 1)])
+    for name in glob.glob(f"{sink}/batch=*/*.parquet"):
+        with open(name, "wb") as file:
+            file.write(b"not a table")
+    for k in range(3):
+        run([("a", "x", 2 + k), ("b", "x", 2), (f"c{k}", "x", 2), (None, "x", k)])
+    last = [r for d in sorted(glob.glob(f"{sink}/batch=*"))[1:] if glob.glob(f"{d}/*.parquet") for r in spark.read.parquet(d).collect()]
+    assert sorted((r["entity"] or "", r["n"]) for r in last if r["n"] is not None) == [("", 0), ("c0", 2), ("c1", 2), ("c2", 2)]
+
+
+def test_keys_done_before_the_stream_and_keys_behind_the_watermark(spark, tmp_path):
+    from datetime import datetime
+
+    done = spark.createDataFrame([("a", "x")], "entity string, item string")
+    day = lambda d: datetime(2024, 1, d)
+    run, sink = _stream(spark, tmp_path, "entity string, item string, at timestamp", done=done, event_time="at", delay="2 days")
+    run([("a", "x", day(1)), ("b", "x", day(1)), ("b", "x", day(2))])
+    run([("b", "x", day(2)), ("c", "x", day(20))])
+    run([("b", "x", day(21)), ("c", "x", day(21))])  # b was forgotten, c was not
+    got = sorted((r["entity"], r["at"].day) for r in spark.read.parquet(sink).collect())
+    assert got == [("b", 1), ("b", 21), ("c", 20)]
+
+
 def test_evolution_keeps_members_without_a_score_and_components_all_features(spark):
     entities = spark.createDataFrame(
         [("a", "f", "v", "l", "7B", "2024"), ("b", "f", "v", "l", "9B", None), ("c", None, "v", "l", "1B", None)],
