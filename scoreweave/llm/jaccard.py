@@ -6,9 +6,10 @@
    name space; a token that is frequent in one batch leaves it once.
 3. What is left is ordered by its true frequency, rarest first, ties by name. Tokens of frequency 1 lead and match
    nobody; the rest of the prefix is joined, under the length and positional filters.
-4. In a list of classes with a common token, each is first compared with one leader. Then only classes still apart
-   are paired, those of the list's largest component on one side only: no link is lost, and a group of copies costs
-   its size, not the square. Every pair is verified once, after a bound from partitioned suffix counts.
+4. In a list of classes with a common token, each is first compared with one leader, the most central of them. Then
+   only classes still apart are paired, those of the list's largest component on one side only: no link is lost, and
+   a group of copies costs its size, not the square. Every pair is verified once, after a bound from partitioned
+   suffix counts.
 """
 
 from __future__ import annotations
@@ -286,7 +287,9 @@ def _links(sets: DataFrame, percent: int, bits: int) -> DataFrame:
         pairs = x.alias("x").join(y.alias("y"), F.col("x.h") == F.col("y.h")).filter(also & passes())
         return pairs.select(F.least("x.cid", "y.cid").alias("u"), F.greatest("x.cid", "y.cid").alias("v")).distinct()
 
-    leaders = posts.groupBy("h").agg(F.min(F.struct("n", "cid", "at")).alias("l")).select("h", "l.n", "l.cid", "l.at")
+    # The leader of a list has the token at the least place, so few rare tokens of its own: of near copies it is the one
+    # that differs least from what they have in common, and links with every one that links at all by few differences.
+    leaders = posts.groupBy("h").agg(F.min(F.struct("at", "n", "cid")).alias("l")).select("h", "l.n", "l.cid", "l.at")
     first = cut_lineage(candidates(posts, leaders, F.col("x.cid") != F.col("y.cid")))
     links = cut_lineage(_verified(first, sets, percent))
     labels = components(links)
