@@ -1,11 +1,11 @@
 """License scans: an exact set-similarity join of license notices with blocks of text.
 
-A block is ``2 span`` words, every ``span`` words, where ``span`` is the length of the longest notice, so each passage
-of that length lies whole in a block. A notice is found where a block holds at least ``threshold`` of its distinct
-words. Words of notices are ordered by how often they occur in all documents, rarest first; a block that reaches the
-threshold holds a word of the notice's prefix, so only texts with such a word are looked at, under length and
-positional filters, and the counts of what remains are exact. The notices are a parameter; their words are the only
-thing that is sent to tasks.
+A notice of ``n`` words is looked for in blocks of ``2 n`` words, every ``n`` words, so each passage of its length lies
+whole in a block. It is found where a block holds at least ``threshold`` of its distinct words, all words that tell it
+from others, and none that speak against it. Words of notices are ordered by how many documents hold them, rarest
+first; a block that reaches the threshold holds a word of the notice's prefix, so only texts with such a word and with
+enough of the notice's words are looked at, under positional filters, and the counts of what remains are exact. The
+notices are a parameter; their words are the only thing that is sent to tasks.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,16 +25,56 @@ _LETTER = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 _OTHER = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 PHRASES = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
 
-#: Notices that the method looks for: label, usual wording.
+
+@dataclass(frozen=True)
+class Notice:
+    """Usual wording of a license; ``must`` are words that a block needs, ``without`` words that it may not hold."""
+
+    label: str
+    text: str
+    must: tuple[str, ...] = ()
+    without: tuple[str, ...] = ()
+
+
+_CC, _ONLY = "This work is licensed under a Creative Commons {} 4.0 International License", ("noncommercial", "sharealike", "noderivatives", "noderivs")
+
+#: Notices that the method looks for: titles, and passages that stand in the licenses or in the headers of files.
 NOTICES = (
-    ("mit", "Released under the MIT License"),
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("gpl", "This work is licensed under the GNU General Public License"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
-    ("isc", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted"),
+    Notice("mit", "Released under the MIT License", ("mit",)),
+    Notice(
+        "mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+        "\"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so", ("sublicense",),
+    ),
+    Notice("apache", "Licensed under the Apache License, Version 2.0", ("apache",)),
+    Notice(
+        "apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You "
+        "may obtain a copy of the License at", ("apache",),
+    ),
+    Notice("gpl", "This work is licensed under the GNU General Public License", ("gnu", "general"), ("lesser", "affero")),
+    Notice(
+        "gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version", ("gnu", "general"), ("lesser", "affero"),
+    ),
+    Notice("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", ("gnu", "lesser")),
+    Notice("agpl", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", ("gnu", "affero")),
+    Notice("cc-by", "Licensed under CC BY 4.0", ("cc", "by"), ("nc", "sa", "nd")),
+    Notice("cc-by-nc", "Licensed under CC BY-NC 4.0", ("cc", "by", "nc")),
+    Notice("cc-by-sa", "Licensed under CC BY-SA 4.0", ("cc", "by", "sa")),
+    Notice("cc-by-nd", "Licensed under CC BY-ND 4.0", ("cc", "by", "nd")),
+    Notice("cc-by", _CC.format("Attribution"), ("attribution", "commons"), _ONLY),
+    Notice("cc-by-nc", _CC.format("Attribution-NonCommercial"), ("noncommercial", "commons")),
+    Notice("cc-by-sa", _CC.format("Attribution-ShareAlike"), ("sharealike", "commons")),
+    Notice("bsd", "Released under the BSD License", ("bsd",)),
+    Notice("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ("redistribution", "binary")),
+    Notice("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License", ("mozilla",)),
+    Notice("epl", "made available under the terms of the Eclipse Public License", ("eclipse",)),
+    Notice("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ("fee", "granted")),
+    Notice("unlicense", "This is free and unencumbered software released into the public domain", ("unencumbered",)),
+    Notice(
+        "zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software", ("express", "damages", "held"),
+    ),
 )
 
 
@@ -75,59 +116,58 @@ def _words(text: Column) -> Column:
     return let(parts, lambda p: F.when((F.get(p, F.lit(0)) == "") & (F.size(p) > 1), F.slice(p, 2, F.size(p))).otherwise(p))
 
 
-def _known_words(text: Column, known: Sequence[str]) -> Column:
-    """(place, word) of the words of a text that are among ``known``."""
-    found = _words(F.lower(filled(text)))
-    pair = lambda w, i: F.when(w.isin(*known), F.struct(i.alias("at"), w.alias("word")))
-    return F.filter(F.transform(found, pair), lambda x: x.isNotNull())
-
-
-def notice_blocks(docs: DataFrame, notices: Sequence[tuple[str, str]] = NOTICES, threshold: float = 0.8, text: str = "text") -> DataFrame:
+def notice_blocks(docs: DataFrame, notices: Sequence[Notice] = NOTICES, threshold: float = 0.8, text: str = "text") -> DataFrame:
     """(key, block, label, containment) for each block of a text and notice that it holds enough of."""
-    spark, sets = docs.sparkSession, [(label, sorted(set(notice_words(t)))) for label, t in notices]
-    span, known = max(len(notice_words(t)) for _, t in notices), sorted({w for _, s in sets for w in s})
-    rows = docs.select(text_key(text).alias("key"), F.col(text).alias("t"))
-    hits = rows.select(F.explode(_known_words(F.col("t"), known)).alias("w"))
-    often = {r[0]: r[1] for r in hits.groupBy("w.word").count().collect()}  # at most the notices' words
+    spark, sets = docs.sparkSession, [sorted({*notice_words(n.text), *n.must}) for n in notices]
+    known = sorted({w for s in sets for w in s} | {w for n in notices for w in n.without})
+    rows = docs.select(text_key(text).alias("key"), F.transform(_words(F.lower(filled(text))), lambda w: F.when(w.isin(*known), w)).alias("ws"))
+    rows = rows.withColumn("own", F.array_compact(F.array_distinct("ws")))
+    often = dict(rows.select(F.explode("own").alias("w")).groupBy("w").count().collect())  # at most the notices' words
     rank = {w: k for k, w in enumerate(sorted(known, key=lambda w: (often.get(w, 0), w)))}
-    table, prefixes = [], []
-    for number, (label, words) in enumerate(sets):
+    table, perhaps = [], []
+    for number, (notice, words) in enumerate(zip(notices, sets, strict=True)):
         ordered, need = sorted(words, key=rank.__getitem__), math.ceil(threshold * len(words) - 1e-9)
-        table.append((number, label, words, need))
-        prefixes += [(w, number, k, len(words), need) for k, w in enumerate(ordered[: len(words) - need + 1])]
-    first = sorted({p[0] for p in prefixes})
-    table = F.broadcast(spark.createDataFrame(table, "notice int, label string, words array<string>, need int"))
-    prefixes = F.broadcast(spark.createDataFrame(prefixes, "word string, notice int, place int, n int, need int"))
-    found = rows.filter(F.lower(filled("t")).rlike("|".join(rf"(?<!{_LETTER}){w}(?!{_LETTER})" for w in first)))
-    found = found.select("key", F.explode(_known_words(F.col("t"), known)).alias("w")).distinct()
-    at = F.floor(F.col("w.at") / span)
-    found = found.select("key", "w.word", F.explode(F.array(at, at - 1)).alias("block")).filter("block >= 0")
-    blocks = found.groupBy("key", "block").agg(F.collect_set("word").alias("held"))
-    ranks = F.create_map(*[F.lit(x) for pair in rank.items() for x in pair])
-    order = F.array_sort(F.transform("held", lambda w: F.struct(ranks[w].alias("r"), w.alias("word"))))
-    each = blocks.select("key", "block", "held", F.posexplode(order).alias("at", "w")).select("*", "w.word")
-    enough = F.least(F.col("n") - F.col("place"), F.size("held") - F.col("at")) >= F.col("need")
-    pairs = each.join(prefixes, "word").filter(enough).select("key", "block", "held", "notice").distinct()
-    share = F.size(F.array_intersect("held", "words")) / F.size("words")
-    pairs = pairs.join(table, "notice").filter(F.size(F.array_intersect("held", "words")) >= F.col("need"))
-    return pairs.select("key", "block", "label", share.alias("containment"))
-
-
-def scan_licenses(docs: DataFrame, notices: Sequence[tuple[str, str]] = NOTICES, threshold: float = 0.8, text: str = "text") -> DataFrame:
+        prefix = ordered[: len(words) - need + 1]
+        table.append((number, notice.label, ordered, prefix, need, len(notice_words(notice.text)), list(notice.must), list(notice.without)))
+        # A word of the prefix, every word that it must hold, and enough of its words: else no block can do.
+        array = lambda ws: F.array(*map(F.lit, ws))
+        enough = F.arrays_overlap("own", array(prefix)) & (F.size(F.array_intersect("own", array(words))) >= need)
+        for w in notice.must:
+            enough &= F.array_contains("own", w)
+        perhaps.append(F.when(enough, number))
+    fields = "notice int, label string, ordered array<string>, prefix array<string>, need int, span int, must array<string>, without array<string>"
+    table = F.broadcast(spark.createDataFrame(table, fields))  # as long as the list of notices
+    found = rows.withColumn("perhaps", F.array_compact(F.array(*perhaps))).filter(F.size("perhaps") > 0).dropDuplicates(["key"])
+    found = found.select("key", "ws", F.explode("perhaps").alias("notice")).join(table, "notice")
+    placed = F.filter(F.transform("ws", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains(F.concat("ordered", "without"), x["word"]))
+    each = found.select("key", "notice", "label", "ordered", "prefix", "need", "must", "without", "span", F.explode(placed).alias("w"))
+    block = F.floor(F.col("w.at") / F.col("span"))
+    each = each.select("*", F.explode(F.array(block, block - 1)).alias("block")).filter("block >= 0")
+    blocks = each.groupBy("key", "notice", "block").agg(
+        F.collect_set("w.word").alias("held"), *[F.first(c).alias(c) for c in ("label", "ordered", "prefix", "need", "must", "without")]
+    )
+    holds = F.filter("ordered", lambda w: F.array_contains("held", w))
+    # Positional filter: from the first word held in the prefix's order on, enough words must be left.
+    first = F.array_position("ordered", F.get(holds, F.lit(0)))
+    blocks = blocks.filter(F.arrays_overlap("held", "prefix") & (F.size("ordered") - first + 1 >= F.col("need")))
+    fits = F.forall("must", lambda w: F.array_contains("held", w)) & ~F.exists("without", lambda w: F.array_contains("held", w))
+    blocks = blocks.filter((F.size(holds) >= F.col("need")) & fits)
+    return blocks.select("key", "block", "label", (F.size(holds) / F.size("ordered")).alias("containment"))
+
+
+def scan_licenses(docs: DataFrame, notices: Sequence[Notice] = NOTICES, threshold: float = 0.8, text: str = "text") -> DataFrame:
     """Add ``license``: n_words, n_base, first_word, last_word, base_labels, labels (arrays, sorted) and score.
 
     Words are counted from 0. ``score`` is 1 where a base phrase stands, else the largest containment of a notice
     found, else 0. A null text counts as empty: no words, no labels, null places. Repeated rows get equal results, null
-    ids don't matter, an empty table stays empty. An input column named ``license`` is replaced.
+    ids don't matter, an empty table stays empty. Other columns stay as they are, whatever their names; an input column
+    named ``license`` is replaced.
     """
     found = notice_blocks(docs, notices, threshold, text)
-    found = found.groupBy(F.col("key").alias("_notice_key")).agg(
-        F.collect_set("label").alias("_labels"), F.max("containment").alias("_score")
-    )
-    rows = docs.withColumn("license", base(text)).withColumn("_text_key", text_key(text))
-    rows = rows.join(found, F.col("_text_key") == F.col("_notice_key"), "left")
+    found = found.groupBy("key").agg(F.collect_set("label").alias("found"), F.max("containment").alias("most"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "license"]).alias("row")
+    rows = docs.select(whole, base(text).alias("base"), text_key(text).alias("key")).join(found, "key", "left")
     none = F.array().cast("array<string>")
-    labels = F.array_sort(F.array_union("license.base_labels", F.coalesce("_labels", none)))
-    score = F.when(F.col("license.n_base") > 0, 1.0).otherwise(F.coalesce("_score", F.lit(0.0)))
-    rows = rows.withColumn("license", F.col("license").withField("labels", labels).withField("score", score))
-    return rows.select(*[c for c in docs.columns if c != "license"], "license")
+    labels = F.array_sort(F.array_union("base.base_labels", F.coalesce("found", none)))
+    score = F.when(F.col("base.n_base") > 0, 1.0).otherwise(F.coalesce("most", F.lit(0.0)))
+    return rows.select("row.*", F.col("base").withField("labels", labels).withField("score", score).alias("license"))
