@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreweave.llm.common import scratch, text_key
+from scoreweave.llm.common import filled, scratch, text_key
 from scoreweave.llm.components import components
 from scoreweave.session import cut_lineage
 
@@ -80,7 +80,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, width: int = 4, percent: int = 85, extra: int = 8, cell_bits: int = 10,
+    docs: DataFrame, width: int = 4, percent: int = 85, extra: int = 8, cell_bits: int | None = None,
     doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """One row (doc_id, n_shingles, component_id) per row of ``docs``, by links of Jaccard >= ``percent`` / 100.
@@ -89,24 +89,52 @@ def near_duplicates(
     shingles and link with nothing, so they keep their own id. Repeated rows and equal texts link; null ids are never
     the smallest. An empty table gives no rows; other columns are left out. ``extra`` is the part of a set, in
     percent, by which the first prefix is longer than it must be, and ``cell_bits`` sets how many cells its tokens
-    are dealt to; neither changes the result. Equal 64-bit names of different sets are taken for equal sets.
+    are dealt to (as many as the rows need, if not given); neither changes the result. Equal 64-bit names of different sets are taken for equal sets.
     """
+    members = _members(docs, width, percent, extra, cell_bits, doc_id, text)
+    least = members.filter("_class is not null").groupBy("_class").agg(F.min("doc_id").alias("_least"))
+    out = members.join(least, "_class", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_least", "doc_id").alias("component_id"))
+
+
+def one_of_each(
+    docs: DataFrame, width: int = 5, percent: int = 80, extra: int = 8, cell_bits: int | None = None,
+    doc_id: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """The rows of ``docs``, all columns, without near duplicates: of each group of linked texts one row stays, that
+    with the least id (null ids last, equal ids by the text's digest).
+
+    Texts without a word are linked with nothing and all stay. Different texts that share an id, or have none, are
+    judged each by its own text.
+    """
+    members = _members(docs, width, percent, extra, cell_bits, doc_id, text).filter("_class is not null")
+    first = members.groupBy("_class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
+    # Ids that may be null are compared as text; equal texts are in one class, so an id and a text name one row of it.
+    name = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")).alias("name")
+    chosen = first.select(name(F.col("first.doc_id")), F.col("first.key").alias("key"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(whole, name(F.col(doc_id)), text_key(text).alias("key"), filled(text).rlike(r"[^\x20\x09-\x0D]").alias("words"))
+    kept = rows.filter("words").join(chosen, ["name", "key"], "left_semi").dropDuplicates(["name", "key"])
+    return kept.select("row.*").unionByName(rows.filter("not words").select("row.*"))
+
+
+def _members(docs: DataFrame, width: int, percent: int, extra: int, cell_bits: int | None, doc_id: str, text: str) -> DataFrame:
+    """One row (doc_id, n, key, _class) per row of ``docs``; equal classes are linked, a text without words has none."""
     kind = dict(docs.dtypes)[doc_id]
+    # A cell's tokens meet in one task: twice the rows, twice the cells.
+    bits = cell_bits or max(10, (docs.count() >> 13).bit_length())
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), text_key(text).alias("key"))
     fields = f"doc_id {kind}, n long, cid long, key binary, batch long, at long, hits long, cell long, names binary, owners binary"
-    summary, forget = scratch(source.mapInArrow(lambda b: _summaries(b, width, percent, extra, cell_bits, kind), fields))
+    summary, forget = scratch(source.mapInArrow(lambda b: _summaries(b, width, percent, extra, bits, kind), fields))
     rows = cut_lineage(summary.filter("cell is null").select("doc_id", "n", "cid", "key", "batch", "at", "hits"))
     wanted = cut_lineage(_with_partners(rows, summary.filter("cell is not null"), percent, extra))
     forget()
     texts = _perhaps_in(source.select("key", "text"), wanted, "key")
     texts = texts.join(wanted, "key").select("cid", "text").dropDuplicates(["cid"])
     sets = cut_lineage(texts.mapInArrow(lambda b: _sets(b, width), "cid long, lot long, names array<long>, parts array<long>"))
-    labels = components(_links(sets, percent, cell_bits))
-    members = rows.select("doc_id", "n", "cid").join(labels, F.col("cid") == F.col("node"), "left")
-    members = members.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "cid").alias("_class"))
-    least = members.filter("_class is not null").groupBy("_class").agg(F.min("doc_id").alias("_least"))
-    out = members.join(least, "_class", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
+    labels = components(_links(sets, percent, bits))
+    members = rows.select("doc_id", "n", "cid", "key").join(labels, F.col("cid") == F.col("node"), "left")
+    return members.select("doc_id", "n", "key", F.coalesce("label", "cid").alias("_class"))
 
 
 def _summaries(batches: Iterator[pa.RecordBatch], width: int, percent: int, extra: int, bits: int, kind: str):

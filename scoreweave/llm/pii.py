@@ -6,8 +6,9 @@ that fail a checkable rule and have no cue before them are negative (``_WRONG``)
 is looked for, so neither the trees nor the thresholds take them as errors. Gradient-boosted trees learn from the form
 of the span and the characters and words before it. They learn from a part of a sample of at most ``sample`` candidates
 with a label, by hash; on all others with a label each kind's threshold is set to the least score whose precision
-reaches the target. Candidates above it are added. Column functions, joins and Spark's own trees only; all candidates
-are scored.
+reaches the target. Candidates above it are added. A few hundred made-up examples of right and wrong candidates of each
+kind (``examples``) stand beside those of the corpus, so that a corpus without wrong ones, or with few of a kind, has a
+model and a threshold like any other. Column functions, joins and Spark's own trees only; all candidates are scored.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreweave.llm.common import filled, matches, text_key
@@ -129,72 +130,74 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.select("key", "span", "strict", label.alias("label"), *[F.coalesce(values[f].cast("double"), F.lit(0.0)).alias(f) for f in FEATURES])
 
 
-def scored(found: DataFrame, sample: int, trees: int, depth: int) -> DataFrame | None:
-    """Candidates with the model's ``score`` and their kind's ``least``; None if the sample has one class only.
+def examples(spark: SparkSession) -> DataFrame:
+    """Labelled candidates made by rule: per kind some that are right and some that break a rule."""
+    right = [
+        "write to {a}.{b}@site{c}.org today", "mail: {b}{c}@{a}.example.com", "call +{c} {c}55 {b}67 {c}{b}1 now", "phone +{b}{c}-{c}20-{b}4-{c}{a}7 please",
+        "host 10.{a}.{b}.{c} is up", "from 192.168.{c}.{a} to us", "card 4{c}{b} 0000 0000 0000 {a}", "address: {a}@b{c}.net",
+    ]
+    wrong = [
+        "{a} items @{b} each and x{c}@y", "see {a}@{b} or u{c}@host", "room {c} {b} {a} 1 2 3 4 5", "sums {a} {b} {c} {c} {b} {a} 11 22 33 44 55 66",
+        "version 30{a}.4{b}.5{c}.999 is out", "section {c}{b}0.{b}77.{c}88.{b}00 of it", "code 1{a}2{b}3{c}4{a}5{b}6{c}7{a}8{b}9{c}", "part 9{c}9.8{b}8.{c}77.666",
+    ]
+    texts = [t.format(a=1 + k % 9, b=2 + (k * 7) % 8, c=10 + (k * 13) % 89) for t in right + wrong for k in range(40)]
+    return candidates(spark.createDataFrame([(t,) for t in texts], "text string"))
 
-    The trees learn from the sample; the thresholds come from all candidates with a label that the trees did not learn from.
+
+def scored(found: DataFrame, sample: int, trees: int, depth: int) -> DataFrame:
+    """Candidates with the model's ``score`` and their kind's ``least``.
+
+    The trees learn from the sample; the thresholds come from all candidates with a label that the trees did not learn
+    from. Made-up examples are among both, and not in the result.
     """
+    found = found.withColumn("made", F.lit(False)).unionByName(examples(found.sparkSession).withColumn("made", F.lit(True)))
     place = [F.col("key"), F.col("span.start"), F.col("span.end"), F.col("span.place")]
     vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     rows = vector.transform(found).withColumn("_order", F.xxhash64(*place))
     rows = rows.withColumn("_part", F.pmod(F.xxhash64(*place, F.lit(17)), F.lit(10)))
-    last = rows.filter("label is not null").select("_order").orderBy("_order").limit(sample).agg(F.max("_order")).first()[0]
-    if last is None:
-        return None
-    learnt = (F.col("_order") <= last) & (F.col("_part") < 7)
-    learnt &= F.col("label").isNotNull()
+    last = rows.filter("label is not null and not made").select("_order").orderBy("_order").limit(sample).agg(F.max("_order")).first()[0]
+    known = F.col("made") if last is None else F.col("made") | (F.col("_order") <= last)
+    learnt = known & (F.col("_part") < 7) & F.col("label").isNotNull()
     fit = cut_lineage(rows.filter(learnt))
-    classes = {r[0] for r in fit.select("label").distinct().collect()}
-    if len(classes) < 2:
-        return None
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7, cacheNodeIds=False).fit(fit)
     out = model.transform(rows).withColumn("score", vector_to_array("probability")[1])
-    out = cut_lineage(out.select("key", "span", "strict", "label", "score", learnt.alias("learnt")))
+    out = cut_lineage(out.select("key", "span", "strict", "label", "score", "made", learnt.alias("learnt")))
     held = out.filter("not learnt and label is not null")
     held = held.groupBy("span.kind", F.floor(F.col("score") * 100).alias("bin")).agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n"))
-    return out.join(F.broadcast(_thresholds(held)), F.col("span.kind") == F.col("kind"), "left")
+    return out.filter("not made").join(F.broadcast(_thresholds(held)), F.col("span.kind") == F.col("kind"), "left")
 
 
-def _thresholds(held: DataFrame, target: float = 0.9, few: int = 20) -> DataFrame:
-    """For each of the generators' kinds the least hundredth of score at and above which ``target`` of the held-out
-    candidates are good. A kind with less than ``few`` of them, or none, takes the threshold of all kinds together; 2
-    means that no score is enough.
+def _thresholds(held: DataFrame, target: float = 0.9) -> DataFrame:
+    """For each of the generators' kinds the least hundredth of score at and above which ``target`` of its held-out
+    candidates are good; 2 means that no score is enough.
 
     ``held`` has at most 101 rows for each kind.
     """
-    bins: dict[str, dict[int, tuple[float, int]]] = {kind: {} for kind, _ in BROAD}
-    every: dict[int, tuple[float, int]] = {}
+    bins: dict[str, list[tuple[int, float, int]]] = {kind: [] for kind, _ in BROAD}
     for kind, bin_, good, n in held.collect():
-        bins[kind][bin_] = (good, n)
-        every[bin_] = tuple(map(sum, zip(every.get(bin_, (0.0, 0)), (good, n), strict=True)))
+        bins[kind].append((bin_, good, n))
 
-    def least(counts: dict[int, tuple[float, int]]) -> float:
+    def least(counts: list[tuple[int, float, int]]) -> float:
         best, right, total = 2.0, 0.0, 0
-        for bin_, (good, n) in sorted(counts.items(), reverse=True):
+        for bin_, good, n in sorted(counts, reverse=True):
             right, total = right + good, total + n
             best = bin_ / 100 if right >= target * total else best
         return best
 
-    rows = [(kind, least(own if sum(n for _, n in own.values()) >= few else every)) for kind, own in bins.items()]
-    return held.sparkSession.createDataFrame(rows, "kind string, least double")
+    return held.sparkSession.createDataFrame([(kind, least(own)) for kind, own in bins.items()], "kind string, least double")
 
 
 def find_pii(docs: DataFrame, sample: int = 20_000, trees: int = 10, depth: int = 3, text: str = "text") -> DataFrame:
     """Add ``pii``: base and all spans (start, place, end, kind), in code points, sorted by start, then kind.
 
     Overlapping spans all stand; a candidate that overlaps a base span is not added again. A null text counts as empty
-    and has none; repeated rows get equal results, null ids don't matter, an empty table stays empty. An input column
-    named ``pii`` is replaced. If the sample holds one class only, there is no model and only base spans are returned.
+    and has none; repeated rows get equal results, null ids don't matter, an empty table stays empty. Other columns stay
+    as they are, whatever their names; an input column named ``pii`` is replaced.
     """
-    rows = docs.withColumn("pii", base_spans(text)).withColumn("_text_key", text_key(text))
-    found = cut_lineage(candidates(docs, text))
-    scores = scored(found, sample, trees, depth)
-    if scores is None:
-        added = found.filter("false").select(F.col("key").alias("_more_key"), F.array("span").alias("more"))
-    else:
-        chosen = scores.filter("not strict and score >= least")
-        added = chosen.groupBy(F.col("key").alias("_more_key")).agg(F.collect_list("span").alias("more"))
-    rows = rows.join(added, F.col("_text_key") == F.col("_more_key"), "left")
-    every = F.array_sort(F.concat("pii", F.coalesce("more", F.array().cast(_SPAN))))
-    rows = rows.withColumn("pii", F.struct(F.col("pii").alias("base"), every.alias("spans")))
-    return rows.select(*[c for c in docs.columns if c != "pii"], "pii")
+    chosen = scored(cut_lineage(candidates(docs, text)), sample, trees, depth).filter("not strict and score >= least")
+    added = chosen.groupBy("key").agg(F.collect_list("span").alias("more"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(whole, base_spans(text).alias("base"), text_key(text).alias("key")).join(added, "key", "left")
+    every = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(_SPAN))))
+    rows = rows.select("row", F.struct("base", every.alias("spans")).alias("pii"))
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "pii"], "pii")

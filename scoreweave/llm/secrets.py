@@ -2,6 +2,8 @@
 
 Access identifiers, opaque strings and endpoints are weak candidates. One is reported only when a part of a
 complementary role starts within its scope: an identifier or an endpoint needs a secret, an opaque string needs either.
+A plain hex string counts as a secret for others only if a word like key or token stands before it (else it may be a
+commit or a checksum), and an opaque string that is part of an address is none of its own.
 The interval join compares cells instead of pairs: per text, role and stretch of one scope it keeps the first and last
 start, and a part looks at its own stretch and the two beside it. Column functions and joins only.
 """
@@ -12,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreweave.llm.common import filled, let, matches, span_list, text_key
+from scoreweave.session import cut_lineage
 
 #: The base patterns, in the order of their kinds, each with its least length.
 ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?{}[A-Za-z0-9+/_.=-]+{}"""
@@ -24,6 +27,8 @@ WEAK = (
     ("opaque", "what", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[A-Z0-9+/_=-]*[a-z])(?=[a-z0-9+/_=-]*[A-Z])[A-Za-z0-9+/_=-]{20,}+"),
     ("endpoint", "where", r"""(?:https?|ftps?|ssh|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[^\x00-\x20"'<>]+"""),
 )
+#: What makes a plain hex string a secret: such a word at most 24 characters before it, in the same line.
+CUE = r"(?i)(?:secret|token|key|passw|pwd|auth|credential|private|signature)[^\n]{0,24}$"
 ROLES = {"assign": "what", "hex": "what", "access": "who"} | {kind: role for kind, role, _ in WEAK}
 NEEDS = {"who": ("what",), "where": ("what",), "what": ("who", "where")}
 _SPAN = "array<struct<start:int,place:int,end:int,kind:string>>"
@@ -56,8 +61,14 @@ def linked_spans(docs: DataFrame, scope: int = 400, text: str = "text") -> DataF
     role = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
     weak = F.col("part.place") >= len(KINDS)
     found = docs.select(text_key(text).alias("key"), F.col(text).alias("t")).withColumn("weak", weak_spans("t"))
-    found = found.filter(F.size("weak") > 0).select("key", F.explode(F.concat("weak", base_spans("t"))).alias("part"))
-    parts = found.select("key", "part", role[F.col("part.kind")].alias("role"), weak.alias("weak")).distinct()
+    t, of = F.col("t"), lambda kind: F.filter("weak", lambda s: s["kind"] == kind)
+    addresses = of("endpoint")
+    apart = F.filter("weak", lambda s: (s["kind"] != "opaque") | ~F.exists(addresses, lambda e: (e["start"] <= s["start"]) & (s["start"] < e["end"])))
+    cued = F.filter(base_spans("t"), lambda s: (s["kind"] != "hex") | t.substr(F.greatest(F.lit(1), s["start"] - 39), F.least(F.lit(40), s["start"])).rlike(CUE))
+    found = found.filter(F.size("weak") > 0).withColumn("weak", apart).filter(F.size("weak") > 0)
+    found = found.select("key", F.explode(F.concat("weak", cued)).alias("part"))
+    # Both sides of the join below read the parts; the patterns run once.
+    parts = cut_lineage(found.select("key", "part", role[F.col("part.kind")].alias("role"), weak.alias("weak")).distinct())
     stretch = F.floor(F.col("part.start") / scope)
     cells = parts.groupBy("key", "role", stretch.alias("cell")).agg(
         F.min("part.start").alias("first"), F.max("part.start").alias("last")
@@ -74,14 +85,19 @@ def find_secrets(docs: DataFrame, scope: int = 400, text: str = "text") -> DataF
     """Add ``secrets``: base and all spans (start, place, end, kind), in code points, sorted by start, then kind.
 
     Overlapping spans of different kinds all stand. A null text counts as empty and has none; repeated rows get equal
-    results, null ids don't matter, and an empty table stays empty. An input column named ``secrets`` is replaced.
+    results, null ids don't matter, and an empty table stays empty. Other columns stay as they are, whatever their
+    names; an input column named ``secrets`` is replaced.
     """
-    rows = docs.withColumn("secrets", base_spans(text)).withColumn("_text_key", text_key(text))
-    linked = linked_spans(docs, scope, text).withColumnRenamed("key", "_linked_key")
-    rows = rows.join(linked, F.col("_text_key") == F.col("_linked_key"), "left")
-    every = F.array_sort(F.concat("secrets", F.coalesce("linked", F.array().cast(_SPAN))))
-    rows = rows.withColumn("secrets", F.struct(F.col("secrets").alias("base"), every.alias("spans")))
-    return rows.select(*[c for c in docs.columns if c != "secrets"], "secrets")
+    return _with_spans(docs, scope, text).select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "secrets"], "secrets")
+
+
+def _with_spans(docs: DataFrame, scope: int, text: str) -> DataFrame:
+    """(row, secrets): every row of ``docs`` as one struct, and its spans."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(whole, base_spans(text).alias("base"), text_key(text).alias("key"))
+    rows = rows.join(linked_spans(docs, scope, text), "key", "left")
+    every = F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast(_SPAN))))
+    return rows.select("row", F.struct("base", every.alias("spans")).alias("secrets"))
 
 
 def redacted(text: Column, spans: Column, mark: str) -> Column:
@@ -106,8 +122,8 @@ def redacted(text: Column, spans: Column, mark: str) -> Column:
 
 def without_secrets(docs: DataFrame, scope: int = 400, mark: str = "<SECRET>", text: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, with every secret in the text replaced by ``mark``."""
-    rows = find_secrets(docs, scope, text)
-    return rows.withColumn(text, redacted(F.col(text), F.col("secrets.spans"), mark)).select(*docs.columns)
+    cleaned = redacted(F.col("row")[text], F.col("secrets.spans"), mark).alias(text)
+    return _with_spans(docs, scope, text).select(*[cleaned if c == text else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def digest(spans: Column) -> Column:
