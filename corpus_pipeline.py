@@ -7,27 +7,22 @@ from pyspark.sql import functions as F
 
 from scoreweave.llm import decontamination, packing
 from scoreweave.llm.common import tasks_find_library
-from scoreweave.llm.jaccard import near_duplicates
+from scoreweave.llm.jaccard import one_of_each
 from scoreweave.llm.quality import quality
 from scoreweave.llm.secrets import without_secrets
 from scoreweave.session import cut_lineage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality(docs).filter("quality.kept").select(*docs.columns)
+    """Documents that the quality rules keep, with all their columns, whatever these are named."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return quality(rows).filter("quality.kept").select("row.*")
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, Jaccard 0.8) the document with the least id.
-
-    Rows with a null id stand for themselves and stay; of rows that share the least id, one stays.
-    """
+    """Of each group of near duplicates (five-word shingles, Jaccard 0.8) the document with the least id, null last."""
     tasks_find_library(spark)
-    named = docs.filter("doc_id is not null")
-    least = near_duplicates(named, width=5, percent=80).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = named.join(least, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionByName(docs.filter("doc_id is null"))
+    return one_of_each(docs, width=5, percent=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
