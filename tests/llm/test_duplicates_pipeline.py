@@ -176,6 +176,29 @@ def test_alignment():
         assert got is None if want > 3 else got[0] == want
 
 
+def test_one_row_of_each_class_stays(docs_of):
+    base = " ".join(f"w{k}" for k in range(60))
+    other = " ".join(f"v{k}" for k in range(60))
+    texts = [base, base, base + " x", other, "alone here", base + " y", None, "", other, "same id", "not the same"]
+    ids = [5, 5, 3, None, 4, None, 6, None, None, 9, 9]
+    out = sorted(((r["doc_id"], r["text"]) for r in jaccard.one_of_each(docs_of(texts, ids)).collect()), key=str)
+    want = [(3, base + " x"), (None, other), (4, "alone here"), (6, None), (None, ""), (9, "same id"), (9, "not the same")]
+    assert out == sorted(want, key=str)
+
+
+def test_stages_keep_columns_of_any_name(library, tmp_path):
+    names = ["quality", "secrets", "pii", "license", "linked", "more", "_text_key", "_labels", "row", "name", "key", "words"]
+    prose = " ".join(f"{'the of and to'.split()[k % 4]} word{k}" for k in range(60))
+    texts = [(1, prose + " user: bob password = hunter2222"), (1, prose.replace("word", "item")), (None, prose.replace("word", "thing")), (2, prose.replace("word", "thing"))]
+    docs = library.createDataFrame([(i, t, *names) for i, t in texts], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    library.createDataFrame([(0, "nothing of this kind is in here")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(library, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", *names]
+        assert all(r[n] == n for r in docs.collect() for n in names)
+    assert sorted(r["doc_id"] for r in docs.collect()) == [1, 1, 2]
+
+
 def test_pipeline(library, tmp_path):
     draw = random.Random(11)
     prose = lambda n: " ".join(draw.choice(["the", "of", "and"]) if k % 4 == 0 else f"word{draw.randint(0, 5000)}" for k in range(n))
