@@ -147,6 +147,22 @@ def _(t):
     return matching.match_dataset(names, t.hub.withColumnRenamed("repo", "dataset"))
 
 
+# Search results of the stand-in data: for each first word of a part's name some repositories, in an order of their own.
+_HITS = """SELECT subject, repo AS dataset, downloads, row_number() OVER (PARTITION BY subject ORDER BY md5(concat(subject, repo)), repo) AS position
+    FROM (SELECT DISTINCT {0} AS subject FROM part UNION SELECT DISTINCT p_name FROM part) s JOIN hub h ON h.downloads % 7 = length(s.subject) % 7"""
+
+
+@query(
+    "J9_best_hit",
+    f"""WITH h AS (SELECT *, regexp_replace(lower(subject), '[ _.-]', '', 'g') AS a, regexp_replace(lower(split_part(dataset, '/', 2)), '[ _.-]', '', 'g') AS b FROM ({_HITS.format("split_part(p_name, ' ', 1)")}) x),
+    c AS (SELECT *, CASE WHEN a = b THEN 0 WHEN starts_with(b, a) OR ends_with(b, a) THEN 1 WHEN position = 1 AND contains(b, a) THEN 2 END AS tier FROM h),
+    best AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY tier, CASE WHEN tier = 1 THEN -downloads ELSE 0 END, position) AS rn FROM c WHERE tier IS NOT NULL)
+    SELECT s.subject, best.dataset, CAST(best.tier AS INT) AS tier FROM (SELECT DISTINCT subject FROM h) s LEFT JOIN best ON best.subject = s.subject AND rn = 1""",
+)
+def _(t):
+    return matching.best_hit(t.sql(_HITS.format("substring_index(p_name, ' ', 1)")))
+
+
 # Fixed values of the stand-in data: the second rule needs a lookahead, the last one is hidden by the first.
 RULES = (
     ("Sixteen build", r"NATION_16-BUILD.*", "A"),
@@ -158,16 +174,23 @@ _RULED = """CASE WHEN family LIKE 'NATION_16-BUILD%' THEN {0} WHEN family LIKE '
     WHEN regexp_matches(family, '^NATION_1[0-9]-[A-Z]+') THEN {2} WHEN family LIKE '%FURNITURE%' THEN {3} ELSE {4} END"""
 
 
-@query(
-    "J10_assign_family",
-    f"""SELECT family AS entity, {_RULED.format("'Sixteen build'", "'Sixteen'", "'Teens'", "'Any furniture'", "split_part(family, '-', 1)")} AS family,
-    {_RULED.format("'A'", "'B'", "'C'", "'D'", "NULL")} AS rule_organization FROM (SELECT DISTINCT family FROM entities) x""",
-)
+_RULED_SQL = f"""SELECT family AS entity, {_RULED.format("'Sixteen build'", "'Sixteen'", "'Teens'", "'Any furniture'", "split_part(family, '-', 1)")} AS family,
+    {_RULED.format("'A'", "'B'", "'C'", "'D'", "NULL")} AS rule_organization FROM (SELECT DISTINCT family FROM entities) x"""
+
+
+@query("J10_assign_family", _RULED_SQL)
 def _(t):
     names = t.entities.select(F.col("family").alias("entity")).distinct()
     return matching.assign_family(names, RULES)
 
 
+@query("J10_rule_table", _RULED_SQL)
+def _(t):
+    names = t.entities.select(F.col("family").alias("entity")).distinct()
+    rules = t.spark.createDataFrame([(k, *r) for k, r in enumerate(RULES)], "rule_no long, family string, pattern string, organization string")
+    return matching.assign_family(names, rules)
+
+
 @query(
     "J11_family_scores",
     """SELECT t.entity, t.item, e.family, count(s.score) AS sibling_count, round(avg(s.score), 10) AS sibling_mean, min(s.score) AS sibling_min, max(s.score) AS sibling_max
