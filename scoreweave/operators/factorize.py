@@ -460,13 +460,52 @@ def running_rmse(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     return each.groupBy(F.col("d.draw").alias("draw"), "part").agg(rmse("p").alias("step_rmse"), rmse("m").alias("running_rmse"))
 
 
-def full_matrix(u: DataFrame, v: DataFrame, max_items: int = 10_000) -> DataFrame:
-    """Prediction for every entity and item; the items must be few, as each entity gets a row for each."""
-    names = [r[0] for r in v.select("id").limit(max_items + 1).collect()]
-    if len(names) > max_items:
-        raise ValueError(f"more than {max_items} items; predict the cells that are needed")
-    cells = u.select(F.col("id").alias("entity"), F.explode(F.lit(names)).alias("item"))
-    return predict(cells, u, v)
+def full_matrix(draws: DataFrame, stats: DataFrame | None = None, block: int = 1024) -> DataFrame:
+    """``(entity, item, prediction, uncertainty)`` for every entity and item of ``draws(side, draw, id, vec)``: mean and
+    population deviation over the draws that all ids have, on the items' own scale if ``stats(item, mu, sigma)`` given.
+
+    A product of blocks: ``block`` ids of one side meet ``block`` ids of the other, so what is shuffled is about the
+    result divided by ``block``, and no list of ids is collected. For one set of vectors give them one draw number.
+    """
+    packed = draws.groupBy("side", "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("draw", "vec"))), lambda d: d["vec"]).alias("vecs"))
+    if stats is not None:
+        own = stats.select(F.col("item").alias("id"), F.struct("mu", "sigma").alias("scale"), F.lit("v").alias("side"))
+        packed = packed.join(own, ["side", "id"], "left")
+    else:
+        packed = packed.withColumn("scale", F.lit(None).cast("struct<mu:double,sigma:double>"))
+    placed = ranked(packed, ["side"], [F.col("id")], "no", total="n")
+    placed = placed.select("side", F.floor((F.col("no") - 1) / block).alias("b"), F.ceil(F.col("n") / block).alias("blocks"), F.struct("id", "vecs", "scale").alias("row"))
+    blocks = cut_lineage(placed.groupBy("side", "b").agg(F.collect_list("row").alias("rows"), F.max("blocks").alias("blocks")))
+    n_items = blocks.filter("side = 'v'").select(F.coalesce(F.max("blocks"), F.lit(0))).scalar()
+    u = blocks.filter("side = 'u'").select(F.col("rows").alias("us"), F.explode(F.sequence(F.lit(0).cast("long"), n_items - 1)).alias("b"))
+    pairs = u.join(blocks.filter("side = 'v'").select("b", F.col("rows").alias("vs")), "b").select("us", "vs")
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for us, vs in zip(batch["us"], batch["vs"], strict=True):
+                n = min(len(r["vecs"]) for rows in (us, vs) for r in rows)
+                a = np.array([[v.tolist() for v in r["vecs"][:n]] for r in us])
+                b = np.array([[v.tolist() for v in r["vecs"][:n]] for r in vs])
+                mean, square = np.zeros((len(us), len(vs))), np.zeros((len(us), len(vs)))
+                for k in range(n):  # running mean and sum of squared differences, draw by draw
+                    value = a[:, k] @ b[:, k].T
+                    gap = value - mean
+                    mean += gap / (k + 1)
+                    square += gap * (value - mean)
+                spread = np.sqrt(square / n)
+                if vs[0]["scale"] is not None or any(r["scale"] is not None for r in vs):
+                    mu = np.array([r["scale"]["mu"] if r["scale"] is not None else np.nan for r in vs])
+                    sigma = np.array([r["scale"]["sigma"] if r["scale"] is not None else np.nan for r in vs])
+                    mean, spread = mean * sigma + mu, spread * sigma
+                entities, items = np.array([r["id"] for r in us], object), np.array([r["id"] for r in vs], object)
+                for i in range(0, len(us), 64):
+                    m = mean[i : i + 64]
+                    yield pd.DataFrame({
+                        "entity": np.repeat(entities[i : i + 64], len(vs)), "item": np.tile(items, len(m)),
+                        "prediction": m.ravel(), "uncertainty": spread[i : i + 64].ravel(),
+                    })
+
+    return pairs.mapInPandas(multiply, "entity string, item string, prediction double, uncertainty double")
 
 
 def train_and_compare(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scoreweave.operators.factorize import full_matrix
+from scoreweave.operators.stats import item_stats
 from scoreweave.plans.registry import query, rounded
 from scoreweave.session import new_table_path
 from scoreweave.sources import knowledge, scores
@@ -29,6 +30,17 @@ def _(t):
     return scores.leaderboard_scores(board_docs(t))
 
 
+@query("S1_member_lines", "SELECT entity, item, score FROM scores")
+def _(t):
+    """The same boards as lines of one entity each, all twice: of two values of a cell the last one counts."""
+    path = new_table_path(t.spark, "lines")
+    docs = board_docs(t)
+    first = docs.withColumn("doc", F.regexp_replace("doc", '"Overall":([0-9.]+)', '"Overall":1$1'))
+    scores.member_lines(first).write.text(f"{path}/a")
+    scores.member_lines(docs).write.text(f"{path}/b")
+    return scores.leaderboard_scores(scores.read_member_lines(t.spark, f"{path}/*"))
+
+
 @query(
     "S1_leaderboard_entities",
     """SELECT DISTINCT e.entity, e.parameters, e.organization, '' AS release_date, concat('https://', e.organization) AS official_url
@@ -58,9 +70,9 @@ _WIDE = ", ".join(f"""max(CASE WHEN s.item = '{i}' THEN s.score END) AS "{i}\"""
 def _(t):
     path = new_table_path(t.spark, "wide")
     meta = t.entities.select("entity", F.col("parameters").alias("Parameters"))
-    scores.write_wide_scores(t.scores, path, meta, _ITEMS)
+    scores.write_wide_scores(t.scores, path, meta)
     wide = t.spark.read.csv(path, header=True)
-    return wide.select("Model", "Parameters", *[F.col(f"`{i}`").cast("double").alias(i) for i in _ITEMS])
+    return wide.select("Model", "Parameters", *[F.col(f"`{c}`").cast("double").alias(c) for c in wide.columns[2:]])
 
 
 _TREE_DOCS = """
@@ -136,7 +148,9 @@ FROM (SELECT DISTINCT {column} AS c FROM entities) x"""
     cast(printf('%.2f', truth) AS DOUBLE) AS truth FROM predictions""",
 )
 def _(t):
-    return scores.parse_prediction_table(scores.format_prediction_table(t.predicted, scores.item_list(t.predicted)))
+    path = new_table_path(t.spark, "table")
+    scores.write_wide(scores.format_prediction_table(t.predicted), path)
+    return scores.parse_prediction_cells(scores.read_wide_cells(t.spark, path)[0])
 
 
 _CELLS = ", ".join(
@@ -147,7 +161,9 @@ _CELLS = ", ".join(
 
 @query("S9_format_prediction_table", f'SELECT entity AS "Model", {_CELLS} FROM predictions GROUP BY entity')
 def _(t):
-    return scores.format_prediction_table(t.predicted, _ITEMS)
+    path = new_table_path(t.spark, "table")
+    scores.write_wide(scores.format_prediction_table(t.predicted), path)
+    return t.spark.read.csv(path, header=True)
 
 
 _SIDES = """
@@ -162,17 +178,44 @@ def _vectors(t, side):
 @query("S10_write_raw_matrix", f"WITH {_SIDES} SELECT u.id AS entity, v.id AS item, round(u.x * v.x + u.y * v.y, 10) AS prediction FROM u, v")
 def _(t):
     path = new_table_path(t.spark, "matrix")
-    scores.write_matrix(full_matrix(_vectors(t, "u"), _vectors(t, "v")), path)
+    sides = [_vectors(t, side).select(F.lit(side).alias("side"), F.lit(0).alias("draw"), "id", "vec") for side in "uv"]
+    scores.write_matrix(full_matrix(sides[0].unionByName(sides[1])), path)
     return t.spark.read.parquet(path).select("entity", "item", rounded("prediction", 10).alias("prediction"))
 
 
-@query("S11_write_results", "SELECT entity, item, truth, prediction, uncertainty FROM predictions")
+@query(
+    "S10_write_uncertainty_matrix",
+    f"""WITH {_SIDES}, st AS (SELECT item, avg(score) AS mu, stddev_pop(score) AS sigma FROM scores GROUP BY item),
+    d AS (SELECT u.id AS entity, v.id AS item, (u.x + d) * v.x + u.y * (v.y - d) AS p FROM u, v, (SELECT unnest(range(0, 4)) AS d) k)
+    SELECT entity, d.item, round(avg(p) * any_value(sigma) + any_value(mu), 3) AS prediction, round(stddev_pop(p) * any_value(sigma), 3) AS uncertainty
+    FROM d JOIN st ON st.item = d.item GROUP BY 1, 2""",
+)
+def _(t):
+    path, number = new_table_path(t.spark, "matrix"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("draw")
+    u = _vectors(t, "u").select(F.lit("u").alias("side"), number, "id", "vec").withColumn("vec", F.array(F.col("vec")[0] + F.col("draw"), F.col("vec")[1]))
+    v = _vectors(t, "v").select(F.lit("v").alias("side"), number, "id", "vec").withColumn("vec", F.array(F.col("vec")[0], F.col("vec")[1] - F.col("draw")))
+    scores.write_matrix(full_matrix(u.unionByName(v), item_stats(t.scores)), path)
+    return t.spark.read.parquet(path).select("entity", "item", rounded("prediction", 3).alias("prediction"), rounded("uncertainty", 3).alias("uncertainty"))
+
+
+@query(
+    "S11_write_results",
+    """SELECT 'flat' AS part, entity, item, truth, prediction, uncertainty, NULL AS marks FROM predictions
+    UNION ALL SELECT 'detail', entity, item, truth, prediction, uncertainty, concat(item, '|', entity) FROM predictions
+    UNION ALL SELECT 'metrics', NULL, NULL, NULL, count(*)::DOUBLE, NULL, NULL FROM predictions
+    UNION ALL SELECT 'metadata', '1.0', NULL, NULL, count(*)::DOUBLE, NULL, NULL FROM predictions""",
+)
 def _(t):
     path = new_table_path(t.spark, "results")
-    metrics = t.predicted.agg(F.count(F.lit(1)).alias("n_samples"))
-    scores.write_results(t.predicted, metrics, path)
-    flat = t.spark.read.csv(f"{path}/flat", header=True)
-    return flat.select("entity", "item", *[F.col(c).cast("double").alias(c) for c in ("truth", "prediction", "uncertainty")])
+    nested = t.predicted.withColumn("marks", F.array("item", "entity"))
+    scores.write_results(nested, t.predicted.agg(F.count(F.lit(1)).alias("n_samples")), path)
+    numbers = [F.col(c).cast("double").alias(c) for c in ("truth", "prediction", "uncertainty")]
+    flat = t.spark.read.csv(f"{path}/flat", header=True).select(F.lit("flat").alias("part"), "entity", "item", *numbers, F.lit(None).cast("string").alias("marks"))
+    detail = t.spark.read.parquet(f"{path}/detail").select(F.lit("detail").alias("part"), "entity", "item", *numbers, F.array_join("marks", "|").alias("marks"))
+    none = {c: F.lit(None).cast("string") for c in ("item", "marks")} | {c: F.lit(None).cast("double") for c in ("truth", "uncertainty")}
+    metrics = t.spark.read.parquet(f"{path}/metrics").select(F.lit("metrics").alias("part"), F.lit(None).cast("string").alias("entity"), F.col("n_samples").cast("double").alias("prediction"))
+    about = t.spark.read.json(f"{path}/metadata").select(F.lit("metadata").alias("part"), F.col("version").alias("entity"), F.col("total_samples").cast("double").alias("prediction"))
+    return flat.unionByName(detail).unionByName(metrics.unionByName(about).withColumns(none).select(*flat.columns))
 
 
 @query("S12_read_done_keys", "SELECT entity, item FROM test_cells")
@@ -184,7 +227,8 @@ def _(t):
 
 @query(
     "S13_read_cold_start",
-    "SELECT s.entity, s.item, s.score AS truth FROM scores s JOIN entities e ON s.entity = e.entity WHERE e.release_date >= '2001/07'",
+    """SELECT 'truth' AS part, s.entity, s.item, s.score AS truth, NULL AS parameters FROM scores s JOIN entities e ON s.entity = e.entity WHERE e.release_date >= '2001/07'
+    UNION ALL SELECT 'entity', entity, NULL, NULL, parameters FROM entities WHERE release_date >= '2001/07'""",
 )
 def _(t):
     from scoreweave.functions.fields import is_recent
@@ -193,7 +237,11 @@ def _(t):
     path = new_table_path(t.spark, "new")
     new = t.entities.filter(is_recent(F.col("release_date"), CUTOFF)).select("entity", F.col("parameters").alias("Parameters"))
     scores.write_wide_scores(t.scores, path, new)
-    return scores.read_cold_start(t.spark, path)[1]
+    entities, truth = scores.read_cold_start(t.spark, path)
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    truth = truth.select(F.lit("truth").alias("part"), "entity", "item", "truth", text.alias("parameters"))
+    about = entities.select(F.lit("entity").alias("part"), F.col("Model").alias("entity"), text.alias("item"), number.alias("truth"), F.col("Parameters").alias("parameters"))
+    return truth.unionByName(about)
 
 
 @query("S14_item_names", "SELECT 'item' AS kind, item AS name FROM scores GROUP BY item UNION ALL SELECT 'entity', entity FROM scores GROUP BY entity")
