@@ -9,7 +9,6 @@ from __future__ import annotations
 import csv
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -121,21 +120,24 @@ def read_wide_cells(spark: SparkSession, path: str, key: str | None = None, meta
     at = place[key] if key is not None and names else 0
     lines = lines.filter(F.col("value") != (header[0] if header else ""))
 
-    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batch_of(columns: list[list], labels: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], labels)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for line in batch["value"]:
+            for line in batch.column(0).to_pylist():
                 fields = _fields(line)
                 found = [(n, x) for k, (n, x) in enumerate(zip(names, fields, strict=False)) if x != "" and k != at and n not in kept]
-                yield pd.DataFrame({"entity": fields[at], "item": [n for n, _ in found], "text": [x for _, x in found]})
+                yield batch_of([[fields[at]] * len(found), [n for n, _ in found], [x for _, x in found]], ["entity", "item", "text"])
 
-    def about(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def about(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_fields(line) for line in batch["value"]]
-            yield pd.DataFrame({m: [r[place[m]] or None for r in rows] for m in kept})
+            rows = [_fields(line) for line in batch.column(0).to_pylist()]
+            yield batch_of([[r[place[m]] or None for r in rows] for m in kept], kept)
 
     types = T.StructType([T.StructField(m, T.StringType()) for m in kept])
-    entities = lines.mapInPandas(about, types) if kept else lines.select()
-    return lines.mapInPandas(cells, "entity string, item string, text string"), entities
+    entities = lines.mapInArrow(about, types) if kept else lines.select()
+    return lines.mapInArrow(cells, "entity string, item string, text string"), entities
 
 
 def read_wide_scores(

@@ -128,6 +128,20 @@ def test_cells_without_vectors_stay(spark):
     assert sorted(factorize.predict(cells, u, v).collect(), key=str)[1]["prediction"] is None
 
 
+def test_raw_matrix_of_fifty_thousand_items(spark):
+    u = spark.range(3).selectExpr("'u' AS side", "explode(array(0, 1)) AS draw", "concat('e', id) AS id", "array(id + draw, 1.0D) AS vec")
+    v = spark.range(50000).selectExpr("'v' AS side", "explode(array(0, 1)) AS draw", "concat('i', id) AS id", "array(CAST(id % 100 AS DOUBLE), 2.0D * draw) AS vec")
+    stats = spark.range(49999).selectExpr("concat('i', id) AS item", "10.0D AS mu", "2.0D AS sigma")
+    draws = u.unionByName(v).selectExpr("side", "draw", "id", "transform(vec, x -> CAST(x AS DOUBLE)) AS vec")
+    out = factorize.full_matrix(draws, stats).cache()
+    assert out.count() == 150000 and out.select("entity", "item").distinct().count() == 150000
+    got = {(r["entity"], r["item"]): (r["prediction"], r["uncertainty"]) for r in out.filter("item IN ('i7', 'i49999')").collect()}
+    assert got["e2", "i7"] == ((14 + 23) / 2 * 2 + 10, 4.5 * 2)
+    assert got["e0", "i49999"][0] is None  # an item without a scale
+    plain = factorize.full_matrix(draws.filter("draw = 0 AND (side = 'u' OR id = 'i7')"), block=2)
+    assert sorted((r["entity"], r["prediction"], r["uncertainty"]) for r in plain.collect()) == [("e0", 0.0, 0.0), ("e1", 7.0, 0.0), ("e2", 14.0, 0.0)]
+
+
 def test_the_sampler_leaves_only_its_draws(spark, planted):
     import os
 

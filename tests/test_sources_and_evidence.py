@@ -38,8 +38,6 @@ def test_wide_round_trip_and_results(spark, tmp_path):
     scores.write_wide_scores(s, str(tmp_path / "wide"))
     back, entities = scores.read_wide_scores(spark, str(tmp_path / "wide"))
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, s.collect())) and entities.count() == 2
-    with pytest.raises(ValueError):
-        scores.item_list(s, limit=1)
     results = s.withColumn("evidence", F.struct(F.lit(1).alias("n")))
     scores.write_results(results, spark.range(1), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out/metadata")).first()["total_samples"] == 3
@@ -48,12 +46,54 @@ def test_wide_round_trip_and_results(spark, tmp_path):
     assert scores.read_done_keys(spark, str(tmp_path / "nowhere")).count() == 0
 
 
-def test_prediction_table_round_trip_with_dotted_items(spark):
+def test_prediction_table_round_trip_with_dotted_items(spark, tmp_path):
     rows = [("a", "x.1", 1.25, 0.5, 2.0), ("a", "y`z", -1.0, None, 3.0), ("b", "y`z", 4.0, 1.0, None)]
     p = spark.createDataFrame(rows, "entity string, item string, prediction double, uncertainty double, truth double")
-    wide = scores.format_prediction_table(p)
-    assert [r["Model"] for r in wide.collect()] == ["a"]
-    assert sorted(map(tuple, scores.parse_prediction_table(wide).collect())) == [("a", "x.1", 1.25, 0.5, 2.0), ("a", "y`z", -1.0, None, 3.0)]
+    scores.write_wide(scores.format_prediction_table(p), str(tmp_path / "table"))
+    cells, _ = scores.read_wide_cells(spark, str(tmp_path / "table"))
+    assert {r["entity"] for r in cells.collect()} == {"a"}
+    assert sorted(map(tuple, scores.parse_prediction_cells(cells).collect())) == [("a", "x.1", 1.25, 0.5, 2.0), ("a", "y`z", -1.0, None, 3.0)]
+
+
+def test_wide_table_of_twenty_thousand_items(spark, tmp_path):
+    rows = spark.range(20000).selectExpr("concat('e', id % 3) AS entity", "concat('i', id) AS item", "CAST(id AS DOUBLE) / 2 AS score")
+    about = spark.createDataFrame([("e0", "7B", 'says "x, y"'), ("e9", None, " a\\b")], "entity string, Parameters string, Organization string")
+    scores.write_wide_scores(rows, str(tmp_path / "wide"), about)
+    back, entities = scores.read_wide_scores(spark, str(tmp_path / "wide"))
+    want = rows.filter("entity = 'e0'")
+    assert back.exceptAll(want).count() == want.exceptAll(back).count() == 0
+    assert sorted(map(tuple, entities.collect())) == [("e0", "7B", 'says "x, y"'), ("e9", None, " a\\b")]
+    lines = spark.read.text(str(tmp_path / "wide")).collect()
+    assert {r[0].count(",") for r in lines if not r[0].startswith("e0")} == {20002}
+
+
+def test_wide_lines_of_odd_cells(spark, tmp_path):
+    rows = [("a", "x", "1"), ("a", "x", "1"), ("b,c", 'q"r', 'say "no", twice'), ("b,c", "z", None), ("d", " lead", "line\nend"), ("é", "\\", "😀")]
+    cells = spark.createDataFrame(rows, "entity string, item string, text string")
+    path = str(tmp_path / "odd")
+    scores.write_wide(scores.wide_lines(cells), path)
+    got = {(r["entity"], r["item"]): r["text"] for r in scores.read_wide_cells(spark, path)[0].collect()}
+    assert got == {("a", "x"): "1", ("b,c", 'q"r'): 'say "no", twice', ("d", " lead"): "line end", ("é", "\\"): "😀"}
+    spark_reads = {r["Model"]: r for r in spark.read.csv(path, header=True).collect()}
+    assert spark_reads["b,c"]['q"r'] == 'say "no", twice' and spark_reads["é"]["\\"] == "😀" and spark_reads["a"]["z"] is None
+    scores.write_wide(scores.wide_lines(cells.limit(0)), str(tmp_path / "none"))
+    assert scores.read_wide_cells(spark, str(tmp_path / "none"))[0].count() == 0
+
+
+def test_the_last_value_of_a_cell_counts(spark, tmp_path):
+    board = lambda **items: json.dumps({"results": {"A": {"META": {"Org": f"o{items.get('i')}"}, **{k: {"Overall": v} for k, v in items.items()}}}})
+    docs = spark.createDataFrame([(board(i=5, j=1), 1), (board(i=3, j="N/A"), 2)], "doc string, ord int")
+    want = [("A", "i", 3.0), ("A", "j", 1.0)]
+    assert sorted(map(tuple, scores.leaderboard_scores(docs).collect())) == want
+    assert [r["organization"] for r in scores.leaderboard_entities(docs).collect()] == ["o3"]
+    assert sorted(map(tuple, scores.leaderboard_scores(docs.drop("ord")).collect())) == [("A", "i", 5.0), ("A", "j", 1.0)]
+    for k in (1, 2):
+        scores.member_lines(docs.filter(f"ord = {k}")).write.text(str(tmp_path / f"lines/{k}"))
+    lines = scores.read_member_lines(spark, str(tmp_path / "lines/*"))
+    assert sorted(map(tuple, scores.leaderboard_scores(lines).collect())) == want
+    odd = spark.createDataFrame([('{"results": {"a\\"b": {"i": {"Overall": 2}}}}',), ("junk",), (None,)], "doc string")
+    scores.member_lines(odd).write.text(str(tmp_path / "odd"))
+    assert [tuple(r) for r in scores.leaderboard_scores(scores.read_member_lines(spark, str(tmp_path / "odd"))).collect()] == [('a"b', "i", 2.0)]
 
 
 def test_knowledge_documents(spark):
