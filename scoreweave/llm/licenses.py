@@ -14,6 +14,7 @@ import math
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,25 +121,44 @@ def notice_blocks(docs: DataFrame, notices: Sequence[Notice] = NOTICES, threshol
     """(key, block, label, containment) for each block of a text and notice that it holds enough of."""
     spark, sets = docs.sparkSession, [sorted({*notice_words(n.text), *n.must}) for n in notices]
     known = sorted({w for s in sets for w in s} | {w for n in notices for w in n.without})
-    rows = docs.select(text_key(text).alias("key"), F.transform(_words(F.lower(filled(text))), lambda w: F.when(w.isin(*known), w)).alias("ws"))
-    rows = rows.withColumn("own", F.array_compact(F.array_distinct("ws")))
-    often = dict(rows.select(F.explode("own").alias("w")).groupBy("w").count().collect())  # at most the notices' words
+    array = lambda ws: F.array(*map(F.lit, ws))
+    # The known words of a text at their places, null for other words.
+    words_of = lambda low: F.transform(_words(low), lambda w: F.when(w.isin(*known), w))
+    own_of = lambda ws: F.array_compact(F.array_distinct(ws))
+    low = F.lower(filled(text))
+    held = docs.select(F.explode(own_of(words_of(low))).alias("w"))
+    often = dict(held.groupBy("w").count().collect())  # at most the notices' words
     rank = {w: k for k, w in enumerate(sorted(known, key=lambda w: (often.get(w, 0), w)))}
-    table, perhaps = [], []
+    table, whole, parts = [], [], []
     for number, (notice, words) in enumerate(zip(notices, sets, strict=True)):
         ordered, need = sorted(words, key=rank.__getitem__), math.ceil(threshold * len(words) - 1e-9)
         prefix = ordered[: len(words) - need + 1]
         table.append((number, notice.label, ordered, prefix, need, len(notice_words(notice.text)), list(notice.must), list(notice.without)))
-        # A word of the prefix, every word that it must hold, and enough of its words: else no block can do.
-        array = lambda ws: F.array(*map(F.lit, ws))
-        enough = F.arrays_overlap("own", array(prefix)) & (F.size(F.array_intersect("own", array(words))) >= need)
-        for w in notice.must:
-            enough &= F.array_contains("own", w)
-        perhaps.append(F.when(enough, number))
+        whole.append((number, words, prefix, need, notice.must))
+        parts.append([[w] for w in notice.must] or [prefix])
+
+    def may_hold(low: Column) -> Column:
+        """Some notice's words that must be there stand in the text, as parts of words at least."""
+        any_of = lambda ws: reduce(lambda a, b: a | b, [low.contains(w) for w in ws])
+        return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, map(any_of, groups)) for groups in parts])
+
+    def perhaps(ws: Column, own: Column) -> Column:
+        """(notice, ws) of the notices of whose words the text holds one of the prefix, all it must, and enough."""
+        tests = []
+        for number, words, prefix, need, must in whole:
+            enough = F.arrays_overlap(own, array(prefix)) & (F.size(F.array_intersect(own, array(words))) >= need)
+            for w in must:
+                enough &= F.array_contains(own, w)
+            tests.append(F.when(enough, number))
+        return F.transform(F.array_compact(F.array(*tests)), lambda n: F.struct(n.alias("notice"), ws.alias("ws")))
+
+    none = F.array().cast("array<struct<notice:int,ws:array<string>>>")
+    # One expression: each step is computed once for a text, whatever the optimizer merges.
+    hits = let(low, lambda t: F.when(may_hold(t), let(words_of(t), lambda ws: let(own_of(ws), lambda own: perhaps(ws, own)))).otherwise(none))
     fields = "notice int, label string, ordered array<string>, prefix array<string>, need int, span int, must array<string>, without array<string>"
     table = F.broadcast(spark.createDataFrame(table, fields))  # as long as the list of notices
-    found = rows.withColumn("perhaps", F.array_compact(F.array(*perhaps))).filter(F.size("perhaps") > 0).dropDuplicates(["key"])
-    found = found.select("key", "ws", F.explode("perhaps").alias("notice")).join(table, "notice")
+    found = docs.select(text_key(text).alias("key"), F.explode(hits).alias("hit")).select("key", "hit.notice", "hit.ws")
+    found = found.dropDuplicates(["key", "notice"]).join(table, "notice")
     placed = F.filter(F.transform("ws", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains(F.concat("ordered", "without"), x["word"]))
     each = found.select("key", "notice", "label", "ordered", "prefix", "need", "must", "without", "span", F.explode(placed).alias("w"))
     block = F.floor(F.col("w.at") / F.col("span"))
