@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Markers of pages that hold an error instead of content.
 ERROR_MARKERS = (
@@ -28,9 +26,6 @@ ERROR_MARKERS = (
 # Elements whose content is not text of the page.
 DROPPED_TAGS = ("script", "style", "nav", "footer", "header", "aside", "meta", "link", "noscript", "iframe")
 
-# Entities, the ampersand last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
-
 # Notations of paper ids, in order of preference; the first with a hit wins.
 CARD_PAPER_PATTERNS = (
     r"(?i)arxiv\.org/abs/(\d{4}\.\d{4,5})",
@@ -117,52 +112,89 @@ def paper_id_from_card(card: Column) -> Column:
     return F.coalesce(*from_keys, F.try_element_at(tag_ids, F.lit(1)))
 
 
-def html_to_text(html: Column, limit: int | None = None) -> Column:
-    text = F.regexp_replace(html, r"(?is)<!--.*?-->", " ")
-    for tag in DROPPED_TAGS:
-        text = F.regexp_replace(text, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    text = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
-    for entity, plain in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return _cut(F.trim(F.regexp_replace(text, r"\s+", " ")), limit)
+#: One piece of a page: a comment, a whole script or style element (ended or not), a declaration, a tag, or text.
+_PIECE = r"(?is)<!--.*?(?:-->|\z)|<(?:script|style)\b[^>]*>.*?(?:</(?:script|style)\s*>|\z)|<[!?/a-z][^>]*(?:>|\z)|[^<]+|<"
+_FOLD = 256  # pieces of a page that are folded together
+_REFERENCE = "&(?:#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]{1,31});?"
+
+
+def _references() -> tuple[list[str], list[str]]:
+    """Names of character references, and what they stand for; numbers of the old code page among them."""
+    table = dict(html5)
+    for n in range(128, 160):
+        try:
+            table[f"#{n};"] = bytes([n]).decode("cp1252")
+        except UnicodeDecodeError:
+            continue
+    return list(table), list(table.values())
 
 
-class _PageText(HTMLParser):
-    """Text outside the dropped elements, which may be nested or never closed."""
+def unescape_html(text: Column) -> Column:
+    """``text`` with every character reference replaced: names, decimal and hexadecimal numbers. Unknown names stay;
+    numbers that are no character become U+FFFD."""
+    names, values = _references()
+    table = F.map_from_arrays(F.split(F.lit(" ".join(names)), " "), F.split(F.lit("\x01".join(values)), "\x01"))
 
-    _EMPTY = ("meta", "link")  # without content
+    def plain(ref: Column) -> Column:
+        body = F.rtrim(F.substring(ref, 2, 40), F.lit(";"))
+        hexed = body.rlike("^#[xX]")
+        digits = F.substring(body, F.when(hexed, 3).otherwise(2), F.lit(40))
+        number = F.when(hexed, F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        odd = (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+        char = F.when(odd, "�").otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        named = F.when(ref.endswith(";"), F.try_element_at(table, F.concat(body, F.lit(";")))).otherwise(F.try_element_at(table, body))
+        numbered = F.coalesce(F.try_element_at(table, F.concat(F.lit("#"), number.cast("string"), F.lit(";"))), char)
+        return F.when(body.startswith("#"), numbered).otherwise(F.coalesce(named, ref))
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.depth, self.pieces = 0, []
+    def joined(gaps: Column, refs: Column) -> Column:
+        return F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(plain(F.get(refs, i)), F.lit("")))), "")
+
+    pair = F.struct(F.split(text, _REFERENCE).alias("gaps"), F.regexp_extract_all(text, F.lit(f"({_REFERENCE})"), F.lit(1)).alias("refs"))
+    return F.when(text.contains("&"), F.get(F.transform(F.array(pair), lambda p: joined(p["gaps"], p["refs"])), F.lit(0))).otherwise(text)
+
+
+def html_to_text(html: Column, limit: int | None = None) -> Column:
+    """Text of a page: what lies outside comments, tags and dropped elements, white space runs as one blank.
 
-    def handle_starttag(self, tag, attrs):
-        self.depth += tag in DROPPED_TAGS and tag not in self._EMPTY
+    The page is cut into pieces once, and the depth of dropped elements is folded over them, block by block. Elements
+    may nest; one that is never closed drops the rest of the page; an end without a start does nothing. Character
+    references are replaced in the text, not in tags.
+    """
+    dropped = "|".join(t for t in DROPPED_TAGS if t not in ("script", "style", "meta", "link"))
 
-    def handle_endtag(self, tag):
-        if tag in DROPPED_TAGS and self.depth:
-            self.depth -= 1
+    def step(piece: Column) -> Column:
+        opens = piece.rlike(rf"(?i)^<(?:{dropped})\b") & ~piece.endswith("/>")
+        return F.when(opens, 1).when(piece.rlike(rf"(?i)^</(?:{dropped})\b"), -1).otherwise(0)
 
-    def handle_data(self, data):
-        if not self.depth and data.strip():
-            self.pieces.append(data.strip())
+    pieces = F.regexp_extract_all(html, F.lit(f"({_PIECE})"), F.lit(1))
+    moved = F.transform(pieces, lambda p: F.struct(p.alias("piece"), step(p).alias("step")))
 
+    def blocks(all_: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / _FOLD).cast("int"))
+        cut = F.transform(numbers, lambda k: F.slice(all_, k * _FOLD + 1, F.lit(_FOLD)))
+        # What a block does to the depth: it never falls below 0, so the sum counts from its lowest point.
+        ends = F.aggregate(
+            cut,
+            F.array(F.lit(0)),
+            lambda depths, b: F.concat(depths, F.array(F.aggregate(b, F.element_at(depths, -1), lambda d, x: F.greatest(d + x["step"], F.lit(0))))),
+        )
+        return F.transform(F.arrays_zip(cut.alias("cut"), F.slice(ends, F.lit(1), F.size(cut)).alias("depth")), kept)
 
-def _lenient(html: pd.Series) -> pd.Series:
-    def text(page):
-        if page is None:
-            return None
-        parser = _PageText()
-        parser.feed(page)
-        parser.close()
-        return " ".join(" ".join(parser.pieces).split())
+    def kept(block: Column) -> Column:
+        start = F.struct(block["depth"].alias("depth"), F.array().cast("array<string>").alias("texts"))
 
-    return html.map(text)
+        def add(state: Column, x: Column) -> Column:
+            text = (state["depth"] == 0) & ~x["piece"].rlike("^<[!?/A-Za-z]")
+            return F.struct(
+                F.greatest(state["depth"] + x["step"], F.lit(0)).alias("depth"),
+                F.when(text, F.concat(state["texts"], F.array(x["piece"]))).otherwise(state["texts"]).alias("texts"),
+            )
 
+        return F.aggregate(block["cut"], start, add, lambda state: state["texts"])
 
-def html_to_text_lenient(html: Column) -> Column:
-    """As ``html_to_text`` for broken pages: nested dropped elements and every character reference."""
-    return F.pandas_udf(_lenient, StringType())(html)
+    parts = F.get(F.transform(F.array(moved), lambda m: F.when(F.size(m) > 0, F.flatten(blocks(m))).otherwise(F.array().cast("array<string>"))), F.lit(0))
+    text = F.when(html.isNotNull(), unescape_html(F.array_join(parts, " ")))
+    return _cut(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), limit)
 
 
 def word_count(text: Column) -> Column:
@@ -170,12 +202,15 @@ def word_count(text: Column) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, " ")))
 
 
-def is_error_page(text: Column) -> Column:
+def is_error_page(text: Column, html: Column | None = None) -> Column:
+    """No text, under 50 characters, or few words with a marker; with ``html`` also a page of under 100 characters."""
     low = F.lower(text)
     marked = F.lit(False)
     for marker in ERROR_MARKERS:
         marked = marked | low.contains(marker.lower())
     short = F.coalesce(F.length(text) < 50, F.lit(True))
+    if html is not None:
+        short |= F.coalesce(F.length(html) < 100, F.lit(True))
     return short | ((word_count(text) < 100) & marked)
 
 

@@ -60,18 +60,23 @@ SELECT doc_id, CASE doc_id % 4
     return cards.select("doc_id", text.paper_id_from_card(F.col("card")).alias("paper"))
 
 
-def _html_sql(column):
-    out = f"regexp_replace({column}, '<!--.*?-->', ' ', 'gs')"
-    for tag in text.DROPPED_TAGS:
-        out = f"regexp_replace({out}, '<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'gis')"
-    out = f"regexp_replace({out}, '<[^>]*>', ' ', 'gs')"
-    for entity, plain in text.ENTITIES:
-        quoted = plain.replace("'", "''")
-        out = f"replace({out}, '{entity}', '{quoted}')"
-    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+_DROPPED = "|".join(t for t in text.DROPPED_TAGS if t not in ("script", "style", "meta", "link"))
 
 
-@query("F5_html_to_text", f"SELECT page_id, md5({_html_sql('html')}) AS digest, CAST(length({_html_sql('html')}) AS INT) AS n FROM pages")
+def _page_text_sql(table):
+    """CTEs that end in ``page_text(page_id, url, html, b)``: pieces as rows, the depth of dropped elements by windows."""
+    piece = r"(?is)<!--.*?(?:-->|\z)|<(?:script|style)\b[^>]*>.*?(?:</(?:script|style)\s*>|\z)|<[!?/a-z][^>]*(?:>|\z)|[^<]+|<"
+    return f"""page_pieces AS (SELECT page_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '{piece}') AS ps FROM {table}) x),
+    page_steps AS (SELECT page_id, i, ps[i] AS p, CASE WHEN regexp_matches(ps[i], '(?i)^<({_DROPPED})\\b') AND NOT ends_with(ps[i], '/>') THEN 1
+      WHEN regexp_matches(ps[i], '(?i)^</({_DROPPED})\\b') THEN -1 ELSE 0 END AS s FROM page_pieces),
+    page_sums AS (SELECT *, sum(s) OVER (PARTITION BY page_id ORDER BY i) AS c FROM page_steps),
+    page_depths AS (SELECT *, c - least(0, min(c) OVER (PARTITION BY page_id ORDER BY i)) AS depth FROM page_sums),
+    page_parts AS (SELECT page_id, string_agg(p, ' ' ORDER BY i) AS t FROM page_depths WHERE depth = 0 AND NOT regexp_matches(p, '^<[!?/A-Za-z]') GROUP BY page_id),
+    page_text AS (SELECT w.page_id, w.url, w.html, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(t, ''), '&quot;?', '"', 'g'),
+      '&middot;?', '·', 'g'), '&copy;?', '©', 'g'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g')) AS b FROM {table} w LEFT JOIN page_parts p ON p.page_id = w.page_id)"""
+
+
+@query("F5_html_to_text", f"WITH {_page_text_sql('pages')} SELECT page_id, md5(b) AS digest, CAST(length(b) AS INT) AS n FROM page_text")
 def _(t):
     rows = t.pages.select("page_id", text.html_to_text(F.col("html")).alias("text"))
     return rows.select("page_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.length("text").alias("n"))
@@ -82,10 +87,10 @@ _MARKED = " OR ".join(f"contains(lower(b), '{m.lower()}')" for m in text.ERROR_M
 
 @query(
     "F6_is_error_page",
-    f"""SELECT page_id, (length(b) < 50 OR (len(string_split(b, ' ')) < 100 AND ({_MARKED}))) AS error FROM (SELECT page_id, {_html_sql('html')} AS b FROM web) x""",
+    f"""WITH {_page_text_sql('web')} SELECT page_id, (length(html) < 100 OR length(b) < 50 OR (len(string_split(b, ' ')) < 100 AND ({_MARKED}))) AS error FROM page_text""",
 )
 def _(t):
-    return t.web.select("page_id", text.is_error_page(text.html_to_text(F.col("html"))).alias("error"))
+    return t.web.select("page_id", text.is_error_page(text.html_to_text(F.col("html")), F.col("html")).alias("error"))
 
 
 _MARKDOWN = "concat(text, ' (https://x.y/z) === --- [http://a] (kept)   end')"
@@ -111,8 +116,7 @@ def _(t):
 
 @query(
     "F9_usable_content",
-    f"""SELECT page_id, (length(b) > 100) AS is_full_content, md5(CASE WHEN length(b) > 100 THEN b ELSE url END) AS digest
-    FROM (SELECT page_id, url, {_html_sql('html')} AS b FROM web) x""",
+    f"""WITH {_page_text_sql('web')} SELECT page_id, (length(b) > 100) AS is_full_content, md5(CASE WHEN length(b) > 100 THEN b ELSE url END) AS digest FROM page_text""",
 )
 def _(t):
     rows = t.web.select("page_id", text.usable_content(text.html_to_text(F.col("html")), F.col("url")).alias("u"))

@@ -80,11 +80,56 @@ def test_pages(spark):
     page = "<html><head><style>x{}</style></head><body><NAV>menu</NAV><!-- no --><p>A &amp; B</p> <div>c<br>d</div><footer>f</footer></body></html>"
     nested = "<body><nav>a<nav>b</nav>c</nav><p>t &eacute;</p><script>if (a<b) {}</script></body>"
     assert values(spark, [page, None], text.html_to_text(F.col("x"))) == ["A & B c d", None]
-    assert values(spark, [page, nested, None], text.html_to_text_lenient(F.col("x"))) == ["A & B c d", "t é", None]
+    assert values(spark, [nested], text.html_to_text(F.col("x"))) == ["t é"]
     short, marked, long_marked = "ok " * 10, "Access denied " + "w " * 60, "Access denied " + "w " * 120
     assert values(spark, [short, marked, long_marked, None, "w " * 60], text.is_error_page(F.col("x"))) == [True, True, False, True, False]
 
 
+def test_pages_against_a_parser(spark):
+    """Broken, nested and long pages against the parser of the standard library."""
+    import random
+    from html.parser import HTMLParser
+
+    class Page(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.depth, self.parts = 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag in text.DROPPED_TAGS and tag not in ("meta", "link")
+
+        def handle_startendtag(self, tag, attrs):
+            pass
+
+        def handle_endtag(self, tag):
+            self.depth -= tag in text.DROPPED_TAGS and self.depth > 0
+
+        def handle_data(self, data):
+            self.parts += [] if self.depth else [data]
+
+    def plain(page):
+        parser = Page()
+        parser.feed(page)
+        parser.close()
+        return " ".join(" ".join(parser.parts).split())
+
+    draw = random.Random(7)
+    bits = ["<p>", "</p>", "<nav>", "</nav>", "<NAV a='b'>", "<footer>", "</footer>", "<br/>", "<script>if (a<b) {}</script>", "<style>p{}</style>", "<!-- <nav> -->",
+            "word ", " more", "&eacute;", "&mdash;", "&#8217;", "&#x1F600;", "&lt;nav&gt;", "<meta x>", "<aside>", "</aside>", "\n", "<iframe/>"]
+    pages = ["".join(draw.choice(bits) for _ in range(draw.randrange(1, 40))) for _ in range(150)]
+    pages += ["<p>" + "<b>x</b> &amp; " * 2000 + "<nav>" + "<p>y" * 900 + "</nav>z", "", "plain", "<nav>never closed <p>x"]
+    assert values(spark, pages, text.html_to_text(F.col("x"))) == [plain(p) for p in pages]
+
+
+def test_broken_pages_and_references(spark):
+    pages = {
+        "a &mdash; b&#8217;s": "a — b’s", "<p>t</p><script>x=1;": "t", "x <!-- open": "x", "&unknown; &#0; &#xD800; &#150; &amp;lt; &copy": "&unknown; � � – &lt; ©",
+        "a < b": "a < b", "</nav>x<aside>y</aside>": "x", "&nbsp;\u3000a &nbsp; b": "a b",
+    }
+    assert values(spark, list(pages), text.html_to_text(F.col("x"))) == list(pages.values())
+    assert values(spark, ["<p>" + "word " * 15 + "</p>", "<p>" + "word " * 30 + "</p>", None], text.is_error_page(text.html_to_text(F.col("x")), F.col("x"))) == [True, False, True]
+
+
 def test_cleaning(spark):
     x = F.col("x")
     assert values(spark, ["[a](http://b) --- === x   y [https://c]"], text.clean_markdown(x)) == ["[a] - = x y "]
