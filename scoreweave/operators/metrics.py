@@ -10,11 +10,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreweave.functions.fields import to_percent, with_range
-from scoreweave.operators.spread import ranked
+from scoreweave.operators.spread import ranked, running_sums
 from scoreweave.session import cut_lineage
 
 _BLOCK = 200_000  # rows of one block of positions in the count of discordant pairs
@@ -37,22 +37,40 @@ def masked_rmse(predictions: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def pooled_positions(results: DataFrame) -> DataFrame:
-    """Positions by prediction and by truth. ``px`` and ``py`` number the rows without ties (each breaks its
-    ties by the other value, then by cell); ``rx`` and ``ry`` are average ranks, ``x_ties`` and ``y_ties`` tell
-    how many other rows share the value."""
+    """Positions by prediction and by truth: ``px`` and ``py`` number the rows without ties (each breaks its
+    ties by the other value, then by cell)."""
     cell = [F.col("entity"), F.col("item")]
     rows = results.select("entity", "item", "prediction", "truth")
-    lo, hi = F.col("_lo"), F.col("_hi")
-    x = ranked(rows, [], [F.col("prediction"), F.col("truth"), *cell], "px", ties=("prediction", "_lo", "_hi"))
-    x = x.withColumn("rx", (lo + hi) / 2).withColumn("x_ties", hi - lo).drop("_lo", "_hi")
-    y = ranked(x, [], [F.col("truth"), F.col("prediction"), *cell], "py", ties=("truth", "_lo", "_hi"))
-    y = y.withColumn("ry", (lo + hi) / 2).withColumn("y_ties", hi - lo).drop("_lo", "_hi")
+    x = ranked(rows, [], [F.col("prediction"), F.col("truth"), *cell], "px")
+    y = ranked(x, [], [F.col("truth"), F.col("prediction"), *cell], "py")
     return cut_lineage(y)  # several aggregates read the positions
 
 
-def srcc(positions: DataFrame) -> DataFrame:
-    """Spearman correlation from average ranks."""
-    return positions.agg(F.corr("rx", "ry").alias("srcc"))
+def value_ranks(results: DataFrame) -> DataFrame:
+    """``(side, value, c, rank)``: per distinct value of ``prediction`` (side x) and ``truth`` (side y) its number of rows
+    and their average rank.
+
+    Rows are counted by value before anything is ordered; then the distinct values of both sides are numbered in one
+    range partitioning. A frequent value is one row.
+    """
+    each = F.array(F.struct(F.lit("x").alias("side"), F.col("prediction").alias("value")), F.struct(F.lit("y").alias("side"), F.col("truth").alias("value")))
+    counts = results.select(F.explode(each).alias("v")).groupBy("v.side", "v.value").agg(F.count(F.lit(1)).alias("c"))
+    upto = running_sums(counts, ["side"], [F.col("value")], {"upto": F.col("c")})
+    return upto.select("side", "value", "c", (F.col("upto") - (F.col("c") - 1) / 2).alias("rank"))
+
+
+def srcc(results: DataFrame) -> DataFrame:
+    """Spearman correlation: that of the average ranks, from the distinct pairs of values. Rows without a prediction or
+    a truth don't count; null where one side has a single value."""
+    pairs = results.filter("prediction IS NOT NULL AND truth IS NOT NULL").select("prediction", "truth")
+    ranks = cut_lineage(value_ranks(pairs))
+    side = lambda s, c, r: ranks.filter(F.col("side") == s).select(F.col("value").alias(c), F.col("rank").alias(r))
+    rows = pairs.groupBy("prediction", "truth").agg(F.count(F.lit(1)).alias("c"))
+    rows = rows.join(side("x", "prediction", "rx"), "prediction").join(side("y", "truth", "ry"), "truth")
+    middle = (ranks.filter("side = 'x'").select(F.sum("c")).scalar() + 1) / 2  # the mean of all ranks
+    x, y, c = F.col("rx") - middle, F.col("ry") - middle, F.col("c")
+    sums = rows.agg(F.sum(c * x * y).alias("xy"), F.sum(c * x * x).alias("xx"), F.sum(c * y * y).alias("yy"))
+    return sums.select(F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy"))).alias("srcc"))
 
 
 def _inversions(order: np.ndarray) -> int:
@@ -108,16 +126,17 @@ def discordant_pairs(positions: DataFrame, block: int | None = None) -> DataFram
 def krcc(positions: DataFrame, block: int | None = None) -> DataFrame:
     """Kendall tau-b: concordant less discordant pairs over the pairs not tied on either side."""
 
-    both = positions.groupBy("prediction", "truth").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    n3 = both.agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).scalar()
-    pairs = positions.agg(  # one row
-        F.count(F.lit(1)).alias("n"), F.sum("x_ties").alias("x"), F.sum("y_ties").alias("y")
-    ).first()
-    n0, n1, n2 = pairs["n"] * (pairs["n"] - 1) / 2, (pairs["x"] or 0) / 2, (pairs["y"] or 0) / 2
-    counts = discordant_pairs(positions, block).select(F.col("discordant").cast("double").alias("d"), n3.alias("n3"))
-    concordant = F.lit(n0 - n1 - n2) + F.coalesce("n3", F.lit(0.0)) - F.col("d")
-    scale = F.lit(math.sqrt((n0 - n1) * (n0 - n2)))
-    return counts.select(F.try_divide(concordant - F.col("d"), scale).alias("krcc"))
+    def tied(*values: str) -> Column:
+        """Pairs of rows that agree in the values."""
+        counts = positions.groupBy(*values).agg(F.count(F.lit(1)).cast("double").alias("c"))
+        return counts.agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.lit(0.0))).scalar()
+
+    all_pairs = positions.agg((F.count(F.lit(1)).cast("double") * (F.count(F.lit(1)) - 1) / 2)).scalar()
+    ties = {"n0": all_pairs, "n1": tied("prediction"), "n2": tied("truth"), "n3": tied("prediction", "truth")}
+    n0, n1, n2, n3 = (F.col(c) for c in ties)
+    counts = discordant_pairs(positions, block).select(F.col("discordant").cast("double").alias("d"), *[c.alias(n) for n, c in ties.items()])
+    concordant = n0 - n1 - n2 + n3 - F.col("d")
+    return counts.select(F.try_divide(concordant - F.col("d"), F.sqrt((n0 - n1) * (n0 - n2))).alias("krcc"))
 
 
 def item_ranks(results: DataFrame) -> DataFrame:
@@ -136,14 +155,14 @@ def mae_at_3(results: DataFrame) -> DataFrame:
 def metrics_long(results: DataFrame, ranges: DataFrame) -> DataFrame:
     """``(metric, value)`` rows of the full report."""
     results = cut_lineage(results.select("entity", "item", "truth", "prediction"))
-    positions = pooled_positions(results)
+    positions = pooled_positions(results)  # for the count of discordant pairs only
     counts = results.agg(
         F.count(F.lit(1)).cast("double").alias("n_samples"),
         F.countDistinct("item").cast("double").alias("n_items"),
         F.countDistinct("entity").cast("double").alias("n_entities"),
     )
     out = None
-    for table in (errors(results, ranges), srcc(positions), krcc(positions), mae_at_3(results), counts):
+    for table in (errors(results, ranges), srcc(results), krcc(positions), mae_at_3(results), counts):
         part = table.unpivot([], table.columns, "metric", "value")
         out = part if out is None else out.unionByName(part)
     return out

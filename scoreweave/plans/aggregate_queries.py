@@ -126,7 +126,7 @@ def _(t):
 
 @query("A11_srcc", f"WITH {_SRCC} SELECT round(srcc, 6) AS srcc FROM sp")
 def _(t):
-    return metrics.srcc(metrics.pooled_positions(t.predicted)).select(rounded("srcc").alias("srcc"))
+    return metrics.srcc(t.predicted).select(rounded("srcc").alias("srcc"))
 
 
 @query("A12_krcc", f"WITH {_KRCC} SELECT round(krcc, 6) AS krcc FROM kd")
