@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreweave.functions import fields
+from scoreweave.functions.layout import Block, Field, rendered
 from scoreweave.operators.spread import ranked
 
 _PAGE = 1000  # members in one row of a nested tree; larger families take several rows
@@ -155,85 +156,53 @@ def preview(df: DataFrame, columns: Sequence[str], order: str = "entity", n: int
     return df.select(*columns).orderBy(order).limit(n)
 
 
-def item_text(items: DataFrame) -> DataFrame:
-    """Readable description per item; empty fields are left out."""
+#: Default layouts: columns under their own names, related ones together.
+ITEM_LAYOUT = (
+    Block(("item", "category", "task", "evaluation_metric", "num_samples", "difficulty")), Block(("subcategory_descriptions",)),
+    Block(("paper_url", "dataset_url", "links", "summary")),
+)
+ENTITY_LAYOUT = (
+    Block(("entity", "organization", "family", "release_date", "open_source")), Block(("parameters", "language_model", "vision_model")),
+    Block(("intro_url", "paper_url", "official_url", "links")), Block(("technical_summary", "community_summary")),
+)
+FAMILY_LAYOUT = (
+    Block(("family", "organization", "n_members", "first_members", "intro_url")), Block(("technical_summary",)),
+    Block((Field("sentiment_score", digits=2), "hype_level", "web_mentions_count", "positive_aspects", "negative_aspects", "community_summary")),
+)
 
-    def line(label, column):
-        return F.when(F.col(column).cast("string") != "", F.concat(F.lit(f"- {label}: "), F.col(column).cast("string")))
 
-    samples = F.when(F.col("num_samples") != 0, F.concat(F.lit("- Samples: "), F.col("num_samples").cast("string")))
-    pairs = F.map_entries("subcategory_descriptions")
-    described = F.when(
-        F.size(pairs) > 0,
-        F.concat_ws(
-            "\n",
-            F.concat(F.lit("\nSubcategories ("), F.size(pairs).cast("string"), F.lit("):")),
-            F.transform(pairs, lambda e: F.concat(F.lit("  - "), e["key"], F.lit(": "), e["value"])),
-        ),
-    )
-    text = F.concat_ws(
-        "\n",
-        F.concat(F.lit("Benchmark: "), "item"),
-        line("Category", "category"),
-        line("Task", "task"),
-        line("Evaluation Metric", "evaluation_metric"),
-        samples,
-        line("Difficulty", "difficulty"),
-        described,
-    )
-    return items.select("item", text.alias("text"))
+def item_text(items: DataFrame, layout: Sequence[Block] = ITEM_LAYOUT) -> DataFrame:
+    """Readable description per item by the layout; empty fields and columns that are not there are left out."""
+    return items.select("item", rendered(items, layout).alias("text"))
 
 
-def entity_text(entities: DataFrame) -> DataFrame:
-    """Brief technical line and full description per entity; empty fields are left out."""
+def entity_text(entities: DataFrame, layout: Sequence[Block] = ENTITY_LAYOUT, brief: Sequence[str] = ("parameters", "language_model", "vision_model")) -> DataFrame:
+    """Description per entity by the layout, and ``brief``, the named columns in one line (empty if they all are)."""
+    short = F.concat_ws(", ", *[F.when(F.col(c) != "", F.col(c)) for c in brief])
+    return entities.select("entity", short.alias("brief"), rendered(entities, layout).alias("text"))
 
-    def field(label, column, head=""):
-        return F.when(F.col(column) != "", F.concat(F.lit(f"{head}{label}: "), column))
-
-    technical = [("Parameters", "parameters"), ("Language Model", "language_model"), ("Vision Model", "vision_model")]
-    brief = F.concat_ws(" | ", *[field(*t) for t in technical])
-    text = F.concat_ws(
-        "\n",
-        F.concat(F.lit("Model: "), "entity"),
-        *[field(label, column, "  ") for label, column in technical],
-        field("Organization", "organization", "  "),
-        field("Release Date", "release_date", "  "),
-        F.concat(F.lit("  Open Source: "), F.when(F.col("open_source"), "Yes").otherwise("No")),
-        F.when(F.col("family") != "", F.concat(F.lit("\n[Family] "), "family")),
-    )
-    none = F.lit("No technical info")
-    return entities.select("entity", F.when(brief != "", brief).otherwise(none).alias("brief"), text.alias("text"))
 
-
-def family_text(families: DataFrame, entities: DataFrame, shown: int = 5) -> DataFrame:
-    """Description per family: member count, the first few members, feedback; empty parts are left out."""
+def family_text(families: DataFrame, entities: DataFrame, layout: Sequence[Block] = FAMILY_LAYOUT, shown: int = 0) -> DataFrame:
+    """Description per family by the layout, which may also use ``n_members``, ``hype_level`` (where there are mentions)
+    and ``first_members``, the first ``shown`` names. A family without members stays, with none."""
     from scoreweave.operators.spread import first_per_key
 
-    counts = entities.groupBy("family").agg(F.count(F.lit(1)).alias("_n"))
-    first = (
-        first_per_key(entities.select("family", "entity"), ["family"], [F.col("entity")], shown)
-        .groupBy("family")
-        .agg(F.concat_ws(", ", F.sort_array(F.collect_list("entity"))).alias("_first"))
-    )
-    more = F.when(F.col("_n") > shown, "...").otherwise("")
-    mentions = F.col("web_mentions_count")
-    text = F.concat_ws(
-        "\n",
-        F.concat(F.lit("Family: "), "family"),
-        F.when(F.col("organization") != "", F.concat(F.lit("Organization: "), "organization")),
-        F.concat(F.lit("Model count: "), F.col("_n").cast("string")),
-        F.concat(F.lit("Model list: "), "_first", more),
-        F.when(F.col("technical_summary") != "", F.concat(F.lit("\n[Technical Summary]\n"), "technical_summary")),
-        F.when(
-            mentions > 0,
-            F.concat(
-                F.lit("\n[Community Feedback]\n  Sentiment score: "),
-                fields.fixed(F.col("sentiment_score"), 2),
-                F.lit("\n  Hype level: "),
-                fields.hype_level(mentions),
-                F.lit("\n  Web mentions: "),
-                mentions.cast("string"),
-            ),
-        ),
-    )
-    return families.join(counts, "family").join(first, "family").select("family", text.alias("text"))
+    counts = entities.groupBy("family").agg(F.count(F.lit(1)).alias("n_members"))
+    out = families.join(counts, "family", "left").withColumn("n_members", F.coalesce("n_members", F.lit(0).cast("long")))
+    if shown:
+        first = first_per_key(entities.select("family", "entity"), ["family"], [F.col("entity")], shown)
+        out = out.join(first.groupBy("family").agg(F.sort_array(F.collect_list("entity")).alias("first_members")), "family", "left")
+    if "web_mentions_count" in families.columns:
+        out = out.withColumn("hype_level", F.when(F.col("web_mentions_count") > 0, fields.hype_level(F.col("web_mentions_count"))))
+    return out.select("family", rendered(out, layout).alias("text"))
+
+
+def entity_info(names: DataFrame, entities: DataFrame, families: DataFrame) -> DataFrame:
+    """All that is known of the entities in ``names(entity)``: their own columns, and those of their family as
+    ``family_<column>`` (its introduction, summary, feedback); nulls where nothing is known."""
+    own = [c for c in entities.columns if c != "entity"]
+    told = [c for c in families.columns if c not in ("family", "organization")]
+    known = entities.groupBy("entity").agg(F.first(F.struct(*own)).alias("_own"))
+    home = families.groupBy("family").agg(F.first(F.struct(*told)).alias("_home"))
+    out = names.select("entity").distinct().join(known, "entity", "left").select("entity", "_own.*").join(home, "family", "left")
+    return out.select("entity", *own, *[F.col(f"_home.{c}").alias(f"family_{c}") for c in told])

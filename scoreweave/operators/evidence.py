@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreweave.functions import fields, text
+from scoreweave.functions.layout import Block, Field, rendered
 from scoreweave.operators.matching import organization_profile
 from scoreweave.operators.spread import first_per_key, ranked, running_sums
 
@@ -75,7 +76,10 @@ def family_score_pages(entities: DataFrame, scores: DataFrame, ranges: DataFrame
     )
 
 
-def score_matrix_head(targets: DataFrame, entities: DataFrame, scores: DataFrame) -> DataFrame:
+HEAD_LAYOUT = (Block(("entity", Field("parameters", empty="unknown"), Field("family", empty="none"), "scored_relatives")),)
+
+
+def score_matrix_head(targets: DataFrame, entities: DataFrame, scores: DataFrame, layout: Sequence[Block] = HEAD_LAYOUT) -> DataFrame:
     """First lines of the family score table of each target; the pages of its family and item follow them."""
     counts = (
         family_scores(entities, scores).groupBy("family").agg(F.countDistinct("entity").alias("_members"))
@@ -85,25 +89,31 @@ def score_matrix_head(targets: DataFrame, entities: DataFrame, scores: DataFrame
     own = scores.select("entity", F.lit(1).alias("_scored")).distinct()
     out = out.join(own, "entity", "left")
     others = F.coalesce("_members", F.lit(0)) - F.coalesce("_scored", F.lit(0))
-    head = F.concat(
-        F.lit("Target model: "),
-        "entity",
-        F.lit(" ("),
-        F.coalesce("parameters", F.lit("N/A")),
-        F.lit("), Series: "),
-        F.coalesce("family", F.lit("N/A")),
-    )
-    listed = F.when(
-        others > 0,
-        F.concat(F.lit("Same-series scores ("), others.cast("string"), F.lit(" models, normalized to 0-100):")),
-    ).otherwise(F.lit("Same-series scores: No data"))
-    return out.select(*targets.columns, "family", F.concat_ws("\n", head, listed).alias("head"))
+    out = out.withColumn("scored_relatives", others)
+    head = rendered(out, layout)
+    return out.select(*targets.columns, "family", head.alias("head"))
+
+
+def family_members(entities: DataFrame, scores: DataFrame) -> DataFrame:
+    """``(family, entity, ...)``: every member with its own columns and how many scores it has; targets refer to the rows
+    of their family."""
+    counts = scores.groupBy("entity").agg(F.count(F.lit(1)).alias("n_scores"))
+    members = entities.filter("family IS NOT NULL").join(counts, "entity", "left")
+    return members.withColumn("n_scores", F.coalesce("n_scores", F.lit(0).cast("long")))
+
+
+def member_scores(entities: DataFrame, scores: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``(family, entity, item, score, percent)``: the scores of each member on all items, kept once per family."""
+    rows = fields.with_range(scores.join(entities.select("entity", "family").filter("family IS NOT NULL"), "entity"), ranges)
+    percent = fields.to_percent(F.col("score"), F.col("lo"), F.col("hi"))
+    return rows.select("family", "entity", "item", "score", percent.alias("percent"))
 
 
 def family_evidence(
     targets: DataFrame, entities: DataFrame, scores: DataFrame, families: DataFrame | None = None
 ) -> DataFrame:
-    """Per target: organization, family, family description, member count and the figures of its siblings."""
+    """Per target: organization, family, family description, member count and the figures of its siblings. The members
+    and their scores are tables of their own, keyed by family: ``family_members`` and ``member_scores``."""
     info = entities.select("entity", "organization", "family")
     members = entities.groupBy("family").agg(F.count(F.lit(1)).alias("family_size"))
     out = sibling_summary(targets, entities, scores).drop("family").join(info, "entity", "left")
@@ -251,33 +261,25 @@ def rank_evidence(
     return _with_flag(figures, targets, ranges, margin)
 
 
-def evolution_members(entities: DataFrame) -> DataFrame:
-    """One line per family member: components, size, date."""
-
-    def part(label, column):
-        return F.concat(F.lit(f"{label}="), F.coalesce(column, F.lit("N/A")))
-
-    line = F.concat(
-        F.lit("  - "),
-        "entity",
-        F.lit(": "),
-        F.concat_ws(
-            ", ",
-            part("vision", "vision_model"),
-            part("llm", "language_model"),
-            part("params", "parameters"),
-            part("date", "release_date"),
-        ),
-    )
-    return entities.select("family", "entity", line.alias("line"))
+EVOLUTION_LAYOUT = (Block(("entity", "vision_model", "language_model", "parameters", "organization", "release_date", Field("percent", "score", 1))),)
+COMPONENT_LAYOUT = (Block(("component", "organization", "architecture", "parameters", "training_data", Field("key_features", between=", "), "summary")),)
+SUMMARY_LAYOUT = (
+    Block(("entity", "organization", "family", "parameters", "language_model", "vision_model", "release_date"), "target"),
+    Block(("own_summary",)),
+    Block((Field("predicted_rank"), "n_ranked", Field("peer_lines", "peers", between="\n  ")), "neighbours in rank"),
+    Block(("technical_summary", "evolution"), "family"),
+    Block((Field("sentiment_score", digits=2), "sentiment", "positive_aspects", "negative_aspects", "community_summary"), "feedback"),
+    Block(("sibling_count", Field("sibling_min", digits=1), Field("sibling_max", digits=1), Field("sibling_mean", digits=1)), "scores of relatives"),
+    Block(("item", "category", "task", "difficulty"), "item"),
+)
 
 
 def evolution_table(
-    entities: DataFrame, scores: DataFrame, ranges: DataFrame, targets: DataFrame | None = None
+    entities: DataFrame, scores: DataFrame, ranges: DataFrame, targets: DataFrame | None = None, layout: Sequence[Block] = EVOLUTION_LAYOUT
 ) -> DataFrame:
     """All members of a family, with their score on the item where they have one: ``(family, item, entity, line,
-    percent)``, 0 to 100, one decimal in the line. A member without a score keeps its line, and its ``percent`` is
-    null.
+    percent)``, 0 to 100. The line has the fields of the layout in one row. A member without a score keeps its line, and
+    its ``percent`` is null.
 
     The items of a family are those it has targets on; without ``targets``, those it has scores on. Entities without
     a family have no table.
@@ -287,30 +289,17 @@ def evolution_table(
     rows = fields.with_range(scores, ranges)
     percent = fields.to_percent(F.col("score"), F.col("lo"), F.col("hi"))
     found = rows.select("entity", "item", percent.alias("percent"))
-    figure = F.concat(F.lit(", "), "item", F.lit("="), fields.fixed(F.col("percent"), 1))
-    line = F.concat("line", F.coalesce(figure, F.lit("")))
-    out = cells.join(evolution_members(entities), "family").join(found, ["entity", "item"], "left")
+    out = cells.join(entities, "family").join(found, ["entity", "item"], "left")
+    line = F.regexp_replace(rendered(out, layout), "\n+", ", ")
     return out.select("family", "item", "entity", line.alias("line"), "percent")
 
 
 def component_text(
-    targets: DataFrame, entities: DataFrame, components: DataFrame, column: str, max_features: int | None = None
+    targets: DataFrame, entities: DataFrame, components: DataFrame, column: str, layout: Sequence[Block] = COMPONENT_LAYOUT
 ) -> DataFrame:
-    """Text on the target's component: maker, architecture, features (all, or the first ``max_features``). Targets
-    whose component is not described keep a null text.
-    ``components(component, organization, architecture, key_features)``."""
-    features = F.col("key_features") if max_features is None else F.slice("key_features", 1, max_features)
-    features = F.concat_ws(", ", features)
-    known = components.select(
-        F.col("component").alias(column),
-        F.concat_ws(
-            "\n",
-            F.concat(F.lit("["), "component", F.lit("]")),
-            F.concat(F.lit("  Organization: "), F.coalesce("organization", F.lit("N/A"))),
-            F.concat(F.lit("  Architecture: "), F.coalesce("architecture", F.lit("N/A"))),
-            F.concat(F.lit("  Features: "), features),
-        ).alias(f"{column}_text"),
-    )
+    """Text on the target's component, by the layout. Targets whose component is not described keep a null text.
+    ``components(component, ...)``: maker, architecture, size, training data, features, as far as known."""
+    known = components.select(F.col("component").alias(column), rendered(components, layout).alias(f"{column}_text"))
     per_entity = entities.select("entity", column).join(known, column, "left").select("entity", f"{column}_text")
     return targets.join(per_entity, "entity", "left")
 
@@ -328,93 +317,48 @@ def evidence_summary(
     families: DataFrame,
     items: DataFrame,
     k: int = 4,
+    evolution: DataFrame | None = None,
+    layout: Sequence[Block] = SUMMARY_LAYOUT,
 ) -> DataFrame:
-    """Report per target in blocks; a block without data is left out. The family's scores on the item are
-    given by their figures here and in full by ``family_score_pages`` under the same (family, item)."""
-    peers = rank_evidence(targets, scores, ranges, k).select("entity", "item", "predicted_rank", "n_ranked", "peers")
+    """Report per target by the layout, in blocks; a block without data is left out, and nothing is cut.
+
+    Columns for the layout are those of the entity, its family and the item, the figures of its siblings, its rank and
+    ``peer_lines`` (at most 2k + 1, each with organization and size), ``own_summary`` (the entity's own technical
+    summary, if ``entities`` has one), ``sentiment`` in words, and ``evolution``, the reply on the family's course from
+    ``evolution(family, item, text)``. The family's scores on the item are here by their figures and in full in
+    ``family_score_pages`` under the same (family, item).
+    """
+    ranked_ = rank_evidence(targets, scores, ranges, k).select("entity", "item", "predicted_rank", "n_ranked", "peers")
+    each = ranked_.select("entity", "item", F.explode("peers").alias("p"))
+    maker = entities.select(F.col("entity").alias("_peer"), F.concat_ws(", ", "organization", "parameters").alias("_about"))
+    each = each.join(maker, F.col("p.entity") == F.col("_peer"), "left")
+    about = F.when(F.col("_about") != "", F.concat(F.lit(" ("), "_about", F.lit(")")))
+    line = F.concat(F.col("p.rank").cast("string"), F.lit(". "), F.col("p.entity"), F.coalesce(about, F.lit("")), F.lit(": "), fields.fixed(F.col("p.score"), 1))
+    lines = each.groupBy("entity", "item").agg(F.sort_array(F.collect_list(F.struct("p.rank", "p.entity", line.alias("line")))).alias("_lines"))
+    peers = ranked_.drop("peers").join(lines, ["entity", "item"], "left")
+    peers = peers.withColumn("peer_lines", F.transform("_lines", lambda x: x["line"])).drop("_lines")
     siblings = sibling_summary(targets, entities, scores).drop("family")
     own = entities.select(
-        "entity", "organization", "family", "parameters", "language_model", "vision_model", "release_date"
-    )
+        "entity", "organization", "family", "parameters", "language_model", "vision_model", "release_date",
+        *([F.col("technical_summary").alias("own_summary")] if "technical_summary" in entities.columns else []),
+    )
     told = families.select(
         "family", "technical_summary", "sentiment_score", "positive_aspects", "negative_aspects", "community_summary"
     )
     rows = siblings.join(own, "entity", "left").join(told, "family", "left").join(peers, ["entity", "item"], "left")
     rows = rows.join(items.select("item", "category", "task", "difficulty"), "item", "left")
-
-    def field(label, c):
-        return F.when(F.col(c).cast("string") != "", F.concat(F.lit(f"  {label}: "), F.col(c).cast("string")))
-
-    def joined(label, c):
-        return F.when(F.size(c) > 0, F.concat(F.lit(f"    {label}: "), F.concat_ws("; ", F.slice(c, 1, 3))))
-
-    target = F.concat_ws(
-        "\n",
-        F.concat(F.lit("[Target] "), "entity"),
-        F.concat(F.lit("  Organization: "), F.coalesce("organization", F.lit("N/A"))),
-        F.concat(F.lit("  Series: "), F.coalesce("family", F.lit("N/A"))),
-        field("Parameters", "parameters"),
-        field("Language Model", "language_model"),
-        field("Vision Model", "vision_model"),
-        field("Release Date", "release_date"),
-    )
-    first = F.transform(
-        F.slice("peers", 1, 5),
-        lambda p: F.concat(
-            F.lit("    Rank "), p["rank"].cast("string"), F.lit(": "), p["entity"], F.lit(" = "),
-            fields.fixed(p["score"], 1),
-        ),
-    )
-    ranks = F.when(
-        F.col("predicted_rank").isNotNull(),
-        F.concat_ws(
-            "\n",
-            F.lit("[Similarly ranked]"),
-            F.concat(
-                F.lit("  Predicted rank: ~"), F.col("predicted_rank").cast("string"), F.lit("/"),
-                F.col("n_ranked").cast("string"),
-            ),
-            first,
-        ),
-    )
-    series = F.concat(F.lit("  [Series Technical Summary]\n    "), _given("technical_summary"))
-    short = F.when(
-        F.length("community_summary") > 200, F.concat(F.substring("community_summary", 1, 200), F.lit("..."))
-    ).otherwise(F.col("community_summary"))
-    community = F.when(
-        F.col("sentiment_score") != 0,
-        F.concat_ws(
-            "\n",
-            F.lit("  [Community Feedback]"),
-            F.concat(
-                F.lit("    Sentiment Score: "), fields.fixed(F.col("sentiment_score"), 2), F.lit(" ("),
-                fields.sentiment_label(F.col("sentiment_score")), F.lit(")"),
-            ),
-            joined("Strengths", "positive_aspects"),
-            joined("Weaknesses", "negative_aspects"),
-            F.when(short != "", F.concat(F.lit("    Community Summary: "), short)),
-        ),
-    )
-    relatives = F.when(
-        F.col("sibling_count") > 0,
-        F.concat(
-            F.lit("[Same-Family Performance] "), "item", F.lit(": "), F.col("sibling_count").cast("string"),
-            F.lit(" scores, "), fields.fixed(F.col("sibling_min"), 1), F.lit(" to "),
-            fields.fixed(F.col("sibling_max"), 1), F.lit(", mean "), fields.fixed(F.col("sibling_mean"), 1),
-        ),
-    )
-    about = F.when(
-        F.col("category") != "",
-        F.concat_ws(
-            "\n",
-            F.concat(F.lit("[Target Benchmark] "), "item"),
-            field("Category", "category"),
-            F.when(F.col("task") != "", F.concat(F.lit("  Task: "), F.substring("task", 1, 100))),
-            F.when(F.col("difficulty") != "", F.concat(F.lit("  Difficulty: "), F.substring("difficulty", 1, 80))),
-        ),
-    )
-    report = F.concat_ws("\n\n", target, ranks, series, community, relatives, about)
-    return rows.select("entity", "item", "family", report.alias("summary"))
+    if evolution is not None:
+        rows = rows.join(evolution.select("family", "item", F.col("text").alias("evolution")), ["family", "item"], "left")
+    felt = F.coalesce(F.col("sentiment_score") != 0, F.lit(False))
+    some = F.coalesce(F.col("sibling_count") > 0, F.lit(False))
+    shown = {c: F.when(felt, F.col(c)) for c in ("sentiment_score", "positive_aspects", "negative_aspects", "community_summary")}
+    shown |= {"sentiment": F.when(felt, fields.sentiment_label(F.col("sentiment_score"))), "technical_summary": _given("technical_summary")}
+    # Figures are rounded on a grid first: the last bit of a mean decides no digit.
+    shown |= {c: F.when(some, F.round(c, 6)) for c in ("sibling_min", "sibling_max", "sibling_mean")}
+    shown["sibling_count"] = F.when(some, F.col("sibling_count"))
+    shown["item"] = F.when(F.col("category") != "", F.col("item"))
+    view = rows.withColumn("_item", F.col("item")).withColumns(shown)
+    return view.select("entity", F.col("_item").alias("item"), "family", rendered(view, layout).alias("summary"))
 
 
 def request_table(evidence: DataFrame, templates: Mapping[str, str], keys: Sequence[str] = ("entity", "item")) -> DataFrame:

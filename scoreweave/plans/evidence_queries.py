@@ -35,45 +35,57 @@ _PERCENT_TEXT = "printf('%.1f', greatest(0, least(100, (s.score - coalesce(lo, 0
 
 
 @query(
-    "E3_evolution_table",
-    f"""SELECT e.family, s.item, e.entity, concat('  - ', e.entity, ': vision=', vision_model, ', llm=', language_model, ', params=', parameters, ', date=', coalesce(release_date, 'N/A'), ', ', s.item, '=', {_PERCENT_TEXT}) AS line
-    FROM train s JOIN entities e ON s.entity = e.entity LEFT JOIN ranges r ON s.item = r.item""",
+    "E1_family_members",
+    """SELECT e.family, e.entity, e.organization, e.parameters, count(t.item) AS n_scores FROM entities e LEFT JOIN train t ON t.entity = e.entity GROUP BY ALL""",
 )
 def _(t):
-    # This SQL lists scored members only; E3_evolution_targets has them all.
-    return evidence.evolution_table(t.entities, t.training, t.ranges).filter("percent IS NOT NULL").drop("percent")
+    return evidence.family_members(t.entities, t.training).select("family", "entity", "organization", "parameters", "n_scores")
 
 
 @query(
-    "E3_evolution_targets",
-    f"""SELECT c.family, c.item, e.entity, concat('  - ', e.entity, ': vision=', coalesce(vision_model, 'N/A'), ', llm=', coalesce(language_model, 'N/A'), ', params=', coalesce(parameters, 'N/A'), ', date=', coalesce(release_date, 'N/A'), CASE WHEN s.score IS NOT NULL THEN concat(', ', c.item, '=', {_PERCENT_TEXT}) ELSE '' END) AS line
-    FROM (SELECT DISTINCT family, item FROM test_cells t JOIN entities m ON t.entity = m.entity) c JOIN entities e ON e.family = c.family
-    LEFT JOIN train s ON s.entity = e.entity AND s.item = c.item LEFT JOIN ranges r ON r.item = c.item""",
+    "E1_member_scores",
+    """SELECT e.family, s.entity, s.item, s.score, round(greatest(0, least(100, (s.score - coalesce(lo, 0)) / (coalesce(hi, 100) - coalesce(lo, 0)) * 100)), 6) AS percent
+    FROM train s JOIN entities e ON s.entity = e.entity LEFT JOIN ranges r ON r.item = s.item""",
 )
+def _(t):
+    return evidence.member_scores(t.entities, t.training, t.ranges).withColumn("percent", rounded("percent"))
+
+
+def _evolution_sql(cells):
+    return f"""SELECT c.family, c.item, e.entity, concat_ws(', ', 'entity: ' || e.entity, 'vision model: ' || vision_model, 'language model: ' || language_model, 'parameters: ' || parameters,
+      'organization: ' || organization, 'release date: ' || release_date, 'score: ' || CASE WHEN s.score IS NOT NULL THEN {_PERCENT_TEXT} END) AS line
+    FROM (SELECT DISTINCT family, item FROM {cells} t JOIN entities m ON t.entity = m.entity) c JOIN entities e ON e.family = c.family
+    LEFT JOIN train s ON s.entity = e.entity AND s.item = c.item LEFT JOIN ranges r ON r.item = c.item"""
+
+
+@query("E3_evolution_table", _evolution_sql("train"))
+def _(t):
+    return evidence.evolution_table(t.entities, t.training, t.ranges).drop("percent")
+
+
+@query("E3_evolution_targets", _evolution_sql("test_cells"))
 def _(t):
     return evidence.evolution_table(t.entities, t.training, t.ranges, t.held_out).drop("percent")
 
 
-@query(
-    "E3_component_text",
-    """SELECT t.entity, t.item, CASE WHEN e.vision_model > 'VM-B' THEN concat('[', e.vision_model, ']', chr(10), '  Organization: maker', chr(10), '  Architecture: N/A', chr(10), '  Features: a, b, c') END AS vision_model_text
-    FROM test_cells t JOIN entities e ON t.entity = e.entity""",
-)
+_COMPONENTS = """SELECT DISTINCT {0} AS component, 'maker' AS organization, cast(NULL AS string) AS architecture, '7B' AS parameters, 'web' AS training_data, array('a', 'b', 'c', 'd') AS key_features
+        FROM entities WHERE {0} > '{1}'"""
+
+
+def _component_sql(column, least):
+    return f"""SELECT t.entity, t.item, CASE WHEN e.{column} > '{least}' THEN concat_ws(chr(10), 'component: ' || e.{column}, 'organization: maker', 'parameters: 7B', 'training data: web', 'key features: a, b, c, d') END AS {column}_text
+    FROM test_cells t JOIN entities e ON t.entity = e.entity"""
+
+
+@query("E3_component_text", _component_sql("language_model", "LM-B"))
 def _(t):
-    known = t.sql("""SELECT DISTINCT vision_model AS component, 'maker' AS organization, cast(NULL AS string) AS architecture, array('a', 'b', 'c', 'd') AS key_features
-        FROM entities WHERE vision_model > 'VM-B'""")
-    # This SQL lists three features; E3_component_features has them all.
-    return evidence.component_text(t.held_out.select("entity", "item"), t.entities, known, "vision_model", max_features=3)
+    known = t.sql(_COMPONENTS.format("language_model", "LM-B"))
+    return evidence.component_text(t.held_out.select("entity", "item"), t.entities, known, "language_model")
 
 
-@query(
-    "E3_component_features",
-    """SELECT t.entity, t.item, CASE WHEN e.vision_model > 'VM-B' THEN concat('[', e.vision_model, ']', chr(10), '  Organization: maker', chr(10), '  Architecture: N/A', chr(10), '  Features: a, b, c, d') END AS vision_model_text
-    FROM entities e JOIN test_cells t ON t.entity = e.entity""",
-)
+@query("E3_component_features", _component_sql("vision_model", "VM-B"))
 def _(t):
-    known = t.sql("""SELECT DISTINCT vision_model AS component, 'maker' AS organization, cast(NULL AS string) AS architecture, array('a', 'b', 'c', 'd') AS key_features
-        FROM entities WHERE vision_model > 'VM-B'""")
+    known = t.sql(_COMPONENTS.format("vision_model", "VM-B"))
     return evidence.component_text(t.held_out.select("entity", "item"), t.entities, known, "vision_model")
 
 
@@ -88,7 +100,7 @@ def _(t):
 
 @query(
     "E4_score_matrix_head",
-    """SELECT t.entity, t.item, e.family, concat('Target model: ', t.entity, ' (', parameters, '), Series: ', e.family, chr(10), CASE WHEN n > 0 THEN concat('Same-series scores (', cast(n AS string), ' models, normalized to 0-100):') ELSE 'Same-series scores: No data' END) AS head
+    """SELECT t.entity, t.item, e.family, concat_ws(chr(10), 'entity: ' || t.entity, 'parameters: ' || parameters, 'family: ' || e.family, 'scored relatives: ' || cast(coalesce(n, 0) AS VARCHAR)) AS head
     FROM test_cells t JOIN entities e ON t.entity = e.entity LEFT JOIN (
       SELECT a.entity, count(DISTINCT b.entity) AS n FROM entities a JOIN entities b ON a.family = b.family AND a.entity <> b.entity JOIN train s ON s.entity = b.entity GROUP BY a.entity) c ON c.entity = t.entity""",
 )
@@ -102,26 +114,31 @@ def _families(t):
         cast(array() AS array<string>) AS negative_aspects, repeat('talk ', 50) AS community_summary FROM entities""")
 
 
+_FIGURE = "CASE WHEN sib.n > 0 THEN printf('%.1f', round({}, 6)) END"
+
+
 @query(
     "E5_evidence_summary",
     f"""WITH {NEIGHBOURS}, sib AS (SELECT t.entity, t.item, count(s.score) AS n, min(s.score) AS lo, max(s.score) AS hi, avg(s.score) AS m FROM test_cells t JOIN entities e ON t.entity = e.entity
       LEFT JOIN (SELECT tr.*, m.family FROM train tr JOIN entities m ON tr.entity = m.entity) s ON s.family = e.family AND s.item = t.item AND s.entity <> t.entity GROUP BY 1, 2),
-    pr AS (SELECT entity, item, predicted_rank, n_ranked, string_agg(concat('    Rank ', cast(rank AS string), ': ', peer, ' = ', printf('%.1f', peer_score)), chr(10) ORDER BY rank) FILTER (WHERE rn <= 5) AS first
-      FROM (SELECT *, row_number() OVER (PARTITION BY entity, item ORDER BY rank) AS rn FROM peers) x GROUP BY 1, 2, 3, 4)
-    SELECT t.entity, t.item, concat_ws(concat(chr(10), chr(10)),
-      concat_ws(chr(10), concat('[Target] ', t.entity), concat('  Organization: ', organization), concat('  Series: ', family), concat('  Parameters: ', parameters), concat('  Language Model: ', language_model), concat('  Vision Model: ', vision_model), concat('  Release Date: ', release_date)),
-      CASE WHEN predicted_rank IS NOT NULL THEN concat('[Similarly ranked]', chr(10), '  Predicted rank: ~', cast(predicted_rank AS string), '/', cast(n_ranked AS string), chr(10), first) END,
-      CASE WHEN family NOT LIKE '%MACHINERY' THEN concat('  [Series Technical Summary]', chr(10), '    about ', family) END,
-      CASE WHEN family NOT LIKE '%FURNITURE' THEN concat('  [Community Feedback]', chr(10), '    Sentiment Score: 0.75 (Positive)', chr(10), '    Strengths: fast; good; cheap', chr(10), '    Community Summary: ', substr(repeat('talk ', 50), 1, 200), '...') END,
-      CASE WHEN sib.n > 0 THEN concat('[Same-Family Performance] ', t.item, ': ', cast(sib.n AS string), ' scores, ', printf('%.1f', sib.lo), ' to ', printf('%.1f', sib.hi)) END,
-      concat('[Target Benchmark] ', t.item, chr(10), '  Category: ', category)) AS summary
+    pr AS (SELECT p.entity, p.item, predicted_rank, n_ranked, string_agg(concat(cast(rank AS VARCHAR), '. ', peer, ' (', e.organization, ', ', e.parameters, '): ', printf('%.1f', peer_score)), chr(10) || '  ' ORDER BY rank, peer) AS lines
+      FROM peers p JOIN entities e ON e.entity = p.peer GROUP BY 1, 2, 3, 4)
+    SELECT t.entity, t.item, concat_ws(chr(10) || chr(10),
+      concat_ws(chr(10), 'target', 'entity: ' || t.entity, 'organization: ' || organization, 'family: ' || family, 'parameters: ' || parameters, 'language model: ' || language_model, 'vision model: ' || vision_model, 'release date: ' || release_date),
+      'own summary: ' || CASE WHEN organization < 'NATION_2' THEN 'made by ' || organization END,
+      CASE WHEN predicted_rank IS NOT NULL THEN concat_ws(chr(10), 'neighbours in rank', 'predicted rank: ' || predicted_rank, 'n ranked: ' || n_ranked, 'peers: ' || lines) END,
+      CASE WHEN family NOT LIKE '%MACHINERY' OR t.item = 'Brand#3' THEN concat_ws(chr(10), 'family', 'technical summary: ' || CASE WHEN family NOT LIKE '%MACHINERY' THEN 'about ' || family END, 'evolution: ' || CASE WHEN t.item = 'Brand#3' THEN 'course of ' || family END) END,
+      CASE WHEN family NOT LIKE '%FURNITURE' THEN concat_ws(chr(10), 'feedback', 'sentiment score: 0.75', 'sentiment: Positive', 'positive aspects: fast; good; cheap; new', 'community summary: ' || repeat('talk ', 50)) END,
+      CASE WHEN sib.n > 0 THEN concat_ws(chr(10), 'scores of relatives', 'sibling count: ' || sib.n, 'sibling min: ' || {_FIGURE.format("sib.lo")}, 'sibling max: ' || {_FIGURE.format("sib.hi")}, 'sibling mean: ' || {_FIGURE.format("sib.m")}) END,
+      concat_ws(chr(10), 'item', 'item: ' || t.item, 'category: ' || category)) AS summary
     FROM test_cells t JOIN entities e ON t.entity = e.entity JOIN items i ON i.item = t.item JOIN sib ON sib.entity = t.entity AND sib.item = t.item LEFT JOIN pr ON pr.entity = t.entity AND pr.item = t.item""",
 )
 def _(t):
     items = t.items.select("item", "category", F.lit("").alias("task"), F.lit(None).cast("string").alias("difficulty"))
-    out = evidence.evidence_summary(t.predicted, t.entities, t.training, t.ranges, _families(t), items)
-    # The mean of halves can sit on a rounding edge of one decimal; the figure is checked by J11.
-    return out.select("entity", "item", F.regexp_replace("summary", r", mean [-0-9.]+", "").alias("summary"))
+    entities = t.entities.withColumn("technical_summary", F.when(F.col("organization") < "NATION_2", F.concat(F.lit("made by "), "organization")))
+    told = t.entities.select("family", F.lit("Brand#3").alias("item"), F.concat(F.lit("course of "), "family").alias("text")).distinct()
+    out = evidence.evidence_summary(t.predicted, entities, t.training, t.ranges, _families(t), items, evolution=told)
+    return out.select("entity", "item", "summary")
 
 
 @query(

@@ -158,32 +158,47 @@ def _(t):
 
 @query(
     "F13_feature_text",
-    """SELECT item AS name, concat('Benchmark: ', item, chr(10), '- Category: ', category, CASE WHEN num_samples <> 0 THEN concat(chr(10), '- Samples: ', cast(num_samples AS string)) ELSE '' END) AS text FROM items
-    UNION ALL SELECT entity, concat_ws(chr(10), concat('Model: ', entity), concat('  Parameters: ', parameters), concat('  Language Model: ', language_model), concat('  Vision Model: ', vision_model),
-      concat('  Organization: ', organization), CASE WHEN release_date IS NOT NULL THEN concat('  Release Date: ', release_date) END, concat('  Open Source: ', CASE WHEN open_source THEN 'Yes' ELSE 'No' END),
-      concat(chr(10), '[Family] ', family)) FROM entities""",
+    """SELECT item AS name, concat_ws(chr(10), 'item: ' || item, 'category: ' || category, 'num samples: ' || num_samples) || chr(10) || chr(10) || 'subcategory descriptions: a=first; b=second'
+      || chr(10) || chr(10) || 'links: x; y' AS text FROM items
+    UNION ALL SELECT entity, concat_ws(chr(10) || chr(10), concat_ws(chr(10), 'entity: ' || entity, 'organization: ' || organization, 'family: ' || family, 'release date: ' || release_date, 'open source: ' || CASE WHEN open_source THEN 'yes' ELSE 'no' END),
+      concat_ws(chr(10), 'parameters: ' || parameters, 'language model: ' || language_model, 'vision model: ' || vision_model), 'intro url: ' || CASE WHEN open_source THEN 'https://' || entity END) FROM entities""",
 )
 def _(t):
     items = t.items.select(
         "item", "category", "num_samples", F.lit("").alias("task"), F.lit(None).cast("string").alias("evaluation_metric"),
-        F.lit(None).cast("string").alias("difficulty"), F.lit(None).cast("map<string,string>").alias("subcategory_descriptions"),
+        F.create_map(F.lit("b"), F.lit("second"), F.lit("a"), F.lit("first")).alias("subcategory_descriptions"), F.array(F.lit("x"), F.lit("y")).alias("links"),
     )
     rows = dimensions.item_text(items).withColumnRenamed("item", "name")
-    return rows.unionByName(dimensions.entity_text(t.entities).select(F.col("entity").alias("name"), "text"))
+    entities = t.entities.withColumn("intro_url", F.when(F.col("open_source"), F.concat(F.lit("https://"), "entity")))
+    return rows.unionByName(dimensions.entity_text(entities).select(F.col("entity").alias("name"), "text"))
 
 
 @query(
     "F13_family_text",
     """WITH r AS (SELECT family, organization, entity, row_number() OVER (PARTITION BY family ORDER BY entity) AS rn FROM entities)
-    SELECT family, concat('Family: ', family, chr(10), 'Organization: ', any_value(organization), chr(10), 'Model count: ', cast(count(*) AS string), chr(10),
-      'Model list: ', string_agg(entity, ', ' ORDER BY entity) FILTER (WHERE rn <= 5), CASE WHEN count(*) > 5 THEN '...' ELSE '' END) AS text FROM r GROUP BY family""",
+    SELECT family, concat_ws(chr(10), 'family: ' || family, 'organization: ' || any_value(organization), 'n members: ' || count(*), 'first members: ' || string_agg(entity, '; ' ORDER BY entity) FILTER (WHERE rn <= 3), 'intro url: u')
+      || chr(10) || chr(10) || concat_ws(chr(10), 'sentiment score: 0.50', 'web mentions count: 0', 'positive aspects: p; q') AS text FROM r GROUP BY family
+    UNION ALL SELECT 'nobody', concat_ws(chr(10), 'family: nobody', 'n members: 0')""",
 )
 def _(t):
     families = t.entities.select("family", "organization").distinct()
     families = families.select(
-        "*", F.lit(None).cast("string").alias("technical_summary"), F.lit(0.5).alias("sentiment_score"), F.lit(0).alias("web_mentions_count")
+        "*", F.lit("u").alias("intro_url"), F.lit("").alias("technical_summary"), F.lit(0.5).alias("sentiment_score"), F.lit(0).alias("web_mentions_count"),
+        F.array(F.lit("p"), F.lit("q")).alias("positive_aspects"),
     )
-    return dimensions.family_text(families, t.entities)
+    nobody = families.limit(1).select(F.lit("nobody").alias("family"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in families.schema.fields[1:]])
+    return dimensions.family_text(families.unionByName(nobody), t.entities, shown=3)
+
+
+@query(
+    "J18_entity_info",
+    """SELECT e.entity, organization, parameters, e.family, 'about ' || e.family AS family_technical_summary, 'u' AS family_intro_url FROM entities e UNION ALL SELECT 'nobody', NULL, NULL, NULL, NULL, NULL""",
+)
+def _(t):
+    families = t.entities.select("family", F.concat(F.lit("about "), "family").alias("technical_summary"), F.lit("u").alias("intro_url")).distinct()
+    names = t.entities.select("entity").unionByName(t.entities.limit(1).select(F.lit("nobody").alias("entity")))
+    out = dimensions.entity_info(names, t.entities, families)
+    return out.select("entity", "organization", "parameters", "family", "family_technical_summary", "family_intro_url")
 
 
 @query("F14_search_hits", "SELECT page_id AS subject, CAST(p AS INT) AS position, CASE p WHEN 0 THEN 'first' ELSE '' END AS title, url FROM pages, (SELECT unnest([0, 1]) AS p) x")

@@ -256,11 +256,22 @@ def test_evolution_keeps_members_without_a_score_and_components_all_features(spa
     scores = spark.createDataFrame([("a", "i", 50.0), ("c", "i", 9.0)], "entity string, item string, score double")
     ranges = spark.createDataFrame([], "item string, lo double, hi double")
     targets = spark.createDataFrame([("b", "i"), ("b", "j")], "entity string, item string")
-    a, b = "  - a: vision=v, llm=l, params=7B, date=2024", "  - b: vision=v, llm=l, params=9B, date=N/A"
+    a = "entity: a, vision model: v, language model: l, parameters: 7B, release date: 2024"
+    b = "entity: b, vision model: v, language model: l, parameters: 9B"
     lines = lambda rows: {(r["item"], r["line"]) for r in rows.collect()}
-    assert lines(evidence.evolution_table(entities, scores, ranges)) == {("i", a + ", i=50.0"), ("i", b)}
+    assert lines(evidence.evolution_table(entities, scores, ranges)) == {("i", a + ", score: 50.0"), ("i", b)}
     out = evidence.evolution_table(entities, scores, ranges, targets)
-    assert lines(out) == {("i", a + ", i=50.0"), ("i", b), ("j", a), ("j", b)} and out.count() == 4
+    assert lines(out) == {("i", a + ", score: 50.0"), ("i", b), ("j", a), ("j", b)} and out.count() == 4
     known = spark.createDataFrame([("v", "m", "x", list("abcd"))], "component string, organization string, architecture string, key_features array<string>")
     texts = evidence.component_text(targets, entities, known, "vision_model").collect()
-    assert all(r["vision_model_text"].endswith("Features: a, b, c, d") for r in texts) and len(texts) == 2
+    assert all(r["vision_model_text"].endswith("key features: a, b, c, d") for r in texts) and len(texts) == 2
+
+
+def test_layouts_show_what_is_there(spark):
+    from scoreweave.functions.layout import Block, Field, rendered
+
+    df = spark.createDataFrame([("a", None, 1.25, ["x", "y"], {"k": 1}, True), ("", "b", None, [], {}, None)], "s string, t string, n double, l array<string>, m map<string,int>, f boolean")
+    blocks = [Block(("s", "t", "absent"), "names"), Block((Field("n", "number", 1, empty="none"), Field("l", between=", "), "m", "f"))]
+    got = [r[0] for r in df.select(rendered(df, blocks)).collect()]
+    assert got == ["names\ns: a\n\nnumber: 1.2\nl: x, y\nm: k=1\nf: yes", "names\nt: b\n\nnumber: none"]
+    assert df.select(rendered(df, [Block(("absent",))])).first()[0] == ""
