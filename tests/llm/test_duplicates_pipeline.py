@@ -160,6 +160,28 @@ def test_leaks(docs_of, library, monkeypatch):
     assert decontamination.leaks(docs_of(texts), none).count() == 0 and decontamination.without_leaks(docs_of(texts), none).count() == 9
 
 
+def test_every_unchanged_passage_of_the_length_is_found():
+    draw = random.Random(8)
+    prose = lambda n: "".join(draw.choices("abcdefghij     ", k=n))
+    item = prose(400)
+    index = decontamination.Index([(0, item)], 12, 64, 0.05)
+    for size, found in ((64, True), (65, True), (72, True), (80, True), (96, True), (40, False)):
+        for start in range(0, len(item) - size, 3):
+            text = prose(150) + "|" + item[start : start + size] + "|" + prose(150)
+            assert bool(index.scan(text)) == found, (size, start)
+
+
+def test_any_ids_capitals_and_items_without_an_id(docs_of, library):
+    draw = random.Random(9)
+    items = ["".join(draw.choices("abcdefghi jkl", k=120)) for _ in range(4)]
+    rows = [("x-1", items[0], 1), (None, items[1], 1), ("x-3", items[2], 1), ("x-4", "Whole Short Item of Forty Characters Here", 1)]
+    known = library.createDataFrame(rows, "item_id string, text string, doc_id int")
+    texts = ["so " + items[0].upper() + " on", "so " + items[1] + " on", "so " + items[3] + " on", "the whole short item of forty characters here", None]
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs_of(texts), known).collect()}
+    assert got == {(0, "x-1"), (1, None), (3, "x-4")}
+    assert sorted(r["doc_id"] for r in decontamination.without_leaks(docs_of(texts), known).collect()) == [2, 4]
+
+
 def test_alignment():
     def full(a, b):
         row = [0] * (len(b) + 1)
