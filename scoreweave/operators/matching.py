@@ -15,6 +15,7 @@ from scoreweave.session import cut_lineage
 _GRAM = 3  # characters of a needle that are looked up before the needle itself
 _PIECE = 2048  # characters of a text whose places one row looks up; more if a needle is longer
 _MAX_RULES = 200  # rules that become one expression; more are joined as a table
+_MAX_PROFILES = 2000  # profiles of one expression; with_organization_profile takes any number
 _RULES_ROW = 256  # rules of one beginning in one row of their table
 
 # Words that place an organization without a profile, and the profiles of such organizations.
@@ -132,7 +133,7 @@ def organization_profile(name: Column, profiles: Sequence[tuple]) -> Column:
 
     The list is a constant of the program, so it becomes one expression and no join at all.
     """
-    if len(profiles) > _MAX_RULES:
+    if len(profiles) > _MAX_PROFILES:
         raise ValueError(f"{len(profiles)} profiles; with_organization_profile takes a table of any length")
 
     def struct(region, size, credibility, focus, specialties=()):

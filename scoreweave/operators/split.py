@@ -39,11 +39,6 @@ def batch_slice(targets: DataFrame, total: int, max_samples: int | None = None)
     return rows.withColumn("batch", F.floor((F.col("rank") - 1) / size).cast("int")).drop("rank", "n")
 
 
-def hash_slice(targets: DataFrame, total: int) -> DataFrame:
-    """Add ``batch`` without any ordering, where slices need not be contiguous."""
-    return targets.withColumn("batch", F.pmod(F.xxhash64("entity", "item"), F.lit(total)).cast("int"))
-
-
 def resume(targets: DataFrame, done: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Targets whose key is not among the finished ones."""
     keys = keys or ["entity", "item"]

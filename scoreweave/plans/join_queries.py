@@ -20,9 +20,10 @@ REGION = """CASE WHEN {0} = 'NATION_21' THEN 'US' WHEN {0} LIKE '%NATION_2%' THE
     WHEN lower({0}) LIKE '%shanghai%' THEN 'CN' ELSE 'Unknown' END"""
 
 
-@query("J1_align_targets", "SELECT t.entity, t.item, t.score FROM test_cells t WHERE t.entity IN (SELECT entity FROM train)")
+@query("J1_align_targets", "SELECT t.entity, t.item, t.score FROM scores t WHERE t.entity IN (SELECT entity FROM train WHERE score < 8 AND item > 'Brand#2')")
 def _(t):
-    return split.align_targets(t.held_out, t.training)
+    """Of all scores those of entities that have a low one in train: some entities have none."""
+    return split.align_targets(t.scores, t.training.filter("score < 8 AND item > 'Brand#2'"))
 
 
 @query(

@@ -81,6 +81,22 @@ def test_kendall_with_ties_in_blocks(spark, block):
     assert got == pytest.approx(_kendall(pairs), abs=1e-12)
 
 
+@pytest.mark.parametrize("hot", [0.0, 0.7])
+def test_spearman_with_ties(spark, hot):
+    rng = random.Random(6)
+    pairs = [(1.0 if rng.random() < hot else float(rng.randrange(12)), float(rng.randrange(9))) for _ in range(300)]
+    rows = [(f"e{i}", "x", p, q) for i, (p, q) in enumerate(pairs)] + [("n", "x", None, 1.0), ("m", "x", 2.0, None)]
+    df = spark.createDataFrame(rows, "entity string, item string, prediction double, truth double")
+    rank = lambda v, all_: sum(x < v for x in all_) + (sum(x == v for x in all_) + 1) / 2
+    xs, ys = zip(*pairs, strict=True)
+    a, b = [rank(x, xs) for x in xs], [rank(y, ys) for y in ys]
+    ma, mb = sum(a) / len(a), sum(b) / len(b)
+    cov = sum((x - ma) * (y - mb) for x, y in zip(a, b, strict=True))
+    want = cov / (sum((x - ma) ** 2 for x in a) * sum((y - mb) ** 2 for y in b)) ** 0.5
+    assert metrics.srcc(df).first()["srcc"] == pytest.approx(want, abs=1e-12)
+    assert metrics.srcc(df.withColumn("truth", F.lit(3.0))).first()["srcc"] is None
+
+
 def test_rank_metrics_of_a_monotone_map_are_one(spark):
     df = spark.range(60).select(
         F.concat(F.lit("e"), "id").alias("entity"), F.lit("x").alias("item"), F.col("id").cast("double").alias("truth"),
