@@ -13,7 +13,8 @@ from scoreweave.functions.text import TRAILING_SIZE, normalize_name
 from scoreweave.session import cut_lineage
 
 _GRAM = 3  # characters of a needle that are looked up before the needle itself
-_PIECE = 2048  # characters of a text whose places one row looks up; more if a needle is longer
+_PIECE = 8192  # characters of a text that one row covers; more if a needle is longer
+_WINDOW = 256  # characters whose places one row looks up
 _MAX_RULES = 200  # rules that become one expression; more are joined as a table
 _MAX_PROFILES = 2000  # profiles of one expression; with_organization_profile takes any number
 _RULES_ROW = 256  # rules of one beginning in one row of their table
@@ -47,16 +48,25 @@ def containments(needles: DataFrame, hays: DataFrame) -> DataFrame:
     pieces = h.select("hid", "sides", "text", F.explode(F.sequence(F.lit(0), F.expr(f"(length(text) - 1) div {step}").cast("int"))).alias("k"))
     pieces = pieces.select("hid", "sides", "k", F.substr("text", begin + 1, F.lit(step + 2 * longest)).alias("piece"), (F.col("k") * step - begin).alias("own"))
 
+    # Grams are read from short windows: a place in a long text costs the way to it.
+    length = F.least(F.lit(step), F.length("piece") - F.col("own"))
+    windows = pieces.withColumn("n", length)
+    windows = windows.select("hid", "sides", "k", "piece", "own", "n", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {_WINDOW}").cast("int"))).alias("w"))
+    at = F.col("own") + F.col("w") * _WINDOW
+    windows = windows.select("hid", "sides", "k", at.alias("first"), F.least(F.lit(_WINDOW), F.col("n") - F.col("w") * _WINDOW).alias("n"), F.substr("piece", at + 1, F.lit(_WINDOW + _GRAM - 1)).alias("window"))
+
     def grams(width: int) -> Column:
-        """The grams of a piece's own places."""
-        last = F.least(F.col("own") + step, F.length("piece") - width + 1) - 1
-        places = F.when(last >= F.col("own"), F.sequence("own", last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.struct(i.alias("at"), F.substr("piece", i + 1, F.lit(width)).alias("gram")))
+        """The grams of a window's own places."""
+        last = F.least(F.col("n"), F.length("window") - width + 1) - 1
+        places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct((F.col("first") + i).alias("at"), F.substr("window", i + 1, F.lit(width)).alias("gram")))
 
-    # Needles shorter than a gram are their own gram; that width is looked at only if there are such needles.
+    # Needles of up to three characters are their own gram; their widths are looked at only if there are such needles.
     every = F.concat(*[grams(w) for w in range(min(shortest, _GRAM), _GRAM + 1)])
-    spots = pieces.select("hid", "k", F.explode(every).alias("s")).select("hid", "k", "s.at", "s.gram")
-    width = F.least("len", F.lit(_GRAM))
+    spots = windows.select("hid", "sides", "k", F.explode(every).alias("s")).select("hid", "sides", "k", "s.at", "s.gram")
+    short = spots.join(n.filter(F.col("len") <= _GRAM).select(F.col("text").alias("gram")), "gram", "left_semi").select("hid", "sides", F.col("gram").alias("needle")).distinct()
+    width = F.lit(_GRAM)
+    n, whole = n.filter(F.col("len") > _GRAM), n
     own = F.transform(F.sequence(F.lit(0), F.col("len") - width), lambda o: F.struct(o.alias("off"), F.substr("text", o + 1, width).alias("gram")))
     parts = n.select("text", "len", F.explode(own).alias("g")).select("text", "len", "g.off", "g.gram")
     often = spots.join(parts.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
@@ -67,8 +77,8 @@ def containments(needles: DataFrame, hays: DataFrame) -> DataFrame:
     hits = hits.select("hid", "k", F.struct((F.col("at") - F.col("f.off")).alias("start"), F.col("f.len").alias("len")).alias("cut")).filter("cut.start >= 0")
     cuts = hits.groupBy("hid", "k").agg(F.collect_set("cut").alias("cuts"))
     words = F.array_distinct(F.transform("cuts", lambda c: F.substr("piece", c["start"] + 1, c["len"])))
-    found = pieces.join(cuts, ["hid", "k"]).select("hid", "sides", F.explode(words).alias("needle"))
-    wanted = n.select(F.col("text").alias("needle"), F.col("sides").alias("wanted"))
+    found = pieces.join(cuts, ["hid", "k"]).select("hid", "sides", F.explode(words).alias("needle")).unionByName(short)
+    wanted = whole.select(F.col("text").alias("needle"), F.col("sides").alias("wanted"))
     shared = F.col("sides").bitwiseAND(F.col("wanted"))
     pairs = found.join(wanted, "needle").filter(shared != 0).select("needle", "hid", shared.alias("sides")).distinct()
     return pairs.join(h.select("hid", F.col("text").alias("hay")), "hid").select("needle", "hay", "sides")
