@@ -193,7 +193,8 @@ def html_to_text(html: Column, limit: int | None = None) -> Column:
         return F.aggregate(block["cut"], start, add, lambda state: state["texts"])
 
     parts = F.get(F.transform(F.array(moved), lambda m: F.when(F.size(m) > 0, F.flatten(blocks(m))).otherwise(F.array().cast("array<string>"))), F.lit(0))
-    text = F.when(html.isNotNull(), unescape_html(F.array_join(parts, " ")))
+    # The joined text is used several times there, and made once.
+    text = F.when(html.isNotNull(), F.get(F.transform(F.array(F.array_join(parts, " ")), unescape_html), F.lit(0)))
     return _cut(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), limit)
 
 
