@@ -20,6 +20,7 @@ _DIGITS = 9  # similarities that agree to nine digits are ties and go to the id
 _PIVOT_BYTES = 64 << 20  # of pivot directions that every task gets: 131,072 cells of 64 dimensions
 _BLOCK = 2048  # vectors in one block
 _AT_ONCE = 1 << 22  # angles that a task holds at a time
+_TRIED = 256  # new vectors on whose exact neighbours the number of hash planes is chosen
 
 
 @dataclass(frozen=True)
@@ -27,12 +28,15 @@ class Hashing:
     """Random hyperplanes for an approximate search: in each of ``tables`` a vector's bucket is the signs of its
     products with that table's planes. A new vector looks into its own bucket and the ``probes`` next likely ones,
     those on the other side of the planes it is nearest to. ``bucket`` is how many known vectors a bucket should
-    hold, from which follows the number of planes."""
+    hold, from which follows the highest number of planes. Planes are left out, and buckets get larger, until of the exact
+    neighbours of 256 new vectors at least the share ``recall`` lies in the buckets these look into; without planes the
+    search is the exact one."""
 
     tables: int = 8
     probes: int = 8
     bucket: int = 256
     seed: int = 42
+    recall: float = 0.95
 
 
 def _units(vectors: np.ndarray) -> np.ndarray:
@@ -226,6 +230,30 @@ def _flips(margins: np.ndarray, probes: int) -> np.ndarray:
     return np.take_along_axis(masks, np.argsort(total, axis=1, kind="stable")[:, :probes], 1)
 
 
+def _bucket_codes(vectors: np.ndarray, own: np.ndarray, probes: int) -> np.ndarray:
+    """Per row the bucket of a unit vector in one table, and the ``probes`` next likely ones."""
+    margins = vectors @ own.T
+    code = ((margins > 0) @ np.left_shift(np.int64(1), np.arange(len(own), dtype=np.int64)))[:, None]
+    return np.concatenate([code, code ^ _flips(margins, probes)], axis=1) if probes else code
+
+
+def _planes_kept(asked: DataFrame, known: DataFrame, k: int, block: int, planes: np.ndarray, hashing: Hashing) -> int:
+    """The most planes with which the buckets hold the wanted share of the exact neighbours of a few new vectors."""
+    tried = cut_lineage(asked.orderBy(F.xxhash64("key"), "key").limit(_TRIED))
+    near = _exact(tried, known, k, None, block).distinct()
+    top = first_per_key(near, ["key"], [F.col("similarity").desc(), F.col("known_id")], k)
+    pairs = top.join(known.select(F.col("id").alias("known_id"), F.col("vec").alias("old")), "known_id").join(tried, "key")
+    pairs = pairs.select("vec", "old").collect()  # at most 256 times k
+    if not pairs:
+        return planes.shape[1]
+    news, olds = (_units(np.array([r[c] for r in pairs])) for c in ("vec", "old"))
+    for n_bits in range(planes.shape[1], 0, -1):
+        met = [(_bucket_codes(news, own, hashing.probes) == _bucket_codes(olds, own, 0)).any(axis=1) for own in planes[:, :n_bits]]
+        if np.any(met, axis=0).mean() >= hashing.recall:
+            return n_bits
+    return 0
+
+
 def _hashed(asked: DataFrame, known: DataFrame, k: int, block: int, hashing: Hashing) -> DataFrame:
     """As ``_exact``, but from buckets of random hyperplanes; keys that find fewer than ``k`` there are searched exactly."""
     n_known, first = known.count(), known.select("vec").first()
@@ -233,18 +261,16 @@ def _hashed(asked: DataFrame, known: DataFrame, k: int, block: int, hashing: Has
         return _exact(asked, known, k, None, block)
     n_bits = min(40, max(1, math.ceil(math.log2(max(2, n_known / hashing.bucket)))))
     planes = np.random.default_rng(hashing.seed).standard_normal((hashing.tables, n_bits, len(first["vec"])))
-    powers = np.left_shift(np.int64(1), np.arange(n_bits, dtype=np.int64))
+    planes = planes[:, : _planes_kept(asked, known, k, block, planes, hashing)]
+    if planes.shape[1] == 0:
+        return _exact(asked, known, k, None, block)
 
     def bucketed(name: str, probes: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 vectors = _units(np.stack(pdf["vec"].to_numpy()))
                 for table, own in enumerate(planes):
-                    margins = vectors @ own.T
-                    code = (margins > 0) @ powers
-                    codes = code[:, None]
-                    if probes:
-                        codes = np.concatenate([codes, code[:, None] ^ _flips(margins, probes)], axis=1)
+                    codes = _bucket_codes(vectors, own, probes)
                     rows = np.repeat(np.arange(len(pdf)), codes.shape[1])
                     yield pd.DataFrame({
                         name: pdf[name].to_numpy()[rows], "vec": pdf["vec"].to_numpy()[rows], "bucket": table << 41 | codes.ravel()

@@ -200,6 +200,18 @@ def test_hashed_search_finds_nine_tenths(spark):
     assert got["copy"] == want["copy"]
 
 
+def test_hashed_search_leaves_planes_out_until_nine_tenths_are_found(spark):
+    rng = np.random.default_rng(5)
+    known = {f"k{i:04d}": v for i, v in enumerate(rng.normal(size=(6000, 32)).tolist())}  # no clusters: neighbours are far
+    new = {f"n{i}": v for i, v in enumerate(rng.normal(size=(80, 32)).tolist())}
+    n = spark.createDataFrame(list(new.items()), "id string, vec array<double>")
+    h = spark.createDataFrame(list(known.items()), "id string, vec array<double>")
+    rows = similar.top_k_similar(n, h, 5, hashing=similar.Hashing(bucket=8)).collect()
+    got = {(r["id"], r["known_id"]) for r in rows}
+    want = {(i, j) for i, near in _brute(new, known, 5).items() for j in near}
+    assert len(rows) == 400 and len(got & want) >= 0.9 * len(want)
+
+
 def test_hashed_search_of_few_vectors_is_exact(spark):
     n = spark.createDataFrame([("a", [1.0, 0.0])], "id string, vec array<double>")
     h = spark.createDataFrame([("x", [0.0, 1.0]), ("y", [1.0, 0.1])], "id string, vec array<double>")
