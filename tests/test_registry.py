@@ -5,8 +5,9 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from scoreweave.operators import evidence
 from scoreweave.plans.registry import all_oracles, all_queries
-from scoreweave.plans.views import VIEWS, needed, with_views
+from scoreweave.plans.views import VIEWS, Tables, needed, with_views
 
 FOLDER = "/root/testdata/sf0.001"
 NO_SQL = {"M8_fit_map"}
@@ -38,3 +39,25 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "EqualTo(l_returnflag,R)" in plan
     scan = next(line for line in plan.splitlines() if "lineitem" in line and "FileScan" in line)
     assert "l_tax" not in scan and "l_shipdate" not in scan
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are not here")
+def test_views_after_the_split_read_written_scores(spark):
+    tables = Tables(spark, FOLDER)
+    before = sorted(map(tuple, tables.replies.collect()))
+    assert tables.parts.count() > 0
+    plan = tables.replies._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and sorted(map(tuple, tables.replies.collect())) == before
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are not here")
+def test_batches_of_incremental_results_read_written_replies(spark, monkeypatch):
+    plans, real = [], evidence.apply_adjustments
+
+    def seen(fresh, replies, ranges):
+        plans.append(replies._jdf.queryExecution().executedPlan().toString())
+        return real(fresh, replies, ranges)
+
+    monkeypatch.setattr(evidence, "apply_adjustments", seen)
+    all_queries()["T1_incremental_results"](spark, FOLDER)
+    assert len(plans) == 3 and not any("lineitem" in p or "Window" in p for p in plans)
