@@ -51,33 +51,38 @@ def read_member_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def member_lines(docs: DataFrame) -> DataFrame:
     """Whole documents as lines of one entity each, for ``read_member_lines``; entities keep their texts as they are."""
-    members = docs.select(F.explode(F.from_json("doc", "results MAP<STRING, STRING>")["results"]).alias("entity", "fields"))
-    return members.select(F.to_json(F.create_map("entity", F.lit("\u0001"))).alias("head"), "fields").select(
+    members = docs.select(F.explode_outer(F.from_json("doc", "results MAP<STRING, STRING>")["results"]).alias("entity", "fields"))
+    return members.filter("entity IS NOT NULL").select(F.to_json(F.create_map("entity", F.lit("\u0001"))).alias("head"), "fields").select(
         F.concat(F.replace("head", F.lit('"\\u0001"}'), F.lit("")), "fields", F.lit("}")).alias("value")
     )
 
 
 def _members(docs: DataFrame) -> DataFrame:
     """(entity, fields, at) of whole documents, or of lines of one entity each; ``at`` grows with the order of the
-    documents (column ``ord``, if there is one) and within a document."""
+    documents (column ``ord``, if there is one) and within a document.
+
+    Each document is parsed once: a plain ``explode`` would have Spark test size and null of what it explodes in a filter,
+    which parses it again for each test. Only a text that can have the key ``results`` is read as a whole document.
+    """
     members = "MAP<STRING, MAP<STRING, STRING>>"
-    whole = F.from_json("doc", f"results {members}")["results"]
+    may_be_whole = F.col("doc").contains("results") | F.col("doc").contains("\\u")
+    whole = F.when(may_be_whole, F.from_json("doc", f"results {members}")["results"])
     ordered = "ord" in docs.columns
     parsed = docs.select(F.coalesce(whole, F.from_json("doc", members)).alias("d"), *(["ord"] if ordered else []))
-    rows = parsed.select(*(["ord"] if ordered else []), F.posexplode("d").alias("no", "entity", "fields"))
-    return rows.select("entity", "fields", F.struct(*(["ord"] if ordered else []), "no").alias("at"))
+    rows = parsed.select(*(["ord"] if ordered else []), F.posexplode_outer("d").alias("no", "entity", "fields"))
+    return rows.filter("no IS NOT NULL").select("entity", "fields", F.struct(*(["ord"] if ordered else []), "no").alias("at"))
 
 
 def _item_fields(docs: DataFrame) -> DataFrame:
     """(entity, item, value, at): the text of each item's entry."""
-    rows = _members(docs).select("entity", "at", F.posexplode("fields").alias("no", "item", "value"))
+    rows = _members(docs).select("entity", "at", F.posexplode_outer("fields").alias("no", "item", "value"))
     return rows.filter(F.col("item") != META_KEY).select("entity", "item", "value", F.struct("at", "no").alias("at"))
 
 
 def leaderboard_raw(docs: DataFrame) -> DataFrame:
     """Every sub-score ``(entity, item, sub_item, value)`` of leaderboard documents."""
     parts = _item_fields(docs).select("entity", "item", F.from_json("value", "MAP<STRING, STRING>").alias("parts"))
-    return parts.select("entity", "item", F.explode("parts").alias("sub_item", "value"))
+    return parts.select("entity", "item", F.explode_outer("parts").alias("sub_item", "value")).filter("sub_item IS NOT NULL")
 
 
 def leaderboard_scores(docs: DataFrame) -> DataFrame:
@@ -86,8 +91,12 @@ def leaderboard_scores(docs: DataFrame) -> DataFrame:
     ``docs(doc)`` are whole documents or lines of one entity. If a cell occurs again, the last number counts, in the
     order of the column ``ord`` (if there is one) and within the document; without an order, the larger of two.
     """
-    score = F.get_json_object("value", "$.Overall").try_cast("double")
-    rows = _item_fields(docs).select("entity", "item", score.alias("score"), "at").filter("score IS NOT NULL AND NOT isnan(score)")
+    # Scores are made before the rows are, so that the filter on them does not read the texts again.
+    score = lambda value: F.get_json_object(value, "$.Overall").try_cast("double")
+    scored = F.transform(F.map_entries("fields"), lambda e, no: F.struct(no.alias("no"), e["key"].alias("item"), score(e["value"]).alias("score")))
+    rows = _members(docs).select("entity", "at", F.explode_outer(scored).alias("f"))
+    rows = rows.select("entity", "f.item", "f.score", F.struct("at", "f.no").alias("at"))
+    rows = rows.filter(F.col("item") != META_KEY).filter("score IS NOT NULL AND NOT isnan(score)")
     return rows.groupBy("entity", "item").agg(F.max(F.struct("at", "score"))["score"].alias("score"))
 
 

@@ -27,6 +27,14 @@ def test_leaderboard_document(spark, tmp_path):
     assert sorted(map(tuple, subs)) == [("i", "Sub"), ("k", "Sub")]
 
 
+def test_filters_do_not_parse_documents_again(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"results":{"A":{"i":{"Overall":1,"Sub":2}}}}')
+    docs = scores.read_documents(spark, str(tmp_path))
+    for rows in (scores.leaderboard_scores(docs), scores.leaderboard_raw(docs), scores.member_lines(docs)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert rows.count() > 0 and not [x for x in plan.splitlines() if "Filter" in x and "json" in x]
+
+
 def test_prediction_cells(spark):
     wide = spark.createDataFrame([("m", "[67.59±5.73]/[66.80]", "[-1.5]/[2]", "-"), ("n", "[1.2.3]/[4]", "junk", None)], "Model string, a string, b string, c string")
     got = sorted(map(tuple, scores.parse_prediction_table(wide).collect()))
