@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoreweave.operators import factorize, similar
+from scoreweave.session import cut_lineage
 
 
 @pytest.fixture(scope="module")
@@ -43,6 +44,36 @@ def test_same_seed_same_draws_whatever_the_partitions(spark, planted):
     assert max(np.abs(one[k] - two[k]).max() for k in one) < 1e-9
 
 
+def test_a_half_sweep_of_the_larger_side_shuffles_nothing(spark, planted):
+    train = planted.filter("seen").select("entity", "item", "score")
+    laid = factorize._Observations(train, 1000)
+    try:
+        few, many = ("entity", "item") if train.select("entity").distinct().count() < train.select("item").distinct().count() else ("item", "entity")
+        ids = laid.lay(train.select(F.col(many).alias("id")).distinct(), "id")
+        other = cut_lineage(train.select(F.col(few).alias("id")).distinct().withColumn("vec", F.expr("array(1.0D, -1.0D)")))
+        drawn = factorize._half_sweep(laid, ids, other, None, many, many, few, 2, 2.0, "1:0:u", False)
+        plan = drawn._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" in plan and "Exchange hashpartitioning" not in plan
+        assert drawn.count() == ids.count()
+    finally:
+        laid.forget()
+
+
+def test_both_layouts_give_the_same_draws(spark, planted, monkeypatch):
+    train = planted.filter("seen").drop("seen")
+    feats = train.select(F.col("entity").alias("id"), F.lit("f").alias("feature"), F.lit(1.0).alias("value")).distinct()
+    items = train.select(F.col("item").alias("id"), F.lit("g").alias("feature"), F.lit(0.5).alias("value")).distinct()
+
+    def run(few, share):
+        monkeypatch.setattr(factorize, "_FEW", few)
+        return {(r["side"], r["id"]): np.array(r["vec"]) for r in factorize.fit_cpmf(train, feats, items, dim=2, draws=1, tune=1, seed=7, share=share).collect()}
+
+    one = run(1 << 24, 1000)
+    for few, share in ((0, 1000), (1 << 24, 5), (0, 40)):
+        other = run(few, share)
+        assert one.keys() == other.keys() and max(np.abs(one[k] - other[k]).max() for k in one) < 1e-9
+
+
 def test_zero_features_change_nothing(spark, planted):
     train = planted.filter("seen").drop("seen")
     plain = factorize.fit_pmf(train, dim=2, draws=1, tune=1, seed=3)
