@@ -7,7 +7,7 @@ and summary figures. Pairing every target with every relative would square a lar
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -435,22 +435,41 @@ def apply_adjustments(
     )
 
 
-def run_evaluation(results: DataFrame, ranges: DataFrame) -> dict[str, DataFrame]:
+class _Reports(Mapping):
+    """Reports by name, each made when it is first asked for: a report that nobody reads runs no job."""
+
+    def __init__(self, makers: Mapping[str, Callable[[], DataFrame]]):
+        self._makers, self._made = dict(makers), {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
+def run_evaluation(results: DataFrame, ranges: DataFrame) -> Mapping[str, DataFrame]:
     """Reports of the corrected and of the plain predictions on the same cells, the gain, the directions."""
     from scoreweave.operators.metrics import direction_distribution, improvement, metrics_long
     from scoreweave.session import cut_lineage
 
     results = cut_lineage(results)
-    new = metrics_long(results.select("entity", "item", "truth", F.col("predicted_score").alias("prediction")), ranges)
-    base = metrics_long(
-        results.select("entity", "item", "truth", F.col("baseline_prediction").alias("prediction")), ranges
-    )
-    return {
-        "adjusted": new,
-        "baseline": base,
-        "improvement": improvement(base, new),
-        "directions": direction_distribution(results),
-    }
+
+    def report(column: str) -> DataFrame:
+        return metrics_long(results.select("entity", "item", "truth", F.col(column).alias("prediction")), ranges)
+
+    reports = _Reports({
+        "adjusted": lambda: report("predicted_score"),
+        "baseline": lambda: report("baseline_prediction"),
+        "improvement": lambda: improvement(reports["baseline"], reports["adjusted"]),
+        "directions": lambda: direction_distribution(results),
+    })
+    return reports
 
 
 def community_feedback(replies: DataFrame, mentions: DataFrame, enough: int = 30, shown: int | None = None) -> DataFrame:

@@ -300,3 +300,18 @@ def test_layouts_show_what_is_there(spark):
     got = [r[0] for r in df.select(rendered(df, blocks)).collect()]
     assert got == ["names\ns: a\n\nnumber: 1.2\nl: x, y\nm: k=1\nf: yes", "names\nt: b\n\nnumber: none"]
     assert df.select(rendered(df, [Block(("absent",))])).first()[0] == ""
+
+
+def test_directions_run_no_metrics(spark, monkeypatch):
+    from scoreweave.operators import metrics
+
+    asked = []
+    whole = metrics.metrics_long
+    monkeypatch.setattr(metrics, "metrics_long", lambda *given: asked.append(1) or whole(*given))
+    rows = [(f"e{i}", "i", float(i), float(i), i + 1.0, ("up", "keep", "fallback")[i % 3]) for i in range(9)]
+    results = spark.createDataFrame(rows, "entity string, item string, truth double, baseline_prediction double, predicted_score double, direction string")
+    reports = evidence.run_evaluation(results, spark.createDataFrame([], "item string, lo double, hi double"))
+    assert sorted((r["direction"], r["n"], r["share"]) for r in reports["directions"].collect()) == [("keep", 3, 50.0), ("up", 3, 50.0)]
+    assert asked == [] and set(reports) == {"adjusted", "baseline", "improvement", "directions"}
+    gain = {r["metric"]: r["new"] for r in reports["improvement"].collect()}
+    assert gain["mae"] == 1.0 and len(asked) == 2
