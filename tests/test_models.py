@@ -173,6 +173,15 @@ def test_raw_matrix_of_fifty_thousand_items(spark):
     assert sorted((r["entity"], r["prediction"], r["uncertainty"]) for r in plain.collect()) == [("e0", 0.0, 0.0), ("e1", 7.0, 0.0), ("e2", 14.0, 0.0)]
 
 
+def test_a_task_of_the_full_matrix_gets_few_pairs_of_blocks(spark):
+    u = spark.range(40).selectExpr("'u' AS side", "0 AS draw", "concat('e', id) AS id", "array(CAST(id AS DOUBLE)) AS vec")
+    v = spark.range(8).selectExpr("'v' AS side", "0 AS draw", "concat('i', id) AS id", "array(CAST(id AS DOUBLE)) AS vec")
+    out = factorize.full_matrix(u.unionByName(v), block=2)  # 20 blocks times 4, of 2 times 2 cells
+    per_task = out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert out.count() == 320 and per_task <= (factorize._PAIRS + 3) * 4
+    assert out.filter("prediction <> CAST(substr(entity, 2) AS INT) * CAST(substr(item, 2) AS INT)").count() == 0
+
+
 def test_the_sampler_leaves_only_its_draws(spark, planted):
     import os
 
