@@ -328,14 +328,16 @@ def evidence_summary(
     ``evolution(family, item, text)``. The family's scores on the item are here by their figures and in full in
     ``family_score_pages`` under the same (family, item).
     """
-    ranked_ = rank_evidence(targets, scores, ranges, k).select("entity", "item", "predicted_rank", "n_ranked", "peers")
-    each = ranked_.select("entity", "item", F.explode("peers").alias("p"))
-    maker = entities.select(F.col("entity").alias("_peer"), F.concat_ws(", ", "organization", "parameters").alias("_about"))
-    each = each.join(maker, F.col("p.entity") == F.col("_peer"), "left")
+    # Makers meet the peers before these are gathered: one aggregate a target, and no peer is unpacked again.
+    maker = entities.select(F.col("entity").alias("peer"), F.concat_ws(", ", "organization", "parameters").alias("_about"))
+    near = rank_neighbours(targets, scores, k).join(maker, "peer", "left")
     about = F.when(F.col("_about") != "", F.concat(F.lit(" ("), "_about", F.lit(")")))
-    line = F.concat(F.col("p.rank").cast("string"), F.lit(". "), F.col("p.entity"), F.coalesce(about, F.lit("")), F.lit(": "), fields.fixed(F.col("p.score"), 1))
-    lines = each.groupBy("entity", "item").agg(F.sort_array(F.collect_list(F.struct("p.rank", "p.entity", line.alias("line")))).alias("_lines"))
-    peers = ranked_.drop("peers").join(lines, ["entity", "item"], "left")
+    line = F.concat(F.col("rank").cast("string"), F.lit(". "), "peer", F.coalesce(about, F.lit("")), F.lit(": "), fields.fixed(F.col("peer_score"), 1))
+    peers = near.groupBy("entity", "item").agg(
+        F.first("predicted_rank").alias("predicted_rank"),
+        F.first("n_ranked").alias("n_ranked"),
+        F.sort_array(F.collect_list(F.struct("rank", "peer", line.alias("line")))).alias("_lines"),
+    )
     peers = peers.withColumn("peer_lines", F.transform("_lines", lambda x: x["line"])).drop("_lines")
     siblings = sibling_summary(targets, entities, scores).drop("family")
     own = entities.select(

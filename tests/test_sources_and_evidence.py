@@ -315,3 +315,22 @@ def test_directions_run_no_metrics(spark, monkeypatch):
     assert asked == [] and set(reports) == {"adjusted", "baseline", "improvement", "directions"}
     gain = {r["metric"]: r["new"] for r in reports["improvement"].collect()}
     assert gain["mae"] == 1.0 and len(asked) == 2
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_summary_reads_entities_once_and_gathers_peers_once(spark):
+    from scoreweave.plans.registry import all_queries
+
+    plan = _plan(all_queries()["E5_evidence_summary"](spark, "/root/testdata/sf0.001"))
+    assert "orders.parquet" not in plan and "median" not in plan and "explode(peers" not in plan
+
+
+def test_profiles_of_the_neighbour_search_are_written_once(spark):
+    from scoreweave.plans.join_queries import profile_vectors
+    from scoreweave.plans.views import Tables
+
+    for side in profile_vectors(Tables(spark, "/root/testdata/sf0.001")):
+        assert "Join" not in _plan(side) and "Aggregate" not in _plan(side)
