@@ -293,11 +293,13 @@ _PROFILE = """profile AS (SELECT entity, organization, coalesce(release_date >=
 
 def profile_vectors(t):
     from scoreweave.functions.fields import is_recent
+    from scoreweave.session import cut_lineage
 
+    t.keep("entities")
     features = ["size"] + [f"organization={r[0]}" for r in t.nation.select("n_name").collect()]  # 25 nations
     dense = dimensions.dense_profiles(dimensions.entity_profiles(dimensions.profile_fields(t.entities, t.entities)), features)
     flag = t.entities.select(F.col("entity").alias("id"), is_recent(F.col("release_date"), CUTOFF).alias("recent"))
-    rows = dense.join(flag, "id")
+    rows = cut_lineage(dense.join(flag, "id"))  # both sides of the search are read again and again
     return rows.filter("recent").drop("recent"), rows.filter("NOT recent").drop("recent")
 
 
