@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +95,12 @@ def running(values: Column, block: int = 256) -> Column:
     return let(values, lambda v: F.when(F.size(v) <= block, plain(v)).otherwise(blocks(v)))
 
 
+def few_at_once(column: pa.Array, few: int = 256) -> Iterator:
+    """The values of a column, few of them as Python objects at a time: a batch may hold 10,000 texts."""
+    for k in range(0, len(column), few):
+        yield from column.slice(k, few).to_pylist()
+
+
 def tasks_find_library(spark: SparkSession) -> None:
     """Let Python tasks import this library from where the driver has it, whatever folder the driver started in."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
+from scoreweave.llm.common import few_at_once
+
 #: Fixed odd multiplier of the q-gram hash, characters of one vector pass, and bits of the first lookup.
 _MIX, _CHUNK, _BITS = np.uint64(0x9E3779B97F4A7C15), 1_000_000, 22
 
@@ -204,7 +206,7 @@ def leaks(
             index, known = Index(part, q, length, rate), pa.array(names, id_type)
             for batch in batches:
                 rows, hits = [], []
-                for k, value in enumerate(batch.column(1).to_pylist()):
+                for k, value in enumerate(few_at_once(batch.column(1))):
                     for item, hit in index.scan(folded(value)).items():
                         rows.append(k)
                         hits.append((item, *hit))
@@ -229,7 +231,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, q: int = 12, length: int =
         def run(batches: Iterator[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
             index = Index(part, q, length, rate)
             for batch in batches:
-                clean = [not index.scan(folded(value)) for value in batch.column(place).to_pylist()]
+                clean = [not index.scan(folded(value)) for value in few_at_once(batch.column(place))]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreweave.llm.common import filled, scratch, text_key
+from scoreweave.llm.common import few_at_once, filled, scratch, text_key
 from scoreweave.llm.components import components
 from scoreweave.session import cut_lineage
 
@@ -31,6 +31,8 @@ from scoreweave.session import cut_lineage
 PARTS = 16
 #: Tokens of the sets that are counted together.
 LOT = 1_000_000
+#: Sets that leave a task together.
+SETS = 256
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -143,17 +145,19 @@ def _summaries(batches: Iterator[pa.RecordBatch], width: int, percent: int, extr
     types = [None, *[pa.int64()] * 2, pa.binary(), *[pa.int64()] * 4, pa.binary(), pa.binary()]
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
-        cids, sizes, heads = [], [], []
-        for value in batch.column(1).to_pylist():
+        cids, sizes, heads, fresh = [], [], [], []
+        first: dict[int, int] = {}
+        for k, value in enumerate(few_at_once(batch.column(1))):
             s = shingles(value, width)
             n = len(s)
             cids.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if n else None)
             sizes.append(n)
-            heads.append(s[: n - _ceil(n, percent) + max(1, _ceil(n, extra))])
-        first: dict[int, int] = {}
-        fresh = [c is not None and first.setdefault(c, k) == k for k, c in enumerate(cids)]
-        tokens = np.concatenate([h for h, f in zip(heads, fresh, strict=True) if f] or [np.zeros(0, np.int64)])
-        owners = np.repeat(np.flatnonzero(fresh), [len(h) for h, f in zip(heads, fresh, strict=True) if f]).astype(np.uint32)
+            if n and first.setdefault(cids[k], k) == k:
+                fresh.append(k)
+                heads.append(s[: n - _ceil(n, percent) + max(1, _ceil(n, extra))].copy())  # a slice would keep all of the set
+        tokens = np.concatenate(heads or [np.zeros(0, np.int64)])
+        owners = np.repeat(np.array(fresh, np.uint32), np.array([len(h) for h in heads], np.int64))
+        heads.clear()
         order = np.argsort(tokens, kind="stable")
         tokens, owners = tokens[order], owners[order]
         same = tokens[1:] == tokens[:-1]
@@ -227,16 +231,18 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Sets with the counts of their parts, and a lot number: a lot holds about ``LOT`` tokens, or one set."""
     lot, held = TaskContext.get().partitionId() << 32, 0
-    for batch in batches:
-        sets, lots = [shingles(value, width) for value in batch.column(1).to_pylist()], []
-        for s in sets:
-            if held and held + len(s) > LOT:
-                lot, held = lot + 1, 0
-            held += len(s)
-            lots.append(lot)
-        parts = [np.bincount(s & (PARTS - 1), minlength=PARTS).astype(np.int64) for s in sets]
-        columns = [batch.column(0), pa.array(lots, pa.int64()), _lists(sets), _lists(parts)]
-        yield pa.RecordBatch.from_arrays(columns, names=["cid", "lot", "names", "parts"])
+    for whole in batches:
+        for start in range(0, whole.num_rows, SETS):
+            batch = whole.slice(start, SETS)
+            sets, lots = [shingles(value, width) for value in batch.column(1).to_pylist()], []
+            for s in sets:
+                if held and held + len(s) > LOT:
+                    lot, held = lot + 1, 0
+                held += len(s)
+                lots.append(lot)
+            parts = [np.bincount(s & (PARTS - 1), minlength=PARTS).astype(np.int64) for s in sets]
+            columns = [batch.column(0), pa.array(lots, pa.int64()), _lists(sets), _lists(parts)]
+            yield pa.RecordBatch.from_arrays(columns, names=["cid", "lot", "names", "parts"])
 
 
 def _count_lots(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:

@@ -14,11 +14,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoreweave.llm.common import few_at_once
 from scoreweave.llm.tokens import encoder, vocabulary_file
 
 #: A sequence id is the number of the task in the upper bits, and of the sequence within the task in the lower ones.
@@ -76,17 +77,18 @@ def pack(
     """
     vocabulary = vocabulary or vocabulary_file()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, first = encoder(vocabulary), TaskContext.get().partitionId() << TASK_BITS
         end = np.array([end_id], "<u4").tobytes()
         rows, rests, documents = [], [], 0
+        arrow = [pa.string(), *[pa.int64()] * 6, *([pa.list_(pa.int64())] if with_ids else [])]
 
         def piece(name, ids: bytes, start: int, length: int, sequence: int, offset: int) -> list:
             part = ids[4 * start : 4 * (start + length)] if len(ids) != 4 * length else ids
             row = [name, start, length, zlib.crc32(part), None, sequence, offset]
             return [*row, np.frombuffer(part, "<u4").astype("int64")] if with_ids else row
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             nonlocal rows, rests, first, documents
             for places in windows_of([r[2] for r in rests], capacity):
                 offset = 0
@@ -94,16 +96,15 @@ def pack(
                     row[5], row[6] = first, offset
                     offset += row[2]
                 first += 1
-            out = pd.DataFrame(rows + rests, columns=names)
-            out["doc_id"] = out["doc_id"].astype("object")
+            columns = zip(*rows, *rests, strict=True)
             rows, rests, documents = [], [], 0
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow, strict=True)], names=names)
 
         for batch in batches:
-            for name, value in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
+            arrow[0] = batch.schema.field(0).type
+            for name, value in zip(batch.column(0).to_pylist(), few_at_once(batch.column(1)), strict=True):
                 ids = encode.encode(value or "") + end
                 total, start = len(ids) // 4, 0
-                name = None if name is None or name != name else name
                 while total - start >= capacity:
                     rows.append(piece(name, ids, start, capacity, first, 0))
                     rows[-1][4] = total
@@ -123,7 +124,7 @@ def pack(
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
     types = [kind, *["long"] * 6, "array<long>"]
     schema = ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=False))
-    # Ids travel as strings: pandas would make numbers with nulls to doubles.
+    # Ids travel as strings, whatever their type.
     named = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))
-    out = named.mapInPandas(run, schema.replace(f"doc_id {kind}", "doc_id string"))
+    out = named.mapInArrow(run, schema.replace(f"doc_id {kind}", "doc_id string"))
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))

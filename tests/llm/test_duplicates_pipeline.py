@@ -2,8 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -238,3 +241,28 @@ def test_pipeline(library, tmp_path):
     clean = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert set(clean) == {0, 1, 5} and "abcdefgh1234" not in clean[5] and "<SECRET>" in clean[5] and clean[0] == texts[0]
     assert library.read.parquet(str(tmp_path / "documents.parquet")).filter("false").transform(lambda d: corpus_pipeline.quality_rules(library, d, str(tmp_path))).count() == 0
+
+
+def _peak(run) -> int:
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_batch_of_texts_is_not_python_strings_all_at_once(monkeypatch):
+    monkeypatch.setattr(jaccard.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    word = random.Random(5).randrange
+    texts = [" ".join(str(word(10**9)) for _ in range(200)) for _ in range(4000)]
+    texts[7], texts[9] = None, texts[8]
+    ids, keys = pa.array(range(len(texts)), pa.int64()), pa.array([b"k"] * len(texts))
+    size, column = sum(len(t or "") for t in texts), pa.array(texts)
+    del texts
+    batch = pa.RecordBatch.from_arrays([ids, column, keys], names=["doc_id", "text", "key"])
+    rows = []
+    assert _peak(lambda: rows.extend(b.num_rows for b in jaccard._summaries(iter([batch]), 5, 80, 8, 10, "long"))) < 1.6 * size
+    assert rows[0] == 4000
+    small = pa.RecordBatch.from_arrays([ids, column], names=["cid", "text"])
+    assert _peak(lambda: [b.num_rows for b in jaccard._sets(iter([small]), 5)]) < 0.8 * size
