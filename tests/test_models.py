@@ -196,6 +196,26 @@ def test_the_sampler_leaves_only_its_draws(spark, planted):
     assert draws.select("draw").distinct().count() == 2
 
 
+def test_the_small_side_takes_one_task(spark):
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    train = spark.range(40_000).selectExpr("concat('e', id % 4000) AS entity", "concat('i', id div 4000) AS item", "cast(id % 7 - 3 AS double) AS score")
+    factorize.fit_pmf(train, dim=1, draws=1, tune=0, seed=1)
+    kept = next(d for d in os.listdir(folder) if d not in before and d.startswith("draws"))
+    assert len([f for f in os.listdir(f"{folder}/{kept}/side=v/draw=0") if f.startswith("part-")]) == 1
+
+
+def test_ids_of_the_observations_given_or_not_and_null_ones(spark, planted):
+    train = planted.filter("seen").select("entity", "item", "score")
+    train = train.unionByName(spark.createDataFrame([(None, "i1", 0.5), ("e1", None, 1.5), (None, "i2", 2.5)], "entity string, item string, score double"))
+    settings = {"dim": 2, "draws": 2, "tune": 1, "seed": 4}
+    given = factorize.fit_pmf(train, entity_ids=train.select("entity").distinct(), item_ids=train.select("item").distinct(), **settings)
+    rows = lambda df: {(r["side"], r["draw"], r["id"]): np.round(r["vec"], 9).tolist() for r in df.collect()}
+    assert rows(factorize.fit_pmf(train, **settings)) == rows(given)
+
+
 def _brute(new, known, k):
     out = {}
     for i, a in new.items():
