@@ -243,6 +243,85 @@ def test_top_k_is_exact(spark, cells, block):
     assert got == _brute(new, known, 7)
 
 
+def _shuffled(df):
+    """Bytes of the rows that the exchanges of a collected result got."""
+    todo, total = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind, below = node.getClass().getSimpleName(), node.children()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif kind == "ShuffleExchangeExec":
+            total += node.metrics().apply("dataSize").value()
+        todo += [below.apply(i) for i in range(below.size())]
+    return total
+
+
+@pytest.mark.parametrize("hashing,copies", [(None, 24), (similar.Hashing(bucket=32), 64)])
+def test_search_without_clusters_copies_few_vectors(spark, monkeypatch, hashing, copies):
+    sent = []
+
+    def held(df):
+        rows = df.collect()
+        sent.append(_shuffled(df))
+        return spark.createDataFrame(rows, df.schema)
+
+    monkeypatch.setattr(similar, "cut_lineage", held)
+    rng = np.random.default_rng(6)
+    rows = [(f"v{i}", v) for i, v in enumerate(rng.normal(size=(1500, 64)).tolist())]  # nearly all cells can hold a neighbour
+    v = spark.createDataFrame(rows, "id string, vec array<double>")
+    got = similar.top_k_similar(v, v, 5, hashing=hashing)
+    found = got.collect()
+    assert len(found) == 7500 and all(r["id"] == r["known_id"] for r in found if r["rank"] == 1)
+    assert sum(sent) + _shuffled(got) < copies * 1500 * 64 * 8  # not one for each cell (38), or bucket looked into (72)
+    if hashing is None:
+        want, near = _brute(dict(rows[:20]), dict(rows), 5), {}
+        for r in sorted(found, key=lambda r: r["rank"]):
+            near.setdefault(r["id"], []).append(r["known_id"])
+        assert {i: near[i] for i in want} == want
+
+
+def test_search_is_the_same_on_many_shelves_and_parts(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(5, 8)) * 3
+    known = {f"k{i:03d}": (centres[i % 5] + rng.normal(scale=0.4, size=8)).round(3).tolist() for i in range(400)}
+    known |= {f"z{i}": [0.0] * 8 for i in range(9)} | {f"c{i:02d}": known["k000"] for i in range(30)}  # zeros, copies
+    known |= {f"l{i:02d}": (np.array(known["k001"]) * (i + 2)).tolist() for i in range(90)}  # one direction: a hot bucket
+    new = {f"n{i}": (centres[i % 5] + rng.normal(scale=0.5, size=8)).round(3).tolist() for i in range(60)}
+    new |= {"zero": [0.0] * 8, "copy": known["k000"], "twin": known["k000"], "line": known["k001"]}
+    n = spark.createDataFrame(list(new.items()), "id string, vec array<double>")
+    h = spark.createDataFrame(list(known.items()), "id string, vec array<double>")
+
+    def near(**how):
+        out = {}
+        for r in similar.top_k_similar(n, h, 6, **how).orderBy("id", "rank").collect():
+            out.setdefault(r["id"], []).append((r["known_id"], r["similarity"]))
+        return out
+
+    hashing = similar.Hashing(bucket=16)
+    few = near(hashing=hashing)
+    monkeypatch.setattr(similar, "_SHELF_BYTES", 20 * 8 * 8)
+    monkeypatch.setattr(similar, "_PAIRS", 500)
+    assert {i: [j for j, _ in found] for i, found in near(block=7).items()} == _brute(new, known, 6)
+    assert near(hashing=hashing) == few
+
+
+def test_vectors_without_numbers_come_last(spark):
+    rng = np.random.default_rng(2)
+    known = {f"k{i:02d}": rng.normal(size=3).tolist() for i in range(40)}
+    odd = [("a0", [np.nan, 1.0, 0.0]), ("a1", [np.nan, 2.0, 0.0])]
+    new = {f"n{i}": rng.normal(size=3).tolist() for i in range(5)}
+    n = spark.createDataFrame([*new.items(), ("none", [np.nan, 0.0, 0.0])], "id string, vec array<double>")
+    h = spark.createDataFrame([*known.items(), *odd], "id string, vec array<double>")
+    got = {}
+    for r in similar.top_k_similar(n, h, 4).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append((r["known_id"], r["similarity"] is None))
+    assert [x for _, x in got.pop("none")] == [True] * 4
+    assert got == {i: [(j, False) for j in found] for i, found in _brute(new, known, 4).items()}
+
+
 def test_hashed_search_finds_nine_tenths(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(40, 24))
